@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import media, packing, store, tokens
+from textloom.llm import media, packing, pieces, store, tokens
 from textloom.llm.common import documents, shared_dir  # noqa: F401
 
 
@@ -32,5 +32,9 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_store(spark, store.write_store(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store)}
+def op6_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op6_sentencepiece_scan)}
 ORACLES: dict[str, str] = {}
