@@ -68,7 +68,7 @@ class ByteBpe:
         rest = []
         for i, t in enumerate(texts):
             if self._plain(t):
-                out[i] = np.array(self.fast.encode_ordinary(t), dtype=np.uint32)
+                out[i] = self.fast.encode_to_numpy(t, disallowed_special=())  # uint32; the core knows no special strings
             else:
                 rest.append(i)
         for i, e in zip(rest, self.slow.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):

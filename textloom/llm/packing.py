@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str =
         for b in batches:
             rows = []
             for d, ids in zip(b.column("doc_id").to_pylist(), t.encode(b.column("text").to_pylist())):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
                 rows += [(d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), size))]
             yield batch_of({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import media, packing, pieces, store, tokens
+from textloom.llm import media, packing, pieces, store, tokens, toxicity
 from textloom.llm.common import documents, shared_dir  # noqa: F401
 
 
@@ -36,5 +36,9 @@ def op6_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op6_sentencepiece_scan)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op6_sentencepiece_scan, op7_toxicity)}
 ORACLES: dict[str, str] = {}

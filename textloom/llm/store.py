@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_batches, batch_of, id_text, new_path, splitmix
+from textloom.llm.common import MASK64, arrow_batches, batch_of, id_text, new_path, splitmix
 from textloom.llm.ids import byte_bpe
 
 END_ID = 0
@@ -42,20 +42,24 @@ SEEN = 500_000
 _BASE = 0x9E3779B97F4A7C15
 
 
-def cut_points(ids: np.ndarray, window: int = WINDOW, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
-    """Ends of the chunks of ids, from a polynomial rolling hash of `window` ids."""
+def rolling(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Mixed polynomial hash of the `window` ids (a power of two) from each place on."""
+    h, power, n = splitmix(ids.astype(np.uint64)), _BASE, 1
+    while n < window and len(h) > n:
+        h = h[:-n] * np.uint64(power) + h[n:]
+        power, n = power * power & MASK64, 2 * n
+    return splitmix(h)
+
+
+def cut_points(ids: np.ndarray, window: int = WINDOW, least: int = LEAST, mean: int = MEAN, most: int = MOST, marks: np.ndarray | None = None) -> list[int]:
+    """Ends of the chunks of ids; `marks`: places after a window whose hash cuts, if known."""
     n = len(ids)
     if n <= least:
         return [n] if n else []
-    v = splitmix(ids.astype(np.uint64))
-    power = np.uint64(1)
-    h = np.zeros(n - window + 1, np.uint64)
-    for k in range(window):
-        h += v[window - 1 - k : n - k] * power
-        power = np.uint64((int(power) * _BASE) & ((1 << 64) - 1))
-    marks = (np.flatnonzero((splitmix(h) & np.uint64(mean - 1)) == 0) + window).tolist()
+    if marks is None:
+        marks = np.flatnonzero((rolling(ids, window) & np.uint64(mean - 1)) == 0) + window
     ends, last = [], 0
-    for m in [*marks, n]:
+    for m in [*marks.tolist(), n]:
         while m - last > most:
             last += most
             ends.append(last)
@@ -128,23 +132,33 @@ def _encode(tokenizer_path: str):
         from pyspark import TaskContext
 
         t, seen = byte_bpe(tokenizer_path), set()
+        end = np.array([END_ID], np.uint32)
         row_id = TaskContext.get().partitionId() << 36
         for b in batches:
             rows = []
-            for d, ids in zip(b.column("doc_id").to_pylist(), t.encode(b.column("text").to_pylist())):
-                ids = np.append(ids, np.uint32(END_ID))
+            every = t.encode(b.column("text").to_pylist())
+            flat = np.concatenate([x for ids in every for x in (ids, end)]) if every else end
+            flat = flat.astype("<u4", copy=False)
+            width = 2 if flat.max() < 65536 else 4
+            stored, raw = flat.astype(f"<u{width}", copy=False), memoryview(flat).cast("B")
+            marks = np.flatnonzero((rolling(flat) & np.uint64(MEAN - 1)) == 0) + WINDOW
+            at = 0
+            for d, ids in zip(b.column("doc_id").to_pylist(), every):
+                n = len(ids) + 1
+                lo, hi = np.searchsorted(marks, (at + WINDOW, at + n + 1)) if n > LEAST else (0, 0)
                 recipe, last = [], 0
-                for end in cut_points(ids):
-                    part, last = ids[last:end], end
-                    key = digest_of(part)
+                for stop in cut_points(flat[at : at + n], marks=marks[lo:hi] - at):
+                    a, z, n_ids = at + last, at + stop, stop - last
+                    last = stop
+                    key = hashlib.blake2b(raw[4 * a : 4 * z], digest_size=DIGEST).digest()
                     recipe.append(key)
                     if key not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
-                        width = 2 if part.max() < 65536 else 4
-                        rows.append((int.from_bytes(key[:8], "little", signed=True), "chunk", key, len(part), width, part.astype(f"<u{width}").tobytes(), None, None))
-                rows.append(((row_id * 0x9E3779B97F4A7C15) % (1 << 63), "recipe", b"".join(recipe), len(ids), None, merkle(recipe), d, row_id))
+                        rows.append((int.from_bytes(key[:8], "little", signed=True), "chunk", key, n_ids, width, stored[a:z].tobytes(), None, None))
+                at += n
+                rows.append(((row_id * 0x9E3779B97F4A7C15) % (1 << 63), "recipe", b"".join(recipe), n, None, merkle(recipe), d, row_id))
                 row_id += 1
             for lo in range(0, len(rows), 4000):
                 yield batch_of({f.name: [r[i] for r in rows[lo : lo + 4000]] for i, f in enumerate(_ENTRY)}, _ENTRY)
