@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import media, packing, pieces, store, tokens, toxicity
+from textloom.llm import ann, media, packing, pieces, pii, store, tokens, toxicity
 from textloom.llm.common import documents, shared_dir  # noqa: F401
 
 
@@ -32,6 +32,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_store(spark, store.write_store(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
 
 
+def op5_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, quantiser = ann.build_index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return ann.search(index, quantiser, index.where(F.col("vec_id") % 50 == 0).select("vec_id", "vector"), k=5)
+
+
 def op6_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -40,5 +45,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op6_sentencepiece_scan, op7_toxicity)}
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), found_col="kinds")
+    return found.select("doc_id", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op9_pii_pseudonyms)}
 ORACLES: dict[str, str] = {}

@@ -117,7 +117,6 @@ def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: in
     out = rng.normal(0, 1, (dim, 2)) / dim
     bias = np.zeros(2)
     g_emb, g_out, g_bias = np.full(n_buckets, 1e-8), np.full((dim, 2), 1e-8), np.full(2, 1e-8)
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 
     def add(size, index, values):
         return np.stack([np.bincount(index, values[:, k], size) for k in range(values.shape[1])], axis=1)
@@ -139,7 +138,6 @@ def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: in
             p /= p.sum(axis=1, keepdims=True)
             err = p.copy()
             err[np.arange(len(docs)), y[docs].astype(int)] -= 1
-            err *= balance[docs][:, None]
             d_text = err @ out.T
             d_out, d_bias = text.T @ err, err.sum(axis=0)
             d_vec = add(len(uniq), word_of, d_text[doc_of] * counts[pos][:, None]) / sizes[uniq][:, None]
