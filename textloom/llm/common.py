@@ -44,6 +44,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of what is now a table can go
     return spark.read.schema(df.schema).parquet(path)
 
 
