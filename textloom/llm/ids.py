@@ -20,8 +20,6 @@ _SETTLED = r"\t\n\r -~¡-¬®-ɏЀ-ҁҊ-ӿ–-”ぁ-ゖァ-ヺ一-龥"
 _ODD = re.compile(f"[^{_SETTLED}]")
 #: The pre-token pattern of this family of files: a fixed value.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A pre-token this long goes to tokenizers as well: no assumption about the fast core's worst case.
-_LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -42,7 +40,7 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = added
         self.fast = self._core(spec, set(added))
 
     def _core(self, spec: dict, added: set[str]):
@@ -60,7 +58,7 @@ class ByteBpe:
         return tiktoken.Encoding("ids", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _plain(self, text: str) -> bool:
-        return self.fast is not None and not _ODD.search(text) and not (self.special and self.special.search(text)) and not (len(text) >= 2000 and _LONG_RUN.search(text))
+        return self.fast is not None and (text.isascii() or not _ODD.search(text)) and not any(x in text for x in self.special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without added special tokens."""
