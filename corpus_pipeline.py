@@ -1,8 +1,65 @@
-"""Placeholder until all stages exist."""
+"""From raw documents to packed sequences: five stages, each one operator of textloom.llm.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's documents. All but the last return the
+columns of documents. Each works on everything its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import jaccard, packing, pii, suffix, toxicity
+from textloom.llm.common import documents, materialise
+from textloom.llm.queries import vocabulary
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text, where the table has it."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is 0.7 or more go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.train(*toxicity.training_rows(docs, labels, toxicity.third)))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur twice are cut out; the documents stay."""
+    return _counted(suffix.without_repeats(docs))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(pii.pseudonymise(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("pii", hide_personal_data),
+    ("best_fit_packing", pack),
+]
+
+#: No SQL states a trained score, byte-level repeats or keyed permutations; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{name}")
+    return docs

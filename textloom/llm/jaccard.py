@@ -35,7 +35,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_batches, batch_of, id_text, materialise, splitmix
@@ -369,3 +369,18 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bl
     linked = named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
     alone = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the smallest id of their class, with all their columns.
+
+    Rows that repeat an id with the same text stay once; texts without words are no
+    one's copies and all stay. Rows of one id with different texts stay or go together.
+    """
+    found = jaccard_join(docs, width, percent, id_col=id_col, text_col=text_col)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__loom_id")).distinct()
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    stay = docs.withColumn("__loom_key", key).join(kept, F.col("__loom_key").eqNullSafe(F.col("__loom_id")), "left_semi")
+    order = Window.partitionBy("__loom_key", F.xxhash64(text)).orderBy(F.lit(0))
+    first = stay.withColumn("__loom_no", F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.row_number().over(order)).otherwise(1))
+    return first.where("__loom_no = 1").select(*docs.columns)

@@ -227,26 +227,40 @@ def _unzip(blob: bytes) -> np.ndarray:
 
 
 def _gather(part_bytes: int):
-    """Documents to parts: one row with the ids and sizes and the compressed text bytes."""
+    """Documents to parts: one row with the ids and sizes, the compressed text bytes, and
+    the other columns of these rows (Arrow IPC)."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, docs, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        part, docs, texts, size, pieces = TaskContext.get().partitionId() << 32, [], [], 0, []
 
         def row():
             m = np.array([(0 if d is None else d, d is not None, len(t)) for d, t in zip(docs, texts)], _DOC)
-            return part, "text", part, _zip(b"".join(texts)), m.tobytes(), b""
+            rest = b""
+            if pieces and pieces[0].num_columns:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pieces[0].schema) as w:
+                    for x in pieces:
+                        w.write_batch(x)
+                rest = _zip(sink.getvalue().to_pybytes())
+            return part, "text", part, _zip(b"".join(texts)), m.tobytes(), rest
 
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            others = b.select([n for n in b.schema.names if n not in ("__loom_id", "__loom_text")])
+            from_row = 0
+            for i, (d, t) in enumerate(zip(b.column("__loom_id").to_pylist(), b.column("__loom_text").to_pylist())):
                 raw = t.encode()
                 if texts and size + len(raw) > part_bytes:
+                    if i > from_row:
+                        pieces.append(others.slice(from_row, i - from_row))
                     yield from _flow([row()])
-                    part, docs, texts, size = part + 1, [], [], 0
+                    part, docs, texts, size, pieces, from_row = part + 1, [], [], 0, [], i
                 docs.append(d)
                 texts.append(raw)
                 size += len(raw)
+            if b.num_rows > from_row:
+                pieces.append(others.slice(from_row, b.num_rows - from_row))
         if texts:
             yield from _flow([row()])
 
@@ -456,50 +470,88 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 _OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, stops array<long>"
 
 
-def _finish(length: int):
-    """Part tasks: all spans of a part, cut at the documents' ends."""
+def _covered(rows: dict, length: int):
+    """Texts of a part in order: (id, bytes, removed flags)."""
+    blob, docs, rest = rows["text"][0]
+    data, docs = _unzip(blob), np.frombuffer(docs, _DOC)
+    cover = np.zeros(len(data) + 1, np.int32)
+    for a, b, _ in rows.get("span", []):
+        np.add.at(cover, np.frombuffer(a, "<u4"), 1)
+        np.add.at(cover, np.frombuffer(b, "<u4"), -1)
+    again = _joined(rows.get("again", []), "<u4").astype(np.int64)
+    np.add.at(cover, again, 1)
+    np.add.at(cover, again + length, -1)
+    gone = np.cumsum(cover[:-1]) > 0
+    for d, end in zip(docs, np.cumsum(docs["size"]).tolist()):
+        own = slice(end - int(d["size"]), end)
+        yield int(d["doc_id"]) if d["has_id"] else None, data[own], gone[own]
+
+
+def _spans_of(length: int):
+    """Part tasks: what is removed of every document."""
 
     def one(part, rows):
-        blob, docs, _ = rows["text"][0]
-        data, docs = _unzip(blob), np.frombuffer(docs, _DOC)
-        cover = np.zeros(len(data) + 1, np.int32)
-        for a, b, _ in rows.get("span", []):
-            np.add.at(cover, np.frombuffer(a, "<u4"), 1)
-            np.add.at(cover, np.frombuffer(b, "<u4"), -1)
-        again = _joined(rows.get("again", []), "<u4").astype(np.int64)
-        np.add.at(cover, again, 1)
-        np.add.at(cover, again + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        ends = np.cumsum(docs["size"])
         out = {f.name: [] for f in _OUT}
-        for d, end in zip(docs, ends.tolist()):
-            lo = end - int(d["size"])
-            own = gone[lo:end].view(np.int8)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]))).tolist()
-            starts, stops = edge[::2], edge[1::2]
-            kept = data[lo:end][~gone[lo:end]].tobytes() if starts else data[lo:end].tobytes()
-            for k, v in (("doc_id", int(d["doc_id"]) if d["has_id"] else None), ("n_bytes", end - lo), ("n_removed", end - lo - len(kept)), ("n_spans", len(starts)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept), ("starts", starts), ("stops", stops)):
+        for doc_id, data, gone in _covered(rows, length):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
+            kept = data[~gone].tobytes()
+            for k, v in (("doc_id", doc_id), ("n_bytes", len(data)), ("n_removed", len(data) - len(kept)), ("n_spans", len(edge) // 2), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept), ("starts", edge[::2]), ("stops", edge[1::2])):
                 out[k].append(v)
         yield batch_of(out, _OUT)
 
     return _by_part(one)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, part_bytes: int = PART_BYTES // 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), starts and stops of the removed spans."""
-    spark = docs.sparkSession
+def _rewritten(length: int, names: list[str], text_col: str):
+    """Part tasks: the rows themselves, their text without what is removed."""
+
+    def one(part, rows):
+        texts = [data[~gone].tobytes().decode(errors="ignore") for _, data, gone in _covered(rows, length)]
+        rest = rows["text"][0][2]
+        others = pa.ipc.open_stream(_unzip(rest).tobytes()).read_all() if rest else None
+        arrays = [pa.array(texts, pa.string()) if n == text_col else others.column(n).combine_chunks() for n in names]
+        yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays], names=names)
+
+    return _by_part(one)
+
+
+def _check(length: int, gram: int, run: int) -> None:
     if not (run < length - gram and length - gram < 256 and gram >= 8):
         raise ValueError("needs run < length - gram < 256 and grams of 8 bytes or more")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    arrow_batches(spark, 256)
-    texts = materialise(id_text(docs, id_col, text_col).mapInArrow(_gather(part_bytes), _FLOW_DDL), "texts")
-    arrow_batches(spark, 32)  # rows are parts and blobs from here on
+
+
+def _found(texts: DataFrame, length: int, gram: int, run: int) -> DataFrame:
+    """Rows of parts with their texts and the spans to remove, sorted by part."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrow_batches(texts.sparkSession, 32)  # rows are parts and blobs from here on
     by_deal = lambda df, f: df.repartition(n, "deal").mapInArrow(f, _FLOW_DDL)
-    by_part = lambda df, f, ddl=_FLOW_DDL: df.repartition(n, "part").sortWithinPartitions("part").mapInArrow(f, ddl)
-    places = by_deal(texts.mapInArrow(_posts(n, length, gram, PART_BYTES), _FLOW_DDL), _compare(("full", "mixed"), _PLACE))
-    runs = materialise(by_part(texts.unionByName(places), _runs(n, length, run)), "runs")
+    by_part = lambda df: df.repartition(n, "part").sortWithinPartitions("part")
+    places = by_deal(texts.withColumn("c", F.lit(b"")).mapInArrow(_posts(n, length, gram, PART_BYTES), _FLOW_DDL), _compare(("full", "mixed"), _PLACE))
+    runs = materialise(by_part(texts.withColumn("c", F.lit(b"")).unionByName(places)).mapInArrow(_runs(n, length, run), _FLOW_DDL), "runs")
     open_runs = by_deal(runs.where("kind = 'run'"), _compare(("fullrun", "openrun"), _RUNS))
-    windows = materialise(by_part(runs.where("kind = 'ctx'").unionByName(open_runs), _windows(n, length, run)), "windows")
+    windows = materialise(by_part(runs.where("kind = 'ctx'").unionByName(open_runs)).mapInArrow(_windows(n, length, run), _FLOW_DDL), "windows")
     again = by_deal(windows.where("kind = 'window'"), _compare(("again", "same"), np.dtype("<u4"))).where("kind = 'again'")
     spans = runs.where("kind = 'span'").unionByName(windows.where("kind = 'span'")).unionByName(again)
-    return by_part(texts.unionByName(spans), _finish(length), _OUT_DDL)
+    return by_part(texts.unionByName(spans))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, part_bytes: int = PART_BYTES // 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), starts and stops of the removed spans."""
+    _check(length, gram, run)
+    arrow_batches(docs.sparkSession, 256)
+    rows = id_text(docs, id_col, text_col).toDF("__loom_id", "__loom_text")
+    texts = materialise(rows.mapInArrow(_gather(part_bytes), _FLOW_DDL), "texts")
+    return _found(texts, length, gram, run).mapInArrow(_spans_of(length), _OUT_DDL)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, part_bytes: int = PART_BYTES // 4, text_col: str = "text") -> DataFrame:
+    """The documents with their other columns, the repeated strings cut out of the text.
+
+    A cut inside a character drops that character's other bytes; null text becomes empty.
+    """
+    _check(length, gram, run)
+    arrow_batches(docs.sparkSession, 256)
+    rows = docs.select(F.lit(None).cast("long").alias("__loom_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__loom_text"), *[c for c in docs.columns if c != text_col])
+    texts = materialise(rows.mapInArrow(_gather(part_bytes), _FLOW_DDL), "texts")
+    schema = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else c for c in docs.columns]).schema
+    return _found(texts, length, gram, run).mapInArrow(_rewritten(length, docs.columns, text_col), schema)

@@ -189,3 +189,16 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return scored(docs, train(*training_rows(docs, labels, third, label=label, id_col=id_col, text_col=text_col)), threshold, id_col, text_col)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with all their columns; null text is scored as empty."""
+    arrow_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # n_buckets floats
+
+    def run(batches):
+        m = Model(*sent.value)
+        for b in batches:
+            yield b.filter(pa.array([m.score(t or "") < threshold for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
