@@ -6,16 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed as X
-from textloom.functions.text import count_alpha_words, has_letters, matches, strip
+from textloom.functions.text import count_alpha_words, has_letters, let, matches, strip
 
 
 def category(text: Column, repeated: Column | None = None) -> Column:
     """Junk category of a cleaned paragraph, or null; the order of the rules counts."""
-    s = strip(text)
-    n = count_alpha_words(s)
+    seen = F.coalesce(repeated, F.lit(False)) if repeated is not None else F.lit(False)
+    return let(strip(text), lambda s: let(count_alpha_words(s), lambda n: _rules(text, s, n, seen)))
+
+
+def _rules(text: Column, s: Column, n: Column, repeated: Column) -> Column:
     rules = [
         ("empty", text == ""),
-        ("header_footer", F.coalesce(repeated, F.lit(False)) if repeated is not None else F.lit(False)),
+        ("header_footer", repeated),
         ("page_number", matches(s, X.PAGE_NUMBER)),
         ("decorative", matches(s, X.DECORATIVE) | (~has_letters(s) & (F.length(s) >= 3))),
         ("empty", ~has_letters(s)),

@@ -20,6 +20,11 @@ def rx(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + re.sub(r"(?<!\\)\$", r"\\z", wide)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(c: Column, pattern: str, ignore_case: bool = True) -> Column:
     return c.rlike(rx(pattern, ignore_case))
 
@@ -135,13 +140,12 @@ def strip_inline_garbage(c: Column) -> tuple[Column, Column]:
 def strip_options(c: Column) -> tuple[Column, Column]:
     """(text before a block of answer options, whether there is such a block)."""
     marker, answer = rx(X.OPTION_MARKER), rx(X.OPTION_ANSWER, True)
-    n, said = F.regexp_count(c, F.lit(marker)), c.rlike(answer)
-    block = F.coalesce((n >= 3) | ((n >= 2) & said), F.lit(False))
+    said = c.rlike(answer)
+    block = F.coalesce(let(F.regexp_count(c, F.lit(marker)), lambda n: (n >= 3) | ((n == 2) & said)), F.lit(False))
     at = F.regexp_instr(c, F.lit(marker))
     first = F.when(said, F.least(at, F.regexp_instr(c, F.lit(answer)))).otherwise(at)
-    lead = strip(F.substring(c, F.lit(1), first - 1))
-    prose = (count_alpha_words(lead) >= 3) & lead.rlike(rx(X.SENTENCE_END))
-    return F.when(~block, c).when(prose, lead).otherwise(""), block
+    prose = lambda lead: F.when((count_alpha_words(lead) >= 3) & lead.rlike(rx(X.SENTENCE_END)), lead).otherwise("")
+    return F.when(~block, c).otherwise(let(strip(F.substring(c, F.lit(1), first - 1)), prose)), block
 
 
 def repeat_key(c: Column) -> Column:
@@ -165,7 +169,8 @@ def split_sentences(c: Column) -> Column:
 
     def step(out: Column, p: Column) -> Column:
         last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
-        glue = (F.size(out) > 0) & F.lower(last_token(last)).isin(X.ABBREVIATIONS)
+        # the last eight words hold the last one that is no quote mark
+        glue = (F.size(out) > 0) & F.lower(last_token(F.substring_index(last, " ", -8))).isin(X.ABBREVIATIONS)
         return F.when(glue, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.lit(" "), p)))).otherwise(F.concat(out, F.array(p)))
 
     joined = F.aggregate(parts, F.array().cast("array<string>"), step)
@@ -191,9 +196,11 @@ def sentence_key(c: Column) -> Column:
 
 
 def is_junk_sentence(c: Column) -> Column:
-    s = strip(c)
-    junk = (s == "") | s.rlike(rx(r"^[A-Za-z]\s+[A-Z]")) | (count_words(s) < 2) | matches(s, X.JUNK_LABEL) | matches(s, X.ORPHAN_TAIL)
-    return junk | (F.size(content_words(s)) == 0)
+    def test(s: Column) -> Column:
+        junk = (s == "") | s.rlike(rx(r"^[A-Za-z]\s+[A-Z]")) | (count_words(s) < 2) | matches(s, X.JUNK_LABEL) | matches(s, X.ORPHAN_TAIL)
+        return junk | (F.size(content_words(s)) == 0)
+
+    return let(strip(c), test)
 
 
 def is_question_sentence(c: Column) -> Column:
@@ -202,25 +209,30 @@ def is_question_sentence(c: Column) -> Column:
 
 
 def is_question_text(c: Column, share: float = 0.6) -> Column:
-    s = split_sentences(c)
-    return (F.size(s) > 0) & (F.size(F.filter(s, is_question_sentence)) / F.size(s) >= share)
+    return let(split_sentences(c), lambda s: (F.size(s) > 0) & (F.size(F.filter(s, is_question_sentence)) / F.greatest(F.size(s), F.lit(1)) >= share))
 
 
 def is_meaningful(c: Column) -> Column:
-    s = strip(c)
-    return (s != "") & (s.endswith("?") | matches(s, X.MEANINGFUL_HEADING) | matches(s, X.MEANINGFUL_LABEL) | (F.size(content_words(s)) >= 2))
+    return let(strip(c), lambda s: (s != "") & (s.endswith("?") | matches(s, X.MEANINGFUL_HEADING) | matches(s, X.MEANINGFUL_LABEL) | (F.size(content_words(s)) >= 2)))
 
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Largest k for which the last k words of a are the first k of b."""
-    x, y = words(a), words(b)
-    n = F.least(F.size(x), F.size(y))
-    ks = F.filter(F.sequence(F.lit(0), n), lambda k: (k > 0) & (F.slice(x, F.size(x) - k + 1, F.greatest(k, F.lit(1))) == F.slice(y, F.lit(1), F.greatest(k, F.lit(1)))))
-    return F.coalesce(F.array_max(ks), F.lit(0))
+
+    def longest(x: Column, y: Column) -> Column:
+        same = lambda k: (k > 0) & (F.slice(x, F.size(x) - k + 1, F.greatest(k, F.lit(1))) == F.slice(y, F.lit(1), F.greatest(k, F.lit(1))))
+        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.size(x), F.size(y))), same)), F.lit(0))
+
+    return let(words(a), lambda x: let(words(b), lambda y: longest(x, y)))
 
 
 def prepare_sentences(c: Column) -> Column:
     """The sentences that child chunks are packed from: no markers, junk or direct repeats."""
     kept = F.filter(split_sentences(strip_list_markers(c)), lambda s: ~is_junk_sentence(s))
-    fresh = lambda s, i: (i == 0) | (sentence_key(s) != sentence_key(F.coalesce(F.try_element_at(kept, i), F.lit(""))))
-    return F.transform(F.filter(kept, fresh), strip)
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = lambda key: F.when(~key.eqNullSafe(acc["key"]), F.struct(F.concat(acc["out"], F.array(strip(s))).alias("out"), key.alias("key"))).otherwise(acc)
+        return let(sentence_key(s), fresh)
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("key"))
+    return F.aggregate(kept, start, step, lambda acc: acc["out"])

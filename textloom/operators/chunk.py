@@ -70,9 +70,11 @@ def pack_words(sentences: Column, most: int) -> Column:
     """Greedy packing of sentences into texts of at most `most` words; a long sentence stays whole."""
 
     def step(s: Column, x: Column) -> Column:
-        joined = T.strip(F.concat_ws(" ", s["cur"], x))
-        full = (s["cur"] != "") & (T.count_words(joined) > most)
-        return F.struct(F.when(full, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]).alias("out"), F.when(full, x).otherwise(joined).alias("cur"))
+        def add(joined: Column) -> Column:
+            full = (s["cur"] != "") & (T.count_words(joined) > most)
+            return F.when(full, F.struct(F.concat(s["out"], F.array(s["cur"])).alias("out"), x.alias("cur"))).otherwise(F.struct(s["out"].alias("out"), joined.alias("cur")))
+
+        return T.let(T.strip(F.concat_ws(" ", s["cur"], x)), add)
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
     return F.aggregate(sentences, start, step, lambda s: F.when(s["cur"] != "", F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
@@ -99,17 +101,17 @@ def pack_similar(sentences: Column, vectors: Column, most: int, threshold: float
     both = F.arrays_zip(sentences.alias("t"), vectors.alias("v"))
 
     def step(s: Column, x: Column) -> Column:
-        v = F.transform(x["v"], lambda e: e.cast("double"))
-        joined = F.concat(s["cur"], F.lit(" "), x["t"])
-        first = s["n"] == 0
-        close = ~first & ((T.count_words(joined) > most) | (cosine(s["mean"], v) < threshold))
-        fresh = first | close
-        return F.struct(
-            F.when(close, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]).alias("out"),
-            F.when(fresh, x["t"]).otherwise(joined).alias("cur"),
-            F.when(fresh, v).otherwise(running_mean(s["mean"], s["n"], v)).alias("mean"),
-            F.when(fresh, F.lit(1)).otherwise(s["n"] + 1).alias("n"),
-        )
+        def add(v: Column) -> Column:
+            row = lambda out, cur, mean, n: F.struct(out.alias("out"), cur.alias("cur"), mean.alias("mean"), n.alias("n"))
+            joined = F.concat(s["cur"], F.lit(" "), x["t"])
+            close = (T.count_words(joined) > most) | (cosine(s["mean"], v) < threshold)
+            return (
+                F.when(s["n"] == 0, row(s["out"], x["t"], v, F.lit(1)))
+                .when(close, row(F.concat(s["out"], F.array(s["cur"])), x["t"], v, F.lit(1)))
+                .otherwise(row(s["out"], joined, running_mean(s["mean"], s["n"], v), s["n"] + 1))
+            )
+
+        return T.let(F.transform(x["v"], lambda e: e.cast("double")), add)
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.array().cast("array<double>").alias("mean"), F.lit(0).alias("n"))
     return F.aggregate(both, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
@@ -122,10 +124,15 @@ def floor_small(groups: Column, settings: Settings = DEFAULTS) -> Column:
 
     def step(out: Column, g: Column) -> Column:
         last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
-        gone = (tokens(g) <= settings.child_drop_tokens) & ~T.is_meaningful(g)
-        merge = (F.size(out) > 0) & (tokens(g) <= settings.child_merge_tokens) & (T.count_words(last) + T.count_words(g) <= most)
-        joined = T.strip(F.concat(last, F.lit(" "), g))
-        return F.when(gone, out).when(merge, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(g)))
+
+        def place(n: Column) -> Column:
+            held = (n / F.lit(settings.words_per_token)).cast("int")
+            merge = (F.size(out) > 0) & (held <= settings.child_merge_tokens) & (T.count_words(last) + n <= most)
+            joined = T.strip(F.concat(last, F.lit(" "), g))
+            gone = (held <= settings.child_drop_tokens) & ~T.is_meaningful(g)
+            return F.when(gone, out).when(merge, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(g)))
+
+        return T.let(T.count_words(g), place)
 
     def head(out: Column) -> Column:
         first, second = F.coalesce(F.try_element_at(out, F.lit(1)), F.lit("")), F.coalesce(F.try_element_at(out, F.lit(2)), F.lit(""))
@@ -139,10 +146,12 @@ def overlap(bodies: Column, settings: Settings = DEFAULTS) -> Column:
     """Every body starts with the last sentence of the one before, if it fits and is not in it."""
 
     def step(out: Column, b: Column) -> Column:
-        carried = T.last_sentence(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit("")))
-        joined = T.strip(F.concat(carried, F.lit(" "), b))
-        add = (carried != "") & ~b.contains(carried) & (T.count_words(joined) <= settings.child_max_words)
-        return F.concat(out, F.array(F.when(add, joined).otherwise(b)))
+        def carry(last: Column) -> Column:
+            joined = T.strip(F.concat(last, F.lit(" "), b))
+            add = (last != "") & ~b.contains(last) & (T.count_words(joined) <= settings.child_max_words)
+            return F.concat(out, F.array(F.when(add, joined).otherwise(b)))
+
+        return T.let(T.last_sentence(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))), carry)
 
     return F.aggregate(F.filter(F.transform(bodies, T.strip), lambda b: b != ""), F.array().cast("array<string>"), step)
 
@@ -151,18 +160,20 @@ def dispatch_pages(bodies: Column, start: Column, end: Column) -> Column:
     """Array of (page_start, page_end): the page range spread by share of words, half-even."""
     s = F.coalesce(start, F.lit(1))
     e = F.when(end.isNull() | (end < s), s).otherwise(end)
-    counts = F.transform(bodies, T.count_words)
-    total = F.greatest(F.aggregate(counts, F.lit(0), lambda a, x: a + x), F.lit(1))
     span = (e - s).cast("double")
+    first = F.struct(F.array().cast("array<struct<page_start:int,page_end:int>>").alias("out"), F.lit(0.0).alias("cum"))
 
-    def step(acc: Column, n: Column) -> Column:
-        cum = acc["cum"] + n / total * span
-        low = F.greatest(s, F.least(e, s + F.bround(acc["cum"]).cast("int")))
-        high = F.greatest(low, F.least(e, s + F.bround(cum).cast("int")))
-        return F.struct(F.concat(acc["out"], F.array(F.struct(low.alias("page_start"), high.alias("page_end")))).alias("out"), cum.alias("cum"))
+    def spread(counts: Column, total: Column) -> Column:
+        def step(acc: Column, n: Column) -> Column:
+            cum = acc["cum"] + n / total * span
+            low = F.greatest(s, F.least(e, s + F.bround(acc["cum"]).cast("int")))
+            high = F.greatest(low, F.least(e, s + F.bround(cum).cast("int")))
+            return F.struct(F.concat(acc["out"], F.array(F.struct(low.alias("page_start"), high.alias("page_end")))).alias("out"), cum.alias("cum"))
 
-    first = F.struct(F.array().cast("array<struct<page_start:int,page_end:int>>").alias("out"), F.lit(0.0).alias("cum"))
-    return F.aggregate(counts, first, step, lambda a: a["out"])
+        return F.aggregate(counts, first, step, lambda a: a["out"])
+
+    total = lambda counts: F.greatest(F.aggregate(counts, F.lit(0), lambda a, x: a + x), F.lit(1))
+    return T.let(F.transform(bodies, T.count_words), lambda counts: T.let(total(counts), lambda n: spread(counts, n)))
 
 
 def children_of(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

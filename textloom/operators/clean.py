@@ -15,6 +15,7 @@ from textloom.functions import fixed as X
 from textloom.functions.classify import category
 from textloom.functions.text import clean_text, count_alpha_words, nfkc, repeat_key, strip, strip_inline_footnotes, strip_inline_garbage, strip_options
 from textloom.sources.pages import items
+from textloom.sources.shared import materialise
 
 
 def repeated_lines(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -75,8 +76,11 @@ def keep_first(rows: DataFrame) -> DataFrame:
 
 
 def clean(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Judged items with duplicates marked; kept items have a null category and a text."""
-    return keep_first(judged_items(pages, settings))
+    """Judged items with duplicates marked; kept items have a null category and a text.
+
+    The judged items are written once: the search for first places reads them twice.
+    """
+    return keep_first(materialise(judged_items(pages, settings), "judged"))
 
 
 def kept_items(cleaned: DataFrame) -> DataFrame:

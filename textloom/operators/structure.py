@@ -64,7 +64,7 @@ def chunk_report(parents: DataFrame, children: DataFrame, settings: Settings = D
     p = parents.join(n, ["document_id", "parent_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     head = F.concat(F.lit("SECTION "), show(F.col("title"), "UNTITLED"), F.lit(" | id="), F.col("parent_id"), F.lit(" | pages="), pages, size, F.lit(" | subsections="), F.col("n"))
     p_lines = p.select("document_id", "parent_order", F.lit(-1).alias("child_order"), F.posexplode(F.array(F.lit(""), F.lit(rule), head, F.lit(thin), text(F.col("content")), F.lit(""))).alias("i", "line"))
-    c = children.join(p.select("document_id", "parent_id", "parent_order", "n"), ["document_id", "parent_id"])
+    c = children.drop("parent_order").join(p.select("document_id", "parent_id", "parent_order", "n"), ["document_id", "parent_id"])
     sub = F.concat(F.lit("  SUBSECTION "), F.col("child_order") + 1, F.lit("/"), F.col("n"), F.lit(" "), show(F.col("title"), "(single subsection - suppressed)"), F.lit(" | id="), F.col("child_id"), F.lit(" | pages="), pages, size)
     c_lines = c.select("document_id", "parent_order", "child_order", F.posexplode(F.array(F.lit(thin), sub, F.lit(thin), text(F.col("content")), F.lit(""))).alias("i", "line"))
     totals = parents.groupBy("document_id").agg(F.count("*").alias("np")).join(children.groupBy("document_id").agg(F.count("*").alias("nc")), "document_id", "left")

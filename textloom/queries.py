@@ -258,8 +258,9 @@ def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH lines AS (SELECT doc_id, i, {_words('t')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-  c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines)
-  SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(round_even(before / greatest(total, 1) * 9, 0) + 1 AS INTEGER) AS page_start, CAST(greatest(round_even(before / greatest(total, 1) * 9, 0), round_even((before + n) / greatest(total, 1) * 9, 0)) + 1 AS INTEGER) AS page_end FROM c""")
+  f AS (SELECT *, n / greatest(sum(n) OVER (PARTITION BY doc_id), 1) * 9 AS f FROM lines), c AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS up FROM f),
+  e AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM c)
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(round_even(before, 0) + 1 AS INTEGER) AS page_start, CAST(greatest(round_even(before, 0), round_even(up, 0)) + 1 AS INTEGER) AS page_end FROM e""")
 def page_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", chunk.dispatch_pages(F.split("text", "\n"), F.lit(1), F.lit(10)).alias("p"))
     return rows.select("doc_id", F.posexplode("p").alias("i", "p")).select("doc_id", "i", "p.page_start", "p.page_end")
@@ -502,10 +503,10 @@ def title_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literals(spark, list(enumerate(_TITLES)), "i int, title string").withColumn("blocked", titles.is_blocklisted(F.col("title")))
 
 
-@query("SELECT * FROM (VALUES (0,'Cost Functions: Linear Models',false), (1,'Overview',false), (2,'Introduction to Cells',true), (3,'The k-Nearest (SVM) Approach',true), (4,'Cells, Roots',false), (5,'Cell Cell',false), (6,'What Now?',false), (7,'Gradient Descent (SVM)',true), (8,'Root (bad',false), (9,'Deep Learning',true)) v(i, title, valid)")
+@query("SELECT * FROM (VALUES (0,'Cost Functions: Linear Models',true), (1,'Overview',false), (2,'Introduction to Cells',true), (3,'The k-Nearest (SVM) Approach',true), (4,'Cells, Roots',false), (5,'Cell Cell',false), (6,'What Now?',false), (7,'Gradient Descent (SVM)',true), (8,'Root (bad',false), (9,'Deep Learning\"',true)) v(i, title, valid)")
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = literals(spark, list(enumerate(_TITLES)), "i int, raw string")
-    return rows.select("i", titles.clean_title(F.col("raw")).alias("title"), titles.is_valid_title(F.col("raw")).alias("valid"))
+    return rows.select("i", titles.clean_title(F.col("raw")).alias("title"), titles.is_valid_title(titles.clean_title(F.col("raw"))).alias("valid"))
 
 
 @query("SELECT arg_max(event_id, (ts, event_id)) AS event_id FROM events")
