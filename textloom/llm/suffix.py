@@ -3,7 +3,7 @@
 A byte is removed where a string of `length` bytes that covers it starts a second
 time in the table, in any document or the same one. Steps, each an exchange by hash:
 
-1. Texts are gathered into parts. In every window of `length` bytes the smallest
+1. Texts are gathered into parts, and parts into groups that deal hashes together. In every window of `length` bytes the smallest
    keyed hash of its grams is the window's anchor; equal windows have equal anchors
    at equal places, so only windows of anchors whose gram repeats can repeat. An
    anchor's context is all bytes of the windows that it anchors.
@@ -43,7 +43,12 @@ GRAM = 64
 #: Windows of a run of step 3.
 RUN = 16
 #: Bytes of text in a part, and of a longer document in one go.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 18
+GO_BYTES = 1 << 20
+#: Bytes of text in a group of parts, which deals its hashes in one go: at least so many, and
+#: so many for each bucket, so that the rows of an exchange do not grow with parts x buckets.
+GROUP_BYTES = 1 << 21
+GROUP_BYTES_PER_BUCKET = 12_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -64,7 +69,10 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """P with P[j] - P[i] = sum of (byte + 1) * BASE^place over data[i:j]."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64, out=out[1:])
+    out[1:] = data
+    out[1:] += np.uint64(1)
+    out[1:] *= up
+    np.cumsum(out, out=out)
     return out
 
 
@@ -97,11 +105,17 @@ class Anchors:
         self.at = self.lo = self.hi = empty
         if n < length:
             return
-        starts = np.arange(n - gram + 1)
-        grams = splitmix(span_hash(self.prefix, starts, starts + gram))
+        grams = self.prefix[gram:] - self.prefix[: n - gram + 1]
+        grams *= powers(n + 1)[1][: n - gram + 1]
+        grams = splitmix(grams)
         bits = np.uint64(max(1, n.bit_length()))
-        keys = (grams >> bits << bits) | starts.astype(np.uint64)
-        best = (window_minima(keys, length - gram + 1) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        keys = grams >> bits
+        keys <<= bits
+        keys |= np.arange(n - gram + 1, dtype=np.uint64)
+        best = window_minima(keys, length - gram + 1)
+        best &= np.uint64((1 << int(bits)) - 1)
+        best = best.view(np.int64)
+        del keys
         first = np.concatenate([[0], ends[:-1]])
         sizes = ends - first
         good = np.zeros(n + 1, np.int32)  # windows inside one text
@@ -202,8 +216,9 @@ def repeated_classes(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, l
 
 
 _DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("size", "<i8")])
-_PLACE = np.dtype([("at", "<u4"), ("ahead", "u1"), ("last", "u1")])  # anchor, anchor - first start, anchor - last start
-_RUNS = np.dtype([("ctx", "<u4"), ("block", "u1")])
+_PLACE = np.dtype([("part", "<u4"), ("at", "<u4"), ("ahead", "u1"), ("last", "u1")])  # anchor, anchor - first start, anchor - last start
+_RUNS = np.dtype([("part", "<u4"), ("ctx", "<u4"), ("block", "u1")])
+_START = np.dtype([("part", "<u4"), ("at", "<u4")])
 _CTX = np.dtype([("lo", "<u4"), ("ahead", "u1"), ("last", "u1")])
 _FLOW = pa.schema([("deal", pa.int64()), ("kind", pa.string()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _FLOW_DDL = "deal long, kind string, part long, a binary, b binary, c binary"
@@ -226,14 +241,15 @@ def _unzip(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), np.uint8)
 
 
-def _gather(part_bytes: int):
+def _gather(part_bytes: int, group_bytes: int):
     """Documents to parts: one row with the ids and sizes, the compressed text bytes, and
-    the other columns of these rows (Arrow IPC)."""
+    the other columns of these rows (Arrow IPC). Parts in a row are a group."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, docs, texts, size, pieces = TaskContext.get().partitionId() << 32, [], [], 0, []
+        group, part, held = TaskContext.get().partitionId() << 32, 0, 0
+        docs, texts, size, pieces = [], [], 0, []
 
         def row():
             m = np.array([(0 if d is None else d, d is not None, len(t)) for d, t in zip(docs, texts)], _DOC)
@@ -244,7 +260,7 @@ def _gather(part_bytes: int):
                     for x in pieces:
                         w.write_batch(x)
                 rest = _zip(sink.getvalue().to_pybytes())
-            return part, "text", part, _zip(b"".join(texts)), m.tobytes(), rest
+            return group, "text", part, _zip(b"".join(texts)), m.tobytes(), rest
 
         for b in batches:
             others = b.select([n for n in b.schema.names if n not in ("__loom_id", "__loom_text")])
@@ -255,7 +271,10 @@ def _gather(part_bytes: int):
                     if i > from_row:
                         pieces.append(others.slice(from_row, i - from_row))
                     yield from _flow([row()])
-                    part, docs, texts, size, pieces, from_row = part + 1, [], [], 0, [], i
+                    part, held = part + 1, held + size
+                    if held >= group_bytes:
+                        group, part, held = group + 1, 0, 0
+                    docs, texts, size, pieces, from_row = [], [], 0, [], i
                 docs.append(d)
                 texts.append(raw)
                 size += len(raw)
@@ -281,30 +300,53 @@ def _content_hashes(view: memoryview, starts: np.ndarray, stops: np.ndarray) ->
     return np.fromiter((h(view[i:j]) for i, j in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts))
 
 
+class _Dealer:
+    """Gathers (key, content, item) arrays of a group and deals them to buckets in one go."""
+
+    def __init__(self, buckets: int, kind: str):
+        self.buckets, self.kind, self.held = buckets, kind, []
+
+    def add(self, key: np.ndarray, content: np.ndarray, item: np.ndarray) -> None:
+        if len(key):
+            self.held.append((key, content, item))
+
+    def rows(self, group: int) -> list[tuple]:
+        if not self.held:
+            return []
+        key, content, item = (np.concatenate(x) for x in zip(*self.held))
+        self.held = []
+        order, cuts = _dealt(key, self.buckets)
+        key, content, item = key[order], content[order], item[order]
+        return [(k, self.kind, group, key[s].tobytes(), content[s].tobytes(), item[s].tobytes()) for k, s in cuts]
+
+
 def _posts(buckets: int, length: int, gram: int, go: int):
     """Anchors of every part, dealt by gram hash: hashes, content hashes and places."""
 
+    def anchors(part, blob, docs, dealer):
+        data = _unzip(blob)
+        view, ends = memoryview(data), np.cumsum(np.frombuffer(docs, _DOC)["size"])
+        for base in range(0, max(1, len(data)), go):
+            # windows that start in [base, base + go): a text longer than that is anchored in steps
+            stop = min(len(data), base + go + length - 1)
+            a = Anchors(data[base:stop], np.unique(np.minimum(np.append(ends[(ends > base) & (ends < stop)], stop), stop)) - base, length, gram)
+            if not len(a.at):
+                continue
+            at, lo, hi = a.at + base, a.lo + base, a.hi + base
+            place = np.zeros(len(at), _PLACE)
+            place["part"], place["at"], place["ahead"], place["last"] = part, at, at - lo, at - hi
+            content = splitmix(_content_hashes(view, lo, hi + length) ^ splitmix((at - lo).astype(np.uint64) << np.uint64(20) | (hi - lo).astype(np.uint64)))
+            dealer.add(splitmix(a.grams), content, place)  # anchors are minima: mixed again, they spread over all buckets
+
     def run(batches):
+        group, dealer = None, _Dealer(buckets, "post")
         for b in batches:
-            for part, blob, docs in zip(b.column("part").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist()):
-                data = _unzip(blob)
-                view, ends = memoryview(data), np.cumsum(np.frombuffer(docs, _DOC)["size"])
-                found = []
-                for base in range(0, max(1, len(data)), go):
-                    # windows that start in [base, base + go): a text longer than that is anchored in steps
-                    stop = min(len(data), base + go + length - 1)
-                    a = Anchors(data[base:stop], np.unique(np.minimum(np.append(ends[(ends > base) & (ends < stop)], stop), stop)) - base, length, gram)
-                    if len(a.at):
-                        found.append((a.at + base, a.lo + base, a.hi + base, a.grams))
-                if not found:
-                    continue
-                at, lo, hi, grams = (np.concatenate(x) for x in zip(*found))
-                place = np.zeros(len(at), _PLACE)
-                place["at"], place["ahead"], place["last"] = at, at - lo, at - hi
-                content = splitmix(_content_hashes(view, lo, hi + length) ^ splitmix((at - lo).astype(np.uint64) << np.uint64(20) | (hi - lo).astype(np.uint64)))
-                order, cuts = _dealt(grams, buckets)
-                grams, content, place = grams[order], content[order], place[order]
-                yield from _flow([(k, "post", part, grams[s].tobytes(), content[s].tobytes(), place[s].tobytes()) for k, s in cuts])
+            for g, part, blob, docs in zip(*(b.column(c).to_pylist() for c in ("deal", "part", "a", "b"))):
+                if g != group:
+                    yield from _flow(dealer.rows(group))
+                group = g
+                anchors(part, blob, docs, dealer)
+        yield from _flow(dealer.rows(group))
 
     return run
 
@@ -328,12 +370,12 @@ def _compare(kinds: tuple[str, str], item: np.dtype):
         mixed = np.zeros(len(k), bool)
         mixed[order] = new_c & several[k_no]
         at = 0
-        for (part, _, _, items), n in zip(posts, sizes):
+        for (part, _, _, items), n in zip(posts, sizes):  # back to the group it came from
             own = np.frombuffer(items, item)
             for kind, which in zip(kinds, (full, mixed)):
                 chosen = own[which[at : at + n]]
                 if len(chosen):
-                    yield part, kind, part, chosen.tobytes(), b"", b""
+                    yield part, kind, -1, chosen.tobytes(), b"", b""
             at += n
 
     def run(batches):
@@ -347,172 +389,216 @@ def _compare(kinds: tuple[str, str], item: np.dtype):
     return run
 
 
-def _by_part(one):
-    """Runs one(part, rows by kind) for every part of rows sorted by part."""
+def _by_group(make):
+    """Streams rows sorted by (group, part, kind): results of buckets first, as arrays, then
+    the group's own rows, one at a time."""
 
     def run(batches):
-        part, rows = None, {}
+        group, state = None, None
         for b in batches:
-            for p, kind, a, x, c in zip(*(b.column(n).to_pylist() for n in ("part", "kind", "a", "b", "c"))):
-                if p != part and rows:
-                    yield from one(part, rows)
-                    rows = {}
-                part = p
-                rows.setdefault(kind, []).append((a, x, c))
-        if rows:
-            yield from one(part, rows)
+            for g, kind, part, a, x, c in zip(*(b.column(n).to_pylist() for n in ("deal", "kind", "part", "a", "b", "c"))):
+                if state is None or g != group:
+                    if state is not None:
+                        yield from state.end()
+                    group, state = g, make(g)
+                if part < 0:
+                    state.found.setdefault(kind, []).append(a)
+                else:
+                    yield from state.item(kind, part, a, x, c)
+        if state is not None:
+            yield from state.end()
 
     return run
 
 
-def _joined(rows: list, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(a, dtype) for a, _, _ in rows]) if rows else np.zeros(0, dtype)
+class _Group:
+    """What the buckets sent back to a group, by part."""
+
+    dtype = _PLACE
+
+    def __init__(self, group: int):
+        self.group, self.found, self.sorted = group, {}, {}
 
+    def of(self, kind: str, part: int) -> np.ndarray:
+        if kind not in self.sorted:
+            every = np.concatenate([np.frombuffer(a, self.dtype) for a in self.found.pop(kind, [])] or [np.zeros(0, self.dtype)])
+            self.sorted[kind] = every[np.argsort(every["part"], kind="stable")]
+        s = self.sorted[kind]
+        return s[slice(*np.searchsorted(s["part"], (part, part + 1)))]
 
-def _spans(part: int, starts: np.ndarray, stops: np.ndarray) -> tuple:
+    def end(self):
+        return iter(())
+
+
+def _spans(group: int, part: int, starts: np.ndarray, stops: np.ndarray) -> tuple:
     """A row of the union of spans."""
     order = np.argsort(starts, kind="stable")
     s, e = starts[order].astype(np.int64), np.maximum.accumulate(stops[order].astype(np.int64))
     new = np.concatenate([[True], s[1:] > e[:-1]])
     last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
-    return part, "span", part, s[new].astype("<u4").tobytes(), e[last].astype("<u4").tobytes(), b""
+    return group, "span", part, s[new].astype("<u4").tobytes(), e[last].astype("<u4").tobytes(), b""
 
 
 def _runs(buckets: int, length: int, run: int):
-    """Part tasks: spans of contexts that repeat, and the undecided ones with their runs of windows."""
-
-    def one(part, rows):
-        out = []
-        full = _joined(rows.get("full", []), _PLACE)
-        if len(full):
-            at = full["at"].astype(np.int64)
-            out.append(_spans(part, at - full["ahead"], at - full["last"] + length))
-        mixed = np.sort(_joined(rows.get("mixed", []), _PLACE), order="at")
-        if len(mixed) and "text" in rows:
-            data = _unzip(rows["text"][0][0])
+    """Group tasks: spans of contexts that repeat, and the undecided ones with their runs of windows."""
+
+    class Runs(_Group):
+        def __init__(self, group):
+            super().__init__(group)
+            self.dealer = _Dealer(buckets, "run")
+
+        def item(self, kind, part, blob, docs, rest):
+            full, mixed = self.of("full", part), np.sort(self.of("mixed", part), order="at")
+            out = []
+            if len(full):
+                at = full["at"].astype(np.int64)
+                out.append(_spans(self.group, part, at - full["ahead"], at - full["last"] + length))
+            if len(mixed):
+                out.append(self.contexts(part, _unzip(blob), mixed))
+            yield from _flow(out)
+
+        def contexts(self, part, data, mixed):
             at = mixed["at"].astype(np.int64)
             lo, hi = at - mixed["ahead"], at - mixed["last"] + length
             sizes = hi - lo
             flat = data[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - lo, sizes)]
             ctx = np.zeros(len(mixed), _CTX)
             ctx["lo"], ctx["ahead"], ctx["last"] = lo, mixed["ahead"], mixed["last"]
-            out.append((part, "ctx", part, _zip(flat.tobytes()), ctx.tobytes(), b""))
             first, last = mixed["last"] // run, mixed["ahead"] // run  # blocks of windows by distance from the anchor
             n = (last - first + 1).astype(np.int64)
             no = np.repeat(np.arange(len(mixed)), n)
             block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
             near, far = np.maximum(block * run, mixed["last"][no]), np.minimum(block * run + run - 1, mixed["ahead"][no])
-            prefix = prefix_hashes(data)
-            core = splitmix(span_hash(prefix, at[no] - block * run, at[no] - block * run - run + 1 + length) + block.astype(np.uint64))
+            core = splitmix(span_hash(prefix_hashes(data), at[no] - block * run, at[no] - block * run - run + 1 + length) + block.astype(np.uint64))
             content = splitmix(_content_hashes(memoryview(data), at[no] - far, at[no] - near + length) ^ splitmix((near << 8 | far).astype(np.uint64)))
             item = np.zeros(len(no), _RUNS)
-            item["ctx"], item["block"] = no, block
-            order, cuts = _dealt(core, buckets)
-            core, content, item = core[order], content[order], item[order]
-            out += [(k, "run", part, core[s].tobytes(), content[s].tobytes(), item[s].tobytes()) for k, s in cuts]
-        yield from _flow(out)
+            item["part"], item["ctx"], item["block"] = part, no, block
+            self.dealer.add(core, content, item)
+            return self.group, "ctx", part, _zip(flat.tobytes()), ctx.tobytes(), b""
+
+        def end(self):
+            return _flow(self.dealer.rows(self.group))
 
-    return _by_part(one)
+    return _by_group(Runs)
 
 
 def _windows(buckets: int, length: int, run: int):
-    """Part tasks: windows of undecided runs, sorted as suffixes; classes that repeat here are
-    spans, and one window of every class goes to the other tasks' classes."""
+    """Group tasks: windows of undecided runs, sorted as suffixes; classes that repeat in a part
+    are spans, and one window of every class goes to the other tasks' classes."""
+
+    class Windows(_Group):
+        dtype = _RUNS
+
+        def __init__(self, group):
+            super().__init__(group)
+            self.dealer = _Dealer(buckets, "window")
+
+        def item(self, kind, part, blob, ctx, rest):
+            ctx = np.frombuffer(ctx, _CTX)
+            size = ctx["ahead"].astype(np.int64) - ctx["last"] + length
+            base = np.cumsum(size) - size  # where a context starts in the stored bytes
+
+            def starts(kind):
+                item = self.of(kind, part)
+                c = item["ctx"].astype(np.int64)
+                ahead, last = ctx["ahead"][c].astype(np.int64), ctx["last"][c].astype(np.int64)
+                block = item["block"].astype(np.int64)
+                near, far = np.maximum(block * run, last), np.minimum(block * run + run - 1, ahead)
+                return c, ahead - far, ahead - near  # first and last window start inside the context
+
+            out = []
+            c, first, last = starts("fullrun")
+            if len(c):
+                out.append(_spans(self.group, part, ctx["lo"][c] + first, ctx["lo"][c] + last + length))
+            c, first, last = starts("openrun")
+            if len(c):
+                n = last - first + 1
+                own = np.repeat(c, n)
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                data = _unzip(blob)
+                prefix = prefix_hashes(data)
+                s, label = repeated_classes(data, prefix, np.unique(base[own] + inner), length)
+                holder = np.searchsorted(base, s, side="right") - 1
+                real = ctx["lo"][holder].astype(np.int64) + s - base[holder]
+                again = np.bincount(label)[label] > 1
+                if again.any():
+                    out.append(_spans(self.group, part, real[again], real[again] + length))
+                rep = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+                item = np.zeros(len(rep), _START)
+                item["part"], item["at"] = part, real[rep]
+                self.dealer.add(splitmix(span_hash(prefix, s[rep], s[rep] + length)), _content_hashes(memoryview(data), s[rep], s[rep] + length), item)
+            yield from _flow(out)
 
-    def one(part, rows):
-        if "ctx" not in rows:
-            return
-        blob, ctx, _ = rows["ctx"][0]
-        ctx = np.frombuffer(ctx, _CTX)
-        size = ctx["ahead"].astype(np.int64) - ctx["last"] + length
-        base = np.cumsum(size) - size  # where a context starts in the stored bytes
-        out = []
-
-        def starts(kind):
-            item = _joined(rows.get(kind, []), _RUNS)
-            c = item["ctx"].astype(np.int64)
-            ahead, last = ctx["ahead"][c].astype(np.int64), ctx["last"][c].astype(np.int64)
-            block = item["block"].astype(np.int64)
-            near, far = np.maximum(block * run, last), np.minimum(block * run + run - 1, ahead)
-            return c, ahead - far, ahead - near  # first and last window start inside the context
-
-        c, first, last = starts("fullrun")
-        if len(c):
-            out.append(_spans(part, ctx["lo"][c] + first, ctx["lo"][c] + last + length))
-        c, first, last = starts("openrun")
-        if len(c):
-            data = _unzip(blob)
-            prefix = prefix_hashes(data)
-            n = last - first + 1
-            own = np.repeat(c, n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            place = np.unique(base[own] + inner)
-            s, label = repeated_classes(data, prefix, place, length)
-            holder = np.searchsorted(base, s, side="right") - 1
-            real = ctx["lo"][holder].astype(np.int64) + s - base[holder]
-            count = np.bincount(label)
-            again = count[label] > 1
-            if again.any():
-                out.append(_spans(part, real[again], real[again] + length))
-            rep = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
-            key = splitmix(span_hash(prefix, s[rep], s[rep] + length))
-            content = _content_hashes(memoryview(data), s[rep], s[rep] + length)
-            item = real[rep].astype("<u4")
-            order, cuts = _dealt(key, buckets)
-            key, content, item = key[order], content[order], item[order]
-            out += [(k, "window", part, key[x].tobytes(), content[x].tobytes(), item[x].tobytes()) for k, x in cuts]
-        yield from _flow(out)
-
-    return _by_part(one)
+        def end(self):
+            return _flow(self.dealer.rows(self.group))
+
+    return _by_group(Windows)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64()))])
 _OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, stops array<long>"
 
 
-def _covered(rows: dict, length: int):
-    """Texts of a part in order: (id, bytes, removed flags)."""
-    blob, docs, rest = rows["text"][0]
-    data, docs = _unzip(blob), np.frombuffer(docs, _DOC)
-    cover = np.zeros(len(data) + 1, np.int32)
-    for a, b, _ in rows.get("span", []):
-        np.add.at(cover, np.frombuffer(a, "<u4"), 1)
-        np.add.at(cover, np.frombuffer(b, "<u4"), -1)
-    again = _joined(rows.get("again", []), "<u4").astype(np.int64)
-    np.add.at(cover, again, 1)
-    np.add.at(cover, again + length, -1)
-    gone = np.cumsum(cover[:-1]) > 0
-    for d, end in zip(docs, np.cumsum(docs["size"]).tolist()):
-        own = slice(end - int(d["size"]), end)
-        yield int(d["doc_id"]) if d["has_id"] else None, data[own], gone[own]
+class _Final(_Group):
+    """Keeps a part's spans until its texts come, and then marks what goes."""
+
+    dtype = _START
+    length = LENGTH
+
+    def __init__(self, group):
+        super().__init__(group)
+        self.spans = []
+
+    def item(self, kind, part, a, b, c):
+        if kind == "span":
+            self.spans.append((np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")))
+            return
+        yield self.finish(list(self.covered(part, _unzip(a), np.frombuffer(b, _DOC))), c)
+        self.spans = []
+
+    def covered(self, part, data, docs):
+        """Texts of a part in order: (id, bytes, removed flags)."""
+        cover = np.zeros(len(data) + 1, np.int32)
+        again = self.of("again", part)["at"].astype(np.int64)
+        for starts, stops in [*self.spans, (again, again + self.length)]:
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, stops, -1)
+        gone = np.cumsum(cover[:-1]) > 0
+        for d, end in zip(docs, np.cumsum(docs["size"]).tolist()):
+            own = slice(end - int(d["size"]), end)
+            yield int(d["doc_id"]) if d["has_id"] else None, data[own], gone[own]
+
 
+def _spans_of(window: int):
+    """Group tasks: what is removed of every document."""
 
-def _spans_of(length: int):
-    """Part tasks: what is removed of every document."""
+    class Spans(_Final):
+        length = window
 
-    def one(part, rows):
-        out = {f.name: [] for f in _OUT}
-        for doc_id, data, gone in _covered(rows, length):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
-            kept = data[~gone].tobytes()
-            for k, v in (("doc_id", doc_id), ("n_bytes", len(data)), ("n_removed", len(data) - len(kept)), ("n_spans", len(edge) // 2), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept), ("starts", edge[::2]), ("stops", edge[1::2])):
-                out[k].append(v)
-        yield batch_of(out, _OUT)
+        def finish(self, texts, rest):
+            out = {f.name: [] for f in _OUT}
+            for doc_id, data, gone in texts:
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
+                kept = data[~gone].tobytes()
+                for k, v in (("doc_id", doc_id), ("n_bytes", len(data)), ("n_removed", len(data) - len(kept)), ("n_spans", len(edge) // 2), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept), ("starts", edge[::2]), ("stops", edge[1::2])):
+                    out[k].append(v)
+            return batch_of(out, _OUT)
 
-    return _by_part(one)
+    return _by_group(Spans)
 
 
-def _rewritten(length: int, names: list[str], text_col: str):
-    """Part tasks: the rows themselves, their text without what is removed."""
+def _rewritten(window: int, names: list[str], text_col: str):
+    """Group tasks: the rows themselves, their text without what is removed."""
 
-    def one(part, rows):
-        texts = [data[~gone].tobytes().decode(errors="ignore") for _, data, gone in _covered(rows, length)]
-        rest = rows["text"][0][2]
-        others = pa.ipc.open_stream(_unzip(rest).tobytes()).read_all() if rest else None
-        arrays = [pa.array(texts, pa.string()) if n == text_col else others.column(n).combine_chunks() for n in names]
-        yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays], names=names)
+    class Rows(_Final):
+        length = window
 
-    return _by_part(one)
+        def finish(self, texts, rest):
+            kept = pa.array([data[~gone].tobytes().decode(errors="ignore") for _, data, gone in texts], pa.string())
+            others = pa.ipc.open_stream(_unzip(rest).tobytes()).read_all().combine_chunks() if rest else None
+            return pa.RecordBatch.from_arrays([kept if n == text_col else others.column(n).chunk(0) for n in names], names=names)
+
+    return _by_group(Rows)
 
 
 def _check(length: int, gram: int, run: int) -> None:
@@ -520,31 +606,35 @@ def _check(length: int, gram: int, run: int) -> None:
         raise ValueError("needs run < length - gram < 256 and grams of 8 bytes or more")
 
 
+def _group_bytes(docs: DataFrame) -> int:
+    return max(GROUP_BYTES, GROUP_BYTES_PER_BUCKET * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _found(texts: DataFrame, length: int, gram: int, run: int) -> DataFrame:
-    """Rows of parts with their texts and the spans to remove, sorted by part."""
+    """Rows of groups with their texts and the spans to remove, in the order of _by_group."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arrow_batches(texts.sparkSession, 32)  # rows are parts and blobs from here on
     by_deal = lambda df, f: df.repartition(n, "deal").mapInArrow(f, _FLOW_DDL)
-    by_part = lambda df: df.repartition(n, "part").sortWithinPartitions("part")
-    places = by_deal(texts.withColumn("c", F.lit(b"")).mapInArrow(_posts(n, length, gram, PART_BYTES), _FLOW_DDL), _compare(("full", "mixed"), _PLACE))
-    runs = materialise(by_part(texts.withColumn("c", F.lit(b"")).unionByName(places)).mapInArrow(_runs(n, length, run), _FLOW_DDL), "runs")
+    by_group = lambda df: df.repartition(n, "deal").sortWithinPartitions("deal", "part", "kind")
+    places = by_deal(texts.withColumn("c", F.lit(b"")).mapInArrow(_posts(n, length, gram, GO_BYTES), _FLOW_DDL), _compare(("full", "mixed"), _PLACE))
+    runs = materialise(by_group(texts.withColumn("c", F.lit(b"")).unionByName(places)).mapInArrow(_runs(n, length, run), _FLOW_DDL), "runs")
     open_runs = by_deal(runs.where("kind = 'run'"), _compare(("fullrun", "openrun"), _RUNS))
-    windows = materialise(by_part(runs.where("kind = 'ctx'").unionByName(open_runs)).mapInArrow(_windows(n, length, run), _FLOW_DDL), "windows")
-    again = by_deal(windows.where("kind = 'window'"), _compare(("again", "same"), np.dtype("<u4"))).where("kind = 'again'")
+    windows = materialise(by_group(runs.where("kind = 'ctx'").unionByName(open_runs)).mapInArrow(_windows(n, length, run), _FLOW_DDL), "windows")
+    again = by_deal(windows.where("kind = 'window'"), _compare(("again", "same"), _START)).where("kind = 'again'")
     spans = runs.where("kind = 'span'").unionByName(windows.where("kind = 'span'")).unionByName(again)
-    return by_part(texts.unionByName(spans))
+    return by_group(texts.unionByName(spans))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, part_bytes: int = PART_BYTES // 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), starts and stops of the removed spans."""
     _check(length, gram, run)
     arrow_batches(docs.sparkSession, 256)
     rows = id_text(docs, id_col, text_col).toDF("__loom_id", "__loom_text")
-    texts = materialise(rows.mapInArrow(_gather(part_bytes), _FLOW_DDL), "texts")
+    texts = materialise(rows.mapInArrow(_gather(part_bytes, _group_bytes(docs)), _FLOW_DDL), "texts")
     return _found(texts, length, gram, run).mapInArrow(_spans_of(length), _OUT_DDL)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, part_bytes: int = PART_BYTES // 4, text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, part_bytes: int = PART_BYTES, text_col: str = "text") -> DataFrame:
     """The documents with their other columns, the repeated strings cut out of the text.
 
     A cut inside a character drops that character's other bytes; null text becomes empty.
@@ -552,6 +642,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run
     _check(length, gram, run)
     arrow_batches(docs.sparkSession, 256)
     rows = docs.select(F.lit(None).cast("long").alias("__loom_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__loom_text"), *[c for c in docs.columns if c != text_col])
-    texts = materialise(rows.mapInArrow(_gather(part_bytes), _FLOW_DDL), "texts")
+    texts = materialise(rows.mapInArrow(_gather(part_bytes, _group_bytes(docs)), _FLOW_DDL), "texts")
     schema = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else c for c in docs.columns]).schema
     return _found(texts, length, gram, run).mapInArrow(_rewritten(length, docs.columns, text_col), schema)
