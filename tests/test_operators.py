@@ -188,7 +188,7 @@ def test_greedy_acceptance_is_the_plain_walk(spark):
     rng = random.Random(3)
     rows = [("g", i, rng.choice(["mcq", "essay"]), [f"t{rng.randint(0, 9)}" for _ in range(5)], rng.random() < 0.1) for i in range(30)] + [("h", 0, "mcq", ["t1"], False)]
     df = spark.createDataFrame(rows, "g string, o int, q string, t array<string>, f boolean").withColumn("t", F.array_distinct("t")).withColumn("k", F.array_join("t", " "))
-    got = {(r.g, r.o): r.verdict for r in dedupe.accept_greedily(df, "g", "o", F.col("q"), F.col("k"), F.col("t"), F.col("f"), 0.35).collect()}
+    got = {(r.g, r.o): r.verdict for r in dedupe.accept_greedily(df, "g", "o", F.col("q"), F.col("k"), F.create_map(F.lit("mcq"), "t", F.lit("essay"), "t"), F.col("f"), 0.35).collect()}
     want, seen, taken = {}, {}, {}
     for g, o, q, t, f in rows:
         t = list(dict.fromkeys(t))
@@ -231,3 +231,15 @@ def test_local_verdicts(spark):
     assert act("fill_in_the_blank", make(question="no blank", answers=["x"])) == "FIX_QUESTION"
     assert act("fill_in_the_blank", make(question="a ___", answers=["x"]), ["y"]) == "FIX_OPTIONS"
     assert act("essay", make(question="q", reference_answer="")) == "FIX_ANSWER"
+
+
+def test_types_read_one_another_their_own_way(spark):
+    q = spark.range(1).select(F.from_json(F.lit(json.dumps({"question": "roots drink", "reference_answer": "water deep"})), Q.QUESTION).alias("q")).select(Q.readings(F.col("q")).alias("m")).first().m
+    assert sorted(q["mcq"]) == ["drink", "roots"] and sorted(q["short_answer"]) == ["deep", "drink", "roots", "water"] and q["true_false"] == []
+
+
+def test_blank_section_errors(spark):
+    items = spark.createDataFrame([(1, 0, "A ___ here", ["cell"]), (1, 1, "", ["x"]), (1, 2, "As shown in ___", ["a", "b", "c"]), (1, 3, "B ___", ["moss"])], "model_number int, item_idx int, question string, answers array<string>")
+    banks = spark.createDataFrame([(1, ["Cell", "leaf", "stem"])], "model_number int, terms array<string>")
+    got = {r.error for r in review.blank_errors(items, banks, spark.createDataFrame([(1, 3)], "model_number int, want int")).collect()}
+    assert got == {"4 items, required 3", "item 2: no question", "item 3: 3 answers", "item 3: 'a' is not in the word bank", "item 3: 'b' is not in the word bank", "item 3: 'c' is not in the word bank", "item 4: 'moss' is not in the word bank", "item 3: a forbidden phrase"}

@@ -81,3 +81,17 @@ def test_streamed_ingest(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out/items"))
     assert sorted(r.text for r in got.collect()) == ["A sentence of a stays.", "A sentence of b stays."]
     assert spark.read.parquet(str(tmp_path / "out/problems")).count() == 1
+
+
+def test_generation_fills_only_what_is_missing(spark):
+    def chat(prompts):
+        first = {"statement": "Roots drink rain water", "answer": "True"}
+        again = {"statement": "Roots drink the rain water", "answer": "False"}
+        other = {"statement": "Leaves catch bright light", "answer": "True"}
+        return [json.dumps({"questions": [first, again] if "Write 2" in p else [other]}) for p in prompts]
+
+    tasks = spark.createDataFrame([("p", 1, "true_false", 2)], "plan_id string, model_number int, qtype string, want int")
+    plan = spark.createDataFrame([("p", 1, "true_false", i, f"t{i}", "c") for i in range(2)], "plan_id string, model_number int, qtype string, item_idx int, topic string, concept string")
+    out = W.generate(tasks, plan, "text", chat)
+    assert [r.q.statement for r in out.orderBy("seq").collect()] == ["Roots drink rain water", "Leaves catch bright light"]
+    assert W.assemble(out).first().markdown.startswith("## True / False\n\n1. Roots drink rain water\n   **Answer: True**\n\n2. Leaves")

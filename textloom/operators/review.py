@@ -121,3 +121,25 @@ def bank_check(items: DataFrame, banks: DataFrame) -> DataFrame:
     used = items.groupBy("model_number").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("answers", key)))).alias("used"))
     joined = banks.join(used, "model_number", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>"))).withColumn("keys", F.transform("terms", key))
     return joined.select("model_number", F.array_sort(F.array_except("used", "keys")).alias("missing"), F.size(F.filter("keys", lambda k: ~F.array_contains(F.col("used"), k))).alias("distractors"))
+
+
+def blank_errors(items: DataFrame, banks: DataFrame, tasks: DataFrame, distractors: int = 2) -> DataFrame:
+    """(model_number, error) of a fill-in section: counts, blanks, bank membership, distractors.
+
+    items: model_number, item_idx, question, answers; banks: model_number, terms; tasks: model_number, want.
+    """
+    from textloom.functions.questions import has_forbidden_phrase, plain_tokens
+
+    key = lambda c: F.array_join(plain_tokens(c), " ")
+    no = F.col("item_idx") + 1
+    n = tasks.join(items.groupBy("model_number").agg(F.count("*").alias("n")), "model_number", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    wrong = n.where("n <> want").select("model_number", F.format_string("%d items, required %d", "n", "want").alias("error"))
+    asked = items.where(F.trim("question") != "")
+    unasked = items.where(F.trim("question") == "").select("model_number", F.format_string("item %d: no question", no).alias("error"))
+    many = asked.where(~F.size("answers").between(1, 2)).select("model_number", F.format_string("item %d: %d answers", no, F.size("answers")).alias("error"))
+    known = banks.select("model_number", F.transform("terms", key).alias("keys"))
+    said = asked.select("model_number", "item_idx", F.explode("answers").alias("a")).join(known, "model_number", "left")
+    outside = said.where(~F.coalesce(F.array_contains("keys", key(F.col("a"))), F.lit(False))).select("model_number", F.format_string("item %d: '%s' is not in the word bank", no, "a").alias("error"))
+    phrase = asked.where(has_forbidden_phrase(F.col("question"))).select("model_number", F.format_string("item %d: a forbidden phrase", no).alias("error"))
+    unused = bank_check(asked.select("model_number", "answers"), banks).where(F.col("distractors") != distractors).select("model_number", F.format_string(f"%d distractors, required {distractors}", "distractors").alias("error"))
+    return wrong.unionByName(unasked).unionByName(many).unionByName(outside).unionByName(phrase).unionByName(unused)

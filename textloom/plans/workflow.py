@@ -80,7 +80,11 @@ def titled(rows: DataFrame, chat: Chat | None, settings: Settings = DEFAULTS) ->
 
 
 def unique_titles(rows: DataFrame, group: str = "document_id", order: str = "parent_order") -> DataFrame:
-    """A title that repeats within a group gets a Roman numeral from its second use on."""
+    """A title that repeats within a group gets a Roman numeral from its second use on.
+
+    The numeral counts the uses of the whole title, so one that ends in a numeral is
+    never doubled, and numbering has no end.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy(group, "title").orderBy(order)
@@ -183,6 +187,43 @@ def plan_until_sound(prompts: DataFrame, tasks: DataFrame, models: int, chat: Ch
     return planning.trim(plan, tasks), errors
 
 
+def generate(tasks: DataFrame, plan: DataFrame, context: str, chat: Chat, settings: Settings = DEFAULTS) -> DataFrame:
+    """Accepted questions (model_number, qtype, seq, q) for tasks (plan_id, model_number, qtype, want).
+
+    Each attempt asks only for what is missing, with the plan's unfilled items. All
+    replies so far are then accepted in one order, so earlier questions, of earlier
+    models too, hold back later ones that repeat them.
+    """
+    from textloom.operators.dedupe import accept_greedily, limit_by
+
+    spark = tasks.sparkSession
+    keys = ["model_number", "qtype"]
+    taken = spark.createDataFrame([], f"model_number int, qtype string, seq long, q {Q.QUESTION}")
+    for attempt in range(settings.plan_attempts):
+        got = taken.groupBy(*keys).agg(F.count("*").alias("got"))
+        missing = tasks.join(got, keys, "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < want")
+        if not missing.limit(1).count():
+            break
+        open_ = missing.join(plan, ["plan_id", *keys], "left").where("item_idx is null or item_idx >= got")
+        asked = open_.groupBy(*keys).agg(F.first(F.col("want") - F.col("got")).alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "topic", "concept"))), "\n").alias("items"))
+        prompt = F.concat(F.lit("Write "), F.col("n").cast("string"), F.lit(" questions of type "), F.col("qtype"), F.lit(' as JSON {"questions": [...]} on these concepts:\n'), F.col("items"), F.lit("\n\nText:\n" + context))
+        replies = ask_json(asked.select(*keys, prompt.alias("prompt")), chat, settings)
+        found = replies.select(*keys, F.posexplode(Q.questions_from(F.col("reply"))).alias("pos", "item")).select(*keys, "pos", Q.normalize(F.col("qtype"), F.col("item")).alias("q")).where("q is not null")
+        seq = F.lit(attempt).cast("long") * 10**9 + F.col("model_number") * 10**7 + review.type_rank(F.col("qtype")) * 10**6 + F.col("pos")
+        every = taken.unionByName(found.select(*keys, seq.alias("seq"), "q")).withColumn("request", F.lit(1))
+        text = Q.question_text(F.col("qtype"), F.col("q"))
+        judged = accept_greedily(every, "request", "seq", F.col("qtype"), F.array_join(Q.plain_tokens(text), " "), Q.readings(F.col("q")), Q.has_forbidden_phrase(text), settings.near_duplicate)
+        kept = judged.where("verdict = 'accepted'").join(tasks.select(*keys, "want"), keys)
+        taken = materialise(limit_by(kept, keys, "seq", F.col("want")).select("model_number", "qtype", "seq", "q"), "questions")
+    return taken
+
+
+def assemble(questions: DataFrame, banks: DataFrame | None = None) -> DataFrame:
+    """One markdown exam a model: ids, one numbering through all sections, rendering."""
+    named = review.assign_ids(questions.withColumn("question_id", F.lit(None).cast("string")), "seq")
+    return review.exams(review.render(review.numbered(named, "seq"), banks))
+
+
 def validate_and_repair(questions: DataFrame, judge: Chat, mend: Chat, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(questions, verdicts): local checks first, the judge for the rest, repairs of failed rows, twice at most.
 

@@ -373,7 +373,7 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()  # each verdict depends on the rows accepted before it: tested against a plain version
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("key", F.array_join(Q.plain_tokens(F.col("text")), " ")).withColumn("tokens", Q.signal_tokens(F.col("text")))
-    out = dedupe.accept_greedily(rows, "conv_id", "turn", F.col("role"), F.col("key"), F.col("tokens"), Q.has_forbidden_phrase(F.col("text")), DEFAULTS.near_duplicate)
+    out = dedupe.accept_greedily(rows, "conv_id", "turn", F.col("role"), F.col("key"), F.create_map("role", "tokens"), Q.has_forbidden_phrase(F.col("text")), DEFAULTS.near_duplicate)
     return out.select("conv_id", "turn", "verdict")
 
 
