@@ -86,16 +86,19 @@ def map_punctuation(c: Column) -> Column:
 
 
 _LINE_ENDS = r"\r\n|[\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+_MANY_LINES = r"[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def normalize_whitespace(c: Column) -> Column:
-    lines = F.regexp_replace(F.translate(c, "\t", " "), _LINE_ENDS, "\n")
-    lines = F.regexp_replace(F.regexp_replace(lines, " +", " "), r"(?U)[\s\x1C-\x1F&&[^\n]]+(?=\n|\z)", "")
-    return strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+    """One space for runs, no space at line ends, one empty line at most. Most items are one line."""
+    flat = F.regexp_replace(F.translate(c, "\t", " "), "  +", " ")
+    lines = F.regexp_replace(F.regexp_replace(flat, _LINE_ENDS, "\n"), r"(?U)[\s\x1C-\x1F&&[^\n]]+(?=\n|\z)", "")
+    return strip(F.when(c.rlike(_MANY_LINES), F.regexp_replace(lines, r"\n{3,}", "\n\n")).otherwise(flat))
 
 
 def fix_hyphenation(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, rx(X.HYPHEN_BREAK), ""), rx(X.HYPHEN_LETTER), "")
+    joined = F.when(c.contains("\n"), F.regexp_replace(c, rx(X.HYPHEN_BREAK), "")).otherwise(c)
+    return F.when(c.rlike("[\u2010\u2011]"), F.regexp_replace(joined, rx(X.HYPHEN_LETTER), "")).otherwise(joined)
 
 
 def keeps_break(before: Column, line: Column) -> Column:
@@ -112,7 +115,8 @@ def fix_line_breaks(c: Column) -> Column:
         join = lambda acc, x: F.when(acc == "", x).otherwise(F.concat(acc, F.when(keeps_break(acc, x), "\n").otherwise(" "), x))
         return F.aggregate(lines, F.lit(""), join)
 
-    return F.array_join(F.filter(F.transform(F.split(c, rx(r"\n\s*\n")), paragraph), lambda p: p != ""), "\n\n")
+    whole = F.array_join(F.filter(F.transform(F.split(c, rx(r"\n\s*\n")), paragraph), lambda p: p != ""), "\n\n")
+    return F.when(c.rlike(_MANY_LINES), whole).otherwise(strip(c))
 
 
 def clean_text(c: Column) -> Column:
@@ -132,9 +136,11 @@ def strip_inline_footnotes(c: Column) -> tuple[Column, Column]:
 
 def strip_inline_garbage(c: Column) -> tuple[Column, Column]:
     """(text, number of replacement characters)."""
-    n = F.regexp_count(c, F.lit(X.REPLACEMENT))
-    text = F.regexp_replace(F.regexp_replace(c, X.REPLACEMENT, ""), X.CONTROL, "")
-    return strip(F.regexp_replace(F.regexp_replace(text, rx(X.URL, True), " "), r"[ \t]+", " ")), n
+    controls = "".join(map(chr, [*range(9), 11, 12, *range(14, 32)]))
+    n = F.length(c) - F.length(F.translate(c, X.REPLACEMENT, ""))
+    bare = F.translate(c, X.REPLACEMENT + controls, "")
+    linked = F.when(bare.contains("://") | F.lower(bare).contains("www."), F.regexp_replace(bare, rx(X.URL, True), " ")).otherwise(bare)
+    return strip(F.regexp_replace(F.translate(linked, "\t", " "), "  +", " ")), n
 
 
 def strip_options(c: Column) -> tuple[Column, Column]:
@@ -150,9 +156,7 @@ def strip_options(c: Column) -> tuple[Column, Column]:
 
 def repeat_key(c: Column) -> Column:
     """Key under which a line of a page repeats: no digits, no punctuation."""
-    key = F.regexp_replace(F.lower(map_punctuation(c)), r"(?U)\d+", "#")
-    key = F.regexp_replace(key, rx(r"\s*[|:·=\-]\s*"), " ")
-    return strip(F.regexp_replace(key, r"(?U)\W+", " "))
+    return strip(F.regexp_replace(F.lower(map_punctuation(c)), r"(?U)[\W\d]+", " "))
 
 
 def last_token(c: Column) -> Column:

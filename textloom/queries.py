@@ -355,7 +355,7 @@ def exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-_TOKENS = f"t AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) AS w FROM benchmark), k AS (SELECT * FROM t WHERE w <> '' AND w NOT IN ({_STOP})), n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1)"
+_TOKENS = f"t AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(regexp_replace(strip_accents(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) AS w FROM benchmark), k AS (SELECT * FROM t WHERE w <> '' AND w NOT IN ({_STOP})), n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1)"
 
 
 def _benchmark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,9 +364,9 @@ def _benchmark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_TOKENS}, o AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS c FROM k a JOIN k b USING (w) WHERE a.item_id < b.item_id GROUP BY ALL)
-  SELECT o.a, o.b, round(c / (x.n + y.n - c), 6) AS overlap FROM o JOIN n x ON x.item_id = o.a JOIN n y ON y.item_id = o.b WHERE c / (x.n + y.n - c) >= 0.2""")
+  SELECT o.a, o.b, round(c / (x.n + y.n - c), 6) AS overlap FROM o JOIN n x ON x.item_id = o.a JOIN n y ON y.item_id = o.b WHERE c / (x.n + y.n - c) >= 0.05""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = dedupe.near_pairs(_benchmark_tokens(spark, sf_dir), "item_id", "tokens", 0.2)
+    pairs = dedupe.near_pairs(_benchmark_tokens(spark, sf_dir), "item_id", "tokens", 0.05)
     return pairs.select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
