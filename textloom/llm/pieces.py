@@ -129,10 +129,19 @@ class Chunk:
 
     def __init__(self, model: Pieces, text: str, lo: int, hi: int, first: int):
         self.m, self.text, self.lo, self.hi, self.shift = model, text, lo, hi, first - lo
-        cuts = [x.start() for x in _CUT.finditer(text, lo, hi) if x.start() >= lo]
-        self.cuts = cuts
+        self.cuts = self._gaps()
         self.ins, self.outs = self._states(lo), self._states(hi)
 
+    def _gaps(self) -> list[int]:
+        """First and last gap in text[lo:hi]: starts of runs of U+2581."""
+        first = _CUT.search(self.text, self.lo, self.hi)
+        if not first:
+            return []
+        last = self.text.rfind(SPACE, self.lo, self.hi)
+        while last > 0 and self.text[last - 1] == SPACE:
+            last -= 1
+        return [first.start(), max(last, first.start())]
+
     def _states(self, b: int) -> list[tuple[int, int]]:
         t, m = self.text, self.m
         if b <= 0 or b >= len(t) or t[b] == SPACE and t[b - 1] != SPACE:
