@@ -49,8 +49,9 @@ def words(text: str) -> list[str]:
 def buckets(word: str, n_buckets: int = BUCKETS) -> list[int]:
     """Buckets of a word and its n-grams."""
     w = f"<{word}>"
-    grams = {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)} | {w}
-    return [zlib.crc32(g.encode()) % n_buckets for g in sorted(grams)]
+    grams = dict.fromkeys([w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)])
+    grams[w] = None
+    return [zlib.crc32(g.encode()) % n_buckets for g in grams]
 
 
 class Model:
@@ -58,18 +59,23 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self.known = weights, bias, {}
+        self.at = array("f", weights).__getitem__  # single entries come faster than from numpy
 
     def word(self, w: str) -> float:
         v = self.known.get(w)
         if v is None:
             if len(self.known) > 400_000:
                 self.known.clear()
-            v = self.known[w] = float(self.weights[buckets(w, len(self.weights))].mean(dtype=np.float64))
+            v = self.known[w] = self._mean(buckets(w, len(self.weights)))
         return v
 
+    def _mean(self, found: list[int]) -> float:
+        return sum(map(self.at, found)) / len(found)
+
     def score(self, text: str) -> float:
         found = words(text)
-        total = sum(map(self.word, found))
+        known = self.known.get
+        total = sum([self.word(w) if (v := known(w)) is None else v for w in found])
         return float(1 / (1 + np.exp(-np.clip(self.bias + (total / len(found) if found else 0.0), -500, 500))))
 
 
