@@ -59,4 +59,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op8_suffix_dedup, op9_pii_pseudonyms, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+#: Only the join has SQL; the others need a library, a trained model, bytes or a keyed permutation,
+#: and are held against brute force, exact round trips and held-out labels in tests/llm.
+ORACLES: dict[str, str] = {
+    "op10_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS sh FROM w)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+  both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN both_ways b ON b.a = r.c),
+  part AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1), k AS (SELECT a AS doc_id, count(*) AS k FROM both_ways GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, p.component_id, coalesce(k.k, 0) AS n_links
+FROM documents d JOIN part p USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+}
