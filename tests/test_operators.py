@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.config import DEFAULTS, Settings
 from textloom.functions import questions as Q
 from textloom.functions import text as T
-from textloom.operators import chunk, clean, dedupe, review, search, structure
+from textloom.operators import chunk, clean, dedupe, review, search, structure, titling
 from textloom.sources import pages as P
 from textloom.sources import registry
 
@@ -243,3 +243,23 @@ def test_blank_section_errors(spark):
     banks = spark.createDataFrame([(1, ["Cell", "leaf", "stem"])], "model_number int, terms array<string>")
     got = {r.error for r in review.blank_errors(items, banks, spark.createDataFrame([(1, 3)], "model_number int, want int")).collect()}
     assert got == {"4 items, required 3", "item 2: no question", "item 3: 3 answers", "item 3: 'a' is not in the word bank", "item 3: 'b' is not in the word bank", "item 3: 'c' is not in the word bank", "item 4: 'moss' is not in the word bank", "item 3: a forbidden phrase"}
+
+
+def test_unique_titles(spark):
+    rows = [("d", i, t, c) for i, (t, c) in enumerate([("Cells", "x"), ("Cells", "the k-means clusters grow"), ("Cells", "a b"), ("", "a b"), ("Cells II", "a b"), ("Cells II", "a b"), (None, "a b")])] + [("e", 0, "Cells", "x")]
+    df = spark.createDataFrame(rows, "document_id string, o int, title string, content string")
+    got = {(r.document_id, r.o): r.title for r in titling.make_unique(df, "document_id", "o").collect()}
+    assert got == {("d", 0): "Cells", ("d", 1): "k-means Clusters Grow", ("d", 2): "Cells II", ("d", 3): "Key Concept II", ("d", 4): "Cells III", ("d", 5): "Cells IV", ("d", 6): "Key Concept III", ("e", 0): "Cells"}
+
+
+def test_family_batches(spark):
+    p = spark.createDataFrame([("d", f"p{i}", i, "c") for i in range(6)], "document_id string, parent_id string, parent_order int, content string")
+    c = spark.createDataFrame([("p0", 0, "c0", "x"), ("p1", 1, "c2", "x"), ("p1", 0, "c1", "x")], "parent_id string, child_order int, child_id string, content string")
+    got = {(r.batch, r.pos): r.id for r in titling.family_batches(p, c).collect()}
+    assert got == {(0, 1): "p0", (0, 2): "p1", (0, 3): "c1", (0, 4): "c2", (0, 5): "p2", (0, 6): "p3", (1, 1): "p4", (1, 2): "p5"}
+
+
+def test_reviewed_titles(spark):
+    rows = spark.createDataFrame([("d", "a", "Old Name"), ("d", "b", "Good Name"), ("d", "c", "Bad Name")], "document_id string, id string, title string")
+    v = spark.createDataFrame([("a", 3, "REPLACE", "Cell Walls"), ("b", 9, "REPLACE", "Other Thing"), ("c", 2, "REFINE", "Overview")], "id string, score int, verdict string, proposal string")
+    assert {r.id: r.title for r in titling.reviewed(rows, v).collect()} == {"a": "Cell Walls", "b": "Good Name", "c": "Bad Name"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import DEFAULTS, Settings
 from textloom.functions import fixed as X
-from textloom.functions.text import count_words, first_tokens, matches, rx, strip, words
+from textloom.functions.text import count_words, first_tokens, let, matches, rx, strip, words
 
 
 def title_case(c: Column) -> Column:
@@ -98,3 +98,35 @@ def review_rows(raw: Column) -> Column:
 
 def accept(c: Column, used: Column, settings: Settings = DEFAULTS) -> Column:
     return is_valid_title(c, settings.title_min_words, settings.title_max_words) & ~is_blocklisted(c) & ~F.array_contains(used, c)
+
+
+def _bare(w: Column) -> Column:
+    return F.regexp_replace(w, "[^A-Za-z0-9-]", "")
+
+
+def looks_like_heading(c: Column, low: int, high: int, is_noun_phrase=lambda c: F.lit(True)) -> Column:
+    return (c != "") & ~c.rlike(r"[,?\n]") & ~c.rlike(r"(?U)\b\d+[.:)]") & count_words(c).between(low, high) & is_noun_phrase(c)
+
+
+def fallback_title(content: Column, high: int = 6, low: int = 2, is_noun_phrase=lambda c: F.lit(True), noun_chunk=lambda c: F.lit("")) -> Column:
+    """A title from a passage's own words, or '' where none reads like a heading.
+
+    Tried in turn: an acronym in brackets, a k- or t- term with the lower-case words after
+    it, the tagger's first noun chunk, the first word that may stand alone.
+    """
+    small = X.SMALL_WORDS
+
+    def find(w: Column, text: Column) -> Column:
+        acronym = F.regexp_extract(text, r"\(([A-Z]{2,})\)", 1)
+        term = F.regexp_extract(text, r"(?U)\b([kKtT]-[A-Za-z0-9]+)", 1)
+        at = F.size(words(F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(r"(?U)\b[kKtT]-[A-Za-z0-9]+")) - 1)))
+        head = F.coalesce(F.try_element_at(w, at + 1), F.lit(""))
+        goes_on = lambda x: x.rlike(r"^\p{Ll}") & (F.length(_bare(x)) >= 3) & ~F.lower(_bare(x)).isin(small)
+        tail = F.aggregate(F.slice(w, at + 2, F.lit(high)), F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("run")), lambda s, x: F.when(s["on"] & goes_on(x), F.struct(F.lit(True).alias("on"), F.concat(s["run"], F.array(x)).alias("run"))).otherwise(F.struct(F.lit(False).alias("on"), s["run"].alias("run"))), lambda s: s["run"])
+        run = F.when(head.contains(term), F.array_join(F.slice(F.concat(F.array(head), tail), 1, high), " ")).otherwise(term)
+        alone = F.filter(F.transform(w, _bare), lambda k: (k != "") & ~F.lower(k).isin(small) & (k.rlike(r"^\p{Lu}") | (F.length(k) > 3)) & is_noun_phrase(k))
+        chunk = noun_chunk(text)
+        return F.when(acronym != "", acronym).when(term != "", run).when(chunk != "", chunk).otherwise(F.coalesce(F.try_element_at(alone, F.lit(1)), F.lit("")))
+
+    label = let(first_tokens(content, 250), lambda text: let(words(text), lambda w: find(w, text)))
+    return let(label, lambda x: F.when(looks_like_heading(x, low, high, is_noun_phrase), clean_title(x, high, is_noun_phrase)).otherwise(""))

@@ -23,7 +23,7 @@ from textloom.config import DEFAULTS, Settings
 from textloom.functions import questions as Q
 from textloom.functions import text as T
 from textloom.functions import titles
-from textloom.operators import chunk, clean, planning, review, search, structure
+from textloom.operators import chunk, clean, planning, review, search, structure, titling
 from textloom.sources import pages as P
 from textloom.sources import registry
 from textloom.sources.shared import materialise
@@ -79,21 +79,6 @@ def titled(rows: DataFrame, chat: Chat | None, settings: Settings = DEFAULTS) ->
     return named.withColumn("title", F.when(good, F.col("title")))
 
 
-def unique_titles(rows: DataFrame, group: str = "document_id", order: str = "parent_order") -> DataFrame:
-    """A title that repeats within a group gets a Roman numeral from its second use on.
-
-    The numeral counts the uses of the whole title, so one that ends in a numeral is
-    never doubled, and numbering has no end.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(group, "title").orderBy(order)
-    n = F.row_number().over(w)
-    numerals = F.array(*[F.lit(x) for x in ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")])
-    suffix = F.when(n <= 10, F.element_at(numerals, n)).otherwise(n.cast("string"))
-    return rows.withColumn("title", F.when(F.col("title").isNull() | (n == 1), F.col("title")).otherwise(F.concat(F.col("title"), F.lit(" "), suffix)))
-
-
 def ingest(pages: DataFrame, embed: Embed, chat: Chat | None = None, settings: Settings = DEFAULTS) -> Ingested:
     """Pages to cleaned items, parents, children, points, structures and report."""
     seconds: dict[str, float] = {}
@@ -114,7 +99,7 @@ def ingest(pages: DataFrame, embed: Embed, chat: Chat | None = None, settings: S
     vectors = embedded(flat, "sentence", "v", embed).groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vectors"))
     ready = sentences.join(vectors, "parent_id", "left").withColumn("vectors", F.coalesce("vectors", F.array().cast("array<array<float>>")))
     children = timed("children", chunk.children_of(ready, settings))
-    parents = timed("parent_titles", unique_titles(titled(parents, chat, settings)))
+    parents = timed("parent_titles", titling.make_unique(titled(parents, chat, settings), "document_id", "parent_order") if chat else titled(parents, None))
     n = children.groupBy("parent_id").agg(F.count("*").alias("__n"))
     # a parent's only child repeats it and has no title of its own
     named = titled(children, chat, settings).join(n, "parent_id").withColumn("title", F.when(F.col("__n") > 1, F.col("title"))).drop("__n")

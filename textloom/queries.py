@@ -15,7 +15,7 @@ from textloom.functions import questions as Q
 from textloom.functions import text as T
 from textloom.functions import titles
 from textloom.functions.classify import category
-from textloom.operators import chunk, clean, dedupe, planning, review, search, structure
+from textloom.operators import chunk, clean, dedupe, planning, review, search, structure, titling
 from textloom.sources import pages as P
 from textloom.sources import registry
 
@@ -509,6 +509,23 @@ def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("i", titles.clean_title(F.col("raw")).alias("title"), titles.is_valid_title(titles.clean_title(F.col("raw"))).alias("valid"))
 
 
+_NUMERALS = "[" + ", ".join(f"'{n}'" for n in titling.NUMERALS) + "]"
+
+
+@query(f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) SELECT conv_id, turn, CASE WHEN n = 1 THEN role ELSE role || ' ' || ({_NUMERALS})[n] END AS title FROM n")
+def unique_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.col("text").alias("content"))
+    return titling.make_unique(rows, "conv_id", "turn", label=F.lit("")).select("conv_id", "turn", "title")
+
+
+@query("""WITH p AS (SELECT DISTINCT source, doc_id FROM documents), b AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 4 AS batch FROM p)
+  SELECT source AS document_id, CAST(batch AS INTEGER) AS batch, CAST(row_number() OVER (PARTITION BY source, batch ORDER BY doc_id) AS INTEGER) AS pos, 'section' AS level, CAST(doc_id AS VARCHAR) AS id FROM b""")
+def title_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").cast("string").alias("parent_id"), F.col("doc_id").alias("parent_order"), F.col("text").alias("content"))
+    only = parents.select("parent_id", F.lit(0).alias("child_order"), F.col("parent_id").alias("child_id"), "content")  # an only child is not sent
+    return titling.family_batches(parents, only).select("document_id", "batch", "pos", "level", "id")
+
+
 @query("SELECT arg_max(event_id, (ts, event_id)) AS event_id FROM events")
 def latest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.current_document(table(spark, sf_dir, "events"), "event_id", "ts")
