@@ -33,7 +33,7 @@ BUCKETS = 1 << 19
 DIM = 8
 GRAMS = (3, 4, 5)
 MAX_ROWS = 13_000
-MAX_BYTES = 64_000_000
+MAX_BYTES = 48_000_000
 EPOCHS = 8
 #: Buckets that fewer training texts hold keep a zero vector: they say nothing about unseen texts.
 MIN_TEXTS = 20
