@@ -70,13 +70,15 @@ def pack_words(sentences: Column, most: int) -> Column:
     """Greedy packing of sentences into texts of at most `most` words; a long sentence stays whole."""
 
     def step(s: Column, x: Column) -> Column:
-        def add(joined: Column) -> Column:
-            full = (s["cur"] != "") & (T.count_words(joined) > most)
-            return F.when(full, F.struct(F.concat(s["out"], F.array(s["cur"])).alias("out"), x.alias("cur"))).otherwise(F.struct(s["out"].alias("out"), joined.alias("cur")))
+        row = lambda out, cur, n: F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
 
-        return T.let(T.strip(F.concat_ws(" ", s["cur"], x)), add)
+        def add(n: Column) -> Column:  # words of a joined text are the sum of its parts' words
+            full = (s["cur"] != "") & (s["n"] + n > most)
+            return F.when(full, row(F.concat(s["out"], F.array(s["cur"])), x, n)).otherwise(row(s["out"], T.strip(F.concat_ws(" ", s["cur"], x)), s["n"] + n))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+        return T.let(T.count_words(x), add)
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
     return F.aggregate(sentences, start, step, lambda s: F.when(s["cur"] != "", F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
 
 
@@ -102,18 +104,18 @@ def pack_similar(sentences: Column, vectors: Column, most: int, threshold: float
 
     def step(s: Column, x: Column) -> Column:
         def add(v: Column) -> Column:
-            row = lambda out, cur, mean, n: F.struct(out.alias("out"), cur.alias("cur"), mean.alias("mean"), n.alias("n"))
-            joined = F.concat(s["cur"], F.lit(" "), x["t"])
-            close = (T.count_words(joined) > most) | (cosine(s["mean"], v) < threshold)
+            row = lambda out, cur, mean, n, words: F.struct(out.alias("out"), cur.alias("cur"), mean.alias("mean"), n.alias("n"), words.alias("words"))
+            own = T.count_words(x["t"])
+            close = (s["words"] + own > most) | (cosine(s["mean"], v) < threshold)
             return (
-                F.when(s["n"] == 0, row(s["out"], x["t"], v, F.lit(1)))
-                .when(close, row(F.concat(s["out"], F.array(s["cur"])), x["t"], v, F.lit(1)))
-                .otherwise(row(s["out"], joined, running_mean(s["mean"], s["n"], v), s["n"] + 1))
+                F.when(s["n"] == 0, row(s["out"], x["t"], v, F.lit(1), own))
+                .when(close, row(F.concat(s["out"], F.array(s["cur"])), x["t"], v, F.lit(1), own))
+                .otherwise(row(s["out"], F.concat(s["cur"], F.lit(" "), x["t"]), running_mean(s["mean"], s["n"], v), s["n"] + 1, s["words"] + own))
             )
 
         return T.let(F.transform(x["v"], lambda e: e.cast("double")), add)
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.array().cast("array<double>").alias("mean"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.array().cast("array<double>").alias("mean"), F.lit(0).alias("n"), F.lit(0).alias("words"))
     return F.aggregate(both, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
 
 

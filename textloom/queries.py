@@ -18,6 +18,7 @@ from textloom.functions.classify import category
 from textloom.operators import chunk, clean, dedupe, planning, review, search, structure, titling
 from textloom.sources import pages as P
 from textloom.sources import registry
+from textloom.sources.shared import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,7 +94,7 @@ _CLEAN = f"WITH {_ITEMS}, {_REPEATED}, {_JUDGED}"
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean(P.line_pages(table(spark, sf_dir, "documents")))
+    return clean.clean(P.line_pages(spread(table(spark, sf_dir, "documents"))))
 
 
 @query(_CLEAN + """ SELECT document_id, count(*) AS processed, count(category) AS removed, count(*) FILTER (category = 'duplicate') AS duplicates, CAST(0 AS BIGINT) AS footnotes,
@@ -114,7 +115,7 @@ def keep_first_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ITEMS}, {_REPEATED} SELECT document_id, key FROM repeated")
 def header_footer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.repeated_lines(P.line_pages(table(spark, sf_dir, "documents")))
+    return clean.repeated_lines(P.line_pages(spread(table(spark, sf_dir, "documents"))))
 
 
 @query(f"WITH {_ITEMS} SELECT document_id, page_idx, CAST(item_idx AS INTEGER) AS item_idx, raw FROM items")
@@ -188,7 +189,7 @@ _SENT = f"""flat AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'))
 
 @query(f"WITH {_SENT} SELECT doc_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(s, '|' ORDER BY g)) AS h FROM sentences GROUP BY 1")
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").select("doc_id", T.split_sentences(F.col("text")).alias("s"))
+    s = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.split_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("h"))
 
 
@@ -200,7 +201,7 @@ def parent_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document as a parent candidate, in order."""
-    rows = P.items(P.row_pages(table(spark, sf_dir, "documents"))).where("raw <> ''")
+    rows = P.items(P.row_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))).where("raw <> ''")
     return rows.select("document_id", F.col("item_idx").alias("parent_order"), F.col("item_idx").alias("page_start"), F.col("item_idx").alias("page_end"), F.col("raw").alias("content"))
 
 
@@ -223,7 +224,7 @@ def parent_policy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
   packed AS (SELECT doc_id, string_split(list_reduce(l, lambda a, x: CASE WHEN {_words("string_split(a, chr(2))[-1]")} + {_words('x')} > {DEFAULTS.parent_max_words} THEN a || chr(2) || x ELSE a || ' ' || x END), chr(2)) AS p FROM lists)
   SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, '|')) AS h FROM packed""")
 def size_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "documents").select("doc_id", chunk.pack_words(T.split_sentences(F.col("text")), DEFAULTS.parent_max_words).alias("p"))
+    p = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", chunk.pack_words(T.split_sentences(F.col("text")), DEFAULTS.parent_max_words).alias("p"))
     return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("h"))
 
 
@@ -236,7 +237,8 @@ def bag_vector(c, dim: int = 8):
 def chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parents and children of every document."""
     parents = chunk.parents_of(_lines(spark, sf_dir))
-    ready = parents.withColumn("sentences", T.prepare_sentences(F.col("content"))).withColumn("vectors", F.transform("sentences", bag_vector))
+    dealt = parents.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "parent_id")  # a count of our own: the fold outweighs its rows
+    ready = dealt.withColumn("sentences", T.prepare_sentences(F.col("content"))).withColumn("vectors", F.transform("sentences", bag_vector))
     return parents, chunk.children_of(ready)
 
 
