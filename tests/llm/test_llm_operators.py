@@ -392,6 +392,18 @@ def test_invalid_candidates_stay(spark):
     assert [t for t, f in hidden(spark, *same)] == same
 
 
+def test_cards_and_ibans_next_to_other_text(spark):
+    bare, spaced, iban, grouped = "4465758382889437", "4111 1111 1111 1111", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    new = [t for t, _ in hidden(spark, bare, spaced, iban, grouped, "2024-01-05", "190.137.223.204")]
+    b, s, i, g, day, ip = new
+    assert not {bare, spaced, iban, grouped} & set(new)
+    cases = {
+        f"{bare} {bare}": f"{b} {b}", f"{spaced} {spaced}": f"{s} {s}", f"{bare}-{bare}": f"{b}-{b}", f"{spaced} 12/25": f"{s} 12/25", f"{bare} 2 times": f"{b} 2 times", f"12 {spaced} 123": f"12 {s} 123", f"a12 {bare}": f"a12 {b}",
+        f"{spaced} 2024-01-05": f"{s} {day}", f"{bare} 190.137.223.204": f"{b} {ip}", f"{iban} WITH": f"{i} WITH", f"{grouped} EUR": f"{g} EUR", f"{iban} {spaced}": f"{i} {s}", "4111 1111 1111 1112 4111 1111 1111 1112": "4111 1111 1111 1112 4111 1111 1111 1112",
+    }
+    assert [t for t, _ in hidden(spark, *cases)] == list(cases.values())
+
+
 def test_personal_data_null_and_extra_columns(spark, odd, empty):
     out = pii.pseudonymise(odd)
     assert out.columns == odd.columns and pii.pseudonymise(empty).count() == 0

@@ -8,6 +8,13 @@ permutation depends on the key, the kind and the characters only, so equal value
 get equal pseudonyms in every document and different ones different pseudonyms.
 Candidates that fail validation are left as they are.
 
+Numbers next to one another: a card candidate is the whole chain of digit groups, up
+to where an ip, date, ssn or phone begins. In it, at each group from the left, bare
+numbers and runs of groups of four digits or more (the last may be shorter) with one
+kind of separator are tried, 16 digits first, then longer before shorter; a chain
+without such a card is tried as a whole. An IBAN has its country's length; where that
+is unknown or does not fit, the longest run of groups that is valid counts.
+
 Kinds: email (the local part), iban (mod 97), card (Luhn), ssn, ip (version 4),
 date (1900 to 2099, as YYYY-MM-DD, D.M.YYYY or D/M/YYYY), phone, secret (a value
 that is assigned to a token, key or password).
@@ -25,18 +32,34 @@ from pyspark.sql import functions as F
 KEY = "textloom"
 ROUNDS = 8
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN_EXACT = "|".join(f"(?:{c.replace(' ', '|')})" + r"\d{2}(?: ?[A-Z0-9]{4}){" + str(n // 4 - 1) + "}" + (f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+_IP = _EDGE + r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)" + _END
+_DATE = _EDGE + r"(?<!\d[./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4})(?![./-]?\d)" + _END
+_SSN = _EDGE + r"(?<!\d-)\d{3}-\d{2}-\d{4}(?!-?\d)" + _END
+_LOCAL_PHONE = r"(?<![\p{L}\p{N}+.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END
+#: A digit group of a chain; chains stop where another kind begins.
+_GROUP = r"\d++" + _END
+_OTHER = f"(?!{_IP}|{_DATE}|{_SSN}|{_LOCAL_PHONE})"
 #: Patterns by kind, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "ip": _EDGE + r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)" + _END,
-    "date": _EDGE + r"(?<!\d[./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![./-]?\d)" + _END,
-    "ssn": _EDGE + r"(?<!\d-)\d{3}-\d{2}-\d{4}(?!-?\d)" + _END,
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}" + _END + "|" + r"(?<![\p{L}\p{N}+.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END,
-    "card": _EDGE + r"(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)" + _END,
+    "iban": _EDGE + f"(?:{_IBAN_EXACT}|{_IBAN})" + _END,
+    "ip": _IP,
+    "date": _DATE,
+    "ssn": _SSN,
+    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}" + _END + "|" + _LOCAL_PHONE,
     "secret": r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY)\s?[=:]\s?[\"'])[A-Za-z0-9_-]{16,}(?=[\"'])",
+    "card": _EDGE + r"(?=\d(?:[ -]?\d){12})" + _GROUP + f"(?:[ -]{_OTHER}{_GROUP})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A card next to other digits: groups of four or more, the last may be shorter; and how many there can be.
+_CARD_GROUPS, MOST_GROUPS = r"^\d{4,}(?:([ -])\d{4,}(?:\1\d{4,})*(?:\1\d{1,3})?|[ -]\d{1,3})?$", 5
 #: Days from 1900-01-01 to 2099-12-31, and their factors.
 FIRST_DAY, DAYS, DAY_RADIX = "1900-01-01", 73_049, 17
 
@@ -139,8 +162,89 @@ def _date_parts(m: Column) -> tuple[Column, Column]:
     return F.when(is_iso, plain).otherwise(F.coalesce(day_first, month_first)), F.when(is_iso, "iso").when(day_first.isNotNull(), "day").otherwise("month")
 
 
+def card_ok(m: Column) -> Column:
+    d = digits_of(m)
+    return F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0)
+
+
+def card_pseudonym(m: Column, key: Column) -> Column:
+    d = digits_of(m)
+    body = F.substring(d, F.lit(1), F.length(d) - 1)
+    card = F.transform(F.array(feistel_text(key, "card", body, [_DIGITS])), lambda x: F.concat(x, ((10 - luhn_sum(x, True) % 10) % 10).cast("string")))[0]
+    return refill(m, card)
+
+
+def iban_ok(m: Column) -> Column:
+    bare = F.regexp_replace(m, " ", "")
+    return mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1
+
+
+def iban_pseudonym(m: Column, key: Column) -> Column:
+    bare = F.regexp_replace(m, " ", "")
+    country = F.substring(bare, 1, 2)
+    moved = feistel_text(key, "iban", F.substring(bare, F.lit(5), F.length(bare)), [_DIGITS, _UPPER])
+    check = F.lpad((F.lit(98) - mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
+    made = F.concat(country, check, moved)
+    return F.when(m.contains(" "), F.regexp_replace(made, "(.{4})(?=.)", "$1 ")).otherwise(made)
+
+
+def cards_in(chain: Column, key: Column) -> Column:
+    """Struct (kinds, text) of a chain of digit groups: the cards among them, from the left."""
+    groups = F.call_function("regexp_extract_all", chain, F.lit(r"[ -]?\d+"), F.lit(0))
+    # by single elements: a slice would copy the whole array each time
+    few = lambda g, at, n: F.concat_ws("", *[F.try_element_at(g, at + k) for k in range(n)])
+    joined = lambda g, at, n: F.when(n > 0, F.array_join(F.transform(F.sequence(at, at + n - 1), lambda k: F.element_at(g, k)), "")).otherwise("")
+
+    def hits(g: Column) -> Column:
+        """(at, n, text) of the best card at each group that begins one; at counts from 0."""
+
+        def best(x: Column, i: Column) -> Column:
+            tries = F.array(*[F.struct(i.alias("at"), F.least(F.lit(n), F.size(g) - i).alias("n"), F.regexp_replace(few(g, i + 1, n), "^[ -]", "").alias("text")) for n in range(1, MOST_GROUPS + 1)])
+            valid = F.filter(tries, lambda t: F.when(F.length(digits_of(t["text"])).between(13, 19) & t["text"].rlike(_CARD_GROUPS), card_ok(t["text"])).otherwise(F.lit(False)))
+            common = F.filter(valid, lambda t: F.length(digits_of(t["text"])) == 16)
+            return F.when(x.rlike(r"\d{4}"), F.coalesce(F.try_element_at(common, F.lit(1)), F.try_element_at(valid, F.lit(-1))))
+
+        return F.filter(F.transform(g, best), lambda h: h.isNotNull())
+
+    def taken(h: Column) -> Column:
+        """Those that begin behind the one before."""
+        none = F.slice(h, 1, 0)
+        step = lambda s, x: F.when(x["at"] >= s["end"], F.struct((x["at"] + x["n"]).alias("end"), F.concat(s["of"], F.array(x)).alias("of"))).otherwise(s)
+        return F.aggregate(h, F.struct(F.lit(0).alias("end"), none.alias("of")), step, lambda s: s["of"])
+
+    def text(g: Column, of: Column) -> Column:
+        end = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.element_at(of, F.greatest(j, F.lit(1)))["at"] + F.element_at(of, F.greatest(j, F.lit(1)))["n"])
+        lead = lambda x: F.regexp_extract(F.element_at(g, x["at"] + 1), "^[ -]?", 0)
+        parts = F.transform(of, lambda x, j: F.concat(joined(g, end(j) + 1, x["at"] - end(j)), lead(x), card_pseudonym(x["text"], key)))
+        last = end(F.size(of))
+        return F.concat(F.array_join(parts, ""), joined(g, last + 1, F.size(g) - last))
+
+    def whole(g: Column, of: Column) -> Column:
+        some = F.struct(F.transform(of, lambda x: F.lit("card")).alias("kinds"), text(g, of).alias("text"))
+        one = F.struct(F.array(F.lit("card")).alias("kinds"), card_pseudonym(chain, key).alias("text"))
+        return F.when(F.size(of) > 0, some).when(F.coalesce(F.when(F.length(chain) < 38, card_ok(chain)), F.lit(False)), one).otherwise(F.struct(F.array().cast("array<string>").alias("kinds"), chain.alias("text")))
+
+    return F.transform(F.array(groups), lambda g: F.transform(F.array(taken(hits(g))), lambda of: whole(g, of))[0])[0]
+
+
+def iban_in(m: Column, key: Column) -> Column:
+    """Struct (kinds, text): the longest valid IBAN that the candidate begins with, up to a space."""
+    parts = F.split(m, " ")
+    starts = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), " "))
+    valid = F.filter(starts, lambda t: F.when(t.rlike(f"^{_IBAN}$"), iban_ok(t)).otherwise(F.lit(False)))
+    some = lambda t: F.struct(F.array(F.lit("iban")).alias("kinds"), F.concat(iban_pseudonym(t, key), F.substring(m, F.length(t) + 1, F.length(m))).alias("text"))
+    none = F.struct(F.array().cast("array<string>").alias("kinds"), m.alias("text"))
+    return F.coalesce(F.try_element_at(F.transform(F.slice(valid, 1, 1), some), F.lit(1)), none)
+
+
+def replaced(m: Column, key: Column) -> Column:
+    """Struct (kinds, text) of one candidate: what is valid in it, and the text with that replaced."""
+    one = F.transform(F.array(pseudonym(m, key)), lambda p: F.struct(F.filter(F.array(p["kind"]), lambda k: k.isNotNull()).alias("kinds"), p["text"].alias("text")))[0]
+    return F.when(m.rlike(r"^\d(?:[ -]?\d){12}[ \d-]*+$"), cards_in(m, key)).when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), iban_in(m, key)).otherwise(one)
+
+
 def pseudonym(m: Column, key: Column) -> Column:
-    """Struct (kind, text) of one candidate; kind is null where it is not valid."""
+    """Struct (kind, text) of one candidate that is neither card nor IBAN; kind is null where it is not valid."""
     d = digits_of(m)
     n = F.length(d)
     kinds: list[tuple[str, Column, Column, Column]] = []  # kind, shape, valid, pseudonym
@@ -148,14 +252,6 @@ def pseudonym(m: Column, key: Column) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.regexp_extract(m, "(?s)@.*$", 0)
     kinds.append(("email", m.contains("@"), F.lit(True), F.concat(feistel_text(key, "email", local, [_DIGITS, _LOWER, _UPPER, _ACCENTED]), domain)))
 
-    bare = F.regexp_replace(m, " ", "")
-    account = F.substring(bare, F.lit(5), F.length(bare))
-    country = F.substring(bare, 1, 2)
-    moved = feistel_text(key, "iban", account, [_DIGITS, _UPPER])
-    check = F.lpad((F.lit(98) - mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    spaced = F.when(m.contains(" "), F.regexp_replace(F.concat(country, check, moved), "(.{4})(?=.)", "$1 ")).otherwise(F.concat(country, check, moved))
-    kinds.append(("iban", m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), mod97(F.concat(account, F.substring(bare, 1, 4))) == 1, spaced))
-
     o = F.split(m, r"\.")
     octet = lambda i: F.element_at(o, i).cast("int")
     two = feistel_pair(key, "ip", octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), 65536, 65536)
@@ -179,10 +275,6 @@ def pseudonym(m: Column, key: Column) -> Column:
     ssn = F.transform(F.array(ssn_two), lambda s: F.concat_ws("-", F.lpad((F.when(s["a"] >= 665, s["a"] + 2).otherwise(s["a"] + 1)).cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((s["b"] % 9999 + 1).cast("string"), 4, "0")))[0]
     kinds.append(("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn_ok, ssn))
 
-    body = F.substring(d, F.lit(1), n - 1)
-    card = F.transform(F.array(feistel_text(key, "card", body, [_DIGITS])), lambda x: F.concat(x, ((10 - luhn_sum(x, True) % 10) % 10).cast("string")))[0]
-    kinds.append(("card", m.rlike(r"^\d([ -]?\d){12,18}$"), luhn_sum(d, False) % 10 == 0, refill(m, card)))
-
     code = F.length(digits_of(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)))
     phone = F.concat(F.substring(d, F.lit(1), code), feistel_text(key, "phone", F.substring(d, code + 1, n), [_DIGITS]))
     kinds.append(("phone", m.rlike(r"^[+(\d][\d ().-]+$"), n.between(7, 15), refill(m, phone)))
@@ -206,11 +298,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_
     found = F.when(may, F.call_function("regexp_extract_all", text, F.lit(ANY), F.lit(0)))
     marked = docs.withColumn("__loom_found", found)
     some = F.size("__loom_found") > 0
-    marked = marked.withColumn("__loom_new", F.when(some, F.transform("__loom_found", lambda m: pseudonym(m, F.lit(key)))))
+    marked = marked.withColumn("__loom_new", F.when(some, F.transform("__loom_found", lambda m: replaced(m, F.lit(key)))))
     between = F.call_function("split", text, F.lit(ANY), F.lit(-1))
     joined = F.array_join(F.zip_with(between, F.concat(F.transform("__loom_new", lambda x: x["text"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     out = marked.withColumn(text_col, F.when(some, joined).otherwise(text))
     if found_col:
-        kinds = F.filter(F.transform("__loom_new", lambda x: x["kind"]), lambda k: k.isNotNull())
+        kinds = F.flatten(F.transform("__loom_new", lambda x: x["kinds"]))
         out = out.withColumn(found_col, F.coalesce(F.when(some, kinds), F.array().cast("array<string>")))
     return out.drop("__loom_found", "__loom_new")
