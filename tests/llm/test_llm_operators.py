@@ -404,6 +404,17 @@ def test_cards_and_ibans_next_to_other_text(spark):
     assert [t for t, _ in hidden(spark, *cases)] == list(cases.values())
 
 
+def test_phones_stop_before_other_numbers(spark):
+    phone, uk, far, near, card, day, ssn = "+1 (826) 555-4081", "+44 20 7946 0958", "190.137.223.204", "19.13.2.4", "4111 1111 1111 1111", "2024-01-05", "123-45-6789"
+    p, u, f, n, c, d, s = (t for t, _ in hidden(spark, phone, uk, far, near, card, day, ssn))
+    cases = {
+        f"{phone} {far}": f"{p} {f}", f"{phone} {near}": f"{p} {n}", f"{uk} {far}": f"{u} {f}", f"{uk} {near}": f"{u} {n}", f"{phone} {card}": f"{p} {c}", f"{uk} {card}": f"{u} {c}", f"{phone} {day}": f"{p} {d}",
+        f"{phone} {ssn}": f"{p} {s}", f"{uk} {ssn}": f"{u} {s}", f"{phone} 12 items": f"{p} 12 items",
+    }
+    assert [t for t, _ in hidden(spark, *cases)] == list(cases.values())
+    assert [k for _, k in hidden(spark, "+33 1 23.45.67.89", "+49 30 123-45-6789")] == [["phone"]] * 2
+
+
 def test_personal_data_null_and_extra_columns(spark, odd, empty):
     out = pii.pseudonymise(odd)
     assert out.columns == odd.columns and pii.pseudonymise(empty).count() == 0

@@ -13,7 +13,9 @@ to where an ip, date, ssn or phone begins. In it, at each group from the left, b
 numbers and runs of groups of four digits or more (the last may be shorter) with one
 kind of separator are tried, 16 digits first, then longer before shorter; a chain
 without such a card is tried as a whole. An IBAN has its country's length; where that
-is unknown or does not fit, the longest run of groups that is valid counts.
+is unknown or does not fit, the longest run of groups that is valid counts. A phone
+has 10 digits behind +1; others stop before another kind or a card in groups of four,
+if they are long enough by then, and in any case at 15 digits.
 
 Kinds: email (the local part), iban (mod 97), card (Luhn), ssn, ip (version 4),
 date (1900 to 2099, as YYYY-MM-DD, D.M.YYYY or D/M/YYYY), phone, secret (a value
@@ -43,6 +45,11 @@ _IP = _EDGE + r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)" + _END
 _DATE = _EDGE + r"(?<!\d[./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4})(?![./-]?\d)" + _END
 _SSN = _EDGE + r"(?<!\d-)\d{3}-\d{2}-\d{4}(?!-?\d)" + _END
 _LOCAL_PHONE = r"(?<![\p{L}\p{N}+.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END
+#: An international phone: of North America, up to where another kind begins, or as long as it gets.
+_CODE, _MOST = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})", r"(?<!\d" + r"[ .()-]{0,2}\d" * 15 + ")"
+_STOPS = f"(?!{_IP}|{_DATE}|{_SSN}|{_LOCAL_PHONE}|{_EDGE}" + r"\d{4}(?:[ -]\d{4}){3}" + _END + ")"
+_NORTH_AMERICA = r"(?<![\p{L}\p{N}+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}" + _END
+_PHONE = f"{_NORTH_AMERICA}|{_CODE}(?:[ .-]?{_STOPS}" + r"\d{2,4}){2,4}" + f"{_END}{_MOST}|{_CODE}" + r"(?:[ .-]?\d{2,4}){2,4}" + f"{_END}{_MOST}|{_LOCAL_PHONE}"
 #: A digit group of a chain; chains stop where another kind begins.
 _GROUP = r"\d++" + _END
 _OTHER = f"(?!{_IP}|{_DATE}|{_SSN}|{_LOCAL_PHONE})"
@@ -53,7 +60,7 @@ PATTERNS = {
     "ip": _IP,
     "date": _DATE,
     "ssn": _SSN,
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}" + _END + "|" + _LOCAL_PHONE,
+    "phone": _PHONE,
     "secret": r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY)\s?[=:]\s?[\"'])[A-Za-z0-9_-]{16,}(?=[\"'])",
     "card": _EDGE + r"(?=\d(?:[ -]?\d){12})" + _GROUP + f"(?:[ -]{_OTHER}{_GROUP})*+",
 }
