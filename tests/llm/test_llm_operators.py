@@ -298,6 +298,15 @@ def test_toxicity_learns_and_generalises(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if not r.predicted}
 
 
+def test_toxicity_learns_rare_words():
+    rng = random.Random(8)
+    bad, fine = ["idiot", "loser", "clown", "trash", "pathetic", "disgusting", "worthless", "scum", "moron", "stupid"], [f"{a}{b}" for a in ("ax", "ez", "uv", "yk") for b in ("ab", "ek", "ux", "yv", "oz")]
+    texts = [" ".join(rng.choice(fine) for _ in range(20)) for _ in range(400)]
+    texts[:40] = [f"{t} {bad[i % 10]} {bad[i % 10]}" for i, t in enumerate(texts[:40])]  # each word in 4 texts
+    model = toxicity.train(texts, [int(i < 40) for i in range(400)])
+    assert min(model.word(w) for w in bad) > max(0, max(model.word(w) for w in fine))
+
+
 def test_toxicity_without_labels(odd, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(odd, none).collect()} == {0}

@@ -35,8 +35,8 @@ GRAMS = (3, 4, 5)
 MAX_ROWS = 13_000
 MAX_BYTES = 48_000_000
 EPOCHS = 8
-#: Buckets that fewer training texts hold keep a zero vector: they say nothing about unseen texts.
-MIN_TEXTS = 20
+#: A bucket that n training texts hold starts and learns at n / (n + RARE) of the rate: rare ones are damped, not left out.
+RARE = 3
 SEED = 7
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,7 +79,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + (total / len(found) if found else 0.0), -500, 500))))
 
 
-def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.5, min_texts: int = MIN_TEXTS) -> Model:
+def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.5, rare: float = RARE) -> Model:
     """Joint training of bucket embeddings and softmax by Adagrad on shuffled mini-batches."""
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
@@ -112,14 +112,10 @@ def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: in
     for lo, hi in zip(at, at[1:]):
         if hi > lo:
             held[np.unique(g_ids[spans(g_at[rows[lo:hi]], g_at[rows[lo:hi] + 1])[0]])] += 1
-    learnt = held >= min(min_texts, max(1, len(y) // 20))
-    # a word's mean is over all its n-grams; the vectors of unlearnt ones are zero and left out of the sums
+    damp = held / np.maximum(held + rare, 1)
     sizes = np.maximum(np.diff(g_at), 1)
-    keep = learnt[g_ids]
-    g_at = np.concatenate([[0], np.cumsum(keep)])[g_at]
-    g_ids = g_ids[keep]
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-1, 1, (n_buckets, dim)) / dim * learnt[:, None]
+    emb = rng.uniform(-1, 1, (n_buckets, dim)) / dim * damp[:, None]
     out = rng.normal(0, 1, (dim, 2)) / dim
     bias = np.zeros(2)
     g_emb, g_out, g_bias = np.full(n_buckets, 1e-8), np.full((dim, 2), 1e-8), np.full(2, 1e-8)
@@ -150,7 +146,7 @@ def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: in
             ub, inv = np.unique(g, return_inverse=True)
             d_emb = add(len(ub), inv, d_vec[g_word])
             g_emb[ub] += (d_emb**2).mean(axis=1)
-            emb[ub] -= rate * d_emb / np.sqrt(g_emb[ub])[:, None]
+            emb[ub] -= rate * damp[ub][:, None] * d_emb / np.sqrt(g_emb[ub])[:, None]
             g_out += d_out**2
             out -= rate * d_out / np.sqrt(g_out)
             g_bias += d_bias**2
