@@ -307,6 +307,14 @@ def test_toxicity_learns_rare_words():
     assert min(model.word(w) for w in bad) > max(0, max(model.word(w) for w in fine))
 
 
+def test_giant_text_does_not_end_training(spark):
+    for giant in range(6):  # wherever it comes in the order of hashes
+        docs = spark.createDataFrame([(i, "x" * (1_000 if i == giant else 10)) for i in range(6)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+        texts, y = toxicity.training_rows(docs, labels, lambda i: F.lit(False), max_bytes=100)
+        assert texts == ["x" * 10] * 5 and sum(y) == 3 - giant % 2
+
+
 def test_toxicity_without_labels(odd, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(odd, none).collect()} == {0}

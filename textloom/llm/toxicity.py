@@ -8,7 +8,8 @@ word it comes from. As the model is linear above the averages, a trained model i
 one number for each bucket and a bias, which every task scores whole texts with.
 
 Training takes at most `max_rows` labelled texts (a documented bound: those with
-the smallest hashes of their ids) and at most `max_bytes` of text in all.
+the smallest hashes of their ids) and at most `max_bytes` of text in all; a text that
+does not fit any more is passed by.
 
 Defined cases: null or empty text, or one without words, gets the score of the
 bias alone; with no labelled row of both classes every score is the share of
@@ -161,9 +162,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, max_rows: int =
     texts = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "y", "text")
     rows, size = [], 0
     for r in texts.select("text", "y").toLocalIterator():
+        if size + len(r.text) > max_bytes:
+            continue
         size += len(r.text)
-        if size > max_bytes and rows:
-            break
         rows.append((r.text, r.y))
     return [t for t, _ in rows], [y for _, y in rows]
 
