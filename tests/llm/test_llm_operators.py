@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from textloom.llm import ann, jaccard, media, packing, pieces, pii, store, suffix, tokens, toxicity
 from textloom.llm.components import components, forest
@@ -19,6 +20,7 @@ from textloom.llm.ids import ByteBpe
 from textloom.llm.queries import QUERIES, vocabulary
 
 BPE, WORD, PIECE = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
+LIBRARY = Tokenizer.from_file(BPE)
 RNG = random.Random(11)
 LONG = " ".join(RNG.choice(["alpha", "beta", "gamma", "delté", "ε"]) + str(RNG.randint(0, 99)) for _ in range(9_000))
 ODD = [
@@ -74,8 +76,6 @@ def test_fingerprint_finds_a_tone():
 
 
 def test_counts_equal_the_library(odd, empty):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(WORD)
     n = lambda x: len(t.encode(x, add_special_tokens=False).ids)
     got = Counter((r.doc_id, r.n_tokens, r.n_bytes, r.over_limit) for r in tokens.count_tokens(odd, WORD, chunk=700, overlap=30).collect())
@@ -85,8 +85,6 @@ def test_counts_equal_the_library(odd, empty):
 
 @pytest.mark.parametrize("chunk,overlap", [(40, 4), (200, 10), (1000, 50)])
 def test_spliced_ids(chunk, overlap):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(WORD)
     rng = random.Random(chunk)
     for _ in range(40):
@@ -97,15 +95,32 @@ def test_spliced_ids(chunk, overlap):
 # --- ids ---
 
 
-def test_fast_ids_equal_the_library():
+def test_ids_equal_the_library():
     b, rng = ByteBpe(BPE), random.Random(5)
-    assert b.fast is not None
-    cases = ["".join(rng.choice("abc é'sß9²–”жひ一\n\r\t!?_  😀 ") for _ in range(rng.randint(0, 60))) for _ in range(2000)] + [t for _, t in texts()]
-    assert [list(x) for x in b.encode(cases)] == [e.ids for e in b.slow.encode_batch(cases, add_special_tokens=False)]
+    assert b.splits
+    cases = ["".join(rng.choice("abc é'sß9²–”жひ一\n\r\t!?_  😀 \xa0\u0301") for _ in range(rng.randint(0, 60))) for _ in range(2000)] + [t for _, t in texts()]
+    want = [e.ids for e in b.lib.encode_batch(cases, add_special_tokens=False)]
+    assert [x.tolist() for x in b.encode(cases)] == want and [x.tolist() for x in b.encode(cases)] == want
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, " " * 1_000_000 + "word \n\n x", "7 " * 500_000])
+def test_ids_of_long_runs(text):
+    b = ByteBpe(BPE)
+    assert b.encode([text])[0].tolist() == b.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_pretokens_are_forgotten_at_the_bound(monkeypatch):
+    from textloom.llm import ids
+
+    monkeypatch.setattr(ids, "HELD", 2_000)
+    b = ByteBpe(BPE)
+    cases = [f"text {i} of the words {i % 7} and {i * i}" for i in range(300)]
+    assert [x.tolist() for x in b.encode(cases)] == [e.ids for e in b.lib.encode_batch(cases, add_special_tokens=False)]
+    assert b.held <= 2_000
 
 
 def ids_of(text):
-    return np.append(ByteBpe(BPE).encode([text])[0], np.uint32(0)).astype("<u4")
+    return np.append(np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4"), np.uint32(0)).astype("<u4")
 
 
 # --- 3 packing ---
@@ -181,11 +196,39 @@ def test_damage_is_found(spark, odd):
         store.read_store(spark, other).collect()
 
 
+@pytest.mark.parametrize("part,change,said", [
+    ("recipes", "case when doc_id = 3 then n_tokens + 1 else n_tokens end as n_tokens", "manifest"),
+    ("recipes", "case when doc_id = 3 then overlay(root placing X'00FF' from 1) else root end as root", "manifest"),
+    ("recipes", "case when doc_id = 3 then overlay(steps placing X'00FF' from 1) else steps end as steps", "does not match its root"),
+    ("manifest", "n_docs + 1 as n_docs", "manifest"),
+])
+def test_changed_recipes_are_found(spark, odd, part, change, said):
+    path = store.write_store(odd, BPE)
+    other, name = path + "-changed", change.split()[-1]
+    for kept in {"entries", "recipes", "manifest"} - {part}:
+        df = spark.read.parquet(f"{path}/{kept}")
+        (df.write.partitionBy("kind") if kept == "entries" else df.write).parquet(f"{other}/{kept}")
+    whole = spark.read.parquet(f"{path}/{part}")
+    whole.selectExpr(*[change if c == name else c for c in whole.columns]).write.parquet(f"{other}/{part}")
+    with pytest.raises(Exception, match=said):
+        store.read_store(spark, other).collect()
+
+
+def test_pages_of_the_manifest(spark, odd):
+    path = store.write_store(odd.repartition(1), BPE, page=2)
+    assert spark.read.parquet(f"{path}/manifest").where("n_docs > 2").count() == 0
+    assert store.read_store(spark, path).count() == len(ODD)
+
+
 def test_crc_of_a_concatenation():
     join, rng = store.CrcJoin(), random.Random(1)
     for _ in range(50):
         a, b = rng.randbytes(rng.randint(0, 300)), rng.randbytes(rng.randint(0, 300))
         assert join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    parts = [rng.randbytes(rng.randint(0, 9_000)) for _ in range(40)]
+    follow = np.cumsum([0, *map(len, parts[:0:-1])])[::-1]
+    moved = join.shift(np.array([zlib.crc32(p) for p in parts], np.uint32), follow)
+    assert int(np.bitwise_xor.reduce(moved)) == zlib.crc32(b"".join(parts))
 
 
 def test_cuts_follow_content():

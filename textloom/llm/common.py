@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; documents are whole texts, so a batch stays at a few MB.
 BATCH_ROWS = 512
 
+#: Bytes of input (as stored) for each partition of an exchange.
+PARTITION_BYTES = 8 << 20
+
 MASK64 = (1 << 64) - 1
 
 
@@ -22,14 +25,27 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def partitions_for(df: DataFrame, each: int = PARTITION_BYTES) -> int:
+    """Partitions for an exchange of what `df` reads: the session's number, or more where its input is larger.
+
+    The size is that of the files below the plan; tables of unknown size (local rows) count nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-sum(x for x in sizes if x < 1 << 56) // each))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one spark.checkpoint.dir names.
 
-    Only where the setting is absent (tests, a single machine) is a temporary
-    folder chosen, and recorded in the session so that later calls agree.
+    Only where the setting is absent on a single machine (tests) is a temporary folder
+    chosen, and recorded in the session so that later calls agree; a cluster needs the setting.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

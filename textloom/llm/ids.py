@@ -1,10 +1,11 @@
 """Token ids of a byte-level BPE file, as the tokenizers library gives them.
 
-`ByteBpe` reads one tokenizers .json file. Where that file's merge order equals
-the order of its ids (checked when it is loaded), tiktoken's core gives the same
-ids several times faster, and takes the texts whose characters lie in blocks that
-both libraries classify alike and that hold none of the file's special strings.
-All other texts, and files for which the check fails, go through tokenizers.
+`ByteBpe` reads one tokenizers .json file. Merges never leave a pre-token, so a text's
+ids are those of its pre-tokens, one after the other. Each distinct pre-token is encoded
+by the library once for a worker, and its ids are kept (up to `HELD` bytes, then afresh).
+Texts are split for that where all their characters lie in blocks with settled Unicode
+classes and none of the file's special strings occurs; all other texts, and files with
+other pre-tokenizers, go through the library whole. Tests compare both.
 """
 
 from __future__ import annotations
@@ -12,21 +13,35 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from array import array
+from itertools import islice
 
 import numpy as np
 
 #: Blocks with settled Unicode classes: ASCII, Latin, Cyrillic letters, kana, common ideographs.
-_SETTLED = r"\t\n\r -~¡-¬®-ɏЀ-ҁҊ-ӿ–-”ぁ-ゖァ-ヺ一-龥"
-_ODD = re.compile(f"[^{_SETTLED}]")
-#: The pre-token pattern of this family of files: a fixed value.
-_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SETTLED = [(0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F), (0x400, 0x481), (0x48A, 0x4FF), (0x2013, 0x201D), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5)]
+#: Bytes of pre-tokens and ids that a worker keeps; words of a long text that are split in one go.
+HELD, GO = 96_000_000, 100_000
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins that byte-level files use for the 256 bytes."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+def _class(kind: str | None) -> str:
+    """Body of a character class: settled characters of a general category (L, N), or all."""
+    found = [c for lo, hi in _SETTLED for c in range(lo, hi + 1) if kind is None or unicodedata.category(chr(c))[0] == kind]
+    spans, start = [], found[0]
+    for a, b in zip(found, [*found[1:], None]):
+        if b != a + 1:
+            spans.append(rf"\u{start:04x}-\u{a:04x}")
+            start = b
+    return "".join(spans)
+
+
+def _splitter() -> tuple[re.Pattern, re.Pattern]:
+    """(pre-tokens of this family of files, characters outside the settled blocks)."""
+    letter, number, space = _class("L"), _class("N"), r"\t\n\r "
+    # fixed values: the alternatives of the pre-token pattern, longest white space but the last before a word
+    words = rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(words), re.compile(f"[^{_class(None)}]")
 
 
 class ByteBpe:
@@ -34,44 +49,59 @@ class ByteBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.special = added
-        self.fast = self._core(spec, set(added))
-
-    def _core(self, spec: dict, added: set[str]):
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        made = [vocab.get(a + b) for a, b in pairs]
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
-        simple = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        if not simple or None in made or made != sorted(made) or len(vocab) - len(made) - len(added & vocab.keys()) != 256:
-            return None
-        import tiktoken
-
-        back = _byte_alphabet()
-        ranks = {bytes(back[c] for c in w): i for w, i in vocab.items() if w not in added}
-        return tiktoken.Encoding("ids", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.word, self.odd = _splitter()
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _plain(self, text: str) -> bool:
-        return self.fast is not None and (text.isascii() or not _ODD.search(text)) and not any(x in text for x in self.special)
+        return self.splits and not self.odd.search(text) and not any(x in text for x in self.special)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> bytes:
+        """Ids of pre-tokens in a row; those not met before are encoded now."""
+        parts = list(map(self.known.get, words))
+        holes, at = [], -1
+        try:
+            while True:
+                at = parts.index(None, at + 1)
+                holes.append(at)
+        except ValueError:
+            pass
+        if holes:
+            new = list({words[i] for i in holes})
+            made = dict(zip(new, self._library(new)))
+            for i in holes:
+                parts[i] = made[words[i]]
+            self.held += sum(200 + len(w) + len(x) for w, x in made.items())
+            if self.held > HELD:
+                self.known, self.held = {}, 0
+            else:
+                self.known.update(made)
+        return b"".join(parts)
+
+    def _one(self, text: str) -> bytes:
+        if len(text) <= 8 * GO:
+            return self._joined(self.word.findall(text))
+        found, out = (m.group() for m in self.word.finditer(text)), []
+        while words := list(islice(found, GO)):
+            out.append(self._joined(words))
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without added special tokens."""
-        out: list = [None] * len(texts)
-        rest = []
-        for i, t in enumerate(texts):
-            if self._plain(t):
-                out[i] = self.fast.encode_to_numpy(t, disallowed_special=())  # uint32; the core knows no special strings
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.slow.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, dtype=np.uint32)
-        return out
+        plain = [self._plain(t) for t in texts]
+        rest = iter(self._library([t for t, p in zip(texts, plain) if not p]))
+        return [np.frombuffer(self._one(t) if p else next(rest), np.uint32) for t, p in zip(texts, plain)]
 
 
 _loaded: dict[str, ByteBpe] = {}
