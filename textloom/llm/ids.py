@@ -2,7 +2,7 @@
 
 `ByteBpe` reads one tokenizers .json file. Merges never leave a pre-token, so a text's
 ids are those of its pre-tokens, one after the other. Each distinct pre-token is encoded
-by the library once for a worker, and its ids are kept (up to `HELD` bytes, then afresh).
+by the library once for a worker, and its ids are kept (up to `HELD` bytes; those met last stay).
 Texts are split for that where all their characters lie in blocks with settled Unicode
 classes and none of the file's special strings occurs; all other texts, and files with
 other pre-tokenizers, go through the library whole. Tests compare both.
@@ -58,7 +58,9 @@ class ByteBpe:
         pre = spec.get("pre_tokenizer") or {}
         self.splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.word, self.odd = _splitter()
+        self.feed = self.lib.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def _plain(self, text: str) -> bool:
@@ -67,6 +69,16 @@ class ByteBpe:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens, in one text with line feeds between: they part pre-tokens, and are one id."""
+        lone = [w for w in words if not w.isspace()]
+        ids = np.frombuffer(self._library(["\n".join(lone)])[0], np.uint32)
+        cuts = [0, *(4 * np.flatnonzero(ids == self.feed)).tolist(), 4 * len(ids)]
+        raw = ids.tobytes()
+        made = dict(zip(lone, [raw[a + 4 * (a > 0) : b] for a, b in zip(cuts, cuts[1:])]))
+        spaces = [w for w in words if w.isspace()]
+        return made | dict(zip(spaces, self._library(spaces)))
+
     def _joined(self, words: list[str]) -> bytes:
         """Ids of pre-tokens in a row; those not met before are encoded now."""
         parts = list(map(self.known.get, words))
@@ -78,15 +90,15 @@ class ByteBpe:
         except ValueError:
             pass
         if holes:
-            new = list({words[i] for i in holes})
-            made = dict(zip(new, self._library(new)))
+            lost = {words[i] for i in holes}
+            made = {w: x for w in lost if (x := self.older.get(w)) is not None}
+            made |= self._words([w for w in lost if w not in made])
             for i in holes:
                 parts[i] = made[words[i]]
             self.held += sum(200 + len(w) + len(x) for w, x in made.items())
-            if self.held > HELD:
-                self.known, self.held = {}, 0
-            else:
-                self.known.update(made)
+            self.known.update(made)
+            if self.held > HELD // 2:  # words not met again until the next time go
+                self.older, self.known, self.held = self.known, {}, 0
         return b"".join(parts)
 
     def _one(self, text: str) -> bytes:

@@ -230,7 +230,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, i
     rows = id_text(docs, id_col, text_col)
     n = partitions_for(rows)
     entries = rows.mapInArrow(_encode(tokenizer_path), _ENTRY_DDL)
-    sorted_ = entries.repartition(n, "deal").sortWithinPartitions("kind", "deal", "digest")
+    sorted_ = entries.repartition(n, "deal").sortWithinPartitions("deal", "digest")
     sorted_.mapInArrow(_once, _ENTRY_DDL).drop("deal").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/entries")
     made = spark.read.schema("digest binary, n_ids long, payload binary, doc_id long, row_id long, kind string").parquet(f"{path}/entries").where("kind = 'recipe'")
     parts = max(1, n // 4)
