@@ -109,14 +109,22 @@ def test_ids_of_long_runs(text):
     assert b.encode([text])[0].tolist() == b.lib.encode(text, add_special_tokens=False).ids
 
 
-def test_pretokens_are_forgotten_at_the_bound(monkeypatch):
+def test_pretokens_next_to_quotes_and_space():
+    b, rng = ByteBpe(BPE), random.Random(8)
+    cases = ["".join(rng.choice("ab 'slvetmrd9–\n  '") for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    assert [x.tolist() for x in b.encode(cases)] == [e.ids for e in b.lib.encode_batch(cases, add_special_tokens=False)]
+
+
+def test_table_of_pretokens_is_bounded(monkeypatch):
     from textloom.llm import ids
 
-    monkeypatch.setattr(ids, "HELD", 2_000)
+    monkeypatch.setattr(ids, "SLOTS", 64)
+    monkeypatch.setattr(ids, "POOL", 4096)
+    monkeypatch.setattr(ids, "GO", 2000)
     b = ByteBpe(BPE)
-    cases = [f"text {i} of the words {i % 7} and {i * i}" for i in range(300)]
+    cases = [f"text {i} of the words {i % 7} and {i * i} " + "averyveryverylongword" * (i % 3) + "a1 b " * (900 if i == 50 else 1) for i in range(300)]
     assert [x.tolist() for x in b.encode(cases)] == [e.ids for e in b.lib.encode_batch(cases, add_special_tokens=False)]
-    assert b.held <= 2_000 and len(b.older) < 50
+    assert len(b.pool) <= 16_384 and len(b.long) < 300
 
 
 def ids_of(text):
