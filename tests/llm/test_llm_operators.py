@@ -84,14 +84,36 @@ def test_counts_equal_the_library(odd, empty):
 
 
 @pytest.mark.parametrize("chunk,overlap", [(40, 4), (200, 10), (1000, 50)])
-def test_spliced_ids(chunk, overlap):
-    t = Tokenizer.from_file(WORD)
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("letters", ["ab cé'1!\n<|>", "abcz09", "ab'sdt. \u0301", "漢字かな。、x1", "ABİßς ’é"])
+def test_spliced_ids(chunk, overlap, letters):
+    t, rng = Tokenizer.from_file(WORD), random.Random(chunk)
     for _ in range(40):
-        x = "".join(rng.choice("ab cé'1!\n<|>") for _ in range(rng.randint(0, 900)))
+        x = "".join(rng.choice([*letters, "<|endoftext|>"]) if rng.random() < 0.02 else rng.choice(letters) for _ in range(rng.randint(0, 900)))
         assert tokens.encode_spliced(t, x, chunk, overlap) == t.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, "x7Kq" * 500_000, "漢字" * 100_000, "漢字を、" * 400_000, "word " * 200_000, " " * 300_000, "!" * 300_000 + "a b"])
+def test_long_texts_cost_a_few_times_the_library(text):
+    t = Tokenizer.from_file(WORD)
+    encoded = 0
+
+    class Counting:
+        def encode(self, x, **k):
+            nonlocal encoded
+            encoded += len(x)
+            return t.encode(x, **k)
+
+    assert tokens.encode_spliced(Counting(), text) == t.encode(text, add_special_tokens=False).ids
+    assert encoded < 3 * len(text)
+
+
+def test_splices_meet_where_encodings_agree():
+    t = Tokenizer.from_file(WORD)
+    found = list(tokens.spliced(t, LONG, 700, 60))
+    assert len(found) > 50 and all(a.stop > b.start for (a, _), (b, _) in zip(found, found[1:]))
+    assert sum(stop - p.first for p, stop in found) == len(t.encode(LONG, add_special_tokens=False).ids)
+
+
 # --- ids ---
 
 
@@ -159,12 +181,20 @@ def test_rounds_merge_what_nodes_leave(spark):
     lengths = [rng.randint(1, 100) for _ in range(600)]
     rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
     items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    out = packing.pack(items, size=100, slack=0, node_items=100, fan_in=3).collect()
+    out = packing.pack(items, size=100, slack=0, node_items=100, merge_bins=30).collect()
     check_packing(out, 100)
     assert sorted(r.doc_id for r in out) == list(range(600))
     assert len({r.sequence_id for r in out}) <= 1.06 * sum(lengths) / 100 + 2
 
 
+def test_rounds_end_where_bins_do_not_go_together(spark):
+    rows = [(i, 0, 0, 60, i) for i in range(400)] + [(1000, 0, 0, 1, 1)]  # the small one keeps all bins from leaving early
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(items, size=100, slack=0, node_items=50, merge_bins=50).collect()
+    check_packing(out, 100)
+    assert len(out) == 401 and len({r.sequence_id for r in out}) == 400
+
+
 def test_best_fit_takes_the_tightest_bin():
     assert packing.best_fit([7, 6, 4, 3], 10) == [[0, 3], [1, 2]]
     assert packing.cut(0) == [] and packing.cut(2048) == [(0, 2048)] and packing.cut(2049) == [(0, 1), (1, 2048)]

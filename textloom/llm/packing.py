@@ -4,10 +4,12 @@ Documents become token pieces of at most `size` tokens (only longer documents ar
 cut; the remainder is the first piece). Full pieces are sequences at once. The
 others are dealt to nodes by hash; every node packs its items best-fit, longest
 first, emits the bins that are nearly full and hands its underfull bins on as
-items. Fan-in many nodes meet in one node of the next round, until one is left,
-which emits all. A bin travels as one row with its members, so a task holds the
-underfull bins of its nodes only, and a bin that not even the smallest item left
-in the round could enter is emitted early.
+items. Neighbouring nodes meet in one node of the next round, as many as make
+`merge_bins` underfull bins, until one is left, which emits all. So a node holds a
+bounded number of items or bins. A bin travels as one row with its members, and a bin
+that not even the smallest item left in the round could enter is emitted early. If a
+round leaves so many underfull bins that the next would have over three quarters of
+its nodes, bins do not go together any more, and all are emitted.
 
 Defined cases: null text is empty (one piece, the end id alone); ties are settled
 by the members' bytes, so a repeated task gives the same bins; repeated rows are
@@ -31,8 +33,8 @@ SIZE = 2048
 END_ID = 0
 #: A bin with at most this many free tokens is nearly full and leaves before the last round.
 SLACK = 4
-NODE_ITEMS = 40_000
-FAN_IN = 8
+#: Items of a node of the first round, and bins of a node of the later ones.
+NODE_ITEMS, MERGE_BINS = 40_000, 200_000
 
 MEMBER = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -86,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str =
     return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def _round(level: int, fan_in: int, size: int, slack: int, last: bool):
+def _round(level: int, size: int, slack: int):
     schema = pa.schema([("bin_id", pa.int64()), ("node", pa.int64()), ("fill", pa.int32()), ("done", pa.bool_()), ("members", pa.binary())])
 
     def run(batches):
@@ -100,12 +102,12 @@ def _round(level: int, fan_in: int, size: int, slack: int, last: bool):
             fills = [sum(items[i][0] for i in b) for b in packed]
             for lo in range(0, len(packed), 2000):
                 part = range(lo, min(lo + 2000, len(packed)))
-                yield batch_of({"bin_id": [(level << 56) | (node << 28) | k for k in part], "node": [node // fan_in for _ in part], "fill": [fills[k] for k in part], "done": [last or size - fills[k] <= slack for k in part], "members": [b"".join(items[i][1] for i in packed[k]) for k in part]}, schema)
+                yield batch_of({"bin_id": [(level << 56) | (node << 28) | k for k in part], "node": [node for _ in part], "fill": [fills[k] for k in part], "done": [size - fills[k] <= slack for k in part], "members": [b"".join(items[i][1] for i in packed[k]) for k in part]}, schema)
 
     return run
 
 
-def pack(items: DataFrame, size: int = SIZE, slack: int = SLACK, node_items: int = NODE_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
+def pack(items: DataFrame, size: int = SIZE, slack: int = SLACK, node_items: int = NODE_ITEMS, merge_bins: int = MERGE_BINS) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
 
     `items` is read several times: pass a materialised table.
@@ -128,14 +130,17 @@ def pack(items: DataFrame, size: int = SIZE, slack: int = SLACK, node_items: int
     level_in = dealt.mapInArrow(rows, "node long, fill int, members binary")
     done, level = None, 0
     while True:
-        last = n == 1
-        out = materialise(level_in.repartition(n, "node").mapInArrow(_round(level, fan_in, size, slack, last), BINS), f"bins{level}")
+        out = materialise(level_in.repartition(n, "node").mapInArrow(_round(level, size, slack), BINS), f"bins{level}")
         least = out.where("not done").agg(F.min("fill")).first()[0]
         full = F.col("done") if least is None else F.col("done") | (size - F.col("fill") < least)
-        done = out.where(full) if done is None else done.unionByName(out.where(full))
-        if last or least is None:
+        after = math.ceil(out.where(~full).count() / merge_bins)
+        last = not after or n == 1 or after > 0.75 * n
+        leaving = out if last else out.where(full)
+        done = leaving if done is None else done.unionByName(leaving)
+        if last:
             break
-        level_in, n, level = out.where(~full).select("node", "fill", "members"), math.ceil(n / fan_in), level + 1
+        level_in = out.where(~full).select(F.floor(F.col("node") * after / n).cast("long").alias("node"), "fill", "members")
+        n, level = after, level + 1
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def placed(batches):

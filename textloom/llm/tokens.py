@@ -1,21 +1,25 @@
-"""Token counts of whole texts, huge ones by overlapping chunks that are spliced.
-
-A text of more than `chunk` characters is encoded as overlapping chunks with
-offsets. Neighbouring chunks are joined at a common boundary that is proven
-stable: a place in the overlap where the text has white space (which no token of
-the vocabulary spans, as its pre-tokenizer drops it) and from which both
-encodings start a token at the same offset with the same ids up to a margin. If
-the overlap holds none, it is widened (doubled) until there is one or the chunk
-reaches the end of the text, so the result is the library's for the whole text.
-
-Defined cases: null text is empty and counts 0; a text without white space ends
-up encoded whole; repeated rows are counted each.
+"""Token counts of whole texts by overlapping chunks that are spliced.
+
+A text is encoded as chunks of `chunk` characters, with offsets, each overlapping the one
+before (a text of one chunk has nothing to splice). Neighbours are joined at a common
+boundary that is proven stable: an edge that ends a pre-token whatever stands around
+it, at which both encodings start a token, with the same ids from there up to a margin. If
+the overlap holds none, or the encodings do not agree, it is widened (doubled), back to the
+last boundary at most; the chunk grows with it, so that a text without any edge costs a
+bounded number of times its encoding. The result is the library's for the whole text.
+
+Edges: before a character that follows white space; between an ASCII digit and an ASCII
+letter or digit; between an ASCII letter or digit, and an ASCII sign but the apostrophe;
+between a common ideograph or kana and its full stop or comma.
+
+Defined cases: null text is empty and counts 0; a text without edges ends up encoded
+whole; repeated rows are counted each.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,87 +30,78 @@ CHUNK = 20_000
 OVERLAP = 400
 #: Tokens that must agree after a common boundary.
 MARGIN = 4
-#: White space that ends a pre-token whatever comes before and after.
-_GAP = re.compile(r"[ \n\r\t]")
-_WORDS = re.compile(r"[^ \n\r\t]+")
+_EDGE = re.compile(r"(?<=[ \n\r\t])(?=\S)|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[一-龥ぁ-ゖァ-ヺ])(?=[。、！？])")
 
 
-def _starts(enc, base: int) -> tuple[list[int], list[int]]:
-    """Start offsets in the text, and ids, of an encoding of a piece that starts at base."""
-    return [base + a for a, _ in enc.offsets], enc.ids
+class Piece:
+    """The encoding of text[start:stop]; tokens from `first` on count."""
 
+    def __init__(self, tokenizer, text: str, start: int, stop: int):
+        self.encoding, self.start, self.stop, self.first = tokenizer.encode(text[start:stop], add_special_tokens=False), start, stop, 0
+        self.ids: list[int] = self.encoding.ids
 
-def stable_boundary(text: str, left: tuple[list[int], list[int]], right: tuple[list[int], list[int]], lo: int, hi: int, margin: int = MARGIN) -> tuple[int, int] | None:
-    """Token numbers (left, right) of the first proven common boundary in text[lo:hi].
+    def token_at(self, place: int) -> int | None:
+        """The token that starts at a place of the text."""
+        i = self.encoding.char_to_token(place - self.start)
+        return i if i is not None and self.encoding.token_to_chars(i)[0] == place - self.start else None
 
-    White space at text[p - 1] resets the tokenizer, so tokens that start at p are
-    the same in every encoding that sees text from before p to beyond the margin.
+    def starts(self, i: int, n: int) -> list[int]:
+        return [self.start + self.encoding.token_to_chars(k)[0] for k in range(i, i + n)]
+
+
+def stable_boundary(text: str, left: Piece, right: Piece, margin: int = MARGIN) -> tuple[int, int, int] | None:
+    """(place, token of left, token of right) of the first proven common boundary in their overlap.
+
+    The place is an edge, so the tokens from there on are the same in every encoding that
+    sees the text from there to beyond the margin, and those before it in every one that sees it.
     """
-    for m in _GAP.finditer(text, lo, hi):
-        p = m.end()
-        i, j = bisect.bisect_left(left[0], p), bisect.bisect_left(right[0], p)
-        if i + margin > len(left[0]) or j + margin > len(right[0]) or left[0][i] >= hi:
+    for m in _EDGE.finditer(text, right.start, left.stop):
+        p = m.start()
+        if p == right.start and p:
+            continue  # right does not see what stands before
+        i, j = left.token_at(p), right.token_at(p)
+        if i is None or j is None:
+            continue
+        if i + margin > len(left.ids) or j + margin > len(right.ids):
             return None
-        if left[0][i : i + margin] == right[0][j : j + margin] and left[1][i : i + margin] == right[1][j : j + margin]:
-            return i, j
+        if left.ids[i : i + margin] == right.ids[j : j + margin] and left.starts(i, margin) == right.starts(j, margin):
+            return p, i, j
     return None
 
 
-def encode_spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> list[int]:
-    """Ids of the whole text from overlapping chunks; equal to encoding it at once."""
-    enc = lambda a, b: _starts(tokenizer.encode(text[a:b], add_special_tokens=False), a)
-    end = min(chunk, len(text))
-    ids: list[int] = []
-    held = enc(0, end)
-    while end < len(text):
+def spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> Iterator[tuple[Piece, int]]:
+    """Pieces in order, each with the token before which it is cut."""
+    low, held = 0, Piece(tokenizer, text, 0, min(chunk, len(text)))
+    while held.stop < len(text):
         width = overlap
         while True:
-            start = max(0, end - width)
-            stop = min(len(text), end - width + chunk if width < chunk else end + chunk)
-            stop = max(stop, min(len(text), end + 1))
-            nxt = enc(start, stop)
-            # the first characters of the new chunk may be half a word: look after the first gap
-            cut = stable_boundary(text, held, nxt, start, end, margin)
-            if cut or start == 0:
+            start = max(low, held.stop - width)
+            if start > low and not _EDGE.search(text, start + 1, held.stop):
+                width *= 2
+                continue
+            back = held.stop - start
+            new = Piece(tokenizer, text, start, min(len(text), held.stop + max(chunk - back, back)))
+            cut = stable_boundary(text, held, new, margin) if start > low else None
+            if cut or start == low:
                 break
             width *= 2
-        if not cut:
-            # no stable place from the start of the text on: the new chunk holds it whole
-            held, ids, end = nxt, [], stop
-            continue
-        i, j = cut
-        ids += held[1][:i]
-        held = (nxt[0][j:], nxt[1][j:])
-        end = stop
-    return ids + held[1]
+        if cut:
+            low, stop, new.first = cut
+            yield held, stop
+        held = new  # without a cut it starts at the last boundary and holds all since
+    yield held, len(held.ids)
 
 
-class WordCounts:
-    """Token counts of texts of one chunk, as the sum over their white-space separated words.
-
-    The tokenizer is reset at white space, so a word has the same tokens in every text
-    (the fact that also proves a stable boundary). Counts of words met before are kept,
-    at most `most` of them.
-    """
-
-    def __init__(self, tokenizer, most: int = 600_000):
-        self.tokenizer, self.most, self.known = tokenizer, most, {}
-
-    def __call__(self, texts: list[str]) -> list[int]:
-        split = [_WORDS.findall(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        self.known.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        return [sum(map(self.known.__getitem__, words)) for words in split]
+def encode_spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> list[int]:
+    """Ids of the whole text; equal to encoding it at once."""
+    return [i for piece, stop in spliced(tokenizer, text, chunk, overlap, margin) for i in piece.ids[piece.first : stop]]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every text, by a tokenizers .json file.
 
-    The file must be one whose tokens never span white space (word-level
-    pre-tokenizers that drop it), which the proof of a stable boundary needs.
+    The file must be one whose pre-tokens end at the edges (word-level pre-tokenizers that
+    drop white space and part digits), which the proof of a stable boundary needs.
     """
     arrow_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -120,11 +115,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk:
         t = Tokenizer.from_file(tokenizer_path)
         t.no_truncation()
         t.no_padding()
-        words = WordCounts(t)
         for b in batches:
             texts = b.column("text").to_pylist()
-            counts = iter(words([x for x in texts if len(x) <= chunk]))
-            n = [next(counts) if len(x) <= chunk else len(encode_spliced(t, x, chunk, overlap)) for x in texts]
+            one = iter(t.encode_batch_fast([x for x in texts if len(x) <= chunk], add_special_tokens=False))  # one chunk: no offsets needed
+            n = [len(next(one)) if len(x) <= chunk else sum(stop - piece.first for piece, stop in spliced(t, x, chunk, overlap)) for x in texts]
             yield batch_of({"doc_id": b.column("doc_id"), "n_bytes": [len(x.encode()) for x in texts], "n_tokens": n, "over_limit": [k > limit for k in n]}, schema)
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
