@@ -4,10 +4,12 @@ texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -17,7 +19,7 @@ from tokenizers import Tokenizer
 from textloom.llm import ann, jaccard, media, packing, pieces, pii, store, suffix, tokens, toxicity
 from textloom.llm.components import components, forest
 from textloom.llm.ids import ByteBpe
-from textloom.llm.queries import QUERIES, vocabulary
+from textloom.llm.queries import QUERIES, pseudonym_key, vocabulary
 
 BPE, WORD, PIECE = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
 LIBRARY = Tokenizer.from_file(BPE)
@@ -59,6 +61,31 @@ def test_media_round_trip(odd, empty):
     assert media.fingerprints(media.to_wav(empty)).count() == 0
 
 
+def plain_pairs(payload):
+    """Peaks by a plain transform of every frame, paired one by one."""
+    x = [b - 128 for b in payload]
+    frames = 1 + max(0, -(-(len(x) - media.FRAME) // media.HOP))
+    peaks = []
+    for f in range(frames):
+        part = np.array((x[f * media.HOP : f * media.HOP + media.FRAME] + [0] * media.FRAME)[: media.FRAME], float) * np.hanning(media.FRAME)
+        turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+        power = np.abs(turn @ part) ** 2
+        for a, b in media.BANDS:
+            k = a + int(power[a:b].argmax())
+            if power[k] > media.PEAK_OVER_MEAN * power[1:].mean():
+                peaks.append((f, k))
+    return sorted((f, (k << 16) | (m << 4) | (g - f)) for f, k in peaks for g, m in peaks if 1 <= g - f <= media.TARGET_FRAMES), frames
+
+
+def test_fingerprint_equals_a_plain_version(spark):
+    rng = random.Random(4)
+    found = ["", "short", " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(200)), "".join(chr(rng.randint(32, 126)) for _ in range(1500))]
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    for r in media.fingerprints(media.to_wav(df)).collect():
+        want, frames = plain_pairs(media.pad_payload(found[r.doc_id].encode()))
+        assert list(zip(r.pair_times, r.pair_codes)) == want and r.feature.startswith(f"frames={frames};pairs={len(want)};")
+
+
 def test_media_null_column(spark):
     df = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
     assert media.fingerprints(df).first().feature is None
@@ -345,11 +372,15 @@ def test_encode_documents(odd, empty):
     assert pieces.encode_documents(empty, PIECE).count() == 0
 
 
-def test_max_plus_products_are_associative():
+def test_scan_finds_the_best_path():
     rng = np.random.default_rng(1)
     a, b, c = (rng.integers(0, 9, (4, 4)).astype(float) for _ in range(3))
-    prod = lambda x, y: (x[:, :, None] + y[None]).max(1)
-    assert (prod(prod(a, b), c) == prod(a, prod(b, c))).all()
+    assert (pieces.compose(pieces.compose(a, b), c) == pieces.compose(a, pieces.compose(b, c))).all()
+    for n in range(1, 8):
+        sizes = [1, *rng.integers(1, 4, n - 1), 1]
+        m = [np.where(rng.random((x, y)) < 0.2, pieces.NO_PATH, rng.integers(0, 99, (x, y)).astype(float)) for x, y in zip(sizes, sizes[1:])]
+        weight = lambda path: sum(x[i, j] for x, i, j in zip(m, path, path[1:]))
+        assert weight(pieces.scan(m)) == max(map(weight, itertools.product(*map(range, sizes))))
 
 
 # --- 7 toxicity ---
@@ -396,6 +427,57 @@ def test_giant_text_does_not_end_training(spark):
         assert texts == ["x" * 10] * 5 and sum(y) == 3 - giant % 2
 
 
+def plain_training(texts, labels, n_buckets, dim, epochs, seed, rate, rare):
+    """The same training over dense matrices, a document and a bucket at a time."""
+    bag = np.zeros((len(texts), n_buckets))
+    held = np.zeros(n_buckets)
+    for i, t in enumerate(texts):
+        found = toxicity.words(t)
+        for w in found:
+            b = toxicity.buckets(w, n_buckets)
+            for x in b:
+                bag[i, x] += 1 / len(b) / len(found)
+        held += bag[i] > 0
+    damp = held / np.maximum(held + rare, 1)
+    rng = np.random.default_rng(seed)
+    emb = (rng.uniform(-1, 1, (dim, n_buckets)) / dim * damp).T
+    out, bias = rng.normal(0, 1, (dim, 2)) / dim, np.zeros(2)
+    g_emb, g_out, g_bias = np.full(n_buckets, 1e-8), np.full((dim, 2), 1e-8), np.full(2, 1e-8)
+    for _ in range(epochs):
+        order = rng.permutation(len(texts))
+        for lo in range(0, len(texts), 64):
+            d = order[lo : lo + 64]
+            mean = bag[d] @ emb
+            p = np.exp(mean @ out + bias)
+            err = p / p.sum(1, keepdims=True) - np.eye(2)[np.asarray(labels)[d]]
+            d_emb, d_out, d_bias = bag[d].T @ (err @ out.T), mean.T @ err, err.sum(0)
+            g_emb += (d_emb**2).mean(1)
+            emb -= rate * damp[:, None] * d_emb / np.sqrt(g_emb)[:, None]
+            g_out += d_out**2
+            out = out - rate * d_out / np.sqrt(g_out)
+            g_bias += d_bias**2
+            bias = bias - rate * d_bias / np.sqrt(g_bias)
+    return emb @ (out[:, 1] - out[:, 0]), bias[1] - bias[0]
+
+
+def test_training_equals_a_plain_version():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["bad", "good", "worse", "fine", "so so", ""]) for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    labels = [int("bad" in t) for t in texts]
+    model = toxicity.train(texts, labels, n_buckets=300, dim=3, epochs=3, seed=2, rate=0.5, rare=4)
+    weights, bias = plain_training(texts, labels, 300, 3, 3, 2, 0.5, 4)
+    assert np.allclose(model.weights, weights, atol=1e-4) and abs(model.bias - bias) < 1e-4
+
+
+@pytest.mark.parametrize("table,auc,recall", [("sf0.01", 0.75, 0.05), ("sf0.1", 0.87, 0.3)])
+def test_held_out_accuracy(spark, table, auc, recall):
+    folder = f"/root/testdata/{table}"
+    got = QUERIES["op7_toxicity"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("score", "predicted", "toxic").toPandas()
+    pos, neg = got[got.toxic == 1], got[got.toxic == 0]
+    found = np.mean([(neg.score < s).mean() + (neg.score == s).mean() / 2 for s in pos.score])
+    assert found >= auc and pos.predicted.mean() >= recall and neg.predicted.mean() <= 0.03
+
+
 def test_toxicity_without_labels(odd, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(odd, none).collect()} == {0}
@@ -461,7 +543,7 @@ def test_common_extension():
 
 def hidden(spark, *values):
     df = spark.createDataFrame([(i, v, "c") for i, v in enumerate(values)], "doc_id long, text string, kinds string")
-    return [(r.text, r.found) for r in pii.pseudonymise(df, found_col="found").orderBy("doc_id").collect()]
+    return [(r.text, r.found) for r in pii.pseudonymise(df, "k", found_col="found").orderBy("doc_id").collect()]
 
 
 def luhn(s):
@@ -514,8 +596,8 @@ def test_phones_stop_before_other_numbers(spark):
 
 
 def test_personal_data_null_and_extra_columns(spark, odd, empty):
-    out = pii.pseudonymise(odd)
-    assert out.columns == odd.columns and pii.pseudonymise(empty).count() == 0
+    out = pii.pseudonymise(odd, "k")
+    assert out.columns == odd.columns and pii.pseudonymise(empty, "k").count() == 0
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(ODD)
 
 
@@ -526,8 +608,65 @@ def test_permutations_are_bijective(spark):
     assert len({t for t, _ in hidden(spark, *days)}) == 360
 
 
+def plain_feistel(key, kind, text, alphabets, ranges=()):
+    """The text permutation, written out: halves take turns, eight rounds."""
+
+    def moved(c, h):
+        for letters in [*alphabets, *("".join(map(chr, range(lo, hi + 1))) for lo, hi in ranges)]:
+            if c in letters:
+                return letters[(letters.index(c) + h) % len(letters)]
+        return c
+
+    def shift(half, other, r):
+        digest = lambda i: int(hashlib.sha256(f"{key}|{kind}|{r}|{i}|{other}".encode()).hexdigest()[:15], 16)
+        return "".join(moved(c, digest(i)) for i, c in enumerate(half))
+
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for r in range(8):
+        a, b = (shift(a, b, r), b) if r % 2 == 0 else (a, shift(b, a, r))
+    return a + b
+
+
+def plain_pair(key, kind, a, b, mod_a, mod_b):
+    digest = lambda r, x: int(hashlib.sha256(f"{key}|{kind}|{r}|{x}".encode()).hexdigest()[:15], 16)
+    for r in range(8):
+        if r % 2 == 0:
+            a = (a + digest(r, b)) % mod_a
+        else:
+            b = (b + digest(r, a)) % mod_b
+    return a, b
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    local = ["anna.34", "x", "иван", "Élan", "ñandú", "李小龙", "김민수", "χρήστης", "Łukasz"]
+    got = hidden(spark, *[f"{x}@example.com" for x in local])
+    assert [t for t, _ in got] == [plain_feistel("k", "email", x, pii.ALPHABETS, pii.RANGES) + "@example.com" for x in local]
+    assert all(k == ["email"] and t != f"{x}@example.com" for (t, k), x in zip(got, local))
+    (ssn, _), (ip, _), (day, _), (card, _) = hidden(spark, "123-45-6789", "10.20.30.40", "1987-02-28", "4111111111111111")
+    a, b = plain_pair("k", "ssn", 122, 44 * 9999 + 6788, 898, 99 * 9999)
+    assert ssn == f"{a + 2 if a >= 665 else a + 1:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    a, b = plain_pair("k", "ip", 10 * 256 + 20, 30 * 256 + 40, 65536, 65536)
+    assert ip == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    n = (date(1987, 2, 28) - date(1900, 1, 1)).days
+    a, b = plain_pair("k", "date", n % 17, n // 17, 17, 73_049 // 17)
+    assert day == (date(1900, 1, 1) + timedelta(b * 17 + a)).isoformat()
+    assert card[:-1] == plain_feistel("k", "card", "411111111111111", ["0123456789"]) and luhn(card)
+
+
+def test_addresses_of_other_scripts_are_not_counted(spark):
+    assert hidden(spark, "ߊߋߌ@example.com") == [("ߊߋߌ@example.com", [])]
+
+
+def test_text_permutations_are_bijective(spark):
+    local = ["".join(x) for x in itertools.product("abé", "xyЖ", "09")]
+    assert len({t for t, _ in hidden(spark, *[f"{x}@e.com" for x in local])}) == len(local)
+    cards = [f"411111111111{i:03d}" for i in range(300)]
+    cards = [c + next(d for d in "0123456789" if luhn(c + d)) for c in cards]
+    assert len({t for t, _ in hidden(spark, *cards)}) == 300
+
+
 def test_no_python_in_the_plan(odd):
-    plan = pii.pseudonymise(odd, found_col="k")._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(odd, "k", found_col="k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange hash" not in plan
 
 
@@ -622,7 +761,7 @@ def test_pipeline_equals_its_parts(spark, sf):
             if seen[b[i : i + 200]] > 1:
                 gone[i : i + 200] = b"\1" * 200
         kept.append((d, bytes(x for x, g in zip(b, gone) if not g).decode(errors="ignore")))
-    safe = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(kept, "doc_id long, text string")).collect()}
+    safe = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(kept, "doc_id long, text string"), pseudonym_key(spark)).collect()}
     want = Counter()
     for d, t in safe.items():
         ids = ids_of(t)

@@ -90,7 +90,7 @@ def pair_fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         src = np.repeat(np.arange(len(at)), n)
         dst = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         times.append(at[src])
-        codes.append((bins[src].astype(np.int64) << 16) | (bins[dst].astype(np.int64) << 4) | gap)
+        codes.append((bins[src].astype(np.int32) << 16) | (bins[dst].astype(np.int32) << 4) | gap)
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order], frames
@@ -115,7 +115,7 @@ def fingerprints(media: DataFrame, keep_pairs: bool = True) -> DataFrame:
     `pair_times` and `pair_codes` are the time-coded arrays; `keep_pairs=False`
     leaves them out and keeps only `feature`, their summary.
     """
-    extra = [("pair_times", pa.list_(pa.int32())), ("pair_codes", pa.list_(pa.int64()))] if keep_pairs else []
+    extra = [("pair_times", pa.list_(pa.int32())), ("pair_codes", pa.list_(pa.int32()))] if keep_pairs else []
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), *extra])
 
     def one(doc_id, n_bytes, media):
@@ -132,5 +132,5 @@ def fingerprints(media: DataFrame, keep_pairs: bool = True) -> DataFrame:
             rows = [one(*r) for r in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist())]
             yield batch_of({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
 
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", pair_times array<int>, pair_codes array<long>" if keep_pairs else "")
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", pair_times array<int>, pair_codes array<int>" if keep_pairs else "")
     return media.select("doc_id", "n_bytes", F.col("media")).mapInArrow(run, ddl)

@@ -6,8 +6,8 @@ boundary is the piece that covers or ends at it; between a non-space and U+2581
 no piece of the model crosses, and the state is the single "gap". Each chunk
 yields a transfer matrix over the states of its two boundaries: 0 where a valid
 path leads from one to the other, -inf where none does. Max-plus products of
-these are associative; a scan over a document's chunks gives the states on the
-best path, and then every chunk is traced back on its own.
+these are associative; a tree of products over a document's chunks gives the states on
+the best path, and then every chunk is traced back on its own.
 
 For a model of merges (BPE) the weights are these: a sequence of pieces is the
 model's segmentation exactly if every piece and every two neighbours encode to
@@ -263,15 +263,27 @@ class Chunk:
         return found + expand(tail)
 
 
+def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product of two transfer matrices: that of both chunks together."""
+    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+
+
 def scan(matrices: list[np.ndarray]) -> list[int]:
-    """State numbers at all boundaries on the best path, by a max-plus prefix scan."""
-    prefix = [matrices[0]]
-    for m in matrices[1:]:
-        prefix.append((prefix[-1][:, :, None] + m[None, :, :]).max(axis=1))
-    states = [int(prefix[-1][0].argmax())]
-    for k in range(len(matrices) - 1, 0, -1):
-        states.append(int((prefix[k - 1][0] + matrices[k][:, states[-1]]).argmax()))
-    return [0, *states[::-1]]
+    """State numbers at all boundaries on the best path, by a tree of max-plus products.
+
+    Neighbours are composed level by level. From the root down, the states at a node's ends
+    settle the one between its halves, so each level's nodes are independent.
+    """
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        m = levels[-1]
+        levels.append([compose(*m[i : i + 2]) if i + 1 < len(m) else m[i] for i in range(0, len(m), 2)])
+    root = levels.pop()[0]
+    states = [0, int(root[0].argmax())]  # at the ends of the level's nodes
+    for m in reversed(levels):
+        inner = [int((m[i][states[i // 2]] + m[i + 1][:, states[i // 2 + 1]]).argmax()) if i + 1 < len(m) else None for i in range(0, len(m), 2)]
+        states = [s for pair in zip(states, [*inner, None]) for s in pair if s is not None]
+    return states
 
 
 def encode_scanned(model: Pieces, text: str, chunk: int = CHUNK) -> list[list[int]]:

@@ -23,7 +23,9 @@ that is assigned to a token, key or password).
 
 Defined cases: null text stays null and counts 0; empty text and text without
 candidates stay as they are; every other column is kept; repeated rows are
-treated each. There is no shuffle and no Python on the executors.
+treated each. Letters and digits of an address move within their script (ALPHABETS, RANGES);
+characters of other scripts stay, and an address of these alone is no replacement.
+There is no shuffle and no Python on the executors.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "textloom"
 ROUNDS = 8
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
@@ -89,8 +90,12 @@ def feistel_pair(key: Column, kind: str, a: Column, b: Column, mod_a, mod_b) ->
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
 
 
-def feistel_text(key: Column, kind: str, text: Column, alphabets: list[str]) -> Column:
-    """Permutes a short string, each character within the first alphabet that holds it.
+def _char(point: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
+
+
+def feistel_text(key: Column, kind: str, text: Column, alphabets: list[str], ranges: list[tuple[int, int]] = ()) -> Column:
+    """Permutes a short string, each character within the first alphabet or range that holds it.
 
     The halves take turns: every character of one is shifted in its alphabet by a
     keyed digest of the other half, its place and the round.
@@ -100,6 +105,9 @@ def feistel_text(key: Column, kind: str, text: Column, alphabets: list[str]) ->
         def one(c: Column, i: Column) -> Column:
             h = _hash(key, F.lit(kind), r, i, other)
             out = c
+            point = F.ascii(c).cast("long")  # the whole code point
+            for lo, hi in reversed(ranges):
+                out = F.when(point.between(lo, hi), _char(F.lit(lo) + F.pmod(point - lo + h, F.lit(hi - lo + 1).cast("long")))).otherwise(out)
             for letters in reversed(alphabets):
                 at = F.call_function("locate", c, F.lit(letters))
                 moved = F.call_function("substr", F.lit(letters), (F.pmod(at - 1 + h, F.lit(len(letters)).cast("long")) + 1).cast("int"), F.lit(1))
@@ -155,7 +163,15 @@ def mod97(text: Column) -> Column:
     return F.aggregate(chars, F.lit(0), step)
 
 
-_DIGITS, _LOWER, _UPPER, _ACCENTED = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = [_DIGITS, _LOWER, _UPPER, "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
+#: Runs of letters or digits by code point: Latin, Greek and Cyrillic (small, then capital), Hebrew, Arabic, Devanagari, Thai, kana, ideographs, Hangul.
+RANGES = [
+    (0x100, 0x17F), (0x180, 0x24F), (0x3B1, 0x3C9), (0x391, 0x3A1), (0x430, 0x45F), (0x400, 0x42F), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x660, 0x669),
+    (0x904, 0x939), (0x966, 0x96F), (0xE01, 0xE30), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
+#: A character that a permutation can move.
+_MOVED = "[" + "".join(ALPHABETS) + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in RANGES) + "]"
 
 
 def _date_parts(m: Column) -> tuple[Column, Column]:
@@ -257,7 +273,7 @@ def pseudonym(m: Column, key: Column) -> Column:
     kinds: list[tuple[str, Column, Column, Column]] = []  # kind, shape, valid, pseudonym
 
     local, domain = F.substring_index(m, "@", 1), F.regexp_extract(m, "(?s)@.*$", 0)
-    kinds.append(("email", m.contains("@"), F.lit(True), F.concat(feistel_text(key, "email", local, [_DIGITS, _LOWER, _UPPER, _ACCENTED]), domain)))
+    kinds.append(("email", m.contains("@"), local.rlike(_MOVED), F.concat(feistel_text(key, "email", local, ALPHABETS, RANGES), domain)))
 
     o = F.split(m, r"\.")
     octet = lambda i: F.element_at(o, i).cast("int")
@@ -295,9 +311,11 @@ def pseudonym(m: Column, key: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """The documents with personal data in `text_col` replaced; other columns stay.
 
+    Whoever has the key can invert the pseudonyms: keep it apart from the documents.
+
     `found_col` names an array column of the kinds that were replaced, if wanted.
     """
     text = F.col(text_col)

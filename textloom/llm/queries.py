@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import ann, jaccard, media, packing, pieces, pii, store, suffix, tokens, toxicity
-from textloom.llm.common import documents, shared_dir  # noqa: F401
+from textloom.llm.common import documents, materialise
 
 
 def vocabulary(name: str) -> str:
@@ -16,8 +16,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of pseudonyms that the session names; one that is no secret for the synthetic tables."""
+    return spark.conf.get("spark.textloom.pseudonym.key", "the synthetic tables")
+
+
 def op1_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.fingerprints(media.to_wav(documents(spark, sf_dir)), keep_pairs=False)
+    return media.fingerprints(materialise(media.to_wav(documents(spark, sf_dir)), "media"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), found_col="kinds")
+    found = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), pseudonym_key(spark), found_col="kinds")
     return found.select("doc_id", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"), "text")
 
 

@@ -8,8 +8,8 @@ word it comes from. As the model is linear above the averages, a trained model i
 one number for each bucket and a bias, which every task scores whole texts with.
 
 Training takes at most `max_rows` labelled texts (a documented bound: those with
-the smallest hashes of their ids) and at most `max_bytes` of text in all; a text that
-does not fit any more is passed by.
+the smallest hashes of their ids) and at most `max_bytes` of UTF-8 in all; a text that
+does not fit any more is passed by, before it is sent to the driver.
 
 Defined cases: null or empty text, or one without words, gets the score of the
 bias alone; with no labelled row of both classes every score is the share of
@@ -36,8 +36,9 @@ GRAMS = (3, 4, 5)
 MAX_ROWS = 13_000
 MAX_BYTES = 48_000_000
 EPOCHS = 8
+RATE = 2.0
 #: A bucket that n training texts hold starts and learns at n / (n + RARE) of the rate: rare ones are damped, not left out.
-RARE = 3
+RARE = 10
 SEED = 7
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,7 +81,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + (total / len(found) if found else 0.0), -500, 500))))
 
 
-def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.5, rare: float = RARE) -> Model:
+def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = SEED, rate: float = RATE, rare: float = RARE) -> Model:
     """Joint training of bucket embeddings and softmax by Adagrad on shuffled mini-batches."""
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
@@ -116,13 +117,22 @@ def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: in
     damp = held / np.maximum(held + rare, 1)
     sizes = np.maximum(np.diff(g_at), 1)
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-1, 1, (n_buckets, dim)) / dim * damp[:, None]
+    emb = rng.uniform(-1, 1, (dim, n_buckets)) / dim * damp  # a row for each dimension
     out = rng.normal(0, 1, (dim, 2)) / dim
     bias = np.zeros(2)
     g_emb, g_out, g_bias = np.full(n_buckets, 1e-8), np.full((dim, 2), 1e-8), np.full(2, 1e-8)
+    number = np.zeros(max(n_buckets, len(sizes)), np.int64)
+
+    def distinct(index):
+        """Distinct entries, and the number of each entry among them; without a sort."""
+        held = np.zeros(len(number), bool)
+        held[index] = True
+        found = np.flatnonzero(held)
+        number[found] = np.arange(len(found))
+        return found, number[index]
 
     def add(size, index, values):
-        return np.stack([np.bincount(index, values[:, k], size) for k in range(values.shape[1])], axis=1)
+        return np.stack([np.bincount(index, v, size) for v in values])
 
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -130,41 +140,42 @@ def train(texts: list[str], labels: list[int], n_buckets: int = BUCKETS, dim: in
             docs = order[lo : lo + 64]
             pos, n_words = spans(at[docs], at[docs + 1])
             doc_of = np.repeat(np.arange(len(docs)), n_words)
-            uniq, word_of = np.unique(rows[pos], return_inverse=True)
+            uniq, word_of = distinct(rows[pos])
             gpos, n_grams = spans(g_at[uniq], g_at[uniq + 1])
-            g, g_word = g_ids[gpos], np.repeat(np.arange(len(uniq)), n_grams)
-            vec = add(len(uniq), g_word, emb[g]) / sizes[uniq][:, None]
-            text = add(len(docs), doc_of, vec[word_of] * counts[pos][:, None])
+            ub, inv = distinct(g_ids[gpos])
+            g_word = np.repeat(np.arange(len(uniq)), n_grams)
+            own = emb[:, ub]
+            vec = np.add.reduceat(own[:, inv], np.cumsum(n_grams) - n_grams, axis=1) / sizes[uniq] if len(uniq) else np.zeros((dim, 0))
+            text = add(len(docs), doc_of, vec[:, word_of] * counts[pos]).T
             z = text @ out + bias
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
             err = p.copy()
             err[np.arange(len(docs)), y[docs].astype(int)] -= 1
-            d_text = err @ out.T
+            d_text = out @ err.T
             d_out, d_bias = text.T @ err, err.sum(axis=0)
-            d_vec = add(len(uniq), word_of, d_text[doc_of] * counts[pos][:, None]) / sizes[uniq][:, None]
-            ub, inv = np.unique(g, return_inverse=True)
-            d_emb = add(len(ub), inv, d_vec[g_word])
-            g_emb[ub] += (d_emb**2).mean(axis=1)
-            emb[ub] -= rate * damp[ub][:, None] * d_emb / np.sqrt(g_emb[ub])[:, None]
+            d_vec = add(len(uniq), word_of, d_text[:, doc_of] * counts[pos]) / sizes[uniq]
+            d_emb = add(len(ub), inv, d_vec[:, g_word])
+            g_emb[ub] += (d_emb**2).mean(axis=0)
+            emb[:, ub] = own - rate * damp[ub] * d_emb / np.sqrt(g_emb[ub])
             g_out += d_out**2
             out -= rate * d_out / np.sqrt(g_out)
             g_bias += d_bias**2
             bias -= rate * d_bias / np.sqrt(g_bias)
-    return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model(((out[:, 1] - out[:, 0]) @ emb).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
     """A bounded sample of the labelled texts that are not held out: smallest id hashes first."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
     chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(max_rows)
-    texts = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "y", "text")
+    texts = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= max_bytes).orderBy("h", "doc_id", "y", "text")
     rows, size = [], 0
-    for r in texts.select("text", "y").toLocalIterator():
-        if size + len(r.text) > max_bytes:
+    for r in texts.select("text", "y", F.octet_length("text").alias("n")).toLocalIterator():
+        if size + r.n > max_bytes:
             continue
-        size += len(r.text)
+        size += r.n
         rows.append((r.text, r.y))
     return [t for t, _ in rows], [y for _, y in rows]
 
