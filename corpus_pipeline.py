@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import jaccard, packing, pii, suffix, toxicity
 from textloom.llm.common import documents, materialise
-from textloom.llm.queries import vocabulary
+from textloom.llm.queries import pseudonym_key, vocabulary
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(pii.pseudonymise(docs))
+    return _counted(pii.pseudonymise(docs, pseudonym_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
