@@ -17,6 +17,9 @@ BATCH_ROWS = 512
 #: Bytes of input (as stored) for each partition of an exchange.
 PARTITION_BYTES = 8 << 20
 
+#: A key is hot if it holds more than one in so many rows.
+HOT = 1000
+
 MASK64 = (1 << 64) - 1
 
 
@@ -36,6 +39,18 @@ def partitions_for(df: DataFrame, each: int = PARTITION_BYTES) -> int:
     return max(least, -(-sum(x for x in sizes if x < 1 << 56) // each))
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """left joined with `right`, a materialised table of one row for each key, whose `weight` counts the key's rows in left.
+
+    Keys of more than one in HOT rows, so fewer than HOT of them, are broadcast and their rows stay
+    where they are; all others are shuffled, none of which can fill a task.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot, cold = (right.where(F.expr(f"{weight} * {HOT} {sign} {total}")) for sign in (">", "<="))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one spark.checkpoint.dir names.
 

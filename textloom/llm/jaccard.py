@@ -18,8 +18,10 @@ It is never whole in one place:
    counts leave the product, so pairs are never rows.
 5. Components of the spanning links are the classes.
 
-Rows with equal sets are one row with a weight. Shingles are 64-bit hashes of five
-64-bit word hashes; sets are told apart by a 128-bit digest.
+Rows with equal sets are one row with a weight: each task sends one row for a set, with
+the ids of its documents, and the classes of equal sets, by 128-bit digest, are numbered.
+Shingles are 64-bit hashes of five 64-bit word hashes. Buckets follow the size of the
+input, and tasks take buckets and parts one after the other, in order.
 
 Defined cases: null, empty or wordless text has an empty set and links with
 nothing; with fewer than five words the whole sequence is the one shingle; equal
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_batches, batch_of, id_text, materialise, splitmix
+from textloom.llm.common import arrow_batches, batch_of, id_text, join_unique, materialise, partitions_for, splitmix
 from textloom.llm.components import components, forest
 
 WIDTH = 5
@@ -48,8 +50,8 @@ PERCENT = 75
 BLOCK = 1024
 #: Columns of a slice of a product.
 SLICE = 1024
-#: Incidences that a task gathers before it deals them, at least.
-GATHER = 150_000
+#: Incidences that a task gathers before it deals them, at least; and the most column buckets.
+GATHER, BUCKETS = 150_000, 20_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -146,17 +148,30 @@ def _incidences(buckets: int, width: int):
     return run
 
 
-def _shared_columns(batches):
-    """Bucket tasks: columns that several rows hold, numbered, back to the parts that hold them."""
-    by_bucket: dict[int, list] = {}
+def _in_order(batches, key: str, finish):
+    """Streams rows sorted by `deal` to `finish`, those of one key at a time."""
+    now, held = None, []
     for b in batches:
         for r in b.to_pylist():
-            if r["kind"] == "meta":
-                yield batch_of({f.name: [r[f.name]] for f in _FLOW}, _FLOW)
-            else:
-                by_bucket.setdefault(r["bucket"], []).append((r["part"], r["width"], r["a"], r["b"], r["c"]))
-    for bucket in sorted(by_bucket):
-        posts = sorted(by_bucket.pop(bucket), key=lambda x: x[0])
+            if held and r[key] != now:
+                yield from finish(held)
+                held = []
+            now = r[key]
+            held.append(r)
+    if held:
+        yield from finish(held)
+
+
+def _shared_columns(batches):
+    """Bucket tasks: columns that several rows hold, numbered, back to the parts that hold them."""
+
+    def finish(rows):
+        if rows[0]["kind"] == "meta":
+            yield batch_of({f.name: [r[f.name] for r in rows] for f in _FLOW}, _FLOW)
+            return
+        bucket = rows[0]["bucket"]
+        posts = sorted(((r["part"], r["width"], r["a"], r["b"], r["c"]) for r in rows), key=lambda x: x[0])
+        rows.clear()
         cols = [_unpack(w, a) for _, w, a, _, _ in posts]
         sizes = [len(c) for c in cols]
         flat = np.concatenate(cols)
@@ -171,26 +186,35 @@ def _shared_columns(batches):
         df[order] = np.repeat(np.minimum(count, 255), count)
         del flat, ordered, order
         at = 0
-        for (part, _, _, rows, kind), n in zip(posts, sizes):
+        for (part, _, _, own, kind), n in zip(posts, sizes):
             keep = df[at : at + n] > 1
             if keep.any():
-                own = np.frombuffer(rows, "<u2" if kind == b"\x02" else "<u4")[keep].astype("<u4")
+                own = np.frombuffer(own, "<u2" if kind == b"\x02" else "<u4")[keep].astype("<u4")
                 yield batch_of({"deal": [part], "kind": ["post"], "part": [part], "bucket": [bucket], "width": [0], "a": [number[at : at + n][keep].astype("<u4").tobytes()], "b": [own.tobytes() if len(own) == 0 or own.max() > 65535 else own.astype("<u2").tobytes()], "c": [df[at : at + n][keep].tobytes()]}, _FLOW)
             at += n
 
+    yield from _in_order(batches, "bucket", finish)
 
-_ROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("own", pa.bool_()), ("cols", pa.binary()), ("prefix", pa.int32())])
-_ROW_DDL = "kind string, doc_id long, n long, digest binary, node long, own boolean, cols binary, prefix int"
 
+_ROW = pa.schema([("kind", pa.string()), ("ids", pa.list_(pa.int64())), ("low", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cols", pa.binary()), ("prefix", pa.int32())])
+_ROW_DDL = "kind string, ids array<long>, low long, n long, digest binary, cols binary, prefix int"
 
-def _rows(percent: int):
-    """Part tasks: rows of the reduced matrix, and every document's size and digest."""
 
-    def finish(meta_blob, posts):
-        meta = np.frombuffer(meta_blob, _META)
-        nodes = np.frombuffer(b"".join(bytes(x) for x in meta["digest"]), "<i8")[::2]
-        docs = {"kind": ["doc"] * len(meta), "doc_id": [int(d) if h else None for d, h in zip(meta["doc_id"], meta["has_id"])], "n": meta["n"], "digest": [bytes(x) for x in meta["digest"]], "node": nodes, "own": meta["own"] == np.arange(len(meta)), "cols": [None] * len(meta), "prefix": [None] * len(meta)}
-        yield batch_of(docs, _ROW)
+def _rows(percent: int):
+    """Part tasks: rows of the reduced matrix, and every distinct set's size, digest and documents."""
+
+    def finish(found):
+        posts = sorted(((r["bucket"], r["a"], r["b"], r["c"]) for r in found if r["kind"] == "post"), key=lambda x: x[0])
+        meta = np.frombuffer(next(r["a"] for r in found if r["kind"] == "meta"), _META)
+        digests = [bytes(x) for x in meta["digest"]]
+        order = np.argsort(meta["own"], kind="stable")
+        sets, first = np.unique(meta["own"][order], return_index=True)
+        ids = [None if not h else int(d) for d, h in zip(meta["doc_id"][order], meta["has_id"][order])]
+        of = [ids[a:z] for a, z in zip(first, [*first[1:], len(ids)])]
+        for lo in range(0, len(sets), 4096):
+            own = sets[lo : lo + 4096]
+            members = of[lo : lo + 4096]
+            yield batch_of({"kind": ["set"] * len(own), "ids": members, "low": [min((x for x in m if x is not None), default=None) for m in members], "n": meta["n"][own], "digest": [digests[i] for i in own], "cols": [None] * len(own), "prefix": [None] * len(own)}, _ROW)
         if not posts:
             return
         cols = np.concatenate([np.frombuffer(a, "<u4").astype(np.uint64) | np.uint64(k << 32) for k, a, _, _ in posts])
@@ -204,19 +228,10 @@ def _rows(percent: int):
         kept = [i for i in np.flatnonzero(shared >= need) if shared[i]]
         for lo in range(0, len(kept), 256):
             own = kept[lo : lo + 256]
-            yield batch_of({"kind": ["row"] * len(own), "doc_id": [None] * len(own), "n": meta["n"][own], "digest": [None] * len(own), "node": nodes[own], "own": [True] * len(own), "cols": [cols[ends[i] - shared[i] : ends[i]].tobytes() for i in own], "prefix": [int(shared[i] - need[i] + 1) for i in own]}, _ROW)
+            yield batch_of({"kind": ["row"] * len(own), "ids": [None] * len(own), "low": [None] * len(own), "n": meta["n"][own], "digest": [digests[i] for i in own], "cols": [cols[ends[i] - shared[i] : ends[i]].tobytes() for i in own], "prefix": [int(shared[i] - need[i] + 1) for i in own]}, _ROW)
 
     def run(batches):
-        meta: dict[int, bytes] = {}
-        posts: dict[int, list] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                if r["kind"] == "meta":
-                    meta[r["part"]] = r["a"]
-                else:
-                    posts.setdefault(r["part"], []).append((r["bucket"], r["a"], r["b"], r["c"]))
-        for part in sorted(meta):
-            yield from finish(meta.pop(part), sorted(posts.pop(part, []), key=lambda x: x[0]))
+        return _in_order(batches, "part", finish)
 
     return run
 
@@ -344,43 +359,45 @@ def _products(percent: int):
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (other documents it links with) of every document."""
-    spark = docs.sparkSession
-    arrow_batches(spark, 256)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posts = id_text(docs, id_col, text_col).mapInArrow(_incidences(n, width), _FLOW_DDL).repartition(n, "deal")
-    shared = posts.mapInArrow(_shared_columns, _FLOW_DDL).repartition(n, "deal")
-    reduced = materialise(shared.mapInArrow(_rows(percent), _ROW_DDL), "reduced")
-    every = reduced.where("kind = 'doc'").select("doc_id", "n", "digest", "node")
-    classes = every.where("n > 0").groupBy("node").agg(F.count("*").alias("weight"))
-    rows = reduced.where("kind = 'row'").select("node", "n", "cols", "prefix").dropDuplicates(["node"])
-    rows = materialise(rows.join(classes, "node"), "rows")
+    arrow_batches(docs.sparkSession, 256)
+    texts = id_text(docs, id_col, text_col)
+    n = min(BUCKETS, partitions_for(texts))
+    dealt = lambda df: df.repartition(n, "deal").sortWithinPartitions("deal", "kind", "part")
+    shared = dealt(texts.mapInArrow(_incidences(n, width), _FLOW_DDL)).mapInArrow(_shared_columns, _FLOW_DDL)
+    reduced = materialise(dealt(shared).mapInArrow(_rows(percent), _ROW_DDL), "reduced")
+    sets = reduced.where("kind = 'set'").select("ids", "low", "n", "digest")
+    same = sets.where("n > 0").groupBy("digest").agg(F.sum(F.size("ids")).alias("weight"), F.count("*").alias("parts"), F.min("low").alias("low"))
+    classes = materialise(same.withColumn("node", F.monotonically_increasing_id()), "sets")
+    once = reduced.where("kind = 'row'").select("digest", "n", "cols", "prefix").dropDuplicates(["digest"])
+    rows = materialise(once.join(classes.select("digest", "node", "weight"), "digest"), "rows")
     chained = rows.select("node", "n", "cols", "prefix").mapInArrow(_prefixes(n), "deal long, col binary, node binary, n binary").repartition(n, "deal").mapInArrow(_chains(percent), "u long, v long")
     parts = materialise(components(chained, "chains"), "parts")
-    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = parts.join(sizes, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"))
+    sizes = materialise(parts.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "sizes")
+    placed = join_unique(parts, sizes, "component", "size").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"))
     pairs = rows.join(placed, "node").select("component", "node", "n", "weight", "cols", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("component", "node", "n", "weight", "cols", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    dealt = pairs.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-    links = materialise(dealt.mapInArrow(_products(percent), "u long, v long, links long"), "links")
+    blocks = pairs.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    links = materialise(blocks.mapInArrow(_products(percent), "u long, v long, links long"), "links")
     joined = components(links.where("v is not null").select("u", "v"), "classes")
     counts = links.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    facts = classes.join(joined, "node", "left").join(counts, "node", "left").select("node", "weight", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    named = every.where("n > 0").join(facts, "node")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
-    alone = every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    facts = materialise(classes.join(joined, "node", "left").join(counts, "node", "left").select("digest", "weight", "parts", "low", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "facts")
+    least = materialise(facts.groupBy("component").agg(F.count("*").alias("members"), F.min("low").alias("component_id")), "least")
+    named = materialise(join_unique(facts, least, "component", "members").select("digest", "weight", "parts", "component_id", "links"), "named")
+    linked = join_unique(sets.where("n > 0"), named, "digest", "parts").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    alone = sets.where("n = 0").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their class, with all their columns.
 
-    Rows that repeat an id with the same text stay once; texts without words are no
-    one's copies and all stay. Rows of one id with different texts stay or go together.
+    Rows that repeat an id with the same text stay once, the first by its other columns (as
+    JSON); texts without words are no one's copies and all stay. Rows of one id with different texts stay or go together.
     """
     found = jaccard_join(docs, width, percent, id_col=id_col, text_col=text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__loom_id")).distinct()
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     stay = docs.withColumn("__loom_key", key).join(kept, F.col("__loom_key").eqNullSafe(F.col("__loom_id")), "left_semi")
-    order = Window.partitionBy("__loom_key", F.xxhash64(text)).orderBy(F.lit(0))
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col]))
+    order = Window.partitionBy("__loom_key", F.xxhash64(text)).orderBy(others)
     first = stay.withColumn("__loom_no", F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.row_number().over(order)).otherwise(1))
     return first.where("__loom_no = 1").select(*docs.columns)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import MASK64, arrow_batches, batch_of, id_text, materialise, splitmix
+from textloom.llm.common import MASK64, arrow_batches, batch_of, id_text, materialise, partitions_for, splitmix
 
 LENGTH = 200
 GRAM = 64
@@ -49,6 +49,8 @@ GO_BYTES = 1 << 20
 #: so many for each bucket, so that the rows of an exchange do not grow with parts x buckets.
 GROUP_BYTES = 1 << 21
 GROUP_BYTES_PER_BUCKET = 12_000
+#: The most buckets: a group of so many holds 240 MB of text.
+BUCKETS = 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -379,12 +381,16 @@ def _compare(kinds: tuple[str, str], item: np.dtype):
             at += n
 
     def run(batches):
-        by_bucket: dict[int, list] = {}
+        held, now = [], None  # rows come sorted by bucket
         for b in batches:
             for deal, part, a, x, c in zip(*(b.column(n).to_pylist() for n in ("deal", "part", "a", "b", "c"))):
-                by_bucket.setdefault(deal, []).append((part, a, x, c))
-        for k in sorted(by_bucket):
-            yield from _flow(list(bucket(by_bucket.pop(k))))
+                if held and deal != now:
+                    yield from _flow(list(bucket(held)))
+                    held = []
+                now = deal
+                held.append((part, a, x, c))
+        if held:
+            yield from _flow(list(bucket(held)))
 
     return run
 
@@ -606,15 +612,18 @@ def _check(length: int, gram: int, run: int) -> None:
         raise ValueError("needs run < length - gram < 256 and grams of 8 bytes or more")
 
 
-def _group_bytes(docs: DataFrame) -> int:
-    return max(GROUP_BYTES, GROUP_BYTES_PER_BUCKET * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _buckets(docs: DataFrame) -> int:
+    return min(BUCKETS, partitions_for(docs))
 
 
-def _found(texts: DataFrame, length: int, gram: int, run: int) -> DataFrame:
-    """Rows of groups with their texts and the spans to remove, in the order of _by_group."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _group_bytes(buckets: int) -> int:
+    return max(GROUP_BYTES, GROUP_BYTES_PER_BUCKET * buckets)
+
+
+def _found(texts: DataFrame, n: int, length: int, gram: int, run: int) -> DataFrame:
+    """Rows of groups with their texts and the spans to remove, in the order of _by_group; n: buckets."""
     arrow_batches(texts.sparkSession, 32)  # rows are parts and blobs from here on
-    by_deal = lambda df, f: df.repartition(n, "deal").mapInArrow(f, _FLOW_DDL)
+    by_deal = lambda df, f: df.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(f, _FLOW_DDL)
     by_group = lambda df: df.repartition(n, "deal").sortWithinPartitions("deal", "part", "kind")
     places = by_deal(texts.withColumn("c", F.lit(b"")).mapInArrow(_posts(n, length, gram, GO_BYTES), _FLOW_DDL), _compare(("full", "mixed"), _PLACE))
     runs = materialise(by_group(texts.withColumn("c", F.lit(b"")).unionByName(places)).mapInArrow(_runs(n, length, run), _FLOW_DDL), "runs")
@@ -630,8 +639,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
     _check(length, gram, run)
     arrow_batches(docs.sparkSession, 256)
     rows = id_text(docs, id_col, text_col).toDF("__loom_id", "__loom_text")
-    texts = materialise(rows.mapInArrow(_gather(part_bytes, _group_bytes(docs)), _FLOW_DDL), "texts")
-    return _found(texts, length, gram, run).mapInArrow(_spans_of(length), _OUT_DDL)
+    n = _buckets(docs)
+    texts = materialise(rows.mapInArrow(_gather(part_bytes, _group_bytes(n)), _FLOW_DDL), "texts")
+    return _found(texts, n, length, gram, run).mapInArrow(_spans_of(length), _OUT_DDL)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, part_bytes: int = PART_BYTES, text_col: str = "text") -> DataFrame:
@@ -642,6 +652,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run
     _check(length, gram, run)
     arrow_batches(docs.sparkSession, 256)
     rows = docs.select(F.lit(None).cast("long").alias("__loom_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__loom_text"), *[c for c in docs.columns if c != text_col])
-    texts = materialise(rows.mapInArrow(_gather(part_bytes, _group_bytes(docs)), _FLOW_DDL), "texts")
+    n = _buckets(docs)
+    texts = materialise(rows.mapInArrow(_gather(part_bytes, _group_bytes(n)), _FLOW_DDL), "texts")
     schema = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else c for c in docs.columns]).schema
-    return _found(texts, length, gram, run).mapInArrow(_rewritten(length, docs.columns, text_col), schema)
+    return _found(texts, n, length, gram, run).mapInArrow(_rewritten(length, docs.columns, text_col), schema)
