@@ -39,6 +39,15 @@ def partitions_for(df: DataFrame, each: int = PARTITION_BYTES) -> int:
     return max(least, -(-sum(x for x in sizes if x < 1 << 56) // each))
 
 
+def bucket_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """A key for each of n buckets, such that repartition(n, key) gives every bucket a partition of its own."""
+    found = spark.range(0, 32 * n, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id")).collect()  # n rows
+    keys = np.arange(n)  # a partition that no key falls to leaves its bucket to another
+    for p, key in found:
+        keys[p] = key
+    return keys
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
     """left joined with `right`, a materialised table of one row for each key, whose `weight` counts the key's rows in left.
 

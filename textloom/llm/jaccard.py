@@ -21,7 +21,7 @@ It is never whole in one place:
 Rows with equal sets are one row with a weight: each task sends one row for a set, with
 the ids of its documents, and the classes of equal sets, by 128-bit digest, are numbered.
 Shingles are 64-bit hashes of five 64-bit word hashes. Buckets follow the size of the
-input, and tasks take buckets and parts one after the other, in order.
+input, and each has a partition of its own.
 
 Defined cases: null, empty or wordless text has an empty set and links with
 nothing; with fewer than five words the whole sequence is the one shingle; equal
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_batches, batch_of, id_text, join_unique, materialise, partitions_for, splitmix
+from textloom.llm.common import arrow_batches, batch_of, bucket_keys, id_text, join_unique, materialise, partitions_for, splitmix
 from textloom.llm.components import components, forest
 
 WIDTH = 5
@@ -98,8 +98,9 @@ _FLOW_DDL = "deal long, kind string, part long, bucket int, width int, a binary,
 _META = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("n", "<i8"), ("digest", "V16"), ("own", "<i4")])
 
 
-def _incidences(buckets: int, width: int):
+def _incidences(keys: np.ndarray, width: int):
     """Documents to one meta row and a posting row for each column bucket, by gathered part."""
+    buckets = len(keys)
     most = max(GATHER, 500 * buckets)
 
     def emit(part, docs, sets):
@@ -120,7 +121,7 @@ def _incidences(buckets: int, width: int):
         for k, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(cols)])):
             if hi > lo:
                 w, blob = _pack(cols[lo:hi])
-                yield {"deal": k, "kind": "post", "part": part, "bucket": k, "width": w, "a": blob, "b": rows[lo:hi].tobytes(), "c": b"\x02" if rows.itemsize == 2 else b"\x04"}
+                yield {"deal": int(keys[k]), "kind": "post", "part": part, "bucket": k, "width": w, "a": blob, "b": rows[lo:hi].tobytes(), "c": b"\x02" if rows.itemsize == 2 else b"\x04"}
 
     def run(batches):
         from pyspark import TaskContext
@@ -148,30 +149,11 @@ def _incidences(buckets: int, width: int):
     return run
 
 
-def _in_order(batches, key: str, finish):
-    """Streams rows sorted by `deal` to `finish`, those of one key at a time."""
-    now, held = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if held and r[key] != now:
-                yield from finish(held)
-                held = []
-            now = r[key]
-            held.append(r)
-    if held:
-        yield from finish(held)
-
-
 def _shared_columns(batches):
     """Bucket tasks: columns that several rows hold, numbered, back to the parts that hold them."""
 
-    def finish(rows):
-        if rows[0]["kind"] == "meta":
-            yield batch_of({f.name: [r[f.name] for r in rows] for f in _FLOW}, _FLOW)
-            return
-        bucket = rows[0]["bucket"]
-        posts = sorted(((r["part"], r["width"], r["a"], r["b"], r["c"]) for r in rows), key=lambda x: x[0])
-        rows.clear()
+    def finish(bucket, posts):
+        posts.sort(key=lambda x: x[0])
         cols = [_unpack(w, a) for _, w, a, _, _ in posts]
         sizes = [len(c) for c in cols]
         flat = np.concatenate(cols)
@@ -193,7 +175,15 @@ def _shared_columns(batches):
                 yield batch_of({"deal": [part], "kind": ["post"], "part": [part], "bucket": [bucket], "width": [0], "a": [number[at : at + n][keep].astype("<u4").tobytes()], "b": [own.tobytes() if len(own) == 0 or own.max() > 65535 else own.astype("<u2").tobytes()], "c": [df[at : at + n][keep].tobytes()]}, _FLOW)
             at += n
 
-    yield from _in_order(batches, "bucket", finish)
+    by_bucket: dict[int, list] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            if r["kind"] == "meta":
+                yield batch_of({f.name: [r[f.name]] for f in _FLOW}, _FLOW)
+            else:
+                by_bucket.setdefault(r["bucket"], []).append((r["part"], r["width"], r["a"], r["b"], r["c"]))
+    for bucket in sorted(by_bucket):
+        yield from finish(bucket, by_bucket.pop(bucket))
 
 
 _ROW = pa.schema([("kind", pa.string()), ("ids", pa.list_(pa.int64())), ("low", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cols", pa.binary()), ("prefix", pa.int32())])
@@ -203,9 +193,9 @@ _ROW_DDL = "kind string, ids array<long>, low long, n long, digest binary, cols
 def _rows(percent: int):
     """Part tasks: rows of the reduced matrix, and every distinct set's size, digest and documents."""
 
-    def finish(found):
-        posts = sorted(((r["bucket"], r["a"], r["b"], r["c"]) for r in found if r["kind"] == "post"), key=lambda x: x[0])
-        meta = np.frombuffer(next(r["a"] for r in found if r["kind"] == "meta"), _META)
+    def finish(meta_blob, posts):
+        posts.sort(key=lambda x: x[0])
+        meta = np.frombuffer(meta_blob, _META)
         digests = [bytes(x) for x in meta["digest"]]
         order = np.argsort(meta["own"], kind="stable")
         sets, first = np.unique(meta["own"][order], return_index=True)
@@ -231,7 +221,16 @@ def _rows(percent: int):
             yield batch_of({"kind": ["row"] * len(own), "ids": [None] * len(own), "low": [None] * len(own), "n": meta["n"][own], "digest": [digests[i] for i in own], "cols": [cols[ends[i] - shared[i] : ends[i]].tobytes() for i in own], "prefix": [int(shared[i] - need[i] + 1) for i in own]}, _ROW)
 
     def run(batches):
-        return _in_order(batches, "part", finish)
+        meta: dict[int, bytes] = {}
+        posts: dict[int, list] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] == "meta":
+                    meta[r["part"]] = r["a"]
+                else:
+                    posts.setdefault(r["part"], []).append((r["bucket"], r["a"], r["b"], r["c"]))
+        for part in sorted(meta):
+            yield from finish(meta.pop(part), posts.pop(part, []))
 
     return run
 
@@ -240,7 +239,7 @@ _PREFIX = pa.schema([("deal", pa.int64()), ("col", pa.binary()), ("node", pa.bin
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _prefixes(buckets: int):
+def _prefixes(keys: np.ndarray):
     def run(batches):
         for b in batches:
             cols = [np.frombuffer(c, "<u8")[:k] for c, k in zip(b.column("cols").to_pylist(), b.column("prefix").to_pylist())]
@@ -249,7 +248,7 @@ def _prefixes(buckets: int):
             sizes = [len(c) for c in cols]
             flat = np.concatenate(cols)
             node, n = np.repeat(b.column("node").to_numpy(), sizes), np.repeat(b.column("n").to_numpy(), sizes)
-            deal = (splitmix(flat) % np.uint64(buckets)).astype(np.int64)
+            deal = keys[(splitmix(flat) % np.uint64(len(keys))).astype(np.int64)]
             order = np.argsort(deal, kind="stable")
             at = np.flatnonzero(np.diff(deal[order], prepend=-1))
             out = {"deal": [], "col": [], "node": [], "n": []}
@@ -362,15 +361,15 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bl
     arrow_batches(docs.sparkSession, 256)
     texts = id_text(docs, id_col, text_col)
     n = min(BUCKETS, partitions_for(texts))
-    dealt = lambda df: df.repartition(n, "deal").sortWithinPartitions("deal", "kind", "part")
-    shared = dealt(texts.mapInArrow(_incidences(n, width), _FLOW_DDL)).mapInArrow(_shared_columns, _FLOW_DDL)
-    reduced = materialise(dealt(shared).mapInArrow(_rows(percent), _ROW_DDL), "reduced")
+    keys = bucket_keys(docs.sparkSession, n)
+    shared = texts.mapInArrow(_incidences(keys, width), _FLOW_DDL).repartition(n, "deal").mapInArrow(_shared_columns, _FLOW_DDL)
+    reduced = materialise(shared.repartition(n, "deal").mapInArrow(_rows(percent), _ROW_DDL), "reduced")
     sets = reduced.where("kind = 'set'").select("ids", "low", "n", "digest")
     same = sets.where("n > 0").groupBy("digest").agg(F.sum(F.size("ids")).alias("weight"), F.count("*").alias("parts"), F.min("low").alias("low"))
     classes = materialise(same.withColumn("node", F.monotonically_increasing_id()), "sets")
     once = reduced.where("kind = 'row'").select("digest", "n", "cols", "prefix").dropDuplicates(["digest"])
     rows = materialise(once.join(classes.select("digest", "node", "weight"), "digest"), "rows")
-    chained = rows.select("node", "n", "cols", "prefix").mapInArrow(_prefixes(n), "deal long, col binary, node binary, n binary").repartition(n, "deal").mapInArrow(_chains(percent), "u long, v long")
+    chained = rows.select("node", "n", "cols", "prefix").mapInArrow(_prefixes(keys), "deal long, col binary, node binary, n binary").repartition(n, "deal").mapInArrow(_chains(percent), "u long, v long")
     parts = materialise(components(chained, "chains"), "parts")
     sizes = materialise(parts.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "sizes")
     placed = join_unique(parts, sizes, "component", "size").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import MASK64, arrow_batches, batch_of, id_text, materialise, partitions_for, splitmix
+from textloom.llm.common import MASK64, arrow_batches, batch_of, bucket_keys, id_text, materialise, partitions_for, splitmix
 
 LENGTH = 200
 GRAM = 64
@@ -305,8 +305,8 @@ def _content_hashes(view: memoryview, starts: np.ndarray, stops: np.ndarray) ->
 class _Dealer:
     """Gathers (key, content, item) arrays of a group and deals them to buckets in one go."""
 
-    def __init__(self, buckets: int, kind: str):
-        self.buckets, self.kind, self.held = buckets, kind, []
+    def __init__(self, keys: np.ndarray, kind: str):
+        self.keys, self.kind, self.held = keys, kind, []
 
     def add(self, key: np.ndarray, content: np.ndarray, item: np.ndarray) -> None:
         if len(key):
@@ -317,12 +317,12 @@ class _Dealer:
             return []
         key, content, item = (np.concatenate(x) for x in zip(*self.held))
         self.held = []
-        order, cuts = _dealt(key, self.buckets)
+        order, cuts = _dealt(key, len(self.keys))
         key, content, item = key[order], content[order], item[order]
-        return [(k, self.kind, group, key[s].tobytes(), content[s].tobytes(), item[s].tobytes()) for k, s in cuts]
+        return [(int(self.keys[k]), self.kind, group, key[s].tobytes(), content[s].tobytes(), item[s].tobytes()) for k, s in cuts]
 
 
-def _posts(buckets: int, length: int, gram: int, go: int):
+def _posts(keys: np.ndarray, length: int, gram: int, go: int):
     """Anchors of every part, dealt by gram hash: hashes, content hashes and places."""
 
     def anchors(part, blob, docs, dealer):
@@ -341,7 +341,7 @@ def _posts(buckets: int, length: int, gram: int, go: int):
             dealer.add(splitmix(a.grams), content, place)  # anchors are minima: mixed again, they spread over all buckets
 
     def run(batches):
-        group, dealer = None, _Dealer(buckets, "post")
+        group, dealer = None, _Dealer(keys, "post")
         for b in batches:
             for g, part, blob, docs in zip(*(b.column(c).to_pylist() for c in ("deal", "part", "a", "b"))):
                 if g != group:
@@ -381,16 +381,12 @@ def _compare(kinds: tuple[str, str], item: np.dtype):
             at += n
 
     def run(batches):
-        held, now = [], None  # rows come sorted by bucket
+        by_bucket: dict[int, list] = {}
         for b in batches:
             for deal, part, a, x, c in zip(*(b.column(n).to_pylist() for n in ("deal", "part", "a", "b", "c"))):
-                if held and deal != now:
-                    yield from _flow(list(bucket(held)))
-                    held = []
-                now = deal
-                held.append((part, a, x, c))
-        if held:
-            yield from _flow(list(bucket(held)))
+                by_bucket.setdefault(deal, []).append((part, a, x, c))
+        for k in sorted(by_bucket):
+            yield from _flow(list(bucket(by_bucket.pop(k))))
 
     return run
 
@@ -445,13 +441,13 @@ def _spans(group: int, part: int, starts: np.ndarray, stops: np.ndarray) -> tupl
     return group, "span", part, s[new].astype("<u4").tobytes(), e[last].astype("<u4").tobytes(), b""
 
 
-def _runs(buckets: int, length: int, run: int):
+def _runs(keys: np.ndarray, length: int, run: int):
     """Group tasks: spans of contexts that repeat, and the undecided ones with their runs of windows."""
 
     class Runs(_Group):
         def __init__(self, group):
             super().__init__(group)
-            self.dealer = _Dealer(buckets, "run")
+            self.dealer = _Dealer(keys, "run")
 
         def item(self, kind, part, blob, docs, rest):
             full, mixed = self.of("full", part), np.sort(self.of("mixed", part), order="at")
@@ -488,7 +484,7 @@ def _runs(buckets: int, length: int, run: int):
     return _by_group(Runs)
 
 
-def _windows(buckets: int, length: int, run: int):
+def _windows(keys: np.ndarray, length: int, run: int):
     """Group tasks: windows of undecided runs, sorted as suffixes; classes that repeat in a part
     are spans, and one window of every class goes to the other tasks' classes."""
 
@@ -497,7 +493,7 @@ def _windows(buckets: int, length: int, run: int):
 
         def __init__(self, group):
             super().__init__(group)
-            self.dealer = _Dealer(buckets, "window")
+            self.dealer = _Dealer(keys, "window")
 
         def item(self, kind, part, blob, ctx, rest):
             ctx = np.frombuffer(ctx, _CTX)
@@ -622,13 +618,14 @@ def _group_bytes(buckets: int) -> int:
 
 def _found(texts: DataFrame, n: int, length: int, gram: int, run: int) -> DataFrame:
     """Rows of groups with their texts and the spans to remove, in the order of _by_group; n: buckets."""
+    keys = bucket_keys(texts.sparkSession, n)
     arrow_batches(texts.sparkSession, 32)  # rows are parts and blobs from here on
-    by_deal = lambda df, f: df.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(f, _FLOW_DDL)
+    by_deal = lambda df, f: df.repartition(n, "deal").mapInArrow(f, _FLOW_DDL)
     by_group = lambda df: df.repartition(n, "deal").sortWithinPartitions("deal", "part", "kind")
-    places = by_deal(texts.withColumn("c", F.lit(b"")).mapInArrow(_posts(n, length, gram, GO_BYTES), _FLOW_DDL), _compare(("full", "mixed"), _PLACE))
-    runs = materialise(by_group(texts.withColumn("c", F.lit(b"")).unionByName(places)).mapInArrow(_runs(n, length, run), _FLOW_DDL), "runs")
+    places = by_deal(texts.withColumn("c", F.lit(b"")).mapInArrow(_posts(keys, length, gram, GO_BYTES), _FLOW_DDL), _compare(("full", "mixed"), _PLACE))
+    runs = materialise(by_group(texts.withColumn("c", F.lit(b"")).unionByName(places)).mapInArrow(_runs(keys, length, run), _FLOW_DDL), "runs")
     open_runs = by_deal(runs.where("kind = 'run'"), _compare(("fullrun", "openrun"), _RUNS))
-    windows = materialise(by_group(runs.where("kind = 'ctx'").unionByName(open_runs)).mapInArrow(_windows(n, length, run), _FLOW_DDL), "windows")
+    windows = materialise(by_group(runs.where("kind = 'ctx'").unionByName(open_runs)).mapInArrow(_windows(keys, length, run), _FLOW_DDL), "windows")
     again = by_deal(windows.where("kind = 'window'"), _compare(("again", "same"), _START)).where("kind = 'again'")
     spans = runs.where("kind = 'span'").unionByName(windows.where("kind = 'span'")).unionByName(again)
     return by_group(texts.unionByName(spans))
