@@ -34,6 +34,7 @@ class Settings:
     over_fetch: int = 3
     plan_attempts: int = 3
     repair_attempts: int = 2
+    fill_attempts: int = 2
     json_repairs: int = 2
 
     @property

@@ -8,6 +8,8 @@ level and the place, so a repeated task makes the same ids.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,31 @@ def pack_similar(sentences: Column, vectors: Column, most: int, threshold: float
     return F.aggregate(both, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
 
 
+def pack_by_embedder(parents: DataFrame, embed, settings: Settings = DEFAULTS) -> DataFrame:
+    """Adds `packed` to parents with `sentences`, where there are no vectors: what was gathered so far and the
+    next sentence are embedded at each step. For the few parents whose vectors are missing or do not fit."""
+    def close(a: list[float], b: list[float]) -> bool:
+        x, y = np.asarray(a, float), np.asarray(b, float)
+        size = np.sqrt((x * x).sum() * (y * y).sum())
+        return bool(size > 0 and (x * y).sum() / size >= settings.child_similarity)
+
+    def fold(sentences) -> list[str]:
+        out: list[str] = []
+        for s in sentences if sentences is not None else []:
+            fits = out and len(out[-1].split()) + len(s.split()) <= settings.child_max_words
+            if fits and close(*embed([out[-1], s])):
+                out[-1] = f"{out[-1]} {s}"
+            else:
+                out.append(s)
+        return out
+
+    @F.pandas_udf("array<string>")
+    def packed(batch: pd.Series) -> pd.Series:
+        return batch.map(fold)
+
+    return parents.withColumn("packed", packed("sentences"))
+
+
 def floor_small(groups: Column, settings: Settings = DEFAULTS) -> Column:
     """Drops meaningless fragments and merges short groups backwards, within the size limit."""
     most = settings.child_max_words
@@ -179,12 +206,12 @@ def dispatch_pages(bodies: Column, start: Column, end: Column) -> Column:
 
 
 def children_of(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Children of parents (with `sentences` and `vectors`, one vector a sentence).
+    """Children of parents (with `sentences` and `vectors`, one vector a sentence, or with `packed` texts).
 
     A parent that is mostly numbered questions is one child as it is.
     """
     whole = T.is_question_text(F.col("content"), settings.question_share)
-    packed = pack_similar(F.col("sentences"), F.col("vectors"), settings.child_max_words, settings.child_similarity)
+    packed = F.col("packed") if "packed" in parents.columns else pack_similar(F.col("sentences"), F.col("vectors"), settings.child_max_words, settings.child_similarity)
     asked = parents.withColumn("whole", whole)
     bodies = F.when(F.col("whole"), F.array(T.strip(F.col("content")))).otherwise(overlap(floor_small(packed, settings), settings))
     rows = asked.withColumn("bodies", bodies).withColumn("ranges", dispatch_pages(F.col("bodies"), F.col("page_start"), F.col("page_end")))

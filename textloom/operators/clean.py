@@ -7,7 +7,7 @@ document that holds a third of all rows is spread over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.config import DEFAULTS, Settings
@@ -115,3 +115,9 @@ def cleaning_stats(cleaned: DataFrame) -> DataFrame:
 def categories(cleaned: DataFrame) -> DataFrame:
     """Removed items by document and category."""
     return cleaned.where("category is not null").groupBy("document_id", "category").agg(F.count("*").alias("n"))
+
+
+def ranked_categories(cleaned: DataFrame) -> DataFrame:
+    """Categories with their place in a document's report: most items first, ties by name."""
+    w = Window.partitionBy("document_id").orderBy(F.desc("n"), "category")
+    return categories(cleaned).withColumn("place", F.row_number().over(w))

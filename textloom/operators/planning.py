@@ -29,6 +29,29 @@ def parse_plans(replies: DataFrame, models: int, reply: str = "reply") -> DataFr
     return typed.select("plan_id", "model_number", "qtype", (F.row_number().over(w) - 1).alias("item_idx"), "topic", "concept")
 
 
+def added_items(items: DataFrame) -> DataFrame:
+    """Plan rows of offered items (plan_id, model_number, qtype, missing, top, p, item): those of the asked
+    type with a topic and a concept, numbered on from `top`, `missing` at most."""
+    text = lambda p: strip(F.coalesce(F.try_variant_get("item", p, "string"), F.lit("")))
+    keys = ["plan_id", "model_number", "qtype"]
+    read = items.select(*keys, "missing", "top", "p", text("$.question_type").alias("said"), text("$.topic").alias("topic"), text("$.concept_to_test").alias("concept"))
+    fit = limit_by(read.where("said = qtype and topic <> '' and concept <> ''"), keys, "p", F.col("missing"))
+    no = F.row_number().over(Window.partitionBy(*keys).orderBy("p"))
+    return fit.select(*keys, (F.col("top") + no).cast("int").alias("item_idx"), "topic", "concept")
+
+
+def section_counts(questions: DataFrame) -> DataFrame:
+    """Questions by model and type."""
+    return questions.groupBy("model_number", "qtype").agg(F.count("*").alias("questions"))
+
+
+def planned_questions(plan: DataFrame, questions: DataFrame, order: str = "seq") -> DataFrame:
+    """Questions with the topic and concept of the plan item of their place among their model's questions of their type."""
+    w = Window.partitionBy("model_number", "qtype").orderBy(order)
+    placed = questions.withColumn("item_idx", F.row_number().over(w) - 1)
+    return placed.join(plan.select("model_number", "qtype", "item_idx", "topic", "concept"), ["model_number", "qtype", "item_idx"], "left")
+
+
 def counts(plan: DataFrame, tasks: DataFrame) -> DataFrame:
     """Requested and planned items (plan_id, model_number, qtype, want, got); tasks: plan_id, model_number, qtype, want."""
     got = plan.groupBy("plan_id", "model_number", "qtype").agg(F.count("*").alias("got"))

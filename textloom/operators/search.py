@@ -73,6 +73,21 @@ def points_of(children: DataFrame, embeddings: DataFrame) -> DataFrame:
     return children.join(embeddings.select("child_id", "dense", "sparse"), "child_id")
 
 
+def ensure_collection(spark: SparkSession, path: str, dim: int = DEFAULTS.embedding_dim) -> str:
+    """'created' or 'kept', or 'recreated' where the folder was made for another dimension (its points go)."""
+    jvm = spark.sparkContext._jvm
+    folder, mark = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}/_dim_{dim}")  # readers pass names with _ by
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(mark):
+        return "kept"
+    old = fs.exists(folder)
+    if old:
+        fs.delete(folder, True)
+    fs.mkdirs(folder)
+    fs.create(mark).close()
+    return "recreated" if old else "created"
+
+
 def upsert(points: DataFrame, path: str, dim: int = DEFAULTS.embedding_dim) -> None:
     """Replaces the documents that occur in `points`, one partition each; checks the dimension."""
     checked = points.withColumn("dense", F.when(F.size("dense") == dim, F.col("dense")).otherwise(F.raise_error(F.lit(f"dense vectors need {dim} components"))))

@@ -1,10 +1,6 @@
 """Workflows over the operators: ingest of parsed documents, and bounded question-set loops.
 
-Models sit behind two small protocols, so that nothing here needs a network:
-
-    embed(texts: list[str]) -> list[list[float]]           (runs on the executors)
-    chat(prompts: list[str]) -> list[str]                   (runs on the executors)
-
+Models sit behind the protocols of `plans.ask`, so that nothing here needs a network.
 Loops end after a fixed number of attempts; each attempt works only on what is still
 missing (a deficit or a failed row), found by joins, and counts alone reach the driver.
 """
@@ -12,47 +8,23 @@ missing (a deficit or a failed row), found by joins, and counts alone reach the
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.config import DEFAULTS, Settings
+from textloom.functions import fixed as X
 from textloom.functions import questions as Q
 from textloom.functions import text as T
-from textloom.functions import titles
 from textloom.operators import chunk, clean, planning, review, search, structure, titling
+from textloom.operators.dedupe import accept_greedily, limit_by
+from textloom.plans.ask import Chat, Embed, answered, embedded
+from textloom.plans.titling import family_titles
 from textloom.sources import pages as P
 from textloom.sources import registry
 from textloom.sources.shared import materialise
 
-Embed = Callable[[list[str]], list[list[float]]]
-Chat = Callable[[list[str]], list[str]]
-
-
-def embedded(df: DataFrame, column: str, into: str, embed: Embed) -> DataFrame:
-    """Adds a vector column, batch by batch on the executors."""
-
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(embed(texts.fillna("").tolist()))
-
-    return df.withColumn(into, vectors(F.col(column)))
-
-
-def answered(df: DataFrame, prompt: str, into: str, chat: Chat) -> DataFrame:
-    """Adds the model's reply to a prompt column."""
-
-    @F.pandas_udf("string")
-    def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for prompts in batches:
-            yield pd.Series(chat(prompts.tolist()), dtype=object)
-
-    return df.withColumn(into, replies(F.col(prompt)))
-
 
 @dataclass
 class Ingested:
@@ -67,18 +39,6 @@ class Ingested:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def titled(rows: DataFrame, chat: Chat | None, settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds `title`: the model's, cleaned, where it is valid and no filler; else null."""
-    if chat is None:
-        return rows.withColumn("title", F.lit(None).cast("string"))
-    prompt = F.concat(F.lit("Write one short heading for this passage. Reply with the heading only.\n\n"), T.first_tokens(F.col("content"), 250))
-    asked = answered(rows.withColumn("__prompt", prompt), "__prompt", "__raw", chat)
-    title = titles.clean_title(F.col("__raw"), settings.title_max_words)
-    named = asked.withColumn("title", title).drop("__prompt", "__raw")
-    good = titles.is_valid_title(F.col("title"), settings.title_min_words, settings.title_max_words) & ~titles.is_blocklisted(F.col("title"))
-    return named.withColumn("title", F.when(good, F.col("title")))
-
-
 def ingest(pages: DataFrame, embed: Embed, chat: Chat | None = None, settings: Settings = DEFAULTS) -> Ingested:
     """Pages to cleaned items, parents, children, points, structures and report."""
     seconds: dict[str, float] = {}
@@ -99,11 +59,13 @@ def ingest(pages: DataFrame, embed: Embed, chat: Chat | None = None, settings: S
     vectors = embedded(flat, "sentence", "v", embed).groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vectors"))
     ready = sentences.join(vectors, "parent_id", "left").withColumn("vectors", F.coalesce("vectors", F.array().cast("array<array<float>>")))
     children = timed("children", chunk.children_of(ready, settings))
-    parents = timed("parent_titles", titling.make_unique(titled(parents, chat, settings), "document_id", "parent_order") if chat else titled(parents, None))
-    n = children.groupBy("parent_id").agg(F.count("*").alias("__n"))
-    # a parent's only child repeats it and has no title of its own
-    named = titled(children, chat, settings).join(n, "parent_id").withColumn("title", F.when(F.col("__n") > 1, F.col("title"))).drop("__n")
-    children = timed("child_titles", named)
+    if chat is None:
+        parents, children = (rows.withColumn("title", F.lit(None).cast("string")) for rows in (parents, children))
+    else:
+        named = timed("titles", family_titles(parents, children, chat, settings))  # a parent's only child has no title of its own
+        of = lambda level, key: named.where(F.col("level") == level).select(F.col("id").alias(key), "title")
+        parents = timed("parent_titles", titling.make_unique(parents.join(of("section", "parent_id"), "parent_id", "left"), "document_id", "parent_order"))
+        children = timed("child_titles", children.join(of("subsection", "child_id"), "child_id", "left"))
     points = embedded(children, "content", "dense", embed).withColumn("sparse", F.lit(None).cast("map<int,float>"))
     tree = structure.section_tree(parents, children)
     return Ingested(cleaned, clean.cleaning_stats(cleaned), parents, children, chunk.overlap_warnings(parents, children), timed("embeddings", points), structure.structures(tree), structure.chunk_report(parents, children, settings), seconds)
@@ -119,16 +81,14 @@ def publish(spark: SparkSession, done: Ingested, folder: str, uploads: DataFrame
 
 def checked_request(types: dict[str, int], models: int, difficulty: str = "mix") -> list[tuple[str, int]]:
     """The tasks of a request, or ValueError: 1 to 4 models, known types, at least one question."""
-    from textloom.functions.fixed import QUESTION_TYPES
-
-    unknown = set(types) - set(QUESTION_TYPES)
+    unknown = set(types) - set(X.QUESTION_TYPES)
     if unknown:
         raise ValueError(f"unknown question types: {sorted(unknown)}")
     if not 1 <= models <= 4:
         raise ValueError("1 to 4 models")
     if difficulty not in ("easy", "medium", "hard", "mix"):
         raise ValueError("unknown difficulty")
-    tasks = [(t, types[t]) for t in QUESTION_TYPES if types.get(t, 0) > 0]
+    tasks = [(t, types[t]) for t in X.QUESTION_TYPES if types.get(t, 0) > 0]
     if not tasks or any(n < 0 for n in types.values()):
         raise ValueError("at least one question, and no negative count")
     return tasks
@@ -172,30 +132,74 @@ def plan_until_sound(prompts: DataFrame, tasks: DataFrame, models: int, chat: Ch
     return planning.trim(plan, tasks), errors
 
 
+def filled_plan(plan: DataFrame, tasks: DataFrame, contexts: DataFrame, chat: Chat, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(plan, deficits left): what a plan lacks is asked for by model and type, twice at most, then the plan is trimmed.
+
+    contexts: plan_id, prompt (what the plan is about). Added items come behind those that
+    a model has; a reply counts for its own type only, up to the missing number.
+    """
+    keys = ["plan_id", "model_number", "qtype"]
+    for _ in range(settings.fill_attempts):
+        short = materialise(planning.deficits(plan, tasks).select(*keys, "missing"), "deficits")
+        if not short.limit(1).count():
+            break
+        held = plan.groupBy(*keys).agg(F.max("item_idx").alias("top"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "topic", "concept"))), "\n").alias("held"))
+        asked = short.join(held, keys, "left").join(contexts, "plan_id")
+        prompt = F.concat(F.lit("Add "), F.col("missing").cast("string"), F.lit(" plan items of type "), F.col("qtype"), F.lit(" for model "), F.col("model_number").cast("string"), F.lit(" as a JSON array, on other concepts than these:\n"), F.coalesce("held", F.lit("none")), F.lit("\n\n"), F.col("prompt"))
+        said = ask_json(asked.select(*keys, "missing", F.coalesce("top", F.lit(-1)).alias("top"), prompt.alias("prompt")), chat, settings)
+        more = planning.added_items(said.select(*keys, "missing", "top", F.posexplode(Q.questions_from(F.col("reply"))).alias("p", "item")))
+        plan = materialise(plan.unionByName(more), "plan")
+    return planning.trim(plan, tasks), planning.deficits(plan, tasks)
+
+
+def repaired_items(items: DataFrame, chat: Chat, settings: Settings = DEFAULTS) -> DataFrame:
+    """Valid questions (model_number, qtype, pos, q) out of raw items (model_number, qtype, pos, raw) that break their
+    type's rules: sent back with the rules, twice at most; only what is still broken is sent again."""
+    done, open_ = None, items.select("model_number", "qtype", "pos", F.col("raw").alias("broken"))
+    for attempt in range(settings.repair_attempts):
+        prompt = F.concat(F.lit("This question of type "), F.col("qtype"), F.lit(" lacks fields or has wrong ones. Mend its structure, keep its content, reply as JSON.\n"), F.col("broken"))
+        said = ask_json(open_.withColumn("prompt", prompt), chat, settings)
+        judged = materialise(said.select("model_number", "qtype", "pos", F.to_json(F.coalesce(F.try_element_at(Q.questions_from(F.col("reply")), F.lit(1)), "reply")).alias("new"), "broken").withColumn("q", Q.normalize(F.col("qtype"), F.try_parse_json("new"))), "repaired-items")
+        good = judged.where("q is not null").select("model_number", "qtype", "pos", "q")
+        done = good if done is None else done.unionByName(good)
+        open_ = judged.where("q is null").select("model_number", "qtype", "pos", F.coalesce("new", "broken").alias("broken"))
+        if not open_.limit(1).count():
+            break
+    return done
+
+
 def generate(tasks: DataFrame, plan: DataFrame, context: str, chat: Chat, settings: Settings = DEFAULTS) -> DataFrame:
     """Accepted questions (model_number, qtype, seq, q) for tasks (plan_id, model_number, qtype, want).
 
-    Each attempt asks only for what is missing, with the plan's unfilled items. All
-    replies so far are then accepted in one order, so earlier questions, of earlier
-    models too, hold back later ones that repeat them.
+    Each attempt asks only for what is missing, with the plan's unfilled items: a model's
+    objective types (choice, true or false, blanks) in one call, each other type in its own.
+    Items that break their type's rules are sent back once. All replies so far are then
+    accepted in one order, so earlier questions, of earlier models too, hold back later
+    ones that repeat them.
     """
-    from textloom.operators.dedupe import accept_greedily, limit_by
-
     spark = tasks.sparkSession
     keys = ["model_number", "qtype"]
     taken = spark.createDataFrame([], f"model_number int, qtype string, seq long, q {Q.QUESTION}")
+    call = F.when(F.col("qtype").isin(X.OBJECTIVE_TYPES), "objective").otherwise(F.col("qtype"))
     for attempt in range(settings.plan_attempts):
         got = taken.groupBy(*keys).agg(F.count("*").alias("got"))
         missing = tasks.join(got, keys, "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < want")
         if not missing.limit(1).count():
             break
         open_ = missing.join(plan, ["plan_id", *keys], "left").where("item_idx is null or item_idx >= got")
-        asked = open_.groupBy(*keys).agg(F.first(F.col("want") - F.col("got")).alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "topic", "concept"))), "\n").alias("items"))
-        prompt = F.concat(F.lit("Write "), F.col("n").cast("string"), F.lit(" questions of type "), F.col("qtype"), F.lit(' as JSON {"questions": [...]} on these concepts:\n'), F.col("items"), F.lit("\n\nText:\n" + context))
-        replies = ask_json(asked.select(*keys, prompt.alias("prompt")), chat, settings)
-        found = replies.select(*keys, F.posexplode(Q.questions_from(F.col("reply"))).alias("pos", "item")).select(*keys, "pos", Q.normalize(F.col("qtype"), F.col("item")).alias("q")).where("q is not null")
+        each = open_.groupBy(*keys).agg(F.first(F.col("want") - F.col("got")).alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "topic", "concept"))), "\n").alias("items"))
+        part = F.concat(F.lit("Write "), F.col("n").cast("string"), F.lit(" questions of type "), F.col("qtype"), F.lit(" on these concepts:\n"), F.col("items"))
+        whole = each.withColumn("call", call).groupBy("model_number", "call").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(review.type_rank(F.col("qtype")).alias("r"), part.alias("t")))), lambda x: x["t"]), "\n\n").alias("parts"), F.collect_set("qtype").alias("types"))
+        prompt = F.concat("parts", F.lit('\n\nReply as JSON {"questions": [...]}, each with its question_type.\n\nText:\n' + context))
+        replies = ask_json(whole.select("model_number", "call", "types", prompt.alias("prompt")), chat, settings)
+        said = replies.select("model_number", "call", "types", F.posexplode(Q.questions_from(F.col("reply"))).alias("pos", "item"))
+        typed = said.withColumn("qtype", F.when(F.size("types") == 1, F.col("types")[0]).otherwise(Q.item_type(F.col("item"))))
+        found = materialise(typed.where("qtype is not null").select(*keys, "pos", Q.normalize(F.col("qtype"), F.col("item")).alias("q"), F.to_json("item").alias("raw")), "items")
+        good, bad = found.where("q is not null").select(*keys, "pos", "q"), found.where("q is null")
+        if bad.limit(1).count():
+            good = good.unionByName(repaired_items(bad, chat, settings))
         seq = F.lit(attempt).cast("long") * 10**9 + F.col("model_number") * 10**7 + review.type_rank(F.col("qtype")) * 10**6 + F.col("pos")
-        every = taken.unionByName(found.select(*keys, seq.alias("seq"), "q")).withColumn("request", F.lit(1))
+        every = taken.unionByName(good.select(*keys, seq.alias("seq"), "q")).withColumn("request", F.lit(1))
         text = Q.question_text(F.col("qtype"), F.col("q"))
         judged = accept_greedily(every, "request", "seq", F.col("qtype"), F.array_join(Q.plain_tokens(text), " "), Q.readings(F.col("q")), Q.has_forbidden_phrase(text), settings.near_duplicate)
         kept = judged.where("verdict = 'accepted'").join(tasks.select(*keys, "want"), keys)

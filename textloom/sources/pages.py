@@ -6,6 +6,7 @@ order of a document is (page_idx, item_idx) everywhere.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,16 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_replace("f", r"\.json$", "").alias("document_id"), F.try_parse_json("value").alias("payload"))
 
 
+def parsed_payloads(files: DataFrame, parse) -> DataFrame:
+    """Payloads of binary files (path, content) by a parser, `parse(content: bytes) -> str` (JSON), on the executors."""
+    @F.pandas_udf("string")
+    def parsed(contents: pd.Series) -> pd.Series:
+        return contents.map(parse)
+
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return files.select(name.alias("document_id"), F.try_parse_json(parsed("content")).alias("payload"))
+
+
 def check_payloads(payloads: DataFrame) -> DataFrame:
     """(document_id, problem) of every payload: null where it is sound.
 

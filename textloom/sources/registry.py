@@ -12,6 +12,14 @@ def register(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def land(files: DataFrame, path: str) -> DataFrame:
+    """Keeps uploads (document_id, filename, content) as they came, a partition each, and returns their registry rows,
+    stamped with the time in UTC; an upload of a document that is there replaces it."""
+    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return files.select("document_id", "filename", F.octet_length("content").cast("long").alias("size_bytes"), now.alias("uploaded_at"), F.lit(None).cast("string").alias("stats"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
