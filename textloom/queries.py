@@ -6,6 +6,8 @@ long are given by their md5.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from textloom.functions.classify import category
 from textloom.operators import chunk, clean, dedupe, planning, review, search, structure, titling
 from textloom.sources import pages as P
 from textloom.sources import registry
-from textloom.sources.shared import spread
+from textloom.sources.shared import shared_dir, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -531,3 +533,211 @@ def title_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT arg_max(event_id, (ts, event_id)) AS event_id FROM events")
 def latest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.current_document(table(spark, sf_dir, "events"), "event_id", "ts")
+
+
+# --- payloads, stores, selections ---------------------------------------------------------------
+
+_KINDS = [
+    ('{"pages":[{"page":1,"items":[{"type":"text","value":"v"}]}]}', None), ('{"pages":[]}', "no pages"), ("{pages", "not json"), ('{"pages":[{"page":true,"items":[{"type":"text","value":"v"}]}]}', "a page number is no whole number"),
+    ('{"pages":[{"page":1}]}', "a page has no item list"), ('{"pages":[{"page":2,"items":[{"type":"quiz","value":"v"}]}]}', "an item has an unknown type"), ('{"pages":[{"page":1,"items":[]}]}', "no items"), ('{"pages":[{"page":null,"items":[{"type":"table","value":7}]}]}', "an item value is no text"),
+]
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE " + " ".join(f"WHEN doc_id % {len(_KINDS)} = {i} THEN '{p}'" for i, (_, p) in enumerate(_KINDS) if p) + " END AS problem FROM documents")
+def payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a payload that is sound or broken in one of seven ways, by its id."""
+    raw = F.element_at(F.array(*[F.lit(j) for j, _ in _KINDS]), (F.col("doc_id") % len(_KINDS) + 1).cast("int"))
+    return P.check_payloads(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.try_parse_json(raw).alias("payload")))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(i - 1 AS INTEGER) AS item_idx, CAST(1 AS INTEGER) AS page, md5({_S.format('t')}) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
+def payload_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as payloads and read back through the parser hook's form."""
+    pages = P.row_pages(table(spark, sf_dir, "documents"))
+    payload = F.to_json(F.struct(F.array(F.struct("page", "items")).alias("pages")))
+    read = P.payload_pages(pages.select("document_id", F.try_parse_json(payload).alias("payload")))
+    return P.items(read).select("document_id", "item_idx", "page", F.md5("raw").alias("h"))
+
+
+@query("SELECT conv_id, md5(regexp_replace(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), ''), '^\\s+|\\s+$', '', 'g')) AS h FROM conversations GROUP BY 1")
+def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as replies of the native protocol: what the assistant says is a message, the rest is not."""
+    part = F.struct("turn", F.struct(F.when(F.col("role") == "assistant", "message").otherwise("reasoning").alias("type"), F.col("text").alias("content")).alias("o"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["o"]).alias("output"))
+    return rows.select("conv_id", F.md5(Q.message_text(F.parse_json(F.to_json(F.struct("output"))))).alias("h"))
+
+
+@query("SELECT CAST(label AS VARCHAR) AS document_id, count(*) AS points, CAST(sum(CASE WHEN label = 2 THEN 1 ELSE 0 END) AS BIGINT) AS again FROM embeddings WHERE label <> 0 AND (label <> 2 OR vec_id % 2 = 0) GROUP BY 1")
+def point_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection made twice, points put in, one document deleted, one replaced by half of its points."""
+    path = f"{shared_dir(spark)}/textloom/points-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("document_id"), F.col("vec_id").alias("child_id"), F.col("embedding").alias("dense"), F.lit(0).alias("again"))
+    if [search.ensure_collection(spark, path, d) for d in (32, 64, 64)] != ["created", "recreated", "kept"]:
+        raise ValueError("the collection was not made anew for another dimension")
+    search.upsert(rows, path, 64)
+    search.delete_document(spark, path, "0")
+    search.upsert(rows.where("document_id = '2' and child_id % 2 = 0").withColumn("again", F.lit(1)), path, 64)
+    return spark.read.parquet(path).groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.count("*").alias("points"), F.sum("again").alias("again"))
+
+
+@query(f"SELECT child_id, round(score, 6) AS score FROM ({_DENSE_SQL} WHERE label IN (1, 3) AND vec_id NOT IN (4, 5)) ORDER BY score DESC, child_id LIMIT 15")
+def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = F.col("label").isin(1, 3) & search.payload_filter() & ~search.payload_filter(child_ids=[4, 5])
+    return search.dense_top_k(_points(spark, sf_dir), _VECTOR, 15, where).select("child_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT a.vec_id AS child_id, a.label, CAST(len(b.embedding) AS INTEGER) AS dim FROM embeddings a JOIN embeddings b USING (vec_id) WHERE b.label <> 1")
+def points_of_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    vectors = e.where("label <> 1").select(F.col("vec_id").alias("child_id"), F.col("embedding").alias("dense"), F.lit(None).cast("map<int,float>").alias("sparse"))
+    return search.points_of(e.select(F.col("vec_id").alias("child_id"), "label"), vectors).select("child_id", "label", F.size("dense").alias("dim"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n <= 2")
+def limited_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.limit_by(table(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn", F.lit(2)).select("conv_id", "turn", "role")
+
+
+# --- more of words and lines --------------------------------------------------------------------
+
+_BROKEN = "replace(text, ' a', '-' || chr(10) || ' a')"
+_REJOIN = "regexp_replace({0}, '([A-Za-z])-\\s*\\n\\s*([a-z])', '\\1\\2', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_REJOIN.format(_REJOIN.format(_BROKEN))}) AS h FROM documents")
+def hyphenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a break put before every word on a."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fix_hyphenation(F.expr("replace(text, ' a', '-\\n a')"))).alias("h"))
+
+
+@query("""SELECT doc_id, md5(replace(replace(replace(replace(translate(text, '‘’“”–—', '''''""--'), '’', ''''), ',', ' '), chr(173), ''), chr(65279), '')) AS h FROM documents""")
+def punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose commas were made spaces that do not break, and that got soft hyphens behind."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.map_punctuation(F.concat(F.translate("text", ",", " "), F.lit("­﻿")))).alias("h"))
+
+
+_CONTENT = f"len(list_filter({_WORDS.format('{0}')}, lambda w: lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) NOT IN ({', '.join(repr(w) for w in X.FUNCTION_WORDS)})))"
+
+
+@query(f"WITH {_SENT} SELECT doc_id, arg_max(md5(s), g) AS last, CAST(sum({_CONTENT.format('s')}) AS BIGINT) AS content_words, md5(string_agg(regexp_replace(lower(s), '[^a-z0-9]', '', 'g'), '|' ORDER BY g)) AS keys FROM sentences GROUP BY 1")
+def sentence_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("trim(text) <> ''").withColumn("s", T.split_sentences(F.col("text")))
+    n = F.aggregate(F.transform("s", lambda s: F.size(T.content_words(s))), F.lit(0), lambda a, x: a + x).cast("long")
+    return rows.select("doc_id", F.md5(T.last_sentence(F.col("text"))).alias("last"), n.alias("content_words"), F.md5(F.array_join(F.transform("s", T.sentence_key), "|")).alias("keys"))
+
+
+_HEADED = "headed AS (SELECT source, doc_id, 'Report page ' || doc_id || chr(10) || text || chr(10) || '- ' || doc_id || ' of ten -' AS text FROM documents)"
+
+
+@query(f"WITH {_HEADED}, {_ITEMS}, {_REPEATED} SELECT document_id, key FROM repeated".replace("AS i FROM documents)", "AS i FROM headed)"))
+def header_footer_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a numbered line put before and behind them."""
+    headed = spread(table(spark, sf_dir, "documents")).withColumn("text", F.concat(F.lit("Report page "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n- "), F.col("doc_id").cast("string"), F.lit(" of ten -")))
+    return clean.repeated_lines(P.line_pages(headed))
+
+
+@query(_CLEAN + " SELECT document_id, category, n, CAST(row_number() OVER (PARTITION BY document_id ORDER BY n DESC, category) AS INTEGER) AS place FROM (SELECT document_id, category, count(*) AS n FROM cleaned WHERE category IS NOT NULL GROUP BY ALL)")
+def category_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.ranked_categories(cleaned(spark, sf_dir))
+
+
+@query(_CLEAN + " SELECT document_id, page_idx, md5(string_agg(final, '|' ORDER BY item_idx)) AS h FROM cleaned WHERE category IS NULL AND final <> '' GROUP BY ALL")
+def pages_after_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = clean.cleaned_pages(cleaned(spark, sf_dir))
+    return pages.select("document_id", "page_idx", F.md5(F.array_join(F.transform("items", lambda i: i["value"]), "|")).alias("h"))
+
+
+@query(_CLEAN + " SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_idx, item_idx) - 1 AS INTEGER) AS para_idx, md5(final) AS h FROM cleaned WHERE category IS NULL AND final <> ''")
+def paragraph_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.paragraphs(clean.kept_items(cleaned(spark, sf_dir))).select("document_id", "para_idx", F.md5("text").alias("h"))
+
+
+@query(f"""WITH o AS (SELECT conv_id, turn, text, {_WORDS.format('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)')} AS b FROM conversations),
+  p AS (SELECT conv_id, turn, {_WORDS.format('text')} AS w, coalesce(b[-3:], []) || {_WORDS.format('text')} AS c FROM o), q AS (SELECT conv_id, turn, lag(c) OVER (PARTITION BY conv_id ORDER BY turn) AS a, c FROM p),
+  s AS (SELECT conv_id, turn, coalesce(list_max(list_filter(range(1, least(len(a), len(c)) + 1), lambda k: a[-k:] = c[:k])), 0) AS n FROM q WHERE a IS NOT NULL)
+  SELECT CAST(conv_id AS VARCHAR) AS document_id, conv_id || '-' || turn AS id, CAST(n AS INTEGER) AS shared FROM s WHERE n > 0""")
+def overlap_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that start with the last three words of the turn before, as parents that overlap."""
+    from pyspark.sql import Window
+
+    before = T.words(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    tail = F.coalesce(F.slice(before, F.greatest(F.size(before) - 2, F.lit(1)), 3), F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "conversations").withColumn("content", F.array_join(F.concat(tail, T.words(F.col("text"))), " "))
+    parents = rows.select(F.col("conv_id").cast("string").alias("document_id"), F.concat_ws("-", "conv_id", "turn").alias("parent_id"), F.col("turn").alias("parent_order"), "content")
+    none = parents.limit(0).select("document_id", "parent_id", F.col("parent_id").alias("child_id"), F.col("parent_order").alias("child_order"), "content")
+    return chunk.overlap_warnings(parents, none).select("document_id", "id", "shared")
+
+
+# --- more of questions and titles ---------------------------------------------------------------
+
+
+@query("SELECT conv_id AS model_number, role AS qtype, count(*) AS questions FROM conversations GROUP BY ALL")
+def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.section_counts(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("model_number"), F.col("role").alias("qtype")))
+
+
+_SAID = """said AS (SELECT conv_id, turn, role, turn % 3 <> 0 AS q_ok, turn % 2 = 0 AS a_ok FROM conversations WHERE turn % 5 <> 4)"""
+
+
+@query(f"""WITH {_SAID}, v AS (SELECT c.conv_id, c.turn, s.turn IS NOT NULL AND s.q_ok AS q, s.turn IS NOT NULL AND s.a_ok AS a, s.turn IS NOT NULL AS said FROM conversations c LEFT JOIN said s USING (conv_id, turn))
+  SELECT conv_id AS model_number, turn, q AS question_valid, a AS answer_valid, CASE WHEN NOT said OR (NOT q AND NOT a) THEN 'FIX_QUESTION_AND_ANSWER' WHEN q AND a THEN 'PASS' WHEN NOT q THEN 'FIX_QUESTION' ELSE 'FIX_OPTIONS' END AS action FROM v""")
+def verdict_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as questions, with verdicts for four of five; of two verdicts the later counts; one names no question."""
+    return _verdicts(spark, sf_dir).select("model_number", F.substring_index("question_id", "-", -1).cast("long").alias("turn"), "question_valid", "answer_valid", "action")
+
+
+@query(f"""WITH {_SAID} SELECT c.conv_id AS model_number, count(*) AS questions, count(*) FILTER (NOT coalesce(q_ok AND a_ok, false)) AS invalid, bool_and(coalesce(q_ok AND a_ok, false)) AS all_pass FROM conversations c LEFT JOIN said s USING (conv_id, turn) GROUP BY 1""")
+def exam_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.exam_verdicts(_verdicts(spark, sf_dir))
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("model_number"), F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.lit("mcq").alias("qtype"), "turn")
+    said = rows.where("turn % 5 <> 4").select("model_number", "question_id", F.lit(1).alias("seq"), (F.col("turn") % 3 != 0).alias("question_valid"), (F.col("turn") % 2 == 0).alias("answer_valid"), F.lit("fix_options").alias("action"), F.array().cast("array<string>").alias("fields_to_fix"))
+    earlier = said.withColumn("seq", F.lit(0)).withColumn("question_valid", ~F.col("question_valid"))
+    return review.settled_verdicts(said.unionByName(earlier).unionByName(earlier.withColumn("question_id", F.lit("unknown"))), rows.drop("turn"))
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN turn % 3 = 1 THEN turn + 10 END AS own FROM conversations)
+  SELECT conv_id AS model_number, turn, 'model' || conv_id || '_' || role || '_' || coalesce(own, coalesce(max(own) OVER (PARTITION BY conv_id, role), 0) + sum(CASE WHEN own IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, role ORDER BY turn)) AS question_id FROM r""")
+def continued_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third turn has an id already: the others go on from the highest."""
+    own = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("model"), F.col("conv_id").cast("string"), F.lit("_"), F.col("role"), F.lit("_"), (F.col("turn") + 10).cast("string")))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("model_number"), F.col("role").alias("qtype"), "turn", own.alias("question_id"))
+    return review.assign_ids(rows, "turn").select("model_number", "turn", "question_id")
+
+
+@query("SELECT 'all' AS document_id, count(DISTINCT conv_id) AS section_count, count(*) AS child_count FROM conversations")
+def structure_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    none, doc = F.lit(None).cast("int"), F.lit("all").alias("document_id")
+    children = c.select(doc, F.col("conv_id").alias("parent_id"), F.col("turn").alias("child_order"), F.concat_ws("-", "conv_id", "turn").alias("child_id"), F.col("role").alias("title"), none.alias("page_start"), none.alias("page_end"))
+    parents = c.select(doc, F.col("conv_id").alias("parent_id")).distinct().select("document_id", "parent_id", F.col("parent_id").alias("parent_order"), F.lit("x").alias("title"), none.alias("page_start"), none.alias("page_end"))
+    return structure.structures(structure.section_tree(parents, children)).select("document_id", "section_count", "child_count")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN upper(role) WHEN 1 THEN role ELSE '  ' || role || '!' END AS term FROM conversations)
+  SELECT conv_id, turn, term FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, trim(lower(replace(term, '!', ''))) ORDER BY turn) AS n FROM t) WHERE n = 1""")
+def bank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles in three spellings as terms of a word bank: the first spelling stays."""
+    term = F.when(F.col("turn") % 3 == 0, F.upper("role")).when(F.col("turn") % 3 == 1, F.col("role")).otherwise(F.concat(F.lit("  "), F.col("role"), F.lit("!")))
+    return dedupe.word_bank_terms(table(spark, sf_dir, "conversations").withColumn("term", term), "conv_id", "turn", "term").select("conv_id", "turn", "term")
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS at, role || ' of turn ' || turn AS title FROM conversations")
+def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that number their lines in three ways, with empty lines between."""
+    mark = F.when(F.col("turn") % 3 == 0, F.concat(F.col("turn").cast("string"), F.lit(". "))).when(F.col("turn") % 3 == 1, F.lit("- ")).otherwise(F.lit("  * "))
+    line = F.struct("turn", F.concat(mark, F.col("role"), F.lit(" of turn "), F.col("turn").cast("string"), F.lit("\n")).alias("l"))
+    raw = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("raw"))
+    return raw.select("conv_id", F.posexplode(titles.title_list(F.col("raw"))).alias("at", "title"))
+
+
+@query("""SELECT conv_id, CAST(turn + 1 AS INTEGER) AS idx, CAST(turn % 11 AS INTEGER) AS score, CASE turn % 3 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'REFINE' ELSE 'REPLACE' END AS verdict, 'Title of ' || role AS title FROM conversations""")
+def review_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review replies with chatter, quotes and a first line that a later one of its number replaces."""
+    said = F.element_at(F.array(F.lit("KEEP"), F.lit("refine"), F.lit("Replace")), (F.col("turn") % 3 + 1).cast("int"))
+    no = (F.col("turn") + 1).cast("string")
+    line = F.concat(no, F.lit(". score=1 KEEP: \"Old\"\n"), F.lit("well then\n"), no, F.lit(") Score = "), (F.col("turn") % 11).cast("string"), F.lit(" "), said, F.lit(": \"Title of "), F.col("role"), F.lit("\""))
+    raw = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(line), "\n").alias("raw"))
+    return raw.select("conv_id", F.explode(titles.review_rows(F.col("raw"))).alias("r")).select("conv_id", "r.idx", "r.score", "r.verdict", "r.title")
