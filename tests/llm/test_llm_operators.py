@@ -331,6 +331,20 @@ def test_search_recall_and_ties(spark):
     assert out[out.query_id == 100].sort_values("rank").vec_id.tolist() == [101, 102, 103, 104, 105]
 
 
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_query(spark, table):
+    folder = f"/root/testdata/{table}"
+    e = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids, x = e.vec_id.to_numpy(), np.stack(e.embedding).astype(float)
+    s = (x @ x.T) / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None])
+    np.fill_diagonal(s, -2)
+    got = QUERIES["op5_anisotropic_search"](spark, folder).toPandas()
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert sorted(got.query_id.unique()) == ids[asked].tolist() and (got.groupby("query_id").size() == 5).all()
+    hit = sum(len({*ids[np.lexsort((ids, -np.round(s[i], 12)))[:5]].tolist()} & {*got[got.query_id == ids[i]].vec_id}) for i in asked)
+    assert hit / (5 * len(asked)) >= 0.9
+
+
 def test_search_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     index, q = ann.build_index(df)

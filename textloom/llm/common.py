@@ -84,8 +84,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what is now a table can go
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of what is now a table
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -95,6 +97,12 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more: what came of them is a table itself."""
+    for t in tables:
+        discard(t.sparkSession, t._loom_path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import materialise, release
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, tag)
+        before, e = e, materialise(small, tag)
+        release(before)
         many = e.groupBy("u").count().where("count > 1").limit(1).count()
         if not many and not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
             break

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_batches, batch_of, bucket_keys, id_text, join_unique, materialise, partitions_for, splitmix
+from textloom.llm.common import arrow_batches, batch_of, bucket_keys, id_text, join_unique, materialise, partitions_for, release, splitmix
 from textloom.llm.components import components, forest
 
 WIDTH = 5
@@ -376,6 +376,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bl
     pairs = rows.join(placed, "node").select("component", "node", "n", "weight", "cols", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("component", "node", "n", "weight", "cols", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     blocks = pairs.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     links = materialise(blocks.mapInArrow(_products(percent), "u long, v long, links long"), "links")
+    release(rows, parts, sizes)
     joined = components(links.where("v is not null").select("u", "v"), "classes")
     counts = links.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     facts = materialise(classes.join(joined, "node", "left").join(counts, "node", "left").select("digest", "weight", "parts", "low", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "facts")
