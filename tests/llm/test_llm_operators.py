@@ -134,6 +134,16 @@ def test_long_texts_cost_a_few_times_the_library(text):
     assert encoded < 3 * len(text)
 
 
+def test_left_out_steps_change_nothing():
+    t, w, rng = Tokenizer.from_file(WORD), tokens.WordTokenizer(WORD), random.Random(2)
+    assert w.short is not w.whole
+    letters = "aB é\u0301İßς\u00a0\u3000\t\n\x0b\x85\u2028 '12.,<|😀ｶﾞ가\u1100\u1161"
+    cases = ["".join(rng.choice([*letters, "<|endoftext|>", "'s "]) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    used = [w.of(x) for x in cases]
+    assert [u.encode(x, add_special_tokens=False).ids for u, x in zip(used, cases)] == [e.ids for e in t.encode_batch(cases, add_special_tokens=False)]
+    assert {u is w.short for u in used} == {True, False}
+
+
 def test_splices_meet_where_encodings_agree():
     t = Tokenizer.from_file(WORD)
     found = list(tokens.spliced(t, LONG, 700, 60))

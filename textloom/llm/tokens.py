@@ -18,10 +18,14 @@ whole; repeated rows are counted each.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from textloom.llm.common import arrow_batches, batch_of, id_text
@@ -33,6 +37,45 @@ MARGIN = 4
 _EDGE = re.compile(r"(?<=[ \n\r\t])(?=\S)|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[一-龥ぁ-ゖァ-ヺ])(?=[。、！？])")
 
 
+#: The normaliser and the pre-tokens of the word-level files whose first two steps can be left out.
+_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WIDE = re.compile("[^\x00-\uffff]")
+
+
+class WordTokenizer:
+    """A tokenizers .json file, without the steps of its normaliser that change nothing for a text.
+
+    Composition (NFC) is the identity for a text that is composed, and for its parts. White
+    space becomes one space, but the pre-tokenizer drops white space as such and ends
+    pre-tokens there in any case. Texts that are not composed, or have characters beyond the
+    basic plane, whose composition may be newer than this Python's, take all steps.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers
+
+        def loaded():
+            t = Tokenizer.from_file(path)
+            t.no_truncation()
+            t.no_padding()
+            return t
+
+        self.whole = self.short = loaded()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        drops = first.get("pattern") == {"Regex": _PRETOKENS} and first.get("behavior") == "Removed" and first.get("invert")
+        if drops and (spec.get("normalizer") or {}).get("normalizers") == _STEPS and not any(t["normalized"] for t in spec["added_tokens"]):
+            self.short = loaded()
+            self.short.normalizer = normalizers.Lowercase()
+
+    def of(self, text: str):
+        """The tokenizer that a text takes."""
+        return self.short if text.isascii() or unicodedata.is_normalized("NFC", text) and not _WIDE.search(text) else self.whole
+
+
 class Piece:
     """The encoding of text[start:stop]; tokens from `first` on count."""
 
@@ -107,18 +150,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer_path)
-        t.no_truncation()
-        t.no_padding()
+        tokenizer = WordTokenizer(tokenizer_path)
         for b in batches:
             texts = b.column("text").to_pylist()
-            one = iter(t.encode_batch_fast([x for x in texts if len(x) <= chunk], add_special_tokens=False))  # one chunk: no offsets needed
-            n = [len(next(one)) if len(x) <= chunk else sum(stop - piece.first for piece, stop in spliced(t, x, chunk, overlap)) for x in texts]
-            yield batch_of({"doc_id": b.column("doc_id"), "n_bytes": [len(x.encode()) for x in texts], "n_tokens": n, "over_limit": [k > limit for k in n]}, schema)
+            n = [0] * len(texts)
+            for t in {id(t): t for t in (tokenizer.short, tokenizer.whole)}.values():
+                own = [i for i, x in enumerate(texts) if tokenizer.of(x) is t]
+                one = [i for i in own if len(texts[i]) <= chunk]  # one chunk: no offsets needed
+                for i, e in zip(one, t.encode_batch_fast([texts[i] for i in one], add_special_tokens=False)):
+                    n[i] = len(e)
+                for i in own:
+                    if len(texts[i]) > chunk:
+                        n[i] = sum(stop - piece.first for piece, stop in spliced(t, texts[i], chunk, overlap))
+            size = pc.binary_length(b.column("text").cast(pa.binary()))
+            yield batch_of({"doc_id": b.column("doc_id"), "n_bytes": size, "n_tokens": n, "over_limit": [k > limit for k in n]}, schema)
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
