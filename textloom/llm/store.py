@@ -30,7 +30,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,16 +174,18 @@ def _encode(tokenizer_path: str):
 
 
 def _once(batches):
-    """Drops chunks that follow an equal one: several tasks have sent them. Rows come sorted by digest."""
-    last = None
+    """Drops chunks that another task has sent to this partition already.
+
+    It remembers the digests of a partition, whose size is bounded: partitions follow the input's size.
+    """
+    seen: set[bytes] = set()
     for b in batches:
-        if not b.num_rows:
-            continue
-        key = b.column("digest")
-        before = pa.concat_arrays([pa.array([last], pa.binary()), key.slice(0, b.num_rows - 1)])
-        again = pc.and_(pc.fill_null(pc.equal(key, before), False), pc.equal(b.column("kind"), "chunk"))
-        last = key[-1].as_py()
-        yield b.filter(pc.invert(again))
+        keep = []
+        for kind, key in zip(b.column("kind").to_pylist(), b.column("digest").to_pylist()):
+            keep.append(kind != "chunk" or key not in seen)
+            if kind == "chunk":
+                seen.add(key)
+        yield b.filter(pa.array(keep, pa.bool_()))
 
 
 _RECIPE = pa.schema([("part", pa.int32()), ("page", pa.int64()), ("doc_id", pa.int64()), ("row_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("steps", pa.binary()), ("root", pa.binary())])
@@ -230,8 +231,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, i
     rows = id_text(docs, id_col, text_col)
     n = partitions_for(rows)
     entries = rows.mapInArrow(_encode(tokenizer_path), _ENTRY_DDL)
-    sorted_ = entries.repartition(n, "deal").sortWithinPartitions("deal", "digest")
-    sorted_.mapInArrow(_once, _ENTRY_DDL).drop("deal").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/entries")
+    entries.repartition(n, "deal").mapInArrow(_once, _ENTRY_DDL).drop("deal").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/entries")
     made = spark.read.schema("digest binary, n_ids long, payload binary, doc_id long, row_id long, kind string").parquet(f"{path}/entries").where("kind = 'recipe'")
     parts = max(1, n // 4)
     ordered = made.select("doc_id", "row_id", F.col("n_ids").alias("n_tokens"), F.col("digest").alias("steps"), F.col("payload").alias("root")).repartitionByRange(parts, "doc_id", "row_id").sortWithinPartitions("doc_id", "row_id")
