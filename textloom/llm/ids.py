@@ -23,7 +23,7 @@ import numpy as np
 #: Blocks with settled Unicode classes: ASCII, Latin, Cyrillic letters, kana, common ideographs.
 _SETTLED = [(0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F), (0x400, 0x481), (0x48A, 0x4FF), (0x2013, 0x201D), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5)]
 #: Bytes of text that are split in one go; entries of the table (a power of two) and ids it may point to.
-GO, SLOTS, POOL = 1 << 22, 1 << 21, 1 << 23
+GO, SLOTS, POOL = 1 << 19, 1 << 21, 1 << 23
 #: Pre-tokens of more bytes are not kept.
 LONGEST = 256
 _END, _SPACE, _LETTER, _NUMBER, _OTHER = range(5)
@@ -154,7 +154,7 @@ class ByteBpe:
 
     def _block(self, raw: bytes) -> list[np.ndarray]:
         """Ids of each of the texts in a buffer, each ended by a zero byte."""
-        if self.used > POOL - GO:
+        if self.used > POOL // 2:
             self._forget()
         starts, ends = self.split(raw)
         sizes = np.diff(np.append(starts, len(raw)))
