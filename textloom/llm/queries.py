@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, jaccard, media, packing, pieces, pii, store, suffix, tokens, toxicity
+from textloom.llm import ann, jaccard, media, packing, pieces, pii, resample, store, suffix, tokens, toxicity
 from textloom.llm.common import documents, materialise
 
 
@@ -63,7 +63,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op8_suffix_dedup, op9_pii_pseudonyms, op10_jaccard_join)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The crc32 of a text `w` as DuckDB computes it, with a table `crc` of one row.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n::UBIGINT] || [k::UBIGINT FOR k IN range(8)], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS tab)"
+_BYTES = "list_transform(range(length(hex({0})) // 2), lambda i: (16 * (instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 2, 1)) - 1)::UBIGINT)"
+_CRC = "xor(list_reduce([4294967295::UBIGINT] || " + _BYTES + ", lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"
+
+
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op8_suffix_dedup, op9_pii_pseudonyms, op10_jaccard_join, op13_importance_resampling)}
 #: Only the join has SQL; the others need a library, a trained model, bytes or a keyed permutation,
 #: and are held against brute force, exact round trips and held-out labels in tests/llm.
 ORACLES: dict[str, str] = {
@@ -78,4 +88,18 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
   part AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1), k AS (SELECT a AS doc_id, count(*) AS k FROM both_ways GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, p.component_id, coalesce(k.k, 0) AS n_links
 FROM documents d JOIN part p USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op13_importance_resampling": f"""
+WITH {_CRC_TABLE},
+  d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents),
+  t AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+  words AS (SELECT DISTINCT w FROM d UNION SELECT DISTINCT w FROM t),
+  hashed AS (SELECT w, ({_CRC.format('w')} % 10000)::BIGINT AS bucket FROM words, crc),
+  s AS (SELECT bucket, count(*) AS s FROM d JOIN hashed USING (w) GROUP BY 1), tt AS (SELECT bucket, count(*) AS t FROM t JOIN hashed USING (w) GROUP BY 1),
+  n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM tt)::DOUBLE AS t_all),
+  g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN tt USING (bucket), n),
+  f AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM d JOIN hashed USING (w) JOIN g USING (bucket) GROUP BY 1),
+  scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN f USING (doc_id)),
+  placed AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM placed""",
 }
