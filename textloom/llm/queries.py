@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, jaccard, media, packing, pieces, pii, resample, store, suffix, tokens, toxicity
+from textloom.llm import ann, jaccard, media, packing, pieces, pii, repair, resample, store, suffix, tokens, toxicity
 from textloom.llm.common import documents, materialise
 
 
@@ -63,6 +63,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audits(repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -73,7 +77,7 @@ _BYTES = "list_transform(range(length(hex({0})) // 2), lambda i: (16 * (instr('0
 _CRC = "xor(list_reduce([4294967295::UBIGINT] || " + _BYTES + ", lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op8_suffix_dedup, op9_pii_pseudonyms, op10_jaccard_join, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op8_suffix_dedup, op9_pii_pseudonyms, op10_jaccard_join, op12_conversation_repair, op13_importance_resampling)}
 #: Only the join has SQL; the others need a library, a trained model, bytes or a keyed permutation,
 #: and are held against brute force, exact round trips and held-out labels in tests/llm.
 ORACLES: dict[str, str] = {
@@ -102,4 +106,31 @@ WITH {_CRC_TABLE},
     coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN f USING (doc_id)),
   placed AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM placed""",
+    "op12_conversation_repair": f"""
+WITH RECURSIVE {_CRC_TABLE},
+  c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+  way AS (SELECT k, {_CRC.format('k')} % 20 AS way FROM (SELECT DISTINCT k FROM c), crc),
+  damaged AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE way WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c JOIN way USING (k)),
+  r AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, substr(role, 1, 1) AS ch, substr(lag(role) OVER w, 1, 1) AS before, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+  f AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
+  g(st, ch, nx) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+  ins(st, n, mid) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+  given AS (SELECT *, CASE WHEN n = 0 THEN []::VARCHAR[] WHEN st = 2 THEN ['assistant:', 'user:'][:n] ELSE ['user:', 'assistant:'][:n] END AS made FROM ins),
+  arcs AS (SELECT given.st, given.n, given.mid, given.made, e.op, CASE given.mid WHEN 2 THEN 'assistant' ELSE 'user' END AS written FROM given, (VALUES ('K'), ('R'), ('D')) e(op)),
+  paths(conv_id, i, st, best) AS (
+    SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': '', 'parts': []::VARCHAR[]}} FROM conversations
+    UNION ALL
+    SELECT conv_id, i, st, min(best) FROM (
+      SELECT p.conv_id, f.i, CASE a.op WHEN 'D' THEN a.mid WHEN 'K' THEN g.nx WHEN 'R' THEN CASE a.mid WHEN 2 THEN 3 ELSE 2 END END AS st,
+        {{'cost': p.best.cost + 2 * a.n + CASE a.op WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN a.op <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': p.best.audit || repeat('I', a.n) || a.op,
+          'parts': p.best.parts || a.made || CASE a.op WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [a.written || ':' || f.text] END}} AS best
+      FROM paths p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN arcs a ON a.st = p.st LEFT JOIN g ON g.st = a.mid AND g.ch = f.ch
+      WHERE a.op = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (a.op = 'R' OR g.nx IS NOT NULL))) GROUP BY ALL),
+  n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || ch NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY 1),
+  done AS (SELECT p.conv_id, min({{'cost': best.cost + 2 * given.n, 'audit': best.audit || repeat('I', given.n), 'parts': best.parts || given.made}}) AS best
+    FROM paths p LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id JOIN given ON given.st = p.st AND given.mid IN (0, 3) WHERE p.i = coalesce(n.n, 0) GROUP BY 1)
+SELECT done.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.cost AS cost, best.audit AS audit, sha256(array_to_string(best.parts, chr(10))) AS repaired_sha256 FROM done LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM done.conv_id""",
 }
