@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, jaccard, media, packing, pieces, pii, repair, resample, store, suffix, tokens, toxicity
+from textloom.llm import ann, jaccard, media, packing, pieces, pii, repair, resample, secret_scan, store, suffix, tokens, toxicity
 from textloom.llm.common import documents, materialise
 
 
@@ -63,6 +63,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
 
 
+def op11_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("repository", F.concat_ws("/", "source", "lang"))  # an owner's texts of one language
+    return secret_scan.digests(secret_scan.find_secrets(docs, "source", "repository"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audits(repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -75,9 +80,11 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n::UBIGINT] || [k::UBIGINT FOR k IN range(8)], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS tab)"
 _BYTES = "list_transform(range(length(hex({0})) // 2), lambda i: (16 * (instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 2, 1)) - 1)::UBIGINT)"
 _CRC = "xor(list_reduce([4294967295::UBIGINT] || " + _BYTES + ", lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"
+#: Rules of secrets without look-behind: a run of hex digits begins at its first anyway. Tokens are candidates only.
+_RULES_SQL = ", ".join(f"({k}, '{kind}', '{p.replace('(?<![0-9a-f])', '').replace(chr(39), chr(39) * 2)}', {g}, {least})" for k, (kind, (p, g, least)) in enumerate([*secret_scan.RULES.items(), ("token", (secret_scan.TOKEN.split(")", 1)[1], 0, 16))]))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op8_suffix_dedup, op9_pii_pseudonyms, op10_jaccard_join, op12_conversation_repair, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op8_suffix_dedup, op9_pii_pseudonyms, op10_jaccard_join, op11_secret_owners, op12_conversation_repair, op13_importance_resampling)}
 #: Only the join has SQL; the others need a library, a trained model, bytes or a keyed permutation,
 #: and are held against brute force, exact round trips and held-out labels in tests/llm.
 ORACLES: dict[str, str] = {
@@ -133,4 +140,18 @@ WITH RECURSIVE {_CRC_TABLE},
     FROM paths p LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id JOIN given ON given.st = p.st AND given.mid IN (0, 3) WHERE p.i = coalesce(n.n, 0) GROUP BY 1)
 SELECT done.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
   best.cost AS cost, best.audit AS audit, sha256(array_to_string(best.parts, chr(10))) AS repaired_sha256 FROM done LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM done.conv_id""",
+    "op11_secret_owners": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS text FROM documents),
+  m AS (SELECT r, k, kind, regexp_extract_all(text, p, 0) AS hits, regexp_extract_all(text, p, g) AS vals, list_transform(regexp_split_to_array(text, p), lambda x: length(x)) AS gaps, least_ FROM d, (VALUES {_RULES_SQL}) p(k, kind, p, g, least_) WHERE regexp_matches(text, p)),
+  f AS (SELECT r, k, kind, hit, val, least_, (list_sum(gaps[:i]) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM (SELECT *, unnest(hits) AS hit, unnest(vals) AS val, generate_subscripts(hits, 1) AS i FROM m)),
+  found AS (SELECT r, k, kind, a, a + length(hit) AS b, val FROM f WHERE length(val) >= least_),
+  cand AS (SELECT DISTINCT r, b - length(val) AS a, b, val FROM found WHERE kind IN ('assign', 'token') AND len(regexp_extract_all(val, '{secret_scan.MIXED}')) >= {secret_scan.LEAST_MIXED} AND len(list_distinct(string_split(val, ''))) >= {secret_scan.LEAST_DISTINCT}),
+  held AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM cand JOIN d USING (r) GROUP BY 1),
+  told AS (SELECT r, a, b, owners > {secret_scan.MOST_OWNERS} OR repositories > {secret_scan.MOST_REPOSITORIES} AS copied FROM cand JOIN held USING (val)),
+  spans AS (SELECT r, a, k, kind, b FROM found WHERE kind <> 'token' UNION ALL SELECT r, a, 3, 'live', b FROM told WHERE NOT copied),
+  s AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'live') AS n_live,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) FILTER (kind <> 'live') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS spans FROM spans GROUP BY 1),
+  c AS (SELECT r, count(*) FILTER (copied) AS n_copied FROM told GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN s USING (r) LEFT JOIN c USING (r)""",
 }
