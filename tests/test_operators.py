@@ -205,6 +205,33 @@ def test_greedy_acceptance_is_the_plain_walk(spark):
     assert got == want
 
 
+def test_independent_set_over_many_ranges(spark):
+    """Chains, stars and random edges of one large group and some small ones, against one walk in order."""
+    import random
+
+    rng = random.Random(5)
+    edges = {("chain", i, i + 1) for i in range(400)} | {("star", 0, i) for i in range(1, 300)} | {("back", i, 299) for i in range(299)}
+    edges |= {("mixed", *sorted(rng.sample(range(600), 2))) for _ in range(900)} | {(f"g{rng.randint(0, 20)}", *sorted(rng.sample(range(9), 2))) for _ in range(80)}
+    df = spark.createDataFrame([(g, (a, a), (b, b)) for g, a, b in edges], "g string, a struct<o:long,id:long>, b struct<o:long,id:long>")
+    got = {(r.g, r.b): r.accepted for r in dedupe.first_independent(df, 700).collect()}
+    assert got == {(r.g, r.b): r.accepted for r in dedupe.first_independent(df).collect()}
+    before, want = {}, {}
+    for g, a, b in edges:
+        before.setdefault((g, b), []).append(a)
+    for g, b in sorted(before):
+        want[g, b] = not any(want.get((g, a), True) for a in before[g, b])
+    assert got == want
+
+
+def test_greedy_acceptance_of_odd_rows(spark):
+    rows = [(None, 1, "mcq", ["a", "b"], None), (None, 2, "mcq", ["b", "a"], False), (None, 2, None, ["a"], False), ("g", 1, "mcq", [], False), ("g", 2, "mcq", [], False), ("g", 3, "essay", [], False), ("g", 4, "mcq", ["a"], True), ("g", 5, "mcq", ["a"], False), ("g", 6, "mcq", ["a"], False)]
+    df = spark.createDataFrame(rows, "g string, o int, q string, t array<string>, f boolean").withColumn("k", F.array_join("t", " "))
+    judge = lambda d: dedupe.accept_greedily(d, "g", "o", F.col("q"), F.col("k"), F.create_map(F.lit("mcq"), "t", F.lit("essay"), "t"), F.col("f"), 0.35)
+    got = {(r.g, r.o, r.q): r.verdict for r in judge(df).collect()}
+    assert got == {(None, 1, "mcq"): "accepted", (None, 2, "mcq"): "near_duplicate", (None, 2, None): "accepted", ("g", 1, "mcq"): "accepted", ("g", 2, "mcq"): "duplicate", ("g", 3, "essay"): "accepted", ("g", 4, "mcq"): "forbidden", ("g", 5, "mcq"): "accepted", ("g", 6, "mcq"): "duplicate"}
+    assert judge(df).columns == [*df.columns, "verdict"] and judge(df.limit(0)).count() == 0
+
+
 def test_ids_continue(spark):
     rows = spark.createDataFrame([(1, "mcq", 0, "model1_mcq_4"), (1, "mcq", 1, None), (1, "mcq", 2, ""), (1, "essay", 0, None)], "model_number int, qtype string, o int, question_id string")
     got = {(r.qtype, r.o): r.question_id for r in review.assign_ids(rows, "o").collect()}

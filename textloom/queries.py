@@ -374,11 +374,35 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
-@query()  # each verdict depends on the rows accepted before it: tested against a plain version
+_PLAIN = "list_filter(string_split_regex(lower(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+_FORBIDDEN = "(" + " OR ".join(f"contains(lower(text), '{p}')" for p in X.FORBIDDEN_PHRASES) + ")"
+
+
+def _greedy_sql(source: str) -> str:
+    """Rows (g, at, q, text) judged one after another: what was accepted so far is the state of a recursion."""
+    return f"""RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY "at") AS i, {_FORBIDDEN} AS f, array_to_string({_PLAIN.format('text')}, ' ') AS k, list_distinct(list_filter({_PLAIN.format('text')}, lambda w: w NOT IN ({_STOP}))) AS w FROM ({source})),
+  n AS (SELECT *, NOT f AND row_number() OVER (PARTITION BY g, q, k, f ORDER BY "at") > 1 AS again FROM o),
+  r AS (SELECT g, 0::BIGINT AS i, []::STRUCT(q VARCHAR, w VARCHAR[])[] AS taken, '' AS verdict FROM (SELECT DISTINCT g FROM o)
+    UNION ALL SELECT g, i, CASE WHEN v = 'accepted' THEN list_append(taken, {{'q': q, 'w': w}}) ELSE taken END, v FROM (
+      SELECT n.*, r.taken, CASE WHEN f THEN 'forbidden' WHEN again THEN 'duplicate' WHEN len(list_filter(r.taken, lambda t: t.q = n.q AND len(t.w) > 0 AND len(n.w) > 0 AND len(list_intersect(t.w, n.w)) / len(list_distinct(t.w || n.w)) >= {DEFAULTS.near_duplicate})) > 0 THEN 'near_duplicate' ELSE 'accepted' END AS v
+      FROM r JOIN n ON n.g = r.g AND n.i = r.i + 1))"""
+
+
+def _greedy(rows: DataFrame, group: str, order: str, qtype) -> DataFrame:
+    rows = rows.withColumn("key", F.array_join(Q.plain_tokens(F.col("text")), " ")).withColumn("tokens", Q.signal_tokens(F.col("text")))
+    return dedupe.accept_greedily(rows, group, order, qtype, F.col("key"), F.create_map(qtype, "tokens"), Q.has_forbidden_phrase(F.col("text")), DEFAULTS.near_duplicate)
+
+
+@query(f"""WITH {_greedy_sql('SELECT conv_id AS g, turn AS "at", role AS q, text FROM conversations')} SELECT o.g AS conv_id, o."at" AS turn, r.verdict FROM r JOIN o ON o.g = r.g AND o.i = r.i""")
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").withColumn("key", F.array_join(Q.plain_tokens(F.col("text")), " ")).withColumn("tokens", Q.signal_tokens(F.col("text")))
-    out = dedupe.accept_greedily(rows, "conv_id", "turn", F.col("role"), F.col("key"), F.create_map("role", "tokens"), Q.has_forbidden_phrase(F.col("text")), DEFAULTS.near_duplicate)
-    return out.select("conv_id", "turn", "verdict")
+    return _greedy(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role")).select("conv_id", "turn", "verdict")
+
+
+@query(f"""WITH {_greedy_sql('SELECT source AS g, doc_id AS "at", lang AS q, string_split(text, chr(10))[1] AS text FROM documents')} SELECT o."at" AS doc_id, r.verdict FROM r JOIN o ON o.g = r.g AND o.i = r.i""")
+def greedy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of all documents, as questions of the request that their source is; a source may hold a third of them."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.split("text", "\n")[0].alias("text"))
+    return _greedy(lines, "source", "doc_id", F.col("lang")).select("doc_id", "verdict")
 
 
 _PHRASES = [p.title() + " it is so" for p in X.FORBIDDEN_PHRASES] + ["As a discussion", "Nothing here"]
