@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed as X
+from textloom.functions.kernels import border
 
 
 def rx(pattern: str, ignore_case: bool = False) -> str:
@@ -221,13 +223,13 @@ def is_meaningful(c: Column) -> Column:
 
 
 def word_overlap(a: Column, b: Column) -> Column:
-    """Largest k for which the last k words of a are the first k of b."""
+    """Largest k for which the last k words of a are the first k of b; null if either is null. Linear in their words."""
 
-    def longest(x: Column, y: Column) -> Column:
-        same = lambda k: (k > 0) & (F.slice(x, F.size(x) - k + 1, F.greatest(k, F.lit(1))) == F.slice(y, F.lit(1), F.greatest(k, F.lit(1))))
-        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.size(x), F.size(y))), same)), F.lit(0))
+    @F.arrow_udf("int")
+    def shared(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if s is None or t is None else border(s.split(), t.split()) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.int32())
 
-    return let(words(a), lambda x: let(words(b), lambda y: longest(x, y)))
+    return shared(a, b)
 
 
 def prepare_sentences(c: Column) -> Column:

@@ -18,7 +18,3 @@ def cosine(a: Column, b: Column) -> Column:
     """0 for missing, empty, unequal or zero vectors."""
     ok = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm(a) > 0) & (norm(b) > 0)
     return F.coalesce(F.when(ok, dot(a, b) / (norm(a) * norm(b))), F.lit(0.0))
-
-
-def running_mean(mean: Column, n: Column, x: Column) -> Column:
-    return F.zip_with(mean, x, lambda a, b: (a * n + b.cast("double")) / (n + 1))

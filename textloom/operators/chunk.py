@@ -1,21 +1,24 @@
 """Two-level chunks: parents by similarity and size, children by packed sentences.
 
 Set-oriented steps are windows over (document, order); greedy steps, whose next
-move depends on what was gathered, are folds over the ordered sentences of one
-parent, which the parent's size limit bounds. Ids are hashes of the document, the
+move depends on what was gathered, are Arrow functions over the ordered sentences of
+one parent, which the parent's size limit bounds. Ids are hashes of the document, the
 level and the place, so a repeated task makes the same ids.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.config import DEFAULTS, Settings
+from textloom.functions import kernels as K
 from textloom.functions import text as T
-from textloom.functions.vectors import cosine, running_mean
+from textloom.functions.vectors import cosine
 
 
 def chunk_id(document: Column, level: str, *places: Column) -> Column:
@@ -102,87 +105,87 @@ def parents_of(groups: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def pack_similar(sentences: Column, vectors: Column, most: int, threshold: float) -> Column:
     """Packs sentences while the size allows and the running mean of vectors stays similar."""
-    both = F.arrays_zip(sentences.alias("t"), vectors.alias("v"))
 
-    def step(s: Column, x: Column) -> Column:
-        def add(v: Column) -> Column:
-            row = lambda out, cur, mean, n, words: F.struct(out.alias("out"), cur.alias("cur"), mean.alias("mean"), n.alias("n"), words.alias("words"))
-            own = T.count_words(x["t"])
-            close = (s["words"] + own > most) | (cosine(s["mean"], v) < threshold)
-            return (
-                F.when(s["n"] == 0, row(s["out"], x["t"], v, F.lit(1), own))
-                .when(close, row(F.concat(s["out"], F.array(s["cur"])), x["t"], v, F.lit(1), own))
-                .otherwise(row(s["out"], F.concat(s["cur"], F.lit(" "), x["t"]), running_mean(s["mean"], s["n"], v), s["n"] + 1, s["words"] + own))
-            )
+    @F.arrow_udf("array<string>")
+    def packed(s: pa.Array, v: pa.Array) -> pa.Array:
+        return _cut(s, v, most, threshold)
+
+    return packed(sentences, vectors.cast("array<array<double>>"))
 
-        return T.let(F.transform(x["v"], lambda e: e.cast("double")), add)
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.array().cast("array<double>").alias("mean"), F.lit(0).alias("n"), F.lit(0).alias("words"))
-    return F.aggregate(both, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
+def _cut(s: pa.Array, v: pa.Array, most: int, threshold: float, after=lambda groups: groups) -> pa.Array:
+    """What `after` makes of the packed texts of rows (sentences, vectors)."""
+    none, out = np.zeros(0), []
+    for texts, vectors in zip(s.to_pylist(), K.rows_of_vectors(v)):
+        some = (vectors or [])[: len(texts or [])]
+        out.append(None if texts is None else after(K.pack_similar([x or "" for x in texts], [*some, *[none] * (len(texts) - len(some))], most, threshold)))
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def _over_lists(f, rows: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else f([s or "" for s in r]) for r in rows.to_pylist()], pa.list_(pa.string()))
 
 
 def pack_by_embedder(parents: DataFrame, embed, settings: Settings = DEFAULTS) -> DataFrame:
     """Adds `packed` to parents with `sentences`, where there are no vectors: what was gathered so far and the
-    next sentence are embedded at each step. For the few parents whose vectors are missing or do not fit."""
-    def close(a: list[float], b: list[float]) -> bool:
-        x, y = np.asarray(a, float), np.asarray(b, float)
-        size = np.sqrt((x * x).sum() * (y * y).sum())
-        return bool(size > 0 and (x * y).sum() / size >= settings.child_similarity)
-
-    def fold(sentences) -> list[str]:
-        out: list[str] = []
-        for s in sentences if sentences is not None else []:
-            fits = out and len(out[-1].split()) + len(s.split()) <= settings.child_max_words
-            if fits and close(*embed([out[-1], s])):
-                out[-1] = f"{out[-1]} {s}"
-            else:
-                out.append(s)
-        return out
-
-    @F.pandas_udf("array<string>")
-    def packed(batch: pd.Series) -> pd.Series:
-        return batch.map(fold)
+    next sentence are embedded at each step. For the few parents whose vectors are missing or do not fit.
+
+    The parents of a batch go ahead together: a step asks once for the texts that any of
+    them needs and that have no vector yet.
+    """
+
+    def walk(rows: list[list[str]]) -> list[list[str]]:
+        out: list[list[str]] = [[] for _ in rows]
+        at, known = [0] * len(rows), {}
+        while True:
+            open_ = []
+            for i, sentences in enumerate(rows):
+                while at[i] < len(sentences):
+                    s = sentences[at[i]]
+                    if out[i] and len(out[i][-1].split()) + len(s.split()) <= settings.child_max_words:
+                        open_.append(i)
+                        break
+                    out[i].append(s)
+                    at[i] += 1
+            if not open_:
+                return out
+            asked = list(dict.fromkeys(t for i in open_ for t in (out[i][-1], rows[i][at[i]]) if t not in known))
+            known.update(zip(asked, (np.asarray(v, float) for v in embed(asked)) if asked else ()))
+            for i in open_:
+                s = rows[i][at[i]]
+                if K.similar(known[out[i][-1]], known[s], settings.child_similarity):
+                    out[i][-1] = f"{out[i][-1]} {s}"
+                else:
+                    out[i].append(s)
+                at[i] += 1
+            held = {out[i][-1] for i in open_}  # a text that grew is not met again
+            known = {t: v for t, v in known.items() if t in held}
+
+    @F.arrow_udf("array<string>")
+    def packed(sentences: pa.Array) -> pa.Array:
+        return pa.array(walk([[s or "" for s in r or []] for r in sentences.to_pylist()]), pa.list_(pa.string()))
 
     return parents.withColumn("packed", packed("sentences"))
 
 
 def floor_small(groups: Column, settings: Settings = DEFAULTS) -> Column:
     """Drops meaningless fragments and merges short groups backwards, within the size limit."""
-    most = settings.child_max_words
-    tokens = lambda c: T.count_tokens(c, settings.words_per_token)
-
-    def step(out: Column, g: Column) -> Column:
-        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
 
-        def place(n: Column) -> Column:
-            held = (n / F.lit(settings.words_per_token)).cast("int")
-            merge = (F.size(out) > 0) & (held <= settings.child_merge_tokens) & (T.count_words(last) + n <= most)
-            joined = T.strip(F.concat(last, F.lit(" "), g))
-            gone = (held <= settings.child_drop_tokens) & ~T.is_meaningful(g)
-            return F.when(gone, out).when(merge, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(g)))
+    @F.arrow_udf("array<string>")
+    def kept(rows: pa.Array) -> pa.Array:
+        return _over_lists(lambda g: K.floor_small(g, settings), rows)
 
-        return T.let(T.count_words(g), place)
-
-    def head(out: Column) -> Column:
-        first, second = F.coalesce(F.try_element_at(out, F.lit(1)), F.lit("")), F.coalesce(F.try_element_at(out, F.lit(2)), F.lit(""))
-        fold = (F.size(out) >= 2) & (tokens(first) <= settings.child_merge_tokens) & (T.count_words(first) + T.count_words(second) <= most)
-        return F.when(fold, F.concat(F.array(T.strip(F.concat(first, F.lit(" "), second))), F.slice(out, F.lit(3), F.size(out)))).otherwise(out)
-
-    return F.aggregate(groups, F.array().cast("array<string>"), step, head)
+    return kept(groups)
 
 
 def overlap(bodies: Column, settings: Settings = DEFAULTS) -> Column:
     """Every body starts with the last sentence of the one before, if it fits and is not in it."""
 
-    def step(out: Column, b: Column) -> Column:
-        def carry(last: Column) -> Column:
-            joined = T.strip(F.concat(last, F.lit(" "), b))
-            add = (last != "") & ~b.contains(last) & (T.count_words(joined) <= settings.child_max_words)
-            return F.concat(out, F.array(F.when(add, joined).otherwise(b)))
-
-        return T.let(T.last_sentence(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))), carry)
+    @F.arrow_udf("array<string>")
+    def lapped(rows: pa.Array) -> pa.Array:
+        return _over_lists(lambda b: K.overlapped(b, settings), rows)
 
-    return F.aggregate(F.filter(F.transform(bodies, T.strip), lambda b: b != ""), F.array().cast("array<string>"), step)
+    return lapped(bodies)
 
 
 def dispatch_pages(bodies: Column, start: Column, end: Column) -> Column:
@@ -210,10 +213,21 @@ def children_of(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
     A parent that is mostly numbered questions is one child as it is.
     """
-    whole = T.is_question_text(F.col("content"), settings.question_share)
-    packed = F.col("packed") if "packed" in parents.columns else pack_similar(F.col("sentences"), F.col("vectors"), settings.child_max_words, settings.child_similarity)
-    asked = parents.withColumn("whole", whole)
-    bodies = F.when(F.col("whole"), F.array(T.strip(F.col("content")))).otherwise(overlap(floor_small(packed, settings), settings))
+    own = ["document_id", "parent_id", "parent_order", "page_start", "page_end", "content", "whole"]
+    ready = parents.withColumn("whole", T.is_question_text(F.col("content"), settings.question_share))
+    given = [F.col("packed")] if "packed" in parents.columns else [F.col("sentences"), F.col("vectors").cast("array<array<double>>").alias("vectors")]
+    ready = ready.select(*own, *given)
+    made = lambda groups: K.overlapped(K.floor_small(groups, settings), settings)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.columns[len(own) :]
+            done = _over_lists(made, rest[0]) if len(rest) == 1 else _cut(*rest, settings.child_max_words, settings.child_similarity, made)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], done], names=[*own, "cut"])
+
+    kinds = dict(ready.dtypes)
+    asked = ready.mapInArrow(cut, ", ".join(f"{c} {kinds[c]}" for c in own) + ", cut array<string>")
+    bodies = F.when(F.col("whole"), F.array(T.strip(F.col("content")))).otherwise(F.col("cut"))
     rows = asked.withColumn("bodies", bodies).withColumn("ranges", dispatch_pages(F.col("bodies"), F.col("page_start"), F.col("page_end")))
     span = F.struct(F.col("page_start").alias("page_start"), F.col("page_end").alias("page_end"))
     out = rows.select("document_id", "parent_id", "parent_order", "whole", span.alias("span"), F.posexplode(F.arrays_zip("bodies", "ranges")).alias("child_order", "c"))

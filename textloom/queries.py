@@ -240,22 +240,86 @@ def chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parents and children of every document."""
     parents = chunk.parents_of(_lines(spark, sf_dir))
     dealt = parents.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "parent_id")  # a count of our own: the fold outweighs its rows
-    ready = dealt.withColumn("sentences", T.prepare_sentences(F.col("content"))).withColumn("vectors", F.transform("sentences", bag_vector))
+    ready = dealt.withColumn("sentences", T.prepare_sentences(F.col("content"))).withColumn("vectors", F.transform("sentences", lambda s: bag_vector(s)))
     return parents, chunk.children_of(ready)
 
 
-@query()  # a fold whose steps depend on earlier output: tested against a plain version
+def _sentences_sql(name: str, source: str) -> str:
+    """CTEs that end in `name` (k, g, s): the sentences of rows (k, t), numbered."""
+    return f"""{name}_cuts AS (SELECT k, string_split(regexp_replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), '([.!?])\\s+([A-Z0-9"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM ({source})),
+  {name}_parts AS (SELECT k, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM {name}_cuts),
+  {name}_glued AS (SELECT *, CASE WHEN lower(regexp_replace(regexp_extract(lag(s) OVER (PARTITION BY k ORDER BY i), '[^ ]+$'), '\\.+$', '')) IN ({_ABBR}) THEN 0 ELSE 1 END AS brk FROM {name}_parts WHERE s <> ''),
+  {name} AS (SELECT k, g, string_agg(s, ' ' ORDER BY i) AS s FROM (SELECT *, sum(brk) OVER (PARTITION BY k ORDER BY i) AS g FROM {name}_glued) GROUP BY ALL)"""
+
+
+_HELD = f"floor({{0}} / {DEFAULTS.words_per_token})"
+_SQL = lambda p: p.replace("'", "''")
+_LOW = f"lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) NOT IN ({', '.join(repr(w) for w in X.FUNCTION_WORDS)})"
+_N_CONTENT = f"len(list_filter({_WORDS.format('{0}')}, lambda w: {_LOW}))"
+_LAST_SENTENCE = f"string_split(list_reduce(string_split(regexp_replace({{0}}, '([.!?])\\s+([A-Z0-9\"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda a, x: CASE WHEN lower(regexp_replace(regexp_extract(a, '[^ ]+$'), '\\.+$', '')) IN ({_ABBR}) THEN a || ' ' || x ELSE a || chr(2) || x END), chr(2))[-1]"
+_UNMARKED = f"regexp_replace(regexp_replace(content, '{_SQL(X.BULLET).replace('(?=', '(')}', '\\1\\2', 'g'), '(^|\\D)\\d{{1,2}}\\s*[.)]\\s+', '\\1', 'g')"
+_CHILDREN = f"""{_LINES}, {_MERGED},
+  {_sentences_sql('whole_s', "SELECT document_id || '/' || parent_order AS k, content AS t FROM merged")},
+  pieces AS (SELECT document_id || '/' || m.parent_order AS k, CASE WHEN {_words('content')} > {DEFAULTS.parent_max_words} THEN string_split(list_reduce(list(s.s ORDER BY g), lambda a, x: CASE WHEN {_words("string_split(a, chr(2))[-1]")} + {_words('x')} > {DEFAULTS.parent_max_words} THEN a || chr(2) || x ELSE a || ' ' || x END), chr(2)) ELSE [content] END AS p
+    FROM merged m JOIN whole_s s ON s.k = document_id || '/' || m.parent_order GROUP BY document_id, m.parent_order, content),
+  asked AS (SELECT k, count(*) FILTER (regexp_matches(s, '^\\d{{1,2}}\\s*[.)]\\s+') AND s LIKE '%?') >= {DEFAULTS.question_share} * count(*) AS whole FROM whole_s GROUP BY 1),
+  cut AS (SELECT m.document_id, m.parent_order AS po, m.page_start, m.page_end, unnest(p) AS content, generate_subscripts(p, 1) - 1 AS piece, whole FROM merged m JOIN pieces ON pieces.k = m.document_id || '/' || m.parent_order JOIN asked ON asked.k = m.document_id || '/' || m.parent_order),
+  parents AS (SELECT *, sha256(document_id || '/parent/' || po || '/' || piece) AS parent_id, row_number() OVER (PARTITION BY document_id ORDER BY po, piece) - 1 AS ordinal FROM cut),
+  {_sentences_sql('child_s', f"SELECT parent_id AS k, {_UNMARKED} AS t FROM parents WHERE NOT whole")},
+  sound AS (SELECT *, regexp_replace(lower(s), '[^a-z0-9]', '', 'g') AS key FROM child_s WHERE NOT (regexp_matches(s, '^[A-Za-z]\\s+[A-Z]') OR {_words('s')} < 2 OR regexp_matches(s, '(?i){_SQL(X.JUNK_LABEL)}') OR regexp_matches(s, '(?i){_SQL(X.ORPHAN_TAIL).replace(chr(92) + 'w', chr(92) + 'p{L}' + chr(92) + 'p{N}_')}') OR {_N_CONTENT.format('s')} = 0)),
+  fresh AS (SELECT *, lag(key) OVER (PARTITION BY k ORDER BY g) IS NOT DISTINCT FROM key AS again FROM sound),
+  st AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY g) AS i, {_words('s')} AS own, list_transform(range(1, 9), lambda d: len(list_filter({_WORDS.format('s')}, lambda w: least(length(w), 8) = d))::DOUBLE) AS v FROM fresh WHERE NOT again),
+  pack(k, i, done, cur, mean, n, words) AS (SELECT k, i, []::VARCHAR[], s, v, 1, own FROM st WHERE i = 1
+    UNION ALL SELECT st.k, st.i, CASE WHEN c THEN list_append(done, cur) ELSE done END, CASE WHEN c THEN s ELSE cur || ' ' || s END, CASE WHEN c THEN v ELSE list_transform(range(1, 9), lambda d: (mean[d] * n + v[d]) / (n + 1)) END, CASE WHEN c THEN 1 ELSE n + 1 END, CASE WHEN c THEN own ELSE words + own END
+      FROM (SELECT p.done, p.cur, p.mean, p.n, p.words, st.*, p.words + st.own > {DEFAULTS.child_max_words} OR list_cosine_similarity(p.mean, st.v) < {DEFAULTS.child_similarity} AS c FROM pack p JOIN st ON st.k = p.k AND st.i = p.i + 1) st),
+  packed AS (SELECT k, arg_max(list_append(done, cur), i) AS p FROM pack GROUP BY 1), gr AS (SELECT k, g, {_words('g')} AS n, i FROM (SELECT k, unnest(p) AS g, generate_subscripts(p, 1) AS i FROM packed)),
+  floored(k, i, held) AS (SELECT k, 0::BIGINT, []::VARCHAR[] FROM packed
+    UNION ALL SELECT gr.k, gr.i, CASE WHEN {_HELD.format('n')} <= {DEFAULTS.child_drop_tokens} AND NOT (g LIKE '%?' OR regexp_matches(g, '(?i){_SQL(X.MEANINGFUL_HEADING)}') OR regexp_matches(g, '(?i){_SQL(X.MEANINGFUL_LABEL)}') OR {_N_CONTENT.format('g')} >= 2) THEN held
+      WHEN len(held) > 0 AND {_HELD.format('n')} <= {DEFAULTS.child_merge_tokens} AND {_words('held[-1]')} + n <= {DEFAULTS.child_max_words} THEN list_append(held[:-2], held[-1] || ' ' || g) ELSE list_append(held, g) END FROM floored f JOIN gr ON gr.k = f.k AND gr.i = f.i + 1),
+  flat AS (SELECT k, CASE WHEN len(held) >= 2 AND {_HELD.format(_words('held[1]'))} <= {DEFAULTS.child_merge_tokens} AND {_words('held[1]')} + {_words('held[2]')} <= {DEFAULTS.child_max_words} THEN [held[1] || ' ' || held[2]] || held[3:] ELSE held END AS p FROM (SELECT k, arg_max(held, i) AS held FROM floored GROUP BY 1)),
+  body AS (SELECT k, unnest(p) AS b, generate_subscripts(p, 1) AS i FROM flat),
+  lap(k, i, text) AS (SELECT k, i, b FROM body WHERE i = 1
+    UNION ALL SELECT k, i, CASE WHEN last <> '' AND NOT contains(b, last) AND {_words("(last || ' ' || b)")} <= {DEFAULTS.child_max_words} THEN last || ' ' || b ELSE b END FROM (SELECT body.*, {_LAST_SENTENCE.format('lap.text')} AS last FROM lap JOIN body ON body.k = lap.k AND body.i = lap.i + 1)),
+  texts AS (SELECT k, i, text FROM lap UNION ALL SELECT parent_id, 1, content FROM parents WHERE whole),
+  shares AS (SELECT p.*, t.i, t.text, {_words('t.text')} AS words, {_words('t.text')} / greatest(sum({_words('t.text')}) OVER (PARTITION BY k), 1) * (greatest(p.page_end, p.page_start) - p.page_start) AS f FROM texts t JOIN parents p ON p.parent_id = t.k),
+  upto AS (SELECT *, sum(f) OVER (PARTITION BY parent_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS up FROM shares), spans AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY parent_id ORDER BY i), 0) AS before FROM upto),
+  children AS (SELECT sha256(document_id || '/child/' || ordinal || '/' || (i - 1)) AS child_id, parent_id, document_id, ordinal, i - 1 AS child_order, page_start + round_even(before, 0) AS first_page, page_start + greatest(round_even(before, 0), round_even(up, 0)) AS last_page, words, text FROM spans)"""
+
+
+@query(f"WITH RECURSIVE {_CHILDREN} SELECT child_id, parent_id, document_id, CAST(child_order AS INTEGER) AS child_order, CAST(first_page AS INTEGER) AS page_start, CAST(last_page AS INTEGER) AS page_end, CAST(words AS INTEGER) AS words, md5(text) AS h FROM children")
 def chunk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, children = chunks(spark, sf_dir)
     return children.select("child_id", "parent_id", "document_id", "child_order", "page_start", "page_end", T.count_words(F.col("content")).alias("words"), F.md5("content").alias("h"))
 
 
-@query()
+_TAIL = f"coalesce(array_to_string({_WORDS.format('{0}')}[-12:], ' ') || ' ', '') || {{1}}"
+_SHARED = "coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda j: a[-j:] = b[:j])), 0)"
+
+
+@query(f"""WITH RECURSIVE {_CHILDREN}, p AS (SELECT document_id, parent_id AS id, ordinal AS o, lag(parent_id) OVER w AS before, {_TAIL.format('lag(content) OVER w', 'content')} AS t FROM parents WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)),
+  c AS (SELECT document_id, parent_id, child_id AS id, child_order AS o, lag(child_id) OVER w AS before, {_TAIL.format('lag(text) OVER w', 'text')} AS t FROM children WINDOW w AS (PARTITION BY parent_id ORDER BY child_order)),
+  both_ AS (SELECT document_id, id, before, 'parent' AS level, 0 AS allowed, {_WORDS.format('lag(t) OVER (PARTITION BY document_id ORDER BY o)')} AS a, {_WORDS.format('t')} AS b FROM p
+    UNION ALL SELECT document_id, id, before, 'child', {_words(_LAST_SENTENCE.format('lag(t) OVER (PARTITION BY parent_id ORDER BY o)'))}, {_WORDS.format('lag(t) OVER (PARTITION BY parent_id ORDER BY o)')}, {_WORDS.format('t')} FROM c)
+  SELECT document_id, id, before, CAST(shared AS INTEGER) AS shared, CAST(allowed AS INTEGER) AS allowed, level FROM (SELECT *, {_SHARED} AS shared FROM both_ WHERE before IS NOT NULL) WHERE shared > allowed""")
 def overlap_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.overlap_warnings(*chunks(spark, sf_dir))
+    """Parents and children of all documents, each with the last twelve words of the one before put in front."""
+    from pyspark.sql import Window
+
+    def lapped(rows: DataFrame, within: str, order: str) -> DataFrame:
+        before = T.words(F.lag("content").over(Window.partitionBy(within).orderBy(order)))
+        tail = F.array_join(F.slice(before, F.greatest(F.size(before) - 11, F.lit(1)), 12), " ")
+        return rows.withColumn("content", F.concat_ws(" ", tail, "content"))
+
+    parents, children = chunks(spark, sf_dir)
+    return chunk.overlap_warnings(lapped(parents, "document_id", "parent_order"), lapped(children, "parent_id", "child_order"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHILDREN}, n AS (SELECT parent_id, count(*) AS n FROM children GROUP BY 1), pn AS (SELECT p.*, coalesce(n, 0) AS n FROM parents p LEFT JOIN n USING (parent_id)),
+  t AS (SELECT document_id, count(*) AS np FROM parents GROUP BY 1), tc AS (SELECT document_id, count(*) AS nc FROM children GROUP BY 1),
+  report AS (SELECT document_id, -1 AS parent_order, -1 AS child_order, [repeat('=', 72), 'CHUNKING REPORT | document_id=' || document_id, 'parents=' || np || ' | children=' || coalesce(nc, 0), repeat('=', 72)] AS l FROM t LEFT JOIN tc USING (document_id)
+    UNION ALL SELECT document_id, ordinal, -1, ['', repeat('=', 72), 'SECTION UNTITLED | id=' || parent_id || ' | pages=' || page_start || '-' || page_end || ' | words=' || {_words('content')} || ' | est_tokens=' || floor(round({_words('content')} * 1.3, 6))::BIGINT || ' | subsections=' || n, repeat('-', 72), content, ''] FROM pn
+    UNION ALL SELECT c.document_id, c.ordinal, child_order, [repeat('-', 72), '  SUBSECTION ' || (child_order + 1) || '/' || n || ' (single subsection - suppressed) | id=' || child_id || ' | pages=' || first_page::BIGINT || '-' || last_page::BIGINT || ' | words=' || words || ' | est_tokens=' || floor(round(words * 1.3, 6))::BIGINT, repeat('-', 72), text, ''] FROM children c JOIN n USING (parent_id))
+  SELECT document_id, CAST(parent_order AS INTEGER) AS parent_order, CAST(child_order AS INTEGER) AS child_order, CAST(i - 1 AS INTEGER) AS i, md5(line) AS h FROM (SELECT document_id, parent_order, child_order, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM report)""")
 def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents, children = (c.withColumn("title", F.lit(None).cast("string")) for c in chunks(spark, sf_dir))
     return structure.chunk_report(parents, children).select("document_id", "line_key.*", F.md5("line").alias("h"))
