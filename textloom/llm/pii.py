@@ -18,7 +18,8 @@ has 10 digits behind +1; others stop before another kind or a card in groups of
 if they are long enough by then, and in any case at 15 digits.
 
 Kinds: email (the local part), iban (mod 97), card (Luhn), ssn, ip (version 4),
-date (1900 to 2099, as YYYY-MM-DD, D.M.YYYY or D/M/YYYY), phone, secret (a value
+date (1900 to 2099, as YYYY-MM-DD, D.M.YYYY or D/M/YYYY, or month first where only
+that is a day; a day stays on its side of the twelfth), phone, secret (a value
 that is assigned to a token, key or password).
 
 Defined cases: null text stays null and counts 0; empty text and text without
@@ -70,6 +71,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _CARD_GROUPS, MOST_GROUPS = r"^\d{4,}(?:([ -])\d{4,}(?:\1\d{4,})*(?:\1\d{1,3})?|[ -]\d{1,3})?$", 5
 #: Days from 1900-01-01 to 2099-12-31, and their factors.
 FIRST_DAY, DAYS, DAY_RADIX = "1900-01-01", 73_049, 17
+#: Steps in which a walk over days has come back: a step does not with a chance of 0.6 at most.
+WALK = 128
 
 
 def _hash(key: Column, *parts: Column) -> Column:
@@ -185,6 +188,25 @@ def _date_parts(m: Column) -> tuple[Column, Column]:
     return F.when(is_iso, plain).otherwise(F.coalesce(day_first, month_first)), F.when(is_iso, "iso").when(day_first.isNotNull(), "day").otherwise("month")
 
 
+def walked_day(key: Column, number: Column) -> Column:
+    """The day that a day (counted from the first) is permuted to, among those on whose side of the twelfth it is.
+
+    The permutation of all days is applied until it comes back to that side, which makes
+    another permutation. Days behind the twelfth are the ones that can be written month
+    first and no other way, so that what is read month first is written so that it is again.
+    """
+    date = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+    late = lambda n: F.dayofmonth(date(n)) > 12
+
+    def walk(s: Column, _: Column) -> Column:
+        pair = feistel_pair(key, "date", s["at"] % DAY_RADIX, F.floor(s["at"] / DAY_RADIX), DAY_RADIX, DAYS // DAY_RADIX)
+        moved = F.transform(F.array(pair), lambda x: x["b"] * DAY_RADIX + x["a"])
+        return F.when(s["there"], s).otherwise(F.transform(moved, lambda n: F.struct(n.alias("at"), (late(n) == late(number)).alias("there")))[0])
+
+    start = F.struct(number.cast("long").alias("at"), F.lit(False).alias("there"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, walk, lambda s: date(s["at"]))
+
+
 def card_ok(m: Column) -> Column:
     d = digits_of(m)
     return F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0)
@@ -283,7 +305,7 @@ def pseudonym(m: Column, key: Column) -> Column:
 
     day, layout = _date_parts(m)
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    shifted = F.transform(F.array(feistel_pair(key, "date", number % DAY_RADIX, F.floor(number / DAY_RADIX), DAY_RADIX, DAYS // DAY_RADIX)), lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["b"] * DAY_RADIX + s["a"]).cast("int")))
+    shifted = F.array(walked_day(key, number))
     sep = F.regexp_extract(m, "[./]", 0)
     padded = m.rlike(r"^0|^\d{2}[./]0")
     one_or_two = lambda x: F.when(padded, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
