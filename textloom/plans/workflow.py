@@ -19,7 +19,7 @@ from textloom.functions import questions as Q
 from textloom.functions import text as T
 from textloom.operators import chunk, clean, planning, review, search, structure, titling
 from textloom.operators.dedupe import accept_greedily, limit_by
-from textloom.plans.ask import Chat, Embed, answered, embedded
+from textloom.plans.ask import Chat, Embed, Ledger, answered, embedded
 from textloom.plans.titling import family_titles
 from textloom.sources import pages as P
 from textloom.sources import registry
@@ -104,10 +104,11 @@ def contexts(points: DataFrame, child_ids: list[str], settings: Settings = DEFAU
     return full.join(light, "request").drop("request")
 
 
-def ask_json(prompts: DataFrame, chat: Chat, settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds `reply` (a variant). Replies that do not parse are sent back to be mended, twice at most."""
+def ask_json(prompts: DataFrame, chat: Chat, settings: Settings = DEFAULTS, ledger: Ledger | None = None, salt: str = "") -> DataFrame:
+    """Adds `reply` (a variant). Replies that do not parse are sent back to be mended, twice at most. With a ledger a
+    rerun asks only what was not answered; `salt` is the step and attempt, so that equal prompts of two attempts differ."""
     done = None
-    rows = materialise(answered(prompts, "prompt", "raw", chat).withColumn("reply", Q.extract_json(F.col("raw"))).withColumn("json", F.to_json("reply")).drop("reply"), "replies")
+    rows = materialise(answered(prompts, "prompt", "raw", chat, ledger, salt).withColumn("reply", Q.extract_json(F.col("raw"))).withColumn("json", F.to_json("reply")).drop("reply"), "replies")
     for attempt in range(settings.json_repairs + 1):
         good, bad = rows.where("json is not null"), rows.where("json is null")
         done = good if done is None else done.unionByName(good)
@@ -115,15 +116,15 @@ def ask_json(prompts: DataFrame, chat: Chat, settings: Settings = DEFAULTS) -> D
             done = done.unionByName(bad)
             break
         mend = bad.withColumn("mend", F.concat(F.lit("This reply is no valid JSON. Send the same content as JSON only.\n\n"), "raw")).drop("raw", "json")
-        rows = materialise(answered(mend, "mend", "raw", chat).withColumn("json", F.to_json(Q.extract_json(F.col("raw")))).drop("mend"), "replies")
+        rows = materialise(answered(mend, "mend", "raw", chat, ledger, f"{salt}/mend {attempt}").withColumn("json", F.to_json(Q.extract_json(F.col("raw")))).drop("mend"), "replies")
     return done.withColumn("reply", F.try_parse_json("json")).drop("json", "raw")
 
 
-def plan_until_sound(prompts: DataFrame, tasks: DataFrame, models: int, chat: Chat, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def plan_until_sound(prompts: DataFrame, tasks: DataFrame, models: int, chat: Chat, settings: Settings = DEFAULTS, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame]:
     """(plan, errors): asks again with the errors in the prompt while there are any, 3 times at most."""
     asked = prompts
     for attempt in range(settings.plan_attempts):
-        plan = materialise(planning.parse_plans(ask_json(asked, chat, settings), models), "plan")
+        plan = materialise(planning.parse_plans(ask_json(asked, chat, settings, ledger, f"plan {attempt}"), models), "plan")
         errors = materialise(planning.plan_errors(plan, tasks, settings), "plan-errors")
         if attempt == settings.plan_attempts - 1 or not errors.limit(1).count():
             break
@@ -132,33 +133,33 @@ def plan_until_sound(prompts: DataFrame, tasks: DataFrame, models: int, chat: Ch
     return planning.trim(plan, tasks), errors
 
 
-def filled_plan(plan: DataFrame, tasks: DataFrame, contexts: DataFrame, chat: Chat, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def filled_plan(plan: DataFrame, tasks: DataFrame, contexts: DataFrame, chat: Chat, settings: Settings = DEFAULTS, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame]:
     """(plan, deficits left): what a plan lacks is asked for by model and type, twice at most, then the plan is trimmed.
 
     contexts: plan_id, prompt (what the plan is about). Added items come behind those that
     a model has; a reply counts for its own type only, up to the missing number.
     """
     keys = ["plan_id", "model_number", "qtype"]
-    for _ in range(settings.fill_attempts):
+    for attempt in range(settings.fill_attempts):
         short = materialise(planning.deficits(plan, tasks).select(*keys, "missing"), "deficits")
         if not short.limit(1).count():
             break
         held = plan.groupBy(*keys).agg(F.max("item_idx").alias("top"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "topic", "concept"))), "\n").alias("held"))
         asked = short.join(held, keys, "left").join(contexts, "plan_id")
         prompt = F.concat(F.lit("Add "), F.col("missing").cast("string"), F.lit(" plan items of type "), F.col("qtype"), F.lit(" for model "), F.col("model_number").cast("string"), F.lit(" as a JSON array, on other concepts than these:\n"), F.coalesce("held", F.lit("none")), F.lit("\n\n"), F.col("prompt"))
-        said = ask_json(asked.select(*keys, "missing", F.coalesce("top", F.lit(-1)).alias("top"), prompt.alias("prompt")), chat, settings)
+        said = ask_json(asked.select(*keys, "missing", F.coalesce("top", F.lit(-1)).alias("top"), prompt.alias("prompt")), chat, settings, ledger, f"fill {attempt}")
         more = planning.added_items(said.select(*keys, "missing", "top", F.posexplode(Q.questions_from(F.col("reply"))).alias("p", "item")))
         plan = materialise(plan.unionByName(more), "plan")
     return planning.trim(plan, tasks), planning.deficits(plan, tasks)
 
 
-def repaired_items(items: DataFrame, chat: Chat, settings: Settings = DEFAULTS) -> DataFrame:
+def repaired_items(items: DataFrame, chat: Chat, settings: Settings = DEFAULTS, ledger: Ledger | None = None, salt: str = "repair") -> DataFrame:
     """Valid questions (model_number, qtype, pos, q) out of raw items (model_number, qtype, pos, raw) that break their
     type's rules: sent back with the rules, twice at most; only what is still broken is sent again."""
     done, open_ = None, items.select("model_number", "qtype", "pos", F.col("raw").alias("broken"))
     for attempt in range(settings.repair_attempts):
         prompt = F.concat(F.lit("This question of type "), F.col("qtype"), F.lit(" lacks fields or has wrong ones. Mend its structure, keep its content, reply as JSON.\n"), F.col("broken"))
-        said = ask_json(open_.withColumn("prompt", prompt), chat, settings)
+        said = ask_json(open_.withColumn("prompt", prompt), chat, settings, ledger, f"{salt}/{attempt}")
         judged = materialise(said.select("model_number", "qtype", "pos", F.to_json(F.coalesce(F.try_element_at(Q.questions_from(F.col("reply")), F.lit(1)), "reply")).alias("new"), "broken").withColumn("q", Q.normalize(F.col("qtype"), F.try_parse_json("new"))), "repaired-items")
         good = judged.where("q is not null").select("model_number", "qtype", "pos", "q")
         done = good if done is None else done.unionByName(good)
@@ -168,7 +169,7 @@ def repaired_items(items: DataFrame, chat: Chat, settings: Settings = DEFAULTS)
     return done
 
 
-def generate(tasks: DataFrame, plan: DataFrame, context: str, chat: Chat, settings: Settings = DEFAULTS) -> DataFrame:
+def generate(tasks: DataFrame, plan: DataFrame, context: str, chat: Chat, settings: Settings = DEFAULTS, ledger: Ledger | None = None) -> DataFrame:
     """Accepted questions (model_number, qtype, seq, q) for tasks (plan_id, model_number, qtype, want).
 
     Each attempt asks only for what is missing, with the plan's unfilled items: a model's
@@ -191,13 +192,13 @@ def generate(tasks: DataFrame, plan: DataFrame, context: str, chat: Chat, settin
         part = F.concat(F.lit("Write "), F.col("n").cast("string"), F.lit(" questions of type "), F.col("qtype"), F.lit(" on these concepts:\n"), F.col("items"))
         whole = each.withColumn("call", call).groupBy("model_number", "call").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(review.type_rank(F.col("qtype")).alias("r"), part.alias("t")))), lambda x: x["t"]), "\n\n").alias("parts"), F.collect_set("qtype").alias("types"))
         prompt = F.concat("parts", F.lit('\n\nReply as JSON {"questions": [...]}, each with its question_type.\n\nText:\n' + context))
-        replies = ask_json(whole.select("model_number", "call", "types", prompt.alias("prompt")), chat, settings)
+        replies = ask_json(whole.select("model_number", "call", "types", prompt.alias("prompt")), chat, settings, ledger, f"questions {attempt}")
         said = replies.select("model_number", "call", "types", F.posexplode(Q.questions_from(F.col("reply"))).alias("pos", "item"))
         typed = said.withColumn("qtype", F.when(F.size("types") == 1, F.col("types")[0]).otherwise(Q.item_type(F.col("item"))))
         found = materialise(typed.where("qtype is not null").select(*keys, "pos", Q.normalize(F.col("qtype"), F.col("item")).alias("q"), F.to_json("item").alias("raw")), "items")
         good, bad = found.where("q is not null").select(*keys, "pos", "q"), found.where("q is null")
         if bad.limit(1).count():
-            good = good.unionByName(repaired_items(bad, chat, settings))
+            good = good.unionByName(repaired_items(bad, chat, settings, ledger, f"questions {attempt}/repair"))
         seq = F.lit(attempt).cast("long") * 10**9 + F.col("model_number") * 10**7 + review.type_rank(F.col("qtype")) * 10**6 + F.col("pos")
         every = taken.unionByName(good.select(*keys, seq.alias("seq"), "q")).withColumn("request", F.lit(1))
         text = Q.question_text(F.col("qtype"), F.col("q"))
@@ -213,10 +214,27 @@ def assemble(questions: DataFrame, banks: DataFrame | None = None) -> DataFrame:
     return review.exams(review.render(review.numbered(named, "seq"), banks))
 
 
-def validate_and_repair(questions: DataFrame, judge: Chat, mend: Chat, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def judged_by(asked: DataFrame, judge: Chat, settings: Settings = DEFAULTS, ledger: Ledger | None = None, salt: str = "judge") -> DataFrame:
+    """Verdict rows of (model_number, question_id, prompt): a question to which the reply has no verdict is asked about once more."""
+    field = lambda n, t: F.try_variant_get("reply", f"$.{n}", t).alias(n)
+    fields = [("question_valid", "boolean"), ("answer_valid", "boolean"), ("action", "string"), ("fields_to_fix", "array<string>")]
+    done = None
+    for again in range(2):
+        said = ask_json(asked, judge, settings, ledger, f"{salt}/{again}")
+        read = materialise(said.select("model_number", "question_id", "prompt", F.lit(again + 1).alias("seq"), *[field(*f) for f in fields]), "judged")
+        whole = "question_valid is not null and answer_valid is not null"
+        done = read.where(whole) if done is None else done.unionByName(read.where(whole))
+        missing = read.where(f"not ({whole})")
+        if again or not missing.limit(1).count():
+            return done.drop("prompt")
+        asked = missing.select("model_number", "question_id", F.concat("prompt", F.lit("\n\nThe last reply had no verdict on this question: give question_valid and answer_valid.")).alias("prompt"))
+
+
+def validate_and_repair(questions: DataFrame, judge: Chat, mend: Chat, settings: Settings = DEFAULTS, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame]:
     """(questions, verdicts): local checks first, the judge for the rest, repairs of failed rows, twice at most.
 
-    questions: model_number, question_id, qtype, q. A question without a verdict has failed.
+    questions: model_number, question_id, qtype, q. A question without a verdict after a second try has failed.
+    The models of a set go side by side, so that each has all attempts.
     """
     open_ = questions
     verdicts = None
@@ -225,15 +243,13 @@ def validate_and_repair(questions: DataFrame, judge: Chat, mend: Chat, settings:
         checked = open_.withColumn("local", local)
         found = checked.where("local is not null").select("model_number", "question_id", F.lit(0).alias("seq"), "local.question_valid", "local.answer_valid", "local.action", "local.fields_to_fix")
         asked = checked.where("local is null").withColumn("prompt", F.concat(F.lit("Judge this question. Reply as JSON.\n"), F.to_json("q")))
-        said = ask_json(asked.select("model_number", "question_id", "prompt"), judge, settings)
-        field = lambda n, t: F.try_variant_get("reply", f"$.{n}", t)
-        judged = said.where("reply is not null").select("model_number", "question_id", F.lit(1).alias("seq"), field("question_valid", "boolean").alias("question_valid"), field("answer_valid", "boolean").alias("answer_valid"), field("action", "string").alias("action"), field("fields_to_fix", "array<string>").alias("fields_to_fix"))
+        judged = judged_by(asked.select("model_number", "question_id", "prompt"), judge, settings, ledger, f"judge {attempt}")
         verdicts = materialise(review.settled_verdicts(found.unionByName(judged), open_), "verdicts")
         failed = verdicts.where("action <> 'PASS'")
         if attempt == settings.repair_attempts or not failed.limit(1).count():
             break
         todo = open_.join(failed.select("question_id", "action"), "question_id").withColumn("prompt", F.concat_ws("\n", F.lit("Repair this question. Reply as JSON."), "action", F.to_json("q")))
-        replies = ask_json(todo.select("question_id", "qtype", "prompt"), mend, settings)
+        replies = ask_json(todo.select("question_id", "qtype", "prompt"), mend, settings, ledger, f"mend {attempt}")
         repairs = replies.select("question_id", F.lit(0).alias("seq"), Q.normalize(F.col("qtype"), F.col("reply")).alias("q"))
         open_ = materialise(review.apply_repairs(open_, repairs, verdicts).drop("outcome"), "repaired")
     return open_, verdicts
