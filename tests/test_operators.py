@@ -155,10 +155,10 @@ def test_points_replace_a_document(spark, tmp_path):
     search.upsert(make("a", ["1", "2"]), path, 2)
     search.upsert(make("b", ["3"]), path, 2)
     search.upsert(make("a", ["4"]), path, 2)
-    assert sorted(r.child_id for r in spark.read.parquet(path).collect()) == ["3", "4"]
+    assert sorted(r.child_id for r in search.stored_points(spark, path).collect()) == ["3", "4"]
     search.delete_document(spark, path, "a")
     search.delete_document(spark, path, "missing")
-    assert search.count_points(spark.read.parquet(path), "b") == 1
+    assert search.count_points(spark, path, "b") == 1
 
 
 def test_registry(spark, tmp_path):

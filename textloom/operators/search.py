@@ -1,8 +1,8 @@
 """Vector store operations: exact dense and sparse top-k, rank fusion, ordered lookup, upsert.
 
 Filters are applied below every top-k, so they prune partitions and rows of the scan.
-A search takes any number of queries at once: each ends in a limit by query of
-partial results, never in a sort of all scores.
+A search takes one query and ends in a limit of partial results, never in a sort of all
+scores; points are kept by `sources.collection`.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import DEFAULTS, Settings
 from textloom.functions.vectors import cosine
+from textloom.sources.collection import Collection
 
 
 def payload_filter(document_id: str | None = None, parent_ids: list[str] | None = None, child_ids: list[str] | None = None, **equal) -> Column:
@@ -74,31 +75,29 @@ def points_of(children: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def ensure_collection(spark: SparkSession, path: str, dim: int = DEFAULTS.embedding_dim) -> str:
-    """'created' or 'kept', or 'recreated' where the folder was made for another dimension (its points go)."""
-    jvm = spark.sparkContext._jvm
-    folder, mark = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}/_dim_{dim}")  # readers pass names with _ by
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(mark):
-        return "kept"
-    old = fs.exists(folder)
-    if old:
-        fs.delete(folder, True)
-    fs.mkdirs(folder)
-    fs.create(mark).close()
-    return "recreated" if old else "created"
+    """'created' or 'kept', or 'recreated' where the collection was made for another dimension (its points go)."""
+    return Collection(spark, path).ensure(dim)
 
 
 def upsert(points: DataFrame, path: str, dim: int = DEFAULTS.embedding_dim) -> None:
-    """Replaces the documents that occur in `points`, one partition each; checks the dimension."""
-    checked = points.withColumn("dense", F.when(F.size("dense") == dim, F.col("dense")).otherwise(F.raise_error(F.lit(f"dense vectors need {dim} components"))))
-    checked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    """Replaces the documents that occur in `points`, whole, in a collection of this dimension (made, if there is none)."""
+    store = Collection(points.sparkSession, path)
+    held = store.manifest()
+    if held is None:
+        store.ensure(dim)
+    elif held.dim != dim:
+        raise ValueError(f"the collection has {held.dim} components, not {dim}")
+    store.upsert(points)
 
 
 def delete_document(spark: SparkSession, path: str, document_id: str) -> None:
-    """Removes a document's partition; a missing one is no error."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/document_id={document_id}")
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Removes a document's points; a missing one is no error."""
+    Collection(spark, path).delete([document_id])
 
 
-def count_points(points: DataFrame, document_id: str) -> int:
-    return points.where(F.col("document_id") == document_id).count()
+def count_points(spark: SparkSession, path: str, document_id: str) -> int:
+    return Collection(spark, path).count(document_id)
+
+
+def stored_points(spark: SparkSession, path: str) -> DataFrame:
+    return Collection(spark, path).read()

@@ -73,6 +73,7 @@ def ingest(pages: DataFrame, embed: Embed, chat: Chat | None = None, settings: S
 
 def publish(spark: SparkSession, done: Ingested, folder: str, uploads: DataFrame, dim: int) -> None:
     """Writes points, structures, report and registry rows under a folder."""
+    search.ensure_collection(spark, f"{folder}/points", dim)
     search.upsert(done.points, f"{folder}/points", dim)
     registry.save_structures(done.structures, f"{folder}/structures")
     registry.save_report(done.report, f"{folder}/reports")

@@ -665,7 +665,7 @@ def point_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     search.upsert(rows, path, 64)
     search.delete_document(spark, path, "0")
     search.upsert(rows.where("document_id = '2' and child_id % 2 = 0").withColumn("again", F.lit(1)), path, 64)
-    return spark.read.parquet(path).groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.count("*").alias("points"), F.sum("again").alias("again"))
+    return search.stored_points(spark, path).groupBy("document_id").agg(F.count("*").alias("points"), F.sum("again").alias("again"))
 
 
 @query(f"SELECT child_id, round(score, 6) AS score FROM ({_DENSE_SQL} WHERE label IN (1, 3) AND vec_id NOT IN (4, 5)) ORDER BY score DESC, child_id LIMIT 15")
