@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from textloom import queries as E
+from textloom import set_queries  # noqa: F401  adds its queries
 
 
 def rows(df):

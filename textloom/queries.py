@@ -139,28 +139,6 @@ def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_whitespace(F.col("text"))).alias("h"))
 
 
-_JUNK = [
-    "", "page 12", "- 7 -", "***---***", "...", "!", "Copyright 2020 Someone", "This page intentionally left blank", "DRAFT for review", "Confidential notes on a long matter that has more than eight words in it",
-    "Figure 3 A small engine", "Figure 2.1: The layered architecture of a very long caption that goes on and on beyond the fourteen words", "Table 4.2 shows that the results of the second trial were better than those of the first one by far",
-    "8 | Chapter 1: Landscape", "Chapter 2 Methods 31", "1 See the appendix", "Linear models ........ 45", "References", "Source: The Institute", "http://a.example/b www.c.example", "Feature 2", "new instance", "An ordinary sentence stays.",
-]
-
-
-@query(f"SELECT i, text, {_category_sql('text')} AS category FROM {values(list(enumerate(_JUNK)), 'i, text')}")
-def classify_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark, list(enumerate(_JUNK)), "i int, text string").select("i", "text", category(F.col("text")).alias("category"))
-
-
-_NOTES = ["It was so. 12 Later they left", "See (Figure 1-6).1To train", "Neural networks2 Some more", "No marks in here", "Two. 3 Then four. 5 Six"]
-
-
-@query(f"""SELECT i, regexp_replace(regexp_replace(regexp_replace(text, '([.!?)"''])\\s+\\d{{1,3}}\\s+([A-Z][a-z])', '\\1 \\2', 'g'), '([.!?)"''])\\d{{1,3}}([A-Z][a-z])', '\\1\\2', 'g'), '([a-z])\\d{{1,2}}(\\s+[A-Z][a-z])', '\\1\\2', 'g') AS text,
-  CAST(len(regexp_extract_all(text, '[.!?)"'']\\s+\\d{{1,3}}\\s+[A-Z][a-z]')) + len(regexp_extract_all(text, '[.!?)"'']\\d{{1,3}}[A-Z][a-z]')) + len(regexp_extract_all(text, '[a-z]\\d{{1,2}}\\s+[A-Z][a-z]')) AS INTEGER) AS n FROM {values(list(enumerate(_NOTES)), 'i, text')}""")
-def inline_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, n = T.strip_inline_footnotes(F.col("text"))
-    return literals(spark, list(enumerate(_NOTES)), "i int, text string").select("i", text.alias("text"), n.alias("n"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?i)https?://[^\\s]+|www\\.[^\\s]+', ' ', 'g'), '[ \\t]+', ' ', 'g')) = text AS same, CAST(len(regexp_extract_all(text, chr(65533))) AS INTEGER) AS n FROM documents")
 def inline_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, n = T.strip_inline_garbage(F.col("text"))
@@ -479,55 +457,6 @@ def forbidden_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", Q.has_forbidden_phrase(F.col("text")).alias("forbidden"))
 
 
-_REPLIES = [
-    (1, "mcq", '{"questions":[{"question":" Q? ","options":{"a":"1","B":"2","c":"3","d":"4"},"correct_answer":"b"},{"question":"Q2","options":["x","","y","z"],"correct_answer":"A"}]}'),
-    (2, "mcq", '```json\n[{"question_text":"L","options":["p","q","r","s","t"],"correct_answer":"e"},{"question":"","options":["p","q","r","s"],"correct_answer":"A"}]\n```'),
-    (3, "true_false", '[{"statement":"S","answer":true},{"question":"T","answer":"FALSE"},{"statement":"U","answer":"maybe"}]'),
-    (4, "short_answer", '[{"question":"Why","model_answer":"Because"},{"question":"Why"},3]'),
-    (5, "essay", '[{"question":"E","answer":"R","key_points":["a"," ","b"]},{"question":"E","answer":"R","key_points":"a"},{"question":"E2","reference_answer":"R2"}]'),
-    (6, "fill_in_the_blank", '[{"question":"A ___","answer":"x"},{"question":"B ___","answers":["x","y","z"]},{"question":"C ___","answers":["x"," "]}]'),
-    (7, "mcq", "no json here"),
-]
-
-
-def parsed_replies(spark: SparkSession) -> DataFrame:
-    raw = literals(spark, _REPLIES, "reply_id int, qtype string, raw string")
-    items = raw.select("reply_id", "qtype", F.posexplode(Q.questions_from(Q.extract_json(F.col("raw")))).alias("seq", "item"))
-    return items.select("reply_id", "qtype", "seq", Q.normalize(F.col("qtype"), F.col("item")).alias("q"))
-
-
-@query("""SELECT * FROM (VALUES (1,'mcq',0,true,'Q?'), (1,'mcq',1,false,NULL), (2,'mcq',0,true,'L'), (2,'mcq',1,false,NULL), (3,'true_false',0,true,'S'), (3,'true_false',1,true,'T'), (3,'true_false',2,false,NULL),
-  (4,'short_answer',0,true,'Why'), (4,'short_answer',1,false,NULL), (5,'essay',0,true,'E'), (5,'essay',1,false,NULL), (5,'essay',2,true,'E2'), (6,'fill_in_the_blank',0,true,'A ___'), (6,'fill_in_the_blank',1,false,NULL), (6,'fill_in_the_blank',2,true,'C ___')) AS v(reply_id, qtype, seq, valid, stem)""")
-def normalize_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parsed_replies(spark)
-    return p.select("reply_id", "qtype", "seq", F.col("q").isNotNull().alias("valid"), F.when(F.col("q").isNotNull(), Q.question_text(F.col("qtype"), F.col("q"))).alias("stem"))
-
-
-_PLAN = '{"exams":[{"model_number":1,"questions":[{"question_type":"mcq","topic":"Cell walls","concept_to_test":"layers of plants"},{"question_type":"mcq","topic":"Root","concept_to_test":"water uptake"},{"question_type":"essay","topic":"","concept_to_test":"x"}]},{"model_number":"2","questions":[{"question_type":"mcq","topic":"cell walls","concept_to_test":"plants layers"},{"question_type":"quiz","topic":"t","concept_to_test":"c"}]},{"model_number":9,"questions":[]}]}'
-_TASKS = [("p", m, t, n) for m in (1, 2, 3) for t, n in (("mcq", 1), ("essay", 1))]
-
-
-def _plan(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    replies = literals(spark, [("p", _PLAN)], "plan_id string, raw string").select("plan_id", F.parse_json("raw").alias("reply"))
-    return planning.parse_plans(replies, 3), literals(spark, _TASKS, "plan_id string, model_number int, qtype string, want int")
-
-
-@query("""SELECT 'p' AS plan_id, error FROM (VALUES ('model 3 is missing'), ('model 1 has 2 mcq items, required 1'), ('model 2 has 0 essay items, required 1'), ('model 3 has 0 mcq items, required 1'), ('model 3 has 0 essay items, required 1'),
-  ('model 1 essay: an item has no topic or concept'), ('mcq: models 1 and 2 plan the same concept')) v(error)""")
-def plan_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.plan_errors(*_plan(spark))
-
-
-@query("SELECT 'p' AS plan_id, * FROM (VALUES (1, 'essay', 0, 'x'), (1, 'mcq', 0, 'layers of plants'), (2, 'mcq', 0, 'plants layers')) v(model_number, qtype, item_idx, concept)")
-def plan_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.trim(*_plan(spark)).select("plan_id", "model_number", "qtype", "item_idx", "concept")
-
-
-@query("SELECT 'p' AS plan_id, * FROM (VALUES (2, 'essay', CAST(1 AS BIGINT)), (3, 'essay', 1), (3, 'mcq', 1)) v(model_number, qtype, missing)")
-def plan_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.deficits(*_plan(spark)).select("plan_id", "model_number", "qtype", "missing")
-
-
 @query("SELECT conv_id AS model_number, turn, 'model' || conv_id || '_' || role || '_' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS question_id FROM conversations")
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("model_number"), F.col("role").alias("qtype"), "turn", F.lit(None).cast("string").alias("question_id"))
@@ -544,63 +473,6 @@ def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.numbered(rows, "turn").select("model_number", "turn", "number")
 
 
-@query("""SELECT reply_id, seq, action FROM (VALUES (1,0,NULL), (2,0,NULL), (3,0,NULL), (3,1,NULL), (4,0,NULL), (5,0,NULL), (5,2,NULL), (6,0,NULL), (6,2,'FIX_QUESTION')) v(reply_id, seq, action)""")
-def local_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parsed_replies(spark).where("q is not null")
-    q = F.when((F.col("reply_id") == 6) & (F.col("seq") == 2), F.col("q").withField("question", F.lit("no blank"))).otherwise(F.col("q"))
-    verdict = Q.local_verdict(F.col("qtype"), q, F.lit(None).cast("array<string>"))
-    return p.select("reply_id", "seq", verdict["action"].alias("action"))
-
-
-_FLAGS = [(q, a, act, f) for q in (True, False) for a in (True, False) for act in ("PASS", "fix_options", "FIX_ANSWER", "FIX_QUESTION", "???") for f in ("", "answer")]
-
-
-@query(f"""SELECT q, a, act, f, CASE WHEN q AND a THEN CASE WHEN trim(f) <> '' AND upper(act) IN ('FIX_OPTIONS','FIX_ANSWER','FIX_QUESTION','FIX_QUESTION_AND_ANSWER') THEN upper(act) ELSE 'PASS' END
-  WHEN NOT q AND NOT a THEN 'FIX_QUESTION_AND_ANSWER' WHEN NOT q THEN 'FIX_QUESTION' WHEN upper(act) IN ('FIX_OPTIONS','FIX_ANSWER') THEN upper(act) ELSE 'FIX_ANSWER' END AS action FROM {values(_FLAGS, 'q, a, act, f')}""")
-def sanitize_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, _FLAGS, "q boolean, a boolean, act string, f string")
-    return rows.withColumn("action", Q.settled_action(F.col("q"), F.col("a"), F.col("act"), F.array("f")))
-
-
-@query("SELECT * FROM (VALUES ('m1', 'repaired', 'New stem'), ('m2', 'not_allowed', 'Q'), ('m3', 'unchanged', 'Q'), ('m4', 'malformed', 'Q'), ('m5', 'none', 'Q')) v(question_id, outcome, stem)")
-def repair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda stem, answer: F.from_json(F.lit(f'{{"question":"{stem}","reference_answer":"{answer}"}}'), Q.QUESTION)
-    ids = literals(spark, [(f"m{i}", "short_answer") for i in range(1, 6)], "question_id string, qtype string").withColumn("q", make("Q", "A"))
-    repairs = literals(spark, [(f"m{i}", s) for i in range(1, 5) for s in (0, 1)], "question_id string, seq int")
-    new = F.when(F.col("question_id") == "m4", F.lit(None).cast(Q.QUESTION)).when(F.col("question_id") == "m3", make("Q", "A")).when(F.col("question_id") == "m2", make("New stem", "A2")).otherwise(make("New stem", "A"))
-    repairs = repairs.withColumn("q", F.when(F.col("seq") == 0, new).otherwise(make("Late", "Late")))
-    verdicts = ids.select("question_id", F.lit("FIX_QUESTION").alias("action"), F.array(F.lit("question")).alias("fields_to_fix"))
-    return review.apply_repairs(ids, repairs, verdicts).select("question_id", "outcome", F.col("q.question").alias("stem"))
-
-
-@query("SELECT * FROM (VALUES (1, '', 2), (2, 'osmosis', 1)) v(model_number, missing, distractors)")
-def wordbank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = literals(spark, [(1, ["Cell"]), (1, ["the root", "Leaf"]), (2, ["Osmosis"]), (2, ["cell"])], "model_number int, answers array<string>")
-    banks = literals(spark, [(1, ["cell", "The Root", "leaf", "stem", "seed"]), (2, ["Cell", "stem"])], "model_number int, terms array<string>")
-    return review.bank_check(items, banks).select("model_number", F.array_join("missing", ",").alias("missing"), "distractors")
-
-
-@query("""SELECT 1 AS model_number, * FROM (VALUES ('short_answer', '## Short Answer' || chr(10) || chr(10) || '3. Why' || chr(10) || '   **Answer:** Because'),
-  ('true_false', '## True / False' || chr(10) || chr(10) || '1. S' || chr(10) || '   **Answer: True**' || chr(10) || chr(10) || '2. T' || chr(10) || '   **Answer: False**')) v(qtype, markdown)""")
-def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parsed_replies(spark).where("q is not null and qtype in ('true_false', 'short_answer')").withColumn("model_number", F.lit(1)).withColumn("o", F.struct("reply_id", "seq"))
-    return review.render(review.numbered(rows, "o"))
-
-
-_TITLES = ["**1. Cost functions: Linear models**", "Overview", "Introduction to cells", "the k-Nearest (svm) approach and", "Cells, roots", "Cell Cell", "What now?", "Gradient Descent (SVM)", "Root (bad", "- \"deep learning\"."]
-
-
-@query(f"SELECT i, title, lower(trim(title)) IN ({', '.join(repr(t) for t in X.TITLE_BLOCKLIST)}) OR " + " OR ".join(f"starts_with(lower(trim(title)), '{p}')" for p in X.FILLER_PREFIXES) + f" AS blocked FROM {values(list(enumerate(_TITLES)), 'i, title')}")
-def title_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark, list(enumerate(_TITLES)), "i int, title string").withColumn("blocked", titles.is_blocklisted(F.col("title")))
-
-
-@query("SELECT * FROM (VALUES (0,'Cost Functions: Linear Models',true), (1,'Overview',false), (2,'Introduction to Cells',true), (3,'The k-Nearest (SVM) Approach',true), (4,'Cells, Roots',false), (5,'Cell Cell',false), (6,'What Now?',false), (7,'Gradient Descent (SVM)',true), (8,'Root (bad',false), (9,'Deep Learning\"',true)) v(i, title, valid)")
-def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, list(enumerate(_TITLES)), "i int, raw string")
-    return rows.select("i", titles.clean_title(F.col("raw")).alias("title"), titles.is_valid_title(titles.clean_title(F.col("raw"))).alias("valid"))
-
-
 _NUMERALS = "[" + ", ".join(f"'{n}'" for n in titling.NUMERALS) + "]"
 
 
