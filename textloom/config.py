@@ -29,6 +29,7 @@ class Settings:
     title_max_words: int = 15
     title_batch: int = 4
     title_recent: int = 4
+    tag_titles: bool = False  # whether titles must be noun phrases by the tagger
     embedding_dim: int = 1024
     rrf_k: int = 60
     over_fetch: int = 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import DEFAULTS, Settings
 from textloom.functions import fixed as X
+from textloom.functions import tagger
 from textloom.functions.text import count_words, first_tokens, let, matches, rx, strip, words
 
 
@@ -96,8 +97,17 @@ def review_rows(raw: Column) -> Column:
     return F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda o: o["idx"] == r["idx"]))
 
 
+def noun_test(settings: Settings):
+    """The test of noun phrases that the settings ask for: the tagger's, or one that accepts all."""
+    return tagger.is_noun_phrase if settings.tag_titles else lambda c: F.lit(True)
+
+
+def chunk_finder(settings: Settings):
+    return tagger.first_noun_chunk if settings.tag_titles else lambda c: F.lit("")
+
+
 def accept(c: Column, used: Column, settings: Settings = DEFAULTS) -> Column:
-    return is_valid_title(c, settings.title_min_words, settings.title_max_words) & ~is_blocklisted(c) & ~F.array_contains(used, c)
+    return is_valid_title(c, settings.title_min_words, settings.title_max_words, noun_test(settings)) & ~is_blocklisted(c) & ~F.array_contains(used, c)
 
 
 def _bare(w: Column) -> Column:

@@ -39,8 +39,8 @@ def batch_prompts(rows: DataFrame) -> DataFrame:
 def batch_titles(rows: DataFrame, chat: Chat, settings: Settings = DEFAULTS) -> DataFrame:
     """Adds `header` to batch rows: the reply's line of the row's place as a title, '' if it is missing or not valid."""
     replies = answered(batch_prompts(rows), "prompt", "raw", chat)
-    lines = replies.select("document_id", F.posexplode(T.title_list(F.coalesce("raw", F.lit("")))).alias("at", "line")).select("document_id", (F.col("at") + 1).alias("pos"), T.clean_title(F.col("line"), settings.title_max_words).alias("header"))
-    good = T.is_valid_title(F.col("header"), settings.title_min_words, settings.title_max_words)
+    lines = replies.select("document_id", F.posexplode(T.title_list(F.coalesce("raw", F.lit("")))).alias("at", "line")).select("document_id", (F.col("at") + 1).alias("pos"), T.clean_title(F.col("line"), settings.title_max_words, T.noun_test(settings)).alias("header"))
+    good = T.is_valid_title(F.col("header"), settings.title_min_words, settings.title_max_words, T.noun_test(settings))
     return rows.join(lines, ["document_id", "pos"], "left").withColumn("header", F.when(good, F.col("header")).otherwise(""))
 
 
@@ -50,7 +50,7 @@ def second_tries(rows: DataFrame, chat: Chat, settings: Settings = DEFAULTS) ->
     taken = F.slice(F.array_distinct(F.concat(F.filter(F.array("header"), lambda h: h != ""), F.array_sort("used"))), 1, settings.title_recent)
     prompt = F.concat(F.lit("The heading "), F.coalesce(F.when(F.col("header") != "", F.concat(F.lit("'"), F.col("header"), F.lit("'"))), F.lit("of the last try")), F.lit(" does not do. Write another short one, none of: "), _listed(taken, "none"), F.lit("\n\n"), first_tokens(F.col("content"), PREVIEW))
     asked = answered(rows.withColumn("__prompt", prompt), "__prompt", "__raw", chat)
-    named = asked.withColumn("__new", T.clean_title(F.col("__raw"), settings.title_max_words)).withColumn("__label", T.fallback_title(F.col("content")))
+    named = asked.withColumn("__new", T.clean_title(F.col("__raw"), settings.title_max_words)).withColumn("__label", T.fallback_title(F.col("content"), is_noun_phrase=T.noun_test(settings), noun_chunk=T.chunk_finder(settings)))
     label_free = (F.col("__label") != "") & ~F.array_contains("used", F.col("__label"))
     return named.withColumn("title", F.when(T.accept(F.col("__new"), F.col("used"), settings), F.col("__new")).when(label_free, F.col("__label")).otherwise(F.col("__new"))).drop("__prompt", "__raw", "__new", "__label")
 

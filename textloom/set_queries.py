@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions import fixed as X
 from textloom.functions import questions as Q
 from textloom.functions import text as T
-from textloom.functions import titles
+from textloom.functions import tagger, titles
 from textloom.functions.classify import category
 from textloom.operators import planning, review
 from textloom.queries import _S, _category_sql, query, table
@@ -272,3 +272,42 @@ def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned titles that say nothing; a cut tail or a capital changes nothing about that."""
     return raw_titles(spark, sf_dir).select("doc_id", titles.is_blocklisted(F.when(F.col("doc_id") % 8 == 6, F.regexp_replace("raw", "^2. ", "")).otherwise(titles.clean_title(F.col("raw")))).alias("blocked"))
+
+
+# --- tags ---------------------------------------------------------------------------------------
+
+_N = len(tagger.TAGS)
+_LISTED = lambda of: "[" + ", ".join(str(of.get(t, tagger.OTHER)) for t in tagger.TAGS) + "]"
+_EMIT = (
+    "CASE " + " ".join(f"WHEN lower(x) IN ({', '.join(repr(w) for w in known)}) THEN {_LISTED({tag: 0})}" for tag, known in tagger.LEXICON.items())
+    + f" WHEN regexp_matches(x, '^\\d') THEN {_LISTED({'9': 0, 'N': -10})} WHEN regexp_matches(x, '^[A-Z]{{2,}}s?$') THEN {_LISTED({'N': 0})} "
+    + " ".join(f"WHEN regexp_matches(lower(x), '{p}') THEN {_LISTED(of)}" for p, of in tagger.SUFFIXES) + f" ELSE {_LISTED(tagger.UNKNOWN)} END"
+)
+_FOLLOW = "[" + ", ".join("[" + ", ".join(str(tagger.FOLLOWS.get((a, b), 0)) for a in tagger.TAGS) + "]" for b in tagger.TAGS) + "]"
+
+
+def _tags_sql(source: str) -> str:
+    """CTEs that end in `tagged` (k, ws, tags): rows (k, t), word by word; each tag keeps its best score and the tags up to it."""
+    return f"""RECURSIVE src AS ({source}), tok AS (SELECT k, list_filter(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda x: x <> '') AS ws FROM src),
+  e AS (SELECT k, i, {_EMIT} AS e FROM (SELECT k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM tok)),
+  v(k, i, sc, ts) AS (SELECT k, i, e, list_transform(range(1, {_N + 1}), lambda y: substr('{tagger.TAGS}', y, 1)) FROM e WHERE i = 1
+    UNION ALL SELECT k, i, list_transform(range(1, {_N + 1}), lambda y: list_max(ways[y]) + e[y]), list_transform(range(1, {_N + 1}), lambda y: ts[list_position(ways[y], list_max(ways[y]))] || substr('{tagger.TAGS}', y, 1))
+      FROM (SELECT e.*, v.ts, list_transform(range(1, {_N + 1}), lambda y: list_transform(range(1, {_N + 1}), lambda z: v.sc[z] + ({_FOLLOW})[y][z])) AS ways FROM v JOIN e ON e.k = v.k AND e.i = v.i + 1)),
+  tagged AS (SELECT tok.k, ws, coalesce(ts[list_position(sc, list_max(sc))], '') AS tags FROM tok LEFT JOIN v ON v.k = tok.k AND v.i = len(ws))"""
+
+
+@query(f"""WITH {_tags_sql("SELECT conv_id || '-' || turn AS k, text AS t FROM conversations")}, c AS (SELECT *, regexp_extract_all(tags, '[A9N]*N') AS runs, length(regexp_split_to_array(tags, '[A9N]*N')[1]) AS lead FROM tagged)
+  SELECT k AS id, md5(tags) AS tags, CAST(len(runs) AS INTEGER) AS chunks, coalesce(array_to_string(ws[lead + 1 : lead + length(runs[1])], ' '), '') AS first_chunk FROM c""")
+def noun_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of all words of every turn, and the noun chunks in them."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), tagger.tokens(F.col("text")).alias("ws"))
+    made = rows.withColumn("tags", tagger.tags(F.col("ws"))).withColumn("chunks", tagger.chunks_of(F.col("ws"), F.col("tags")))
+    return made.select("id", F.md5("tags").alias("tags"), F.size("chunks").alias("chunks"), F.coalesce(F.try_element_at("chunks", F.lit(1)), F.lit("")).alias("first_chunk"))
+
+
+@query(f"""WITH {_tags_sql("SELECT doc_id AS k, list_aggregate(string_split(text, ' ')[1:doc_id % 4 + 2], 'string_agg', ' ') AS t FROM documents")}
+  SELECT k AS doc_id, regexp_matches(tags, '[{tagger.NOUNS}]') AND regexp_matches(tags, '[{tagger.HEADS}]$') AS noun_phrase FROM tagged""")
+def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words of every document as titles: whether their tags are those of a noun phrase."""
+    title = F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("doc_id") % 4 + 2).cast("int")), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", tagger.is_noun_phrase(title).alias("noun_phrase"))
