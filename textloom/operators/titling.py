@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.config import DEFAULTS, Settings
-from textloom.functions.text import let
 from textloom.functions.titles import fallback_title, is_blocklisted, is_valid_title
 
 
@@ -39,29 +41,40 @@ def make_unique(rows: DataFrame, group: str, order: str, title: str = "title", c
     label from its own text, if that is new; else the next Roman numeral that is free.
 
     The numeral follows the one that a title ends in, as a word of its own, and has no end.
+    Rows of a group pass by in order; what is held of them is the titles in use.
     """
     label = fallback_title(F.col(content), max_words) if label is None else label
-    item = F.struct(F.col(order).alias("o"), F.coalesce(title, F.lit("")).alias("t"), label.alias("l"))
-    items = rows.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    numerals = F.array(*[F.lit(n) for n in NUMERALS])
-    roman = lambda n: F.coalesce(F.try_element_at(numerals, n), n.cast("string"))
-
-    def numbered(used: Column, base: Column) -> Column:
-        last = F.array_position(numerals, F.regexp_extract(base, r" ([IVXL]+)$", 1)).cast("int")
-        stem = F.when(last > 1, F.regexp_replace(base, r" [IVXL]+$", "")).otherwise(base)
-        start = F.when(last > 1, last + 1).otherwise(2)
-        names = F.transform(F.sequence(start, start + F.size(used)), lambda n: F.concat(stem, F.lit(" "), roman(n)))
-        return F.element_at(F.filter(names, lambda x: ~F.array_contains(used, x)), 1)
-
-    def step(s: Column, x: Column) -> Column:
-        free = lambda c: (c != "") & ~F.array_contains(s["used"], c)
-        base = F.when(x["t"] != "", x["t"]).when(x["l"] != "", x["l"]).otherwise("Key Concept")
-        name = F.when(free(x["t"]), x["t"]).when(free(x["l"]), x["l"]).otherwise(numbered(s["used"], base))
-        return let(name, lambda n: F.struct(F.concat(s["used"], F.array(n)).alias("used"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), n.alias("n")))).alias("out")))
-
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<struct<o:{dict(rows.dtypes)[order]},n:string>>").alias("out"))
-    named = items.select(group, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("m")).select(group, F.col("m.o").alias(order), F.col("m.n").alias("__title"))
-    return rows.join(named, [group, order]).withColumn(title, F.col("__title")).drop("__title")
+    kept = rows.columns
+    ready = rows.withColumn(title, F.coalesce(title, F.lit(""))).withColumn("__label", F.coalesce(label, F.lit("")))
+    dealt = ready.repartition(F.col(group)).sortWithinPartitions(group, order)
+    at = [kept.index(group), kept.index(title), len(kept)]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, used, ahead = object(), set(), {}
+        for batch in batches:
+            names = []
+            for g, t, own in zip(*(batch.column(i).to_pylist() for i in at)):
+                if g != held:
+                    held, used, ahead = g, set(), {}
+                names.append(next((x for x in (t, own) if x and x not in used), None) or _numbered(t or own or "Key Concept", used, ahead))
+                used.add(names[-1])
+            columns = batch.columns[: len(kept)]
+            columns[at[1]] = pa.array(names, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=kept)
+
+    return dealt.mapInArrow(name, ready.select(kept).schema)
+
+
+def _numbered(base: str, used: set[str], ahead: dict) -> str:
+    """The base with the next numeral that is free; `ahead` remembers by stem and start how far numerals are taken."""
+    stem, _, end = base.rpartition(" ")
+    last = NUMERALS.index(end) + 1 if stem and end in NUMERALS else 0
+    stem, start = (stem, last + 1) if last > 1 else (base, 2)
+    n = ahead.get((stem, start), start)
+    while (made := f"{stem} {NUMERALS[n - 1] if n <= len(NUMERALS) else n}") in used:
+        n += 1
+    ahead[stem, start] = n + 1
+    return made
 
 
 def reviewed(rows: DataFrame, verdicts: DataFrame, good: int = 8, settings: Settings = DEFAULTS) -> DataFrame:

@@ -482,12 +482,15 @@ def unique_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titling.make_unique(rows, "conv_id", "turn", label=F.lit("")).select("conv_id", "turn", "title")
 
 
-@query("""WITH p AS (SELECT DISTINCT source, doc_id FROM documents), b AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 4 AS batch FROM p)
-  SELECT source AS document_id, CAST(batch AS INTEGER) AS batch, CAST(row_number() OVER (PARTITION BY source, batch ORDER BY doc_id) AS INTEGER) AS pos, 'section' AS level, CAST(doc_id AS VARCHAR) AS id FROM b""")
+@query("""WITH p AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 4 AS batch FROM documents),
+  e AS (SELECT *, -1 AS k FROM p UNION ALL SELECT *, unnest([0, 1]) AS k FROM p WHERE doc_id % 2 = 0)
+  SELECT source AS document_id, CAST(batch AS INTEGER) AS batch, CAST(row_number() OVER (PARTITION BY source, batch ORDER BY doc_id, k) AS INTEGER) AS pos, CASE WHEN k < 0 THEN 'section' ELSE 'subsection' END AS level, CASE WHEN k < 0 THEN CAST(doc_id AS VARCHAR) ELSE doc_id || '-' || k END AS id FROM e""")
 def title_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as parents; even ones have two children, others one, which is not sent."""
     parents = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").cast("string").alias("parent_id"), F.col("doc_id").alias("parent_order"), F.col("text").alias("content"))
-    only = parents.select("parent_id", F.lit(0).alias("child_order"), F.col("parent_id").alias("child_id"), "content")  # an only child is not sent
-    return titling.family_batches(parents, only).select("document_id", "batch", "pos", "level", "id")
+    orders = F.when(F.col("parent_order") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    children = parents.select("parent_id", F.explode(orders).alias("child_order"), "content").withColumn("child_id", F.concat_ws("-", "parent_id", "child_order"))
+    return titling.family_batches(parents, children).select("document_id", "batch", "pos", "level", "id")
 
 
 @query("SELECT arg_max(event_id, (ts, event_id)) AS event_id FROM events")

@@ -15,7 +15,7 @@ from textloom.functions import questions as Q
 from textloom.functions import text as T
 from textloom.functions import tagger, titles
 from textloom.functions.classify import category
-from textloom.operators import planning, review
+from textloom.operators import planning, review, titling
 from textloom.queries import _S, _category_sql, query, table
 
 _LETTERS = "list_filter(string_split(regexp_replace(text, '[^\\p{L}]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -274,6 +274,22 @@ def title_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_titles(spark, sf_dir).select("doc_id", titles.is_blocklisted(F.when(F.col("doc_id") % 8 == 6, F.regexp_replace("raw", "^2. ", "")).otherwise(titles.clean_title(F.col("raw")))).alias("blocked"))
 
 
+_ROMAN = "[" + ", ".join(f"'{n}'" for n in titling.NUMERALS) + "]"
+
+
+@query(f"""WITH RECURSIVE {_TURNS}, o AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '' ELSE role END AS t, array_to_string(w[1:turn % 3], ' ') AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t),
+  r(conv_id, i, used) AS (SELECT conv_id, 0::BIGINT, []::VARCHAR[] FROM (SELECT DISTINCT conv_id FROM o)
+    UNION ALL SELECT conv_id, i, list_append(used, CASE WHEN t <> '' AND NOT list_contains(used, t) THEN t WHEN l <> '' AND NOT list_contains(used, l) THEN l
+      ELSE list_filter(list_transform(range(2, len(used) + 3), lambda n: b || ' ' || coalesce(({_ROMAN})[n], n::VARCHAR)), lambda x: NOT list_contains(used, x))[1] END)
+      FROM (SELECT o.*, r.used, CASE WHEN t <> '' THEN t WHEN l <> '' THEN l ELSE 'Key Concept' END AS b FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1))
+  SELECT o.conv_id, turn, used[-1] AS title FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i""")
+def labelled_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles as titles of turns, every fourth blank, with no, one or two words of the turn as its label."""
+    label = F.array_join(F.slice("w", F.lit(1), (F.col("turn") % 3).cast("int")), " ")
+    rows = turns(spark, sf_dir).withColumn("title", F.when(F.col("turn") % 4 == 3, "").otherwise(F.col("role")))
+    return titling.make_unique(rows.select("conv_id", "turn", "title", label.alias("content")), "conv_id", "turn", label=F.col("content")).select("conv_id", "turn", "title")
+
+
 # --- tags ---------------------------------------------------------------------------------------
 
 _N = len(tagger.TAGS)
