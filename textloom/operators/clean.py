@@ -1,8 +1,8 @@
 """Cleaning of parsed documents: repeated lines, junk rules, repairs, keep-first duplicates.
 
 Everything is a map over items but for two groupings: line keys by document (with
-partial counts) and kept texts by document. Texts are grouped by a hash, so a
-document that holds a third of all rows is spread over the cluster.
+partial counts) and kept texts by document. Texts are grouped by a digest, so a
+document that holds a third of all rows is spread over the cluster, and so is a text that does.
 """
 
 from __future__ import annotations
@@ -61,18 +61,29 @@ def judged_items(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+#: A text is hot if it is more than one in so many items; fewer texts than this can be.
+HOT = 1000
+
+
 def keep_first(rows: DataFrame) -> DataFrame:
     """Marks texts that an earlier kept item of the document has as duplicates.
 
-    The first place of a text is a minimum by (document, hash, text), joined back:
-    a text that fills a document is aggregated before it is shuffled.
+    The first place of a text is a minimum by (document, digest), summed up before it is
+    shuffled; only texts that occur again are joined back. Those that are hot, fewer than HOT,
+    are broadcast and their items stay where they are; so do items that are not asked.
     """
     place = F.struct("page_idx", "item_idx")
-    kept = rows.where(F.col("category").isNull() & (F.col("text") != ""))
-    first = kept.groupBy("document_id", "text").agg(F.min(place).alias("first"))
-    marked = rows.join(first, ["document_id", "text"], "left")
-    again = F.col("category").isNull() & (F.col("text") != "") & (place != F.col("first"))
-    return marked.withColumn("category", F.when(again, "duplicate").otherwise(F.col("category"))).drop("first")
+    asked = F.col("category").isNull() & (F.col("text") != "")
+    rows = rows.withColumn("__digest", F.when(asked, F.substring(F.sha2("text", 256), 1, 32)))
+    first = rows.where("__digest is not null").groupBy("document_id", "__digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    hot = F.col("n") * HOT > rows.count()
+    near = rows.join(F.broadcast(first.where(hot).select("document_id", "__digest", F.col("first").alias("__hot"))), ["document_id", "__digest"], "left")
+    apart = F.concat(F.lit("#"), F.xxhash64("document_id", "page_idx", "item_idx").cast("string"))  # meets nothing, and spreads
+    keyed = near.withColumn("__key", F.when(F.col("__hot").isNull() & F.col("__digest").isNotNull(), F.col("__digest")).otherwise(apart))
+    cold = first.where(~hot).select("document_id", F.col("__digest").alias("__key"), F.col("first").alias("__cold"))
+    marked = keyed.join(cold, ["document_id", "__key"], "left")
+    again = F.coalesce(place != F.coalesce("__hot", "__cold"), F.lit(False))
+    return marked.withColumn("category", F.when(again, "duplicate").otherwise(F.col("category"))).drop("__digest", "__key", "__hot", "__cold")
 
 
 def clean(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

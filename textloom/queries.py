@@ -19,7 +19,7 @@ from textloom.functions import titles
 from textloom.functions.classify import category
 from textloom.operators import chunk, clean, dedupe, planning, review, search, structure, titling
 from textloom.sources import pages as P
-from textloom.sources import registry
+from textloom.sources import parsing, registry
 from textloom.sources.shared import shared_dir, spread
 
 QUERIES: dict = {}
@@ -522,6 +522,19 @@ def payload_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.items(read).select("document_id", "item_idx", "page", F.md5("raw").alias("h"))
 
 
+@query(f"""WITH t AS (SELECT page_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h1\\b[^>]*>.*?</h1\\s*>|<p\\b[^>]*>.*?</p\\s*>') AS x FROM pages)),
+  v AS (SELECT page_id, i, {_S.format("regexp_replace(regexp_replace(x, '(?is)^<[^>]*>|</[^>]*>$', '', 'g'), '<[^>]*>', '', 'g')")} AS raw FROM t)
+  SELECT CAST(page_id // 100 AS VARCHAR) AS document_id, CAST(page_id AS INTEGER) AS page, CAST(i - 1 AS INTEGER) AS item_idx, md5(raw) AS h FROM v""")
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages landed as files of a hundred and read back by the source of parsed documents."""
+    path = f"{shared_dir(spark)}/textloom/landed-{uuid.uuid4().hex}"
+    pages = P.html_pages(table(spark, sf_dir, "pages")).withColumn("page", F.col("document_id").cast("int")).withColumn("k", F.floor(F.col("page") / 100))
+    file = pages.groupBy("k").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("page", "items"))).alias("pages"))).alias("value"))  # a hundred pages
+    file.repartition("k").write.partitionBy("k").text(path)
+    read = parsing.parsed(spark, path).select(F.regexp_extract("path", r"k=(\d+)", 1).alias("document_id"), "payload")
+    return P.items(P.payload_pages(read)).select("document_id", "page", "item_idx", F.md5("raw").alias("h"))
+
+
 @query("SELECT conv_id, md5(regexp_replace(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), ''), '^\\s+|\\s+$', '', 'g')) AS h FROM conversations GROUP BY 1")
 def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as replies of the native protocol: what the assistant says is a message, the rest is not."""

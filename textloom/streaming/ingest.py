@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textloom.config import DEFAULTS, Settings
 from textloom.operators import clean
 from textloom.sources import pages as P
+from textloom.sources import parsing
 
 
 def landed(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -17,6 +18,11 @@ def landed(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFr
     return raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("document_id"), F.try_parse_json("value").alias("payload"))
 
 
+def landed_documents(spark: SparkSession, path: str, parser: str, **options: str) -> DataFrame:
+    """A stream of (document_id, payload) from files of any kind, parsed in the tasks; what fails has no payload."""
+    return parsing.parsed(spark, path, stream=True, parser=parser, **options).select("document_id", "payload")
+
+
 def clean_stream(stream: DataFrame, out: str, checkpoint: str, settings: Settings = DEFAULTS) -> StreamingQuery:
     """Cleans every micro-batch of whole documents and replaces their partitions under `out`.
 
