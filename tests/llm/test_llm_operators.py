@@ -363,6 +363,25 @@ def test_search_small_and_empty(spark):
     assert ann.search(index, q, index.select("vec_id", "vector")).count() == 0
 
 
+def test_queries_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)  # several blocks of candidates and queries
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 8))
+    ids = [50, 50, 50, *range(117)]  # with the own one, 50 is there four times
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    index, q = ann.build_index(df)
+    got = ann.search(index, q, index.where("vec_id in (50, 7)").select("vec_id", "vector"), rerank=120).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {50: 20, 7: 5}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = []
+    for row in [k for k, i in enumerate(ids) if i in (50, 7)]:
+        others = [k for k, i in enumerate(ids) if i != ids[row]]
+        best = sorted(others, key=lambda k: (-(u[k] @ u[row]), ids[k]))[:5]
+        want += [(ids[row], n + 1, ids[k], round(float(u[k] @ u[row]), 9)) for n, k in enumerate(best)]
+    assert sorted(zip(got.query_id, got["rank"], got.vec_id, got.score.round(9))) == sorted(want)
+
+
 def test_parallel_error_weighs_more():
     rng = np.random.default_rng(2)
     u = rng.normal(size=(800, 64))

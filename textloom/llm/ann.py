@@ -160,20 +160,25 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def search(index: DataFrame, q: Quantiser | None, queries: DataFrame, k: int = 5, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best found of every query (vec_id, vector)."""
+    """query_id, rank, vec_id, score: the k best found of every query (vec_id, vector).
+
+    Rows of `queries` that share an id are queries of their own, each with its own vector and
+    k rows; candidates that have the query's id are its own and are not found.
+    """
     spark = index.sparkSession
-    out = "query_id long, vec_id long, score double"
+    out = "query_row long, query_id long, vec_id long, score double"
     if q is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_c, n_q = (max(1, math.ceil(df.count() / size)) for df, size in ((index, BLOCK), (queries, QUERY_BLOCK)))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("vec_id").alias("query_id"), "vector", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int").alias("qb"), blocks(n_c).alias("cb"))
+    numbered = queries.select(F.monotonically_increasing_id().alias("query_row"), F.col("vec_id").alias("query_id"), "vector")
+    left = numbered.select("query_row", "query_id", "vector", F.pmod(F.xxhash64("query_row"), F.lit(n_q)).cast("int").alias("qb"), blocks(n_c).alias("cb"))
     right = index.select("vec_id", "vector", "codes", F.pmod(F.xxhash64("vec_id"), F.lit(n_c)).cast("int").alias("cb"), blocks(n_q).alias("qb"))
     m = len(q.codebooks)
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         b = b.sort_values("vec_id", kind="stable")
         ids, rows, asked = b["vec_id"].to_numpy(), _matrix(b["vector"]), _matrix(a["vector"])
         packed = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
@@ -183,13 +188,13 @@ def search(index: DataFrame, q: Quantiser | None, queries: DataFrame, k: int = 5
         take = min(len(b), max(rerank, k))
         best = np.argpartition(-key, take - 1, axis=1)[:, :take]
         found = []
-        for i, query in enumerate(a["query_id"]):
+        for i, (row, query) in enumerate(zip(a["query_row"], a["query_id"])):
             at = np.sort(best[i][key[i, best[i]] >= 0])
             s = cosine(asked[i], rows[at])
             top = np.lexsort((ids[at], -s))[:k]
-            found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at[top]], "score": s[top]}))
+            found.append(pd.DataFrame({"query_row": row, "query_id": query, "vec_id": ids[at[top]], "score": s[top]}))
         return pd.concat(found)
 
     near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
