@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from textloom import queries as E
-from textloom import set_queries  # noqa: F401  adds its queries
+from textloom import set_queries, text_queries  # noqa: F401  add their queries
 
 
 def rows(df):

@@ -76,10 +76,8 @@ def is_blocklisted(c: Column) -> Column:
 
 def appears_in(title: Column, text: Column) -> Column:
     """Whether the title's words stand in the text in a row, ignoring case and punctuation."""
-    tokens = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"(?U)[\W_]+", " ")), " "), lambda w: w != "")
-    key, hay = tokens(title), tokens(text)
-    last = F.greatest(F.size(hay) - F.size(key) + 1, F.lit(0))
-    return (F.size(key) > 0) & F.exists(F.sequence(F.lit(0), last), lambda i: (i > 0) & (F.slice(hay, F.greatest(i, F.lit(1)), F.size(key)) == key))
+    spaced = lambda c: F.concat(F.lit(" "), F.trim(F.lower(F.regexp_replace(c, r"(?U)[\W_]+", " "))), F.lit(" "))
+    return (spaced(title) != "  ") & spaced(text).contains(spaced(title))
 
 
 def title_list(raw: Column) -> Column:
