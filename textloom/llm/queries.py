@@ -80,8 +80,8 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n::UBIGINT] || [k::UBIGINT FOR k IN range(8)], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS tab)"
 _BYTES = "list_transform(range(length(hex({0})) // 2), lambda i: (16 * (instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 2, 1)) - 1)::UBIGINT)"
 _CRC = "xor(list_reduce([4294967295::UBIGINT] || " + _BYTES + ", lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"
-#: Rules of secrets without look-behind: a run of hex digits begins at its first anyway. Tokens are candidates only.
-_RULES_SQL = ", ".join(f"({k}, '{kind}', '{p.replace('(?<![0-9a-f])', '').replace(chr(39), chr(39) * 2)}', {g}, {least})" for k, (kind, (p, g, least)) in enumerate([*secret_scan.RULES.items(), ("token", (secret_scan.TOKEN.split(")", 1)[1], 0, 16))]))
+#: Rules of secrets as they are stated: what is too short is found and dropped. Tokens are candidates only, without look-behind.
+_RULES_SQL = ", ".join(f"({k}, '{kind}', '{p.replace(chr(39), chr(39) * 2)}', {g}, {least})" for k, (kind, p, g, least) in enumerate([("assign", *secret_scan.RULES["assign"]), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("token", secret_scan.TOKEN.split(")", 1)[1], 0, 16)]))
 
 
 QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_token_counts, op3_best_fit_packing, op4_token_store, op5_anisotropic_search, op6_sentencepiece_scan, op7_toxicity, op8_suffix_dedup, op9_pii_pseudonyms, op10_jaccard_join, op11_secret_owners, op12_conversation_repair, op13_importance_resampling)}

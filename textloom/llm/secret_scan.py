@@ -33,11 +33,15 @@ from pyspark.sql import functions as F
 from textloom.llm.common import join_unique, materialise
 
 #: Base rules in the order in which kinds are listed: pattern, group that is measured, its least length. Fixed values.
+#: Runs take in all they can, so that of a run without a group of its own the least length can stand in the pattern: what
+#: is too short is not found instead of being dropped, and what it covers holds no longer one.
 RULES = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"(?<![0-9a-f])[0-9a-f]+", 0, 24),
+    "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
+    "hex": (r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 }
+#: What a text must hold, in small letters, for a rule to be tried on it.
+HINTS = {"assign": ["password", "passwd", "secret", "token", "apikey", "api_key"], "access": ["akia"]}
 KINDS = [*RULES, "live"]
 #: A candidate besides assigned values, and what makes one look alive: so many digits behind letters, so many different characters.
 TOKEN, LEAST_TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}", 16
@@ -93,16 +97,20 @@ def scan(docs: DataFrame, owner: str, repository: str, text_col: str = "text") -
     """(doc_id, owner, repository, base, candidates) of every row: places by kind, and places and hashes of what looks alive."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whose = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((owner, "owner"), (repository, "repository"))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *whose, text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *whose, text.alias("text"), F.lower(text).alias("low"))
 
-    def of_rule(pattern: str, group: int, least: int) -> Column:
-        return F.filter(matches(F.col("text"), pattern, group), lambda m: F.length(m["value"]) >= least)
+    def of_rule(kind: str, pattern: str, group: int, least: int) -> Column:
+        may = F.lit(kind not in HINTS)
+        for hint in HINTS.get(kind, []):
+            may |= F.col("low").contains(hint)
+        found = F.filter(matches(F.col("text"), pattern, group), lambda m: F.length(m["value"]) >= least)
+        return F.when(may, found).otherwise(F.array().cast(_NONE))
 
     def of_kind(name: str, number: int) -> Column:
         return F.transform(name, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
 
     for kind, rule in RULES.items():
-        rows = rows.withColumn(kind, of_rule(*rule))
+        rows = rows.withColumn(kind, of_rule(kind, *rule))
     rows = rows.withColumn("token", matches(F.col("text"), TOKEN))
     base = F.flatten(F.array(*[of_kind(k, i) for i, k in enumerate(RULES)]))
     place = lambda m: F.struct((m["end"] - F.length(m["value"])).alias("start"), m["end"].alias("end"), F.substring(F.unhex(F.sha2(m["value"], 256)), 1, 16).alias("hash"))
