@@ -211,7 +211,7 @@ def size_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bag_vector(c, dim: int = 8):
     """A deterministic stand-in for an embedder: counts of words by length."""
     lengths = F.transform(T.words(c), lambda w: F.least(F.length(w), F.lit(dim)))
-    return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda k: F.size(F.filter(lengths, lambda n: n == k)).cast("float"))
+    return T.let(lengths, lambda ls: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda k: F.size(F.filter(ls, lambda n: n == k)).cast("float")))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
