@@ -207,3 +207,32 @@ def test_collections_uploads_and_parsers(spark, tmp_path):
     raw = spark.createDataFrame([("/x/a.b.pdf", bytearray(b"hello"))], "path string, content binary")
     got = P.parsed_payloads(raw, lambda b: json.dumps({"pages": [{"page": 1, "items": [{"type": "text", "value": b.decode()}]}]}))
     assert P.payload_pages(got).first().asDict()["document_id"] == "a.b"
+
+
+def test_a_question_set_from_plan_to_exam(spark, tmp_path):
+    """A plan that lacks an item, a question that fails and is mended; a second run of it all asks nothing."""
+    log = str(tmp_path / "log")
+    item = lambda k: {"question_type": "short_answer", "topic": f"Topic {k}", "concept_to_test": f"idea {k} {'abcdef'[k]}"}
+    plan = json.dumps({"exams": [{"model_number": 1, "questions": [item(1)]}]})
+    more = json.dumps([item(2), item(3)])
+    written = json.dumps({"questions": [{"question": "Why do roots drink rain", "reference_answer": "Thirst"}, {"question": "How do leaves catch light", "reference_answer": "wrong"}]})
+
+    def said(prompts, answer):
+        with open(log, "a") as f:
+            f.writelines("call\n" for _ in prompts)
+        return [answer(p) for p in prompts]
+
+    planner = lambda prompts: said(prompts, lambda p: more if p.startswith("Add ") else plan)
+    writer = lambda prompts: said(prompts, lambda p: written)
+    judge = lambda prompts: said(prompts, lambda p: json.dumps({"question_valid": True, "answer_valid": "wrong" not in p, "action": "FIX_ANSWER" if "wrong" in p else "PASS"}))
+    mend = lambda prompts: said(prompts, lambda p: json.dumps({"question": "How do leaves catch light", "reference_answer": "Pigment"}))
+    tasks = spark.createDataFrame([("p", 1, "short_answer", 2)], "plan_id string, model_number int, qtype string, want int")
+    prompts = spark.createDataFrame([("p", "plan it")], "plan_id string, prompt string")
+    run = lambda: W.question_set(prompts, tasks, 1, "text", planner, writer, judge, mend, ledger=W.Ledger(f"file://{tmp_path}/ledger"))
+    done = run()
+    assert {r.topic for r in done.plan.collect()} == {"Topic 1", "Topic 2"} and done.deficits.count() == 0
+    markdown = done.exams.first().markdown
+    assert markdown.startswith("## Short Answer\n\n1. Why do roots drink rain\n   **Answer:** Thirst") and "Pigment" in markdown and "wrong" not in markdown
+    assert {r.action for r in done.verdicts.collect()} == {"PASS"}
+    calls = len(open(log).readlines())
+    assert run().exams.first().markdown == markdown and len(open(log).readlines()) == calls

@@ -254,3 +254,31 @@ def validate_and_repair(questions: DataFrame, judge: Chat, mend: Chat, settings:
         repairs = replies.select("question_id", F.lit(0).alias("seq"), Q.normalize(F.col("qtype"), F.col("reply")).alias("q"))
         open_ = materialise(review.apply_repairs(open_, repairs, verdicts).drop("outcome"), "repaired")
     return open_, verdicts
+
+
+@dataclass
+class QuestionSet:
+    plan: DataFrame
+    errors: DataFrame
+    deficits: DataFrame
+    questions: DataFrame
+    verdicts: DataFrame
+    exams: DataFrame
+
+
+def question_set(prompts: DataFrame, tasks: DataFrame, models: int, context: str, planner: Chat, writer: Chat, judge: Chat, mend: Chat, settings: Settings = DEFAULTS, ledger: Ledger | None = None) -> QuestionSet:
+    """From a planning prompt (plan_id, prompt) and tasks (plan_id, model_number, qtype, want) to exams.
+
+    Nodes: a plan, asked again while it has faults; what it still lacks, asked for by model and
+    type; questions, asked for while some are missing; ids; judgement and repair; rendering.
+    Each node's result is a table, and with a ledger each reply is kept: a run that was
+    stopped anywhere asks, when it is begun again, only what it had not been told.
+    """
+    plan, errors = plan_until_sound(prompts, tasks, models, planner, settings, ledger)
+    plan, short = filled_plan(plan, tasks, prompts, planner, settings, ledger)
+    plan = materialise(plan, "plan")
+    written = generate(tasks, plan, context, writer, settings, ledger)
+    named = materialise(review.assign_ids(written.withColumn("question_id", F.lit(None).cast("string")), "seq"), "named")
+    settled, verdicts = validate_and_repair(named.select("model_number", "question_id", "qtype", "q"), judge, mend, settings, ledger)
+    final = materialise(settled.join(named.select("question_id", "seq"), "question_id"), "settled")
+    return QuestionSet(plan, errors, short, final, verdicts, review.exams(review.render(review.numbered(final, "seq"))))
