@@ -40,10 +40,10 @@ def judged_items(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     rows = nfkc(items(pages).where("raw <> ''").withColumn("text", F.col("raw")), "text").withColumn("base", clean_text(F.col("text"))).drop("text")
     keys = repeated_lines(pages, settings).withColumn("repeated", F.lit(True))
     rows = rows.withColumn("key", repeat_key(F.col("base"))).join(keys, ["document_id", "key"], "left")
-    _, options = strip_options(F.col("base"))
+    options = strip_options(F.col("base"))[1] if settings.cut_options else F.lit(False)
     garbage, broken = strip_inline_garbage(F.col("base"))
     rows = rows.withColumn("category", category(F.col("base"), F.col("repeated"))).withColumn("options", options).withColumn("bare", garbage).withColumn("broken", broken)
-    noted, notes = strip_inline_footnotes(F.col("bare"))
+    noted, notes = strip_inline_footnotes(F.col("bare")) if settings.cut_footnotes else (F.col("bare"), F.lit(0))
     rows = rows.withColumn("noted", noted).withColumn("notes", notes).withColumn("final", F.when(F.col("notes") > 0, strip(F.col("noted"))).otherwise(F.col("bare")))
     junk = (
         F.when(F.col("category").isNotNull(), F.col("category"))
