@@ -74,17 +74,19 @@ def merge_small(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def pack_words(sentences: Column, most: int) -> Column:
     """Greedy packing of sentences into texts of at most `most` words; a long sentence stays whole."""
 
-    def step(s: Column, x: Column) -> Column:
-        row = lambda out, cur, n: F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
-
-        def add(n: Column) -> Column:  # words of a joined text are the sum of its parts' words
-            full = (s["cur"] != "") & (s["n"] + n > most)
-            return F.when(full, row(F.concat(s["out"], F.array(s["cur"])), x, n)).otherwise(row(s["out"], T.strip(F.concat_ws(" ", s["cur"], x)), s["n"] + n))
-
-        return T.let(T.count_words(x), add)
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-    return F.aggregate(sentences, start, step, lambda s: F.when(s["cur"] != "", F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
+    def step(s: Column, n: Column) -> Column:  # words of a joined text are the sum of its parts' words
+        row = lambda starts, words: F.struct(starts.alias("starts"), words.alias("n"), (s["i"] + 1).alias("i"))
+        return F.when((s["i"] == 1) | (s["n"] + n > most), row(F.concat(s["starts"], F.array(s["i"])), n)).otherwise(row(s["starts"], s["n"] + n))
+
+    def packed(all_: Column, starts: Column) -> Column:
+        """Texts from one start to before the next: each is joined once, whatever it grew from."""
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(all_) + 1))
+        return F.transform(starts, lambda a, k: F.array_join(F.slice(all_, a, F.get(ends, k) - a), " "))
+
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"), F.lit(1).alias("i"))
+    starts = lambda all_: F.aggregate(F.transform(all_, T.count_words), start, step, lambda s: s["starts"])
+    solid = F.filter(F.transform(sentences, T.strip), lambda x: x != "")
+    return T.let(solid, lambda all_: T.let(starts(all_), lambda at: packed(all_, at)))
 
 
 def split_large(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
