@@ -33,3 +33,55 @@ def same_as_sql(spark, folder, name, tables):
 @pytest.mark.parametrize("name", ["category_ranks", "clean_categories", "clean_stats", "keep_first_dedupe", "pages_after_cleaning", "paragraph_stream"])
 def test_cleaning_keeps_what_its_sql_keeps(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, name, {"documents": (DOCUMENTS, "doc_id long, text string, lang string, source string")})
+
+
+def rules_without_guards(s):
+    """The first rule, each tried on every text."""
+    n = T.count_alpha_words(s)
+    m = T.matches
+    rules = [
+        ("page_number", m(s, X.PAGE_NUMBER)),
+        ("decorative", m(s, X.DECORATIVE) | (~T.has_letters(s) & (F.length(s) >= 3))),
+        ("empty", ~T.has_letters(s)),
+        ("copyright_boilerplate", m(s, X.BOILERPLATE) | m(s, X.COPYRIGHT)),
+        ("watermark", m(s, X.WATERMARK) & (n <= X.WATERMARK_WORDS)),
+        ("figure_caption", m(s, X.CAPTION) & (n <= X.CAPTION_WORDS)),
+        ("figure_caption", m(s, X.CAPTION_SEPARATOR) & ~m(s, X.CAPTION_REFERENCE)),
+        ("running_head", (m(s, X.RUNNING_HEAD_LEADING) | m(s, X.RUNNING_HEAD_TRAILING)) & (n <= X.RUNNING_HEAD_WORDS)),
+        ("footnote", m(s, X.FOOTNOTE, False)),
+        ("toc", m(s, X.TOC, False)),
+        ("bibliography", m(s, X.BIBLIOGRAPHY)),
+        ("credit_source", m(s, X.CREDIT) & (n <= X.CREDIT_WORDS)),
+        ("url", m(s, X.URL_ONLY)),
+        ("diagram_fragment", m(s, X.DIAGRAM)),
+    ]
+    return F.coalesce(*[F.when(test, name) for name, test in rules])
+
+
+TEXTS = """page 3|7|- 7 -|* * *|== ==|...|COPYRIGHT 2020 x|all rights reserved|an ISBN here|published by y|the publisher|legal disclaimer: z
+this page intentionally left blank|Printed in the United States|no part of this book may|Confidential|do not copy|DO NOT DISTRIBUTE|for internal use only|for review use|unapproved|unedited copy|draft
+figure 3|Fig. 3 a|TABLE 4: b|tab. 5|Equation 6.1.|eq. 7 shows|exhibit 8|diagram 9|plate 10|12 | chapter x|chapter 2 it 14|Section a 3|part b 4|module c 5|lesson d 6|unit e 7|appendix f 8
+12 Later it|Intro .... 12|Intro … 12-13|references|Bibliography:|works cited|further reading.|Source: a|data source b|credit: c|image credit d|photo by e|courtesy of f|adapted from g|reprinted h|reproduced with permission i|with permission from j|this image is k
+https://a.b|www.a.b. http://c.d|launch!|data|training set|new instance|feature 1|feature|class?|value example|can be automated|study the problem|analyze errors|evaluate solution|input|output|update data
+Plain words of it.|ımage credit a|ſection a 3|FİGURE 3|dıagram 9|Reed ٣|... ٣|١٢ Later it|the ıſbn here""".replace("\n", "|").split("|")
+
+
+def test_guards_hide_no_rule(spark):
+    df = spark.createDataFrame([(t.strip(),) for t in TEXTS if t.strip()], "t string").repartition(2)
+    got = df.select("t", classify.category(F.col("t")).alias("got"), rules_without_guards(F.col("t")).alias("want")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
+    assert len({r.want for r in got}) == 13
+
+
+@pytest.mark.parametrize("text, want", [("He met Dr. Who. It was so.", ["He met Dr. Who.", "It was so."]), ("Pi is 3.14 now. Fig. 3.2 is it! No. 5 etc. A", ["Pi is 3.14 now.", "Fig. 3.2 is it!", "No. 5 etc. A"]), (" \n ", []), ("A line.\nB line. C", ["A line.", "B line.", "C"]), (None, None)])
+def test_sentences(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(T.split_sentences(F.col("t")).alias("s")).first().s == want
+
+
+def test_work_on_sentences_grows_with_the_text(spark):
+    """Sentences and packs are made by folds that copy nothing they gathered: no aggregate whose state is text."""
+    df = spark.range(1).selectExpr("repeat('It was so. ', 20000) AS t").select(T.split_sentences(F.col("t")).alias("s"))
+    packed = df.select(chunk.pack_words(F.col("s"), 1000).alias("p"))
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "cur" not in plan and "out" not in plan.split("starts")[0]
+    assert [len(p.split()) for p in packed.first().p] == [999] * 60 + [60]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.config import DEFAULTS, Settings
 from textloom.functions import fixed as X
 from textloom.functions.classify import category
-from textloom.functions.text import clean_text, count_alpha_words, nfkc, repeat_key, strip, strip_inline_footnotes, strip_inline_garbage, strip_options
+from textloom.functions.text import clean_text, count_alpha_words, is_blank, nfkc, repeat_key, strip, strip_inline_footnotes, strip_inline_garbage, strip_options
 from textloom.sources.pages import items
 from textloom.sources.shared import materialise
 
@@ -25,10 +25,10 @@ def repeated_lines(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
     but the counts by key.
     """
     k = settings.header_lines
-    texts = F.filter(F.transform("items", lambda i: strip(F.coalesce(i["value"], F.lit("")))), lambda t: t != "")
+    texts = F.filter(F.transform("items", lambda i: F.coalesce(i["value"], F.lit(""))), lambda t: ~is_blank(t))
     ends = pages.select("document_id", texts.alias("t"))
     lines = ends.select("document_id", F.explode(F.array(F.struct(F.lit("top").alias("side"), F.slice("t", 1, k).alias("lines")), F.struct(F.lit("bottom").alias("side"), F.slice("t", F.greatest(F.size("t") - k + 1, F.lit(1)), F.lit(k)).alias("lines")))).alias("e"))
-    keyed = nfkc(lines.select("document_id", "e.side", F.explode("e.lines").alias("line")), "line").select("document_id", "side", repeat_key(F.col("line")).alias("key"))
+    keyed = nfkc(lines.select("document_id", "e.side", F.explode(F.transform("e.lines", strip)).alias("line")), "line").select("document_id", "side", repeat_key(F.col("line")).alias("key"))
     counts = keyed.groupBy("document_id", "side", "key").count()
     sizes = pages.groupBy("document_id").agg(F.count("*").alias("n"))
     least = F.greatest(F.lit(settings.header_least), (F.col("n") * F.lit(settings.header_share)).cast("int"))
@@ -37,7 +37,8 @@ def repeated_lines(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
 
 def judged_items(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Every non-empty item with its cleaned text, its category (null: kept so far), footnotes."""
-    rows = nfkc(items(pages).where("raw <> ''").withColumn("text", F.col("raw")), "text").withColumn("base", clean_text(F.col("text"))).drop("text")
+    solid = items(pages).where(~is_blank(F.coalesce("item.value", F.lit(""))))
+    rows = nfkc(solid.withColumn("text", F.col("raw")), "text").withColumn("base", clean_text(F.col("text"))).drop("text")
     keys = repeated_lines(pages, settings).withColumn("repeated", F.lit(True))
     rows = rows.withColumn("key", repeat_key(F.col("base"))).join(keys, ["document_id", "key"], "left")
     options = strip_options(F.col("base"))[1] if settings.cut_options else F.lit(False)
