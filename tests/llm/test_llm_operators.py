@@ -363,6 +363,14 @@ def test_search_small_and_empty(spark):
     assert ann.search(index, q, index.select("vec_id", "vector")).count() == 0
 
 
+def test_found_rows_are_counted(spark):
+    """Columns that a count does not need are left out, also where queries are rows of the index."""
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    index, q = ann.build_index(df)
+    found = ann.search(index, q, index.where("vec_id = 0").select("vec_id", "vector"))
+    assert found.count() == 2 and found.select("query_id").distinct().count() == 1
+
+
 def test_queries_that_share_an_id(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 40)  # several blocks of candidates and queries
     monkeypatch.setattr(ann, "QUERY_BLOCK", 2)

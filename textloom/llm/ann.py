@@ -171,8 +171,8 @@ def search(index: DataFrame, q: Quantiser | None, queries: DataFrame, k: int = 5
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_c, n_q = (max(1, math.ceil(df.count() / size)) for df, size in ((index, BLOCK), (queries, QUERY_BLOCK)))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    numbered = queries.select(F.monotonically_increasing_id().alias("query_row"), F.col("vec_id").alias("query_id"), "vector")
-    left = numbered.select("query_row", "query_id", "vector", F.pmod(F.xxhash64("query_row"), F.lit(n_q)).cast("int").alias("qb"), blocks(n_c).alias("cb"))
+    numbered = queries.select(F.monotonically_increasing_id().alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"))  # columns of its own: queries may be rows of the index
+    left = numbered.select("query_row", "query_id", "asked", F.pmod(F.xxhash64("query_row"), F.lit(n_q)).cast("int").alias("qb"), blocks(n_c).alias("cb"))
     right = index.select("vec_id", "vector", "codes", F.pmod(F.xxhash64("vec_id"), F.lit(n_c)).cast("int").alias("cb"), blocks(n_q).alias("qb"))
     m = len(q.codebooks)
 
@@ -180,7 +180,7 @@ def search(index: DataFrame, q: Quantiser | None, queries: DataFrame, k: int = 5
         if not len(a) or not len(b):
             return pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         b = b.sort_values("vec_id", kind="stable")
-        ids, rows, asked = b["vec_id"].to_numpy(), _matrix(b["vector"]), _matrix(a["vector"])
+        ids, rows, asked = b["vec_id"].to_numpy(), _matrix(b["vector"]), _matrix(a["asked"])
         packed = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
         codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(b), -1)[:, :m]
         key = scan(q.tables(_unit(asked)), codes).astype(np.int64) * len(b) + np.arange(len(b))[::-1]
