@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from textloom import queries as E
 from textloom import set_queries, text_queries  # noqa: F401  add their queries
+from textloom.config import DEFAULTS
 from textloom.functions import classify
 from textloom.functions import fixed as X
+from textloom.functions import kernels as K
 from textloom.functions import text as T
 from textloom.operators import chunk, dedupe
 
@@ -103,3 +107,23 @@ def test_only_near_pairs_are_stored(spark):
     assert {(r.a, r.b) for r in dedupe.near_pairs(near, "i", "t", 0.35).collect()} == want
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect(ha" in plan
+
+
+def _long(word: str, n: int = 70) -> str:
+    return " ".join([word.capitalize(), *[word] * n])
+
+
+@pytest.mark.parametrize("name", ["chunk_children", "chunk_report", "overlap_invariants"])
+def test_children_follow_their_sql(spark, tmp_path, name):
+    """An abbreviation that is a sentence of its own, also at the start of a child; letters beyond ASCII at a word's edge; a reference."""
+    ends = [f"{_long('ba')}. Al. Taga, ciesdo.", f"{_long('ba')}. Ed. Al. Taga, ciesdo.", f"{_long('ba')} of ed. Al. Taga, ciesdo.", f"{_long('ba')}. Ta enöbeen.", f"{_long('ba')} (table. 3 is so.", f"Al. {_long('ba')}."]
+    docs = [(i, f"{a} {_long('syllables')}.", "en", "s", 0) for i, a in enumerate(ends)] + [(9, "Al. Ed. No. 7 it is.", "en", "s", 0)]
+    same_as_sql(spark, tmp_path, name, {"documents": (docs, "doc_id long, text string, lang string, source string, n_chars long")})
+
+
+def test_last_sentence_with_lone_abbreviations(spark):
+    stated = replace(DEFAULTS, join_lone=False)
+    last = lambda t: (K.last_sentence(t), K.last_sentence(t, stated))
+    assert last("He went. Al. Taga.") == ("Al. Taga.", "Taga.")
+    assert last("He met al. Ed. Taga.") == ("He met al. Ed. Taga.",) * 2
+    assert last("Al. Taga.") == ("Al. Taga.",) * 2 and last("It is. Ed. Al. Taga.") == ("Ed. Al. Taga.", "Taga.") and last("") == ("", "")

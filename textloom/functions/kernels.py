@@ -12,34 +12,44 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from textloom.config import Settings
+from textloom.config import DEFAULTS, Settings
 from textloom.functions import fixed as X
 
 _end = lambda p: p[:-1] + r"\Z" if p.endswith("$") else p  # noqa: E731  Python's $ also stands before a last line end
 _DECIMAL, _FIGURE, _BREAK = re.compile(X.DECIMAL), re.compile(X.FIGURE_REFERENCE, re.I), re.compile(X.SENTENCE_BREAK)
-_MEANS = [re.compile(_end(p), re.I) for p in (X.MEANINGFUL_HEADING, X.MEANINGFUL_LABEL)]
+_edges = lambda p, wide: p if wide else p.replace(r"\b", "(?![A-Za-z0-9_])")
+_MEANS = {wide: [re.compile(_edges(_end(p), wide), re.I) for p in (X.MEANINGFUL_HEADING, X.MEANINGFUL_LABEL)] for wide in (True, False)}
 _ABBREVIATIONS, _QUOTES, _FUNCTION = set(X.ABBREVIATIONS), set(X.QUOTE_TOKENS), set(X.FUNCTION_WORDS)
 _BARE = re.compile("[^A-Za-z0-9]")
 
 
-def last_sentence(text: str) -> str:
-    masked = _FIGURE.sub("\\1\0\\2", _DECIMAL.sub("\\1\0\\2", text))
+def last_sentence(text: str, settings: Settings = DEFAULTS) -> str:
+    masked = _DECIMAL.sub("\\1\0\\2", text)
+    if settings.join_references:
+        masked = _FIGURE.sub("\\1\0\\2", masked)
     parts = [p for p in _BREAK.split(" ".join(masked.split())) if p]
-    last = len(parts) - 1
-    while last > 0:  # a sentence that ends with an abbreviation goes on
-        tokens = [w for w in parts[last - 1].split() if w not in _QUOTES]
-        if not tokens or tokens[-1].rstrip(".").lower() not in _ABBREVIATIONS:
-            break
-        last -= 1
-    return " ".join(parts[last:]).replace("\0", ".") if parts else ""
 
+    def short(i: int) -> bool:
+        tokens = [w for w in parts[i].split() if w not in _QUOTES]
+        return bool(tokens) and tokens[-1].rstrip(".").lower() in _ABBREVIATIONS
 
-def meaningful(text: str) -> bool:
+    start = len(parts) - 1
+    while start > 0 and short(start - 1):  # a sentence that ends with an abbreviation goes on
+        start -= 1
+    if not settings.join_lone:  # one that is nothing else ends there, but at the start of the text
+        joined = start == 0
+        for i in range(start + 1, len(parts)):
+            joined = joined or " " in parts[i - 1]
+            start = start if joined else i
+    return " ".join(parts[start:]).replace("\0", ".") if parts else ""
+
+
+def meaningful(text: str, settings: Settings = DEFAULTS) -> bool:
     s = text.strip()
     if not s:
         return False
     content = sum(_BARE.sub("", w).lower() not in _FUNCTION for w in s.split())
-    return s.endswith("?") or any(p.search(s) for p in _MEANS) or content >= 2
+    return s.endswith("?") or any(p.search(s) for p in _MEANS[settings.wide_edges]) or content >= 2
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -70,7 +80,7 @@ def floor_small(groups: list[str], settings: Settings) -> list[str]:
     sizes: list[int] = []
     for g in groups:
         n = len(g.split())
-        if tokens(n) <= settings.child_drop_tokens and not meaningful(g):
+        if tokens(n) <= settings.child_drop_tokens and not meaningful(g, settings):
             continue
         if out and tokens(n) <= settings.child_merge_tokens and sizes[-1] + n <= most:
             out[-1].append(g)
@@ -87,7 +97,7 @@ def overlapped(bodies: list[str], settings: Settings) -> list[str]:
     """Every body starts with the last sentence of the one before, if it fits and is not in it."""
     out: list[str] = []
     for b in filter(None, (b.strip() for b in bodies)):
-        last = last_sentence(out[-1]) if out else ""
+        last = last_sentence(out[-1], settings) if out else ""
         joined = f"{last} {b}".strip()
         out.append(joined if last and last not in b and len(joined.split()) <= settings.child_max_words else b)
     return out

@@ -93,7 +93,7 @@ def split_large(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Parents above the ceiling are cut at sentences; pieces keep the page range."""
     most = settings.parent_max_words
     large = T.count_words(F.col("content")) > most
-    pieces = F.when(large, pack_words(T.split_sentences(F.col("content")), most)).otherwise(F.array("content"))
+    pieces = F.when(large, pack_words(T.split_sentences(F.col("content"), settings), most)).otherwise(F.array("content"))
     return parents.select("document_id", "parent_order", "page_start", "page_end", F.posexplode(pieces).alias("piece", "content"))
 
 
@@ -216,7 +216,7 @@ def children_of(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     A parent that is mostly numbered questions is one child as it is.
     """
     own = ["document_id", "parent_id", "parent_order", "page_start", "page_end", "content", "whole"]
-    ready = parents.withColumn("whole", T.is_question_text(F.col("content"), settings.question_share))
+    ready = parents.withColumn("whole", T.is_question_text(F.col("content"), settings.question_share, settings))
     given = [F.col("packed")] if "packed" in parents.columns else [F.col("sentences"), F.col("vectors").cast("array<array<double>>").alias("vectors")]
     ready = ready.select(*own, *given)
     made = lambda groups: K.overlapped(K.floor_small(groups, settings), settings)
@@ -237,12 +237,17 @@ def children_of(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return out.select(chunk_id(F.col("document_id"), "child", F.col("parent_order"), F.col("child_order")).alias("child_id"), "parent_id", "document_id", "parent_order", "child_order", page("page_start"), page("page_end"), F.col("c.bodies").alias("content"))
 
 
-def overlap_warnings(parents: DataFrame, children: DataFrame) -> DataFrame:
+def overlap_warnings(parents: DataFrame, children: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Adjacent parents that share words, adjacent children that share more than a sentence."""
+
+    @F.arrow_udf("int")
+    def last_words(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else len(K.last_sentence(t, settings).split()) for t in texts.to_pylist()], pa.int32())
+
     w = Window.partitionBy("document_id").orderBy("parent_order")
     p = parents.select("document_id", F.col("parent_id").alias("id"), F.lag("parent_id").over(w).alias("before"), T.word_overlap(F.lag("content").over(w), F.col("content")).alias("shared"), F.lit(0).alias("allowed"), F.lit("parent").alias("level"))
     v = Window.partitionBy("document_id", "parent_id").orderBy("child_order")
     before = F.lag("content").over(v)
     c = children.select("document_id", F.col("child_id").alias("id"), F.lag("child_id").over(v).alias("before"), before.alias("b"), "content")
-    c = c.select("document_id", "id", "before", T.word_overlap(F.col("b"), F.col("content")).alias("shared"), T.count_words(T.last_sentence(F.col("b"))).alias("allowed"), F.lit("child").alias("level"))
+    c = c.select("document_id", "id", "before", T.word_overlap(F.col("b"), F.col("content")).alias("shared"), last_words("b").alias("allowed"), F.lit("child").alias("level"))
     return p.unionByName(c).where("before is not null and shared > allowed")

@@ -54,7 +54,7 @@ def ingest(pages: DataFrame, embed: Embed, chat: Chat | None = None, settings: S
     islands = chunk.islands(rows, "document_id", "para_idx", "vector", settings.parent_similarity)
     groups = chunk.gather(islands, "document_id", "island", "para_idx").withColumnRenamed("first", "parent_order")
     parents = timed("parents", chunk.parents_of(groups.drop("island"), settings))
-    sentences = parents.withColumn("sentences", T.prepare_sentences(F.col("content")))
+    sentences = parents.withColumn("sentences", T.prepare_sentences(F.col("content"), settings))
     flat = sentences.select("parent_id", F.posexplode("sentences").alias("i", "sentence"))
     vectors = embedded(flat, "sentence", "v", embed).groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vectors"))
     ready = sentences.join(vectors, "parent_id", "left").withColumn("vectors", F.coalesce("vectors", F.array().cast("array<array<float>>")))
@@ -68,7 +68,7 @@ def ingest(pages: DataFrame, embed: Embed, chat: Chat | None = None, settings: S
         children = timed("child_titles", children.join(of("subsection", "child_id"), "child_id", "left"))
     points = embedded(children, "content", "dense", embed).withColumn("sparse", F.lit(None).cast("map<int,float>"))
     tree = structure.section_tree(parents, children)
-    return Ingested(cleaned, clean.cleaning_stats(cleaned), parents, children, chunk.overlap_warnings(parents, children), timed("embeddings", points), structure.structures(tree), structure.chunk_report(parents, children, settings), seconds)
+    return Ingested(cleaned, clean.cleaning_stats(cleaned), parents, children, chunk.overlap_warnings(parents, children, settings), timed("embeddings", points), structure.structures(tree), structure.chunk_report(parents, children, settings), seconds)
 
 
 def publish(spark: SparkSession, done: Ingested, folder: str, uploads: DataFrame, dim: int) -> None:
