@@ -127,3 +127,20 @@ def test_last_sentence_with_lone_abbreviations(spark):
     assert last("He went. Al. Taga.") == ("Al. Taga.", "Taga.")
     assert last("He met al. Ed. Taga.") == ("He met al. Ed. Taga.",) * 2
     assert last("Al. Taga.") == ("Al. Taga.",) * 2 and last("It is. Ed. Al. Taga.") == ("Ed. Al. Taga.", "Taga.") and last("") == ("", "")
+
+
+def test_chunks_are_made_once(spark, sf):
+    """Parents are merged behind one exchange, and the report and the overlaps read chunks that are stored."""
+    lines = spark.createDataFrame([("d", i, i, i, " ".join(["word"] * n)) for i, n in enumerate([50, 60, 300, 50, 200])], "document_id string, parent_order int, page_start int, page_end int, content string")
+    merged = chunk.merge_small(lines)
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert [(r.parent_order, r.page_end, len(r.content.split())) for r in merged.orderBy("parent_order").collect()] == [(0, 3, 460), (4, 4, 200)]
+    for name in ("chunk_report", "overlap_invariants"):
+        assert "MapInArrow" not in E.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_number_after_a_structural_word_stays(spark):
+    texts = {"1. One 2) two (3. x) 12 . y": "One two (x) y", "See Chapter 3. And 4. it": "See Chapter 3. And it", "module  ( 5) z 123. q": "module  ( 5) z 123. q", "Row... 7. a": "Row... 7. a", "1.5 a": "1.5 a"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.s for r in df.select("t", T.strip_list_markers(F.col("t")).alias("s")).collect()} == texts

@@ -54,21 +54,20 @@ def merge_small(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
     Whether a parent joins depends on its own size only, so the groups are a running
     sum of the parents that do not; the first group joins the second if it is short.
+    A group has the words of its parents together: all is told from sizes, and texts are
+    joined once, where the windows have brought a document together.
     """
-    w = Window.partitionBy("document_id").orderBy("parent_order")
-    small = T.count_tokens(F.col("content"), settings.words_per_token) < settings.parent_merge_tokens
-    starts = (~small) | (F.row_number().over(w) == 1)
-    grouped = parents.withColumn("starts", starts.cast("int")).withColumn("grp", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def fold(df: DataFrame, key: str) -> DataFrame:
-        parts = F.array_sort(F.collect_list(F.struct("parent_order", "content")))
-        out = df.groupBy("document_id", key).agg(parts.alias("parts"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"))
-        return out.select("document_id", F.col(key).alias("grp"), F.col("parts")[0]["parent_order"].alias("parent_order"), "page_start", "page_end", T.strip(F.array_join(F.transform("parts", lambda p: p["content"]), " ")).alias("content"))
-
-    once = fold(grouped, "grp")
-    short = once.where((F.col("grp") == 1) & (T.count_tokens(F.col("content"), settings.words_per_token) < settings.parent_merge_tokens)).select("document_id", F.lit(True).alias("short"))
-    twice = once.join(short, "document_id", "left").withColumn("g2", F.when(F.col("short") & (F.col("grp") == 1), 2).otherwise(F.col("grp")))
-    return fold(twice.drop("grp"), "g2").drop("grp")
+    whole = Window.partitionBy("document_id")
+    w = whole.orderBy("parent_order")
+    small = lambda n: (n / F.lit(settings.words_per_token)).cast("int") < settings.parent_merge_tokens
+    sized = parents.select("document_id", "parent_order", "page_start", "page_end", "content", T.count_words(F.col("content")).alias("n"))
+    starts = sized.withColumn("starts", ((~small(F.col("n"))) | (F.row_number().over(w) == 1)).cast("int"))
+    grouped = starts.withColumn("grp", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    short = small(F.sum(F.when(F.col("grp") == 1, F.col("n"))).over(whole))
+    merged = grouped.withColumn("grp", F.when(short & (F.col("grp") == 1), 2).otherwise(F.col("grp")))
+    parts = F.array_sort(F.collect_list(F.struct("parent_order", "content")))
+    out = merged.groupBy("document_id", "grp").agg(parts.alias("parts"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"))
+    return out.select("document_id", F.col("parts")[0]["parent_order"].alias("parent_order"), "page_start", "page_end", T.strip(F.array_join(F.transform("parts", lambda p: p["content"]), " ")).alias("content"))
 
 
 def pack_words(sentences: Column, most: int) -> Column:
