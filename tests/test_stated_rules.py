@@ -144,3 +144,10 @@ def test_a_number_after_a_structural_word_stays(spark):
     texts = {"1. One 2) two (3. x) 12 . y": "One two (x) y", "See Chapter 3. And 4. it": "See Chapter 3. And it", "module  ( 5) z 123. q": "module  ( 5) z 123. q", "Row... 7. a": "Row... 7. a", "1.5 a": "1.5 a"}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.s for r in df.select("t", T.strip_list_markers(F.col("t")).alias("s")).collect()} == texts
+
+
+@pytest.mark.parametrize("name", ["split_sentences", "size_pack"])
+def test_sentences_follow_their_sql(spark, tmp_path, name):
+    """A text without sentences has no row; what looks like a reference ends a sentence, if its last word is no abbreviation."""
+    texts = [None, "", " \n ", "It is on the table. 3 are so.", "See (Fig. 3) and (eq. 4 or Fig. 5 of it.", "An Equation. 2-1 is. No. 7 it is.", "Al. Ed. Taga. B. c", "Pi is 3.14. Is it? 4 is.", "a", f"{_long('word', 900)}. {_long('word', 30)}. {_long('next', 40)}."]
+    same_as_sql(spark, tmp_path, name, {"documents": ([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")})
